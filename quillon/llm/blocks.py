@@ -89,3 +89,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     discard(both)
     return label
+
+
+def by_runs(keys: np.ndarray, *columns: np.ndarray, most: int = 20_000) -> Iterator[tuple[np.ndarray, pa.Array, list[np.ndarray]]]:
+    """Columns ordered by key as lists for each key, some keys at a time: (keys, offsets, columns)."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    cuts = np.r_[first, len(keys)]
+    for i in range(0, len(first), most):
+        j = min(len(first), i + most)
+        yield keys[first[i:j]], pa.array((cuts[i : j + 1] - cuts[i]).astype(np.int32)), [c[cuts[i] : cuts[j]] for c in columns]
