@@ -1,4 +1,595 @@
-"""Every query by name, and its SQL."""
+"""Every query by name over the tables of a folder, and the same in SQL for an independent engine."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from quillon.functions.text import STOPWORDS, TERM, tokens, words
+from quillon.functions.vectors import norm
+from quillon.operators import chunking, dense, evaluation, index, lexical, subsets
+from quillon.sources import trec
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+# -- SQL fragments ---------------------------------------------------------------------------------------------
+STOP = "(" + ",".join(f"'{w}'" for w in STOPWORDS) + ")"
+
+
+def sql_tokens(text: str, stop: bool = True) -> str:
+    found = f"regexp_extract_all(lower(coalesce({text}, '')), '{TERM}')"
+    return f"list_filter({found}, lambda x: x NOT IN {STOP})" if stop else found
+
+
+def sql_words(text: str, lower: bool = True) -> str:
+    return f"list_filter(regexp_split_to_array({f'lower({text})' if lower else text}, '\\s+'), lambda x: x <> '')"
+
+
+BASE = f"""
+WITH RECURSIVE toks AS (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents),
+posts AS (SELECT term, doc_id, count(*) AS tf FROM toks GROUP BY ALL),
+n AS (SELECT count(*) AS n_docs FROM documents),
+stats AS (SELECT term, count(*) AS df, ln(n_docs / count(*)::DOUBLE) AS idf FROM posts, n GROUP BY term, n_docs),
+dl AS (SELECT doc_id, len({sql_tokens('text')})::BIGINT AS dl FROM documents),
+q AS (SELECT item_id, unnest(range(len(l))) AS pos, unnest(l) AS term FROM (SELECT item_id, {sql_tokens('text')} AS l FROM benchmark)),
+qd AS (SELECT DISTINCT item_id, term FROM q),
+red AS (SELECT item_id, unnest(range(least(len(l), 8))) AS pos, unnest(l[1:8]) AS term FROM (
+  SELECT item_id, list(term ORDER BY pos) AS l FROM (SELECT item_id, term, min(pos) AS pos FROM q GROUP BY ALL) GROUP BY item_id)),
+phr AS (SELECT item_id, pos // 2 AS phrase, term, 1 - 0.1 * (pos // 2) AS weight FROM red),
+tfidf AS (SELECT item_id, doc_id, sum(ln(tf + 1.0) * idf) AS score FROM q JOIN stats USING (term) JOIN posts USING (term) GROUP BY ALL),
+coord AS (SELECT item_id, doc_id, count(*)::DOUBLE AS score FROM qd JOIN posts USING (term) GROUP BY ALL),
+"""
+
+
+def sql_ranked(scores: str, k: int = lexical.TOP, digits: int = lexical.DIGITS) -> str:
+    return (
+        "SELECT item_id, doc_id, rnk, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rnk "
+        f"FROM (SELECT item_id, doc_id, round(score, {digits}) + 0.0 AS score FROM ({scores}))) WHERE rnk <= {k}"
+    )
+
+
+def sql_normed(scores: str) -> str:
+    return f"SELECT item_id, doc_id, coalesce(score / pow(ln(dl + 2.0), 3.0), -1.0) AS score FROM ({scores}) LEFT JOIN dl USING (doc_id)"
+
+
+def based(body: str) -> str:
+    """A statement over the base; a body that begins with a comma adds tables of its own."""
+    return BASE.rstrip().rstrip(",") + "\n" + body
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of (spark, folder), and its SQL if it has one."""
+
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, folder: str) -> lexical.Lexical:
+    return lexical.Lexical(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# -- index ------------------------------------------------------------------------------------------------------
+@query(based("SELECT term, doc_id, tf FROM posts"))
+def tf_postings(s, d):
+    return index.postings(table(s, d, "documents"))
+
+
+@query(based("SELECT term, df, round(idf, 9) AS idf FROM stats"))
+def term_stats(s, d):
+    docs = table(s, d, "documents")
+    return index.term_stats(index.postings(docs), docs).withColumn("idf", F.round("idf", 9))
+
+
+@query(based("SELECT term, count(*) AS df, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM posts GROUP BY term"))
+def posting_lists(s, d):
+    return index.posting_lists(index.postings(table(s, d, "documents"))).withColumn("doc_ids", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ","))
+
+
+@query(based("SELECT doc_id, dl FROM dl"))
+def doc_length(s, d):
+    return index.lengths(table(s, d, "documents"))
+
+
+@query(f"SELECT doc_id, len({sql_tokens('text', False)})::BIGINT AS n_all, len({sql_tokens('text')})::BIGINT AS n_kept, len(list_distinct({sql_tokens('text')}))::BIGINT AS n_distinct, len({sql_words('text')})::BIGINT AS n_words FROM documents")
+def stopword_tokens(s, d):
+    n = lambda c: F.size(c).cast("long")
+    return table(s, d, "documents").select("doc_id", n(tokens("text", False)).alias("n_all"), n(tokens("text")).alias("n_kept"), n(F.array_distinct(tokens("text"))).alias("n_distinct"), n(words("text")).alias("n_words"))
+
+
+# -- lexical ranking ----------------------------------------------------------------------------------------------
+@query(based("SELECT item_id, doc_id FROM coord JOIN (SELECT item_id, count(*) AS need FROM qd GROUP BY ALL) USING (item_id) WHERE score = need"))
+def boolean_and(s, d):
+    return corpus(s, d).boolean(True)
+
+
+@query(based("SELECT item_id, doc_id FROM coord"))
+def boolean_or(s, d):
+    return corpus(s, d).boolean(False)
+
+
+def pair(name: str, scores: Callable[[lexical.Lexical, DataFrame], DataFrame], sql: str) -> None:
+    """A model and its length-normalised form."""
+
+    def plain(s, d):
+        c = corpus(s, d)
+        return lexical.ranked(scores(c, table(s, d, "benchmark")))
+
+    def normed(s, d):
+        c = corpus(s, d)
+        return lexical.ranked(lexical.normalised(scores(c, table(s, d, "benchmark")), c.dl))
+
+    query(based(sql_ranked(sql)), name)(plain)
+    query(based(sql_ranked(sql_normed(sql))), f"{name}_norm")(normed)
+
+
+def sql_decay(q: str) -> str:
+    return (
+        f"SELECT item_id, doc_id, sum(ln(tf + 1.0) * idf * (1 - 0.6 * pow(i / n::DOUBLE, 2))) AS score FROM (SELECT k.*, row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS i FROM {q} k JOIN stats USING (term)) "
+        f"JOIN (SELECT item_id, count(*) AS n FROM {q} GROUP BY ALL) USING (item_id) JOIN stats USING (term) JOIN posts USING (term) GROUP BY ALL"
+    )
+
+
+pair("coord_count", lambda c, b: c.coordination(), "SELECT * FROM coord")
+pair("tfidf", lambda c, b: c.tfidf(), "SELECT * FROM tfidf")
+pair("tfidf_reduced", lambda c, b: c.tfidf(lexical.reduced(b)), "SELECT item_id, doc_id, sum(ln(tf + 1.0) * idf) AS score FROM red JOIN stats USING (term) JOIN posts USING (term) GROUP BY ALL")
+pair("tfidf_decay", lambda c, b: c.decayed(lexical.reduced(b)), sql_decay("red"))
+pair(
+    "phrase_weighted",
+    lambda c, b: c.phrases(lexical.phrase_queries(b)),
+    "SELECT item_id, doc_id, sum(ln(tf + 1.0) * idf * weight) AS score FROM (SELECT item_id, phrase, doc_id, min(tf) AS tf, max(idf) AS idf, count(*) AS n, any_value(weight) AS weight FROM phr JOIN stats USING (term) JOIN posts USING (term) GROUP BY item_id, phrase, doc_id) "
+    "JOIN (SELECT item_id, phrase, count(DISTINCT term) AS need FROM phr GROUP BY ALL) USING (item_id, phrase) WHERE n = need GROUP BY ALL",
+)
+
+BM25 = "SELECT item_id, doc_id, sum({part}) AS score FROM (SELECT item_id, term, count(*) AS qtf FROM q GROUP BY ALL) JOIN (SELECT term, {w} AS w FROM stats, n) USING (term) JOIN posts USING (term) JOIN dl USING (doc_id), (SELECT avg(dl) AS avgdl FROM dl) GROUP BY ALL"
+
+
+def long(k1: float, b: float) -> str:
+    return f"{k1} * (1 - {b} + {b} * dl / avgdl)"
+
+
+@query(based(sql_ranked(BM25.format(w="ln(1 + (n_docs - df + 0.5) / (df + 0.5))", part=f"qtf * w * tf / (tf + {long(0.9, 0.4)})"))))
+def bm25_lucene(s, d):
+    return lexical.ranked(corpus(s, d).bm25("lucene"))
+
+
+@query(based(sql_ranked(BM25.format(w="log2((n_docs - df + 0.5) / (df + 0.5))", part=f"w * tf * 2.2 / (tf + {long(1.2, 0.75)}) * 9.0 * qtf / (8.0 + qtf)"))))
+def bm25_terrier(s, d):
+    return lexical.ranked(corpus(s, d).bm25("terrier"))
+
+
+PLAIN = "(ln(n_docs - df + 0.5) - ln(df + 0.5))"
+
+
+@query(based(sql_ranked(BM25.format(w=f"CASE WHEN {PLAIN} < 0 THEN 0.25 * (SELECT avg({PLAIN}) FROM stats, n) ELSE {PLAIN} END", part=f"qtf * w * tf * 2.5 / (tf + {long(1.5, 0.75)})"))))
+def bm25_okapi(s, d):
+    return lexical.ranked(corpus(s, d).bm25("okapi"))
+
+
+# -- dense --------------------------------------------------------------------------------------------------------
+DENSE_SQL = sql_ranked(
+    "SELECT q.vec_id AS item_id, v.vec_id AS doc_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS score "
+    "FROM embeddings v, embeddings q WHERE q.vec_id < 20", 100, 5)
+
+
+def vectors(s, d) -> tuple[DataFrame, DataFrame]:
+    e = table(s, d, "embeddings")
+    return e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), e.filter("vec_id < 20").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q"))
+
+
+@query(DENSE_SQL)
+def dense_topk(s, d):
+    return dense.dense_topk(*vectors(s, d))
+
+
+@query(DENSE_SQL)
+def dense_sharded_topk(s, d):
+    return dense.dense_blocks(*vectors(s, d))
+
+
+@query("SELECT vec_id, unnest(range(len(embedding))) AS dim, round(unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) + 0.0 AS value FROM embeddings")
+def l2_normalize(s, d):
+    e = table(s, d, "embeddings").select("vec_id", norm(F.col("embedding")).alias("n"), F.posexplode("embedding").alias("dim", "x"))
+    return e.select("vec_id", F.col("dim").cast("long").alias("dim"), (F.round(F.col("x").cast("double") / F.col("n"), 6) + 0.0).alias("value"))
+
+
+@query(
+    "WITH p AS (SELECT label, 1 + vec_id % 3 AS w, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), "
+    "m AS (SELECT label, dim, sum(x * w) / greatest(sum(w), 1) AS x FROM p GROUP BY ALL), z AS (SELECT label, sqrt(sum(x * x)) AS size FROM m GROUP BY label) "
+    "SELECT label, dim, round(x / size, 6) + 0.0 AS value FROM m JOIN z USING (label)"
+)
+def weighted_mean_vectors(s, d):
+    e = table(s, d, "embeddings").select("label", (1 + F.col("vec_id") % 3).alias("w"), F.col("embedding").alias("v"))
+    return dense.weighted_mean(e, "label").withColumn("value", F.col("value") + 0.0)
+
+
+# -- passages and training pairs ----------------------------------------------------------------------------------
+def sql_windows(size: int, step: int, source: str = "documents") -> str:
+    return (
+        f"SELECT doc_id, i AS chunk_index, len(w[i * {step} + 1 : i * {step} + {size}])::BIGINT AS n_words, array_to_string(w[i * {step} + 1 : i * {step} + {size}], ' ') AS chunk "
+        f"FROM (SELECT doc_id, w, unnest(range(greatest(0, ceil((len(w) - {size}) / {step}::DOUBLE))::BIGINT + 1)) AS i FROM (SELECT doc_id, {sql_words('text', False)} AS w FROM {source}) WHERE len(w) > 0)"
+    )
+
+
+@query(sql_windows(100, 50))
+def chunk_sliding(s, d):
+    return chunking.windows(table(s, d, "documents"), 100, 50)
+
+
+@query(sql_windows(512, 448))
+def overflow_windows(s, d):
+    return chunking.overflow(table(s, d, "documents"))
+
+
+# A document answers a query if it holds at least 70% of its distinct terms.
+SQL_QRELS = "qrels AS (SELECT item_id, doc_id, CASE WHEN score >= 0.9 * need THEN 2 ELSE 1 END AS rel FROM coord JOIN (SELECT item_id, count(*) AS need FROM qd GROUP BY ALL) USING (item_id) WHERE score >= 0.7 * need)"
+
+
+def qrels(s, d) -> DataFrame:
+    c = corpus(s, d)
+    need = c.terms.groupBy("item_id").agg(F.countDistinct("term").alias("need"))
+    rows = c.coordination().join(need, "item_id").filter(F.col("score") >= 0.7 * F.col("need"))
+    return rows.select("item_id", "doc_id", F.when(F.col("score") >= 0.9 * F.col("need"), 2).otherwise(1).alias("rel"))
+
+
+SQL_CHUNKS = f"""
+chunks AS ({sql_windows(100, 50)}),
+ctok AS (SELECT doc_id, chunk_index, unnest({sql_words('chunk')}) AS term FROM chunks JOIN (SELECT DISTINCT doc_id FROM qrels) USING (doc_id)),
+clen AS (SELECT doc_id, chunk_index, count(*) AS len FROM ctok GROUP BY ALL),
+cavg AS (SELECT doc_id, avg(len) AS avglen, count(*) AS n FROM clen GROUP BY ALL),
+ctf AS (SELECT doc_id, chunk_index, term, count(*) AS tf FROM ctok GROUP BY ALL),
+cdf AS (SELECT doc_id, term, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS plain FROM ctf JOIN cavg USING (doc_id) GROUP BY doc_id, term, n),
+cw AS (SELECT doc_id, term, CASE WHEN plain < 0 THEN 0.25 * avg(plain) OVER (PARTITION BY doc_id) ELSE plain END AS w FROM cdf),
+qw AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({sql_words('text')}) AS term FROM benchmark) GROUP BY ALL),
+cscore AS (SELECT item_id, doc_id, chunk_index, sum(qtf * w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avglen))) AS score
+  FROM qrels JOIN qw USING (item_id) JOIN cw USING (doc_id, term) JOIN ctf USING (doc_id, term) JOIN clen USING (doc_id, chunk_index) JOIN cavg USING (doc_id) GROUP BY ALL),
+best AS (SELECT item_id, doc_id, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, chunk_index) AS r FROM (SELECT item_id, doc_id, chunk_index, round(score, 6) + 0.0 AS score FROM cscore)) WHERE r = 1)
+"""
+
+
+def best_chunks(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For each (query, relevant document) the passage with the best BM25 inside that document; also passages and qrels."""
+    rel, docs = qrels(s, d), table(s, d, "documents")
+    chunks = chunking.windows(docs, 100, 50)
+    tok = chunks.join(rel.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "chunk_index", F.explode(words("chunk")).alias("term"))
+    tf = tok.groupBy("doc_id", "chunk_index", "term").agg(F.count("*").alias("tf"))
+    size = tf.groupBy("doc_id", "chunk_index").agg(F.sum("tf").alias("len"))
+    mean = size.groupBy("doc_id").agg(F.avg("len").alias("avglen"), F.count("*").alias("n"))
+    plain = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    df = tf.groupBy("doc_id", "term").agg(F.count("*").alias("df")).join(mean, "doc_id").withColumn("plain", plain)
+    w = df.withColumn("w", F.when(F.col("plain") < 0, 0.25 * F.avg("plain").over(Window.partitionBy("doc_id"))).otherwise(F.col("plain")))
+    q = table(s, d, "benchmark").select("item_id", F.explode(words("text")).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
+    hits = rel.select("item_id", "doc_id").join(q, "item_id").join(w.select("doc_id", "term", "w", "avglen"), ["doc_id", "term"]).join(tf, ["doc_id", "term"]).join(size, ["doc_id", "chunk_index"])
+    part = F.col("qtf") * F.col("w") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avglen")))
+    scores = hits.groupBy("item_id", "doc_id", "chunk_index").agg((F.round(F.sum(part), 6) + 0.0).alias("score"))
+    first = Window.partitionBy("item_id", "doc_id").orderBy(F.col("score").desc(), "chunk_index")
+    return scores.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r"), chunks, rel
+
+
+@query(based(f", {SQL_QRELS}, {SQL_CHUNKS} SELECT * FROM best"))
+def best_positive_chunk(s, d):
+    return best_chunks(s, d)[0]
+
+
+def sql_pick(key: str) -> str:
+    return f"sha256(concat_ws('#', {key}))"
+
+
+SQL_HARD = f"""
+okapi AS (SELECT * FROM ({sql_ranked(BM25.format(w=f"CASE WHEN {PLAIN} < 0 THEN 0.25 * (SELECT avg({PLAIN}) FROM stats, n) ELSE {PLAIN} END", part=f"qtf * w * tf * 2.5 / (tf + {long(1.5, 0.75)})"), 10)})),
+hard AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rnk) AS r FROM (SELECT o.item_id, o.doc_id, o.rnk FROM okapi o ANTI JOIN qrels x ON o.item_id = x.item_id AND o.doc_id = x.doc_id)) WHERE r = 1),
+neg AS (SELECT item_id, doc_id, chunk_index FROM (SELECT h.item_id, h.doc_id, c.chunk_index, row_number() OVER (PARTITION BY h.item_id ORDER BY {sql_pick("'neg', h.item_id::VARCHAR, h.doc_id::VARCHAR, c.chunk_index::VARCHAR")}) AS r FROM hard h JOIN chunks c USING (doc_id)) WHERE r = 1)
+"""
+
+
+def hard_negatives(s, d, chunks: DataFrame, rel: DataFrame) -> DataFrame:
+    """The first of a query's ten best documents that is not relevant, and one passage of it in hash order."""
+    top = lexical.ranked(corpus(s, d).bm25("okapi"), 10).join(rel, ["item_id", "doc_id"], "left_anti")
+    first = top.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("rnk"))).filter("r = 1").select("item_id", "doc_id")
+    key = F.sha2(F.concat_ws("#", F.lit("neg"), *(F.col(c).cast("string") for c in ("item_id", "doc_id", "chunk_index"))), 256)
+    pick = Window.partitionBy("item_id").orderBy(key)
+    return first.join(chunks.select("doc_id", "chunk_index"), "doc_id").withColumn("r", F.row_number().over(pick)).filter("r = 1").select("item_id", "doc_id", "chunk_index")
+
+
+@query(based(f", {SQL_QRELS}, {SQL_CHUNKS}, {SQL_HARD} SELECT * FROM neg"))
+def hard_negative(s, d):
+    _, chunks, rel = best_chunks(s, d)
+    return hard_negatives(s, d, chunks, rel)
+
+
+@query(based(f", {SQL_QRELS}, {SQL_CHUNKS}, {SQL_HARD} SELECT b.item_id, b.doc_id AS pos_doc, b.chunk_index AS pos_chunk, n.doc_id AS neg_doc, n.chunk_index AS neg_chunk FROM best b JOIN neg n USING (item_id)"))
+def triplets_hard(s, d):
+    best, chunks, rel = best_chunks(s, d)
+    neg = hard_negatives(s, d, chunks, rel).select("item_id", F.col("doc_id").alias("neg_doc"), F.col("chunk_index").alias("neg_chunk"))
+    return best.select("item_id", F.col("doc_id").alias("pos_doc"), F.col("chunk_index").alias("pos_chunk")).join(neg, "item_id")
+
+
+@query(based(
+    f", {SQL_QRELS}, {SQL_CHUNKS}, "
+    f"pool AS (SELECT doc_id, chunk_index FROM (SELECT doc_id, chunk_index FROM chunks c ANTI JOIN qrels x ON c.doc_id = x.doc_id) ORDER BY {sql_pick(chr(39) + 'pool' + chr(39) + ', doc_id::VARCHAR, chunk_index::VARCHAR')} LIMIT 64) "
+    f"SELECT item_id, pos_doc, pos_chunk, neg_doc, neg_chunk FROM (SELECT b.item_id, b.doc_id AS pos_doc, b.chunk_index AS pos_chunk, p.doc_id AS neg_doc, p.chunk_index AS neg_chunk, row_number() OVER (PARTITION BY b.item_id, b.doc_id ORDER BY {sql_pick(chr(39) + 'rand' + chr(39) + ', b.item_id::VARCHAR, b.doc_id::VARCHAR, p.doc_id::VARCHAR, p.chunk_index::VARCHAR')}) AS r FROM best b, pool p) WHERE r <= 7"
+))
+def triplets_random(s, d):
+    """Up to 7 passages that are relevant to no query for each positive, from a pool of 64 in hash order."""
+    best, chunks, rel = best_chunks(s, d)
+    key = lambda tag, *c: F.sha2(F.concat_ws("#", F.lit(tag), *(F.col(x).cast("string") for x in c)), 256)
+    pool = chunks.select("doc_id", "chunk_index").join(rel.select("doc_id").distinct(), "doc_id", "left_anti").orderBy(key("pool", "doc_id", "chunk_index")).limit(64)
+    pool = pool.select(F.col("doc_id").alias("neg_doc"), F.col("chunk_index").alias("neg_chunk"))
+    pairs = best.select("item_id", F.col("doc_id").alias("pos_doc"), F.col("chunk_index").alias("pos_chunk")).crossJoin(F.broadcast(pool))  # 64 rows
+    first = Window.partitionBy("item_id", "pos_doc").orderBy(key("rand", "item_id", "pos_doc", "neg_doc", "neg_chunk"))
+    return pairs.withColumn("r", F.row_number().over(first)).filter("r <= 7").drop("r")
+
+
+@query(based(f", {SQL_QRELS}, chunks AS ({sql_windows(100, 50)}) SELECT item_id, doc_id, chunk_index, rel FROM qrels JOIN chunks USING (doc_id)"))
+def chunk_qrels(s, d):
+    return qrels(s, d).join(chunking.windows(table(s, d, "documents"), 100, 50).select("doc_id", "chunk_index"), "doc_id").select("item_id", "doc_id", "chunk_index", "rel")
+
+
+# -- evaluation -----------------------------------------------------------------------------------------------------
+SQL_JUDGED = """
+runrank AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id::VARCHAR DESC) AS rank FROM run),
+j AS (SELECT item_id, doc_id, rel, rank, row_number() OVER (PARTITION BY item_id ORDER BY rank NULLS LAST, doc_id) AS hit, row_number() OVER (PARTITION BY item_id ORDER BY rel DESC, doc_id) AS ideal FROM qrels LEFT JOIN runrank USING (item_id, doc_id))
+"""
+
+
+def sql_measure(family: str, k: int | None) -> str:
+    inside = "rank IS NOT NULL" if k is None else f"coalesce(rank <= {k}, false)"
+    hits = f"count(*) FILTER ({inside})::DOUBLE"
+    return {
+        "ndcg": f"coalesce(sum(rel / log2(rank + 1.0)) FILTER ({inside}), 0) / sum(rel / log2(ideal + 1.0)) FILTER (ideal <= {k})",
+        "r": f"{hits} / count(*)",
+        "p": f"{hits} / {k}",
+        "f1": f"CASE WHEN {hits} > 0 THEN 2 * ({hits} / {k}) * ({hits} / count(*)) / ({hits} / {k} + {hits} / count(*)) ELSE 0 END",
+        "success": f"CASE WHEN {hits} > 0 THEN 1.0 ELSE 0.0 END",
+        "rr": "coalesce(1.0 / min(rank), 0)",
+        "map": f"coalesce(sum(hit / rank::DOUBLE) FILTER ({inside}), 0) / count(*)",
+    }[family]
+
+
+def sql_evaluate(labels: list[str], run: str = "tfidf_run") -> str:
+    per = ", ".join(f"{sql_measure(*evaluation.parse_metric(x))} AS m{i}" for i, x in enumerate(labels))
+    rows = " UNION ALL ".join(f"SELECT '{x}' AS metric, round(avg(m{i}), 6) AS value FROM per" for i, x in enumerate(labels))
+    return f"{SQL_JUDGED}, per AS (SELECT item_id, {per} FROM j GROUP BY item_id) {rows}"
+
+
+SQL_RUN = f"run AS ({sql_ranked('SELECT * FROM tfidf', 100)}), "
+
+
+def tfidf_run(s, d) -> DataFrame:
+    return lexical.ranked(corpus(s, d).tfidf(), 100)
+
+
+MEASURES = {
+    "eval_ndcg": ["NDCG@10", "NDCG@1000"], "eval_recall": ["R@10", "recall@1000"], "eval_precision": ["P@10", "precision@5"], "eval_rr": ["RR"],
+    "eval_map": ["MAP"], "eval_map_cut": ["MAP@10", "MAP@1000"], "eval_f1": ["F1@10"], "eval_success": ["success@1", "success@10"],
+}
+for name_, labels_ in MEASURES.items():
+    query(based(f", {SQL_QRELS}, {SQL_RUN} {sql_evaluate(labels_)}"), name_)(lambda s, d, x=labels_: evaluation.evaluate(qrels(s, d), tfidf_run(s, d), x))
+
+
+@query(based(f", {SQL_QRELS}, {SQL_RUN} asked AS (SELECT DISTINCT item_id FROM qrels), ran AS (SELECT DISTINCT item_id FROM run WHERE item_id % 3 <> 0) SELECT item_id FROM asked WHERE item_id NOT IN (SELECT item_id FROM ran)"))
+def eval_missing(s, d):
+    return evaluation.missing(qrels(s, d), tfidf_run(s, d).filter("item_id % 3 <> 0"))
+
+
+SWEEP = ["NDCG@10", "R@100", "RR"]
+
+
+@query(based(
+    f", {SQL_QRELS}, runs AS (SELECT 'coord' AS model, * FROM ({sql_ranked('SELECT * FROM coord', 100)}) UNION ALL SELECT 'tfidf' AS model, * FROM ({sql_ranked('SELECT * FROM tfidf', 100)})), "
+    "rr AS (SELECT model, item_id, doc_id, row_number() OVER (PARTITION BY model, item_id ORDER BY score DESC, doc_id::VARCHAR DESC) AS rank FROM runs), "
+    "jj AS (SELECT model, q.item_id, q.doc_id, q.rel, rank, row_number() OVER (PARTITION BY model, q.item_id ORDER BY rank NULLS LAST, q.doc_id) AS hit, row_number() OVER (PARTITION BY model, q.item_id ORDER BY rel DESC, q.doc_id) AS ideal "
+    "FROM (SELECT * FROM qrels, (SELECT unnest(['coord', 'tfidf']) AS model)) q LEFT JOIN rr USING (model, item_id, doc_id)), "
+    "per AS (SELECT model, item_id, " + ", ".join(f"{sql_measure(*evaluation.parse_metric(x))} AS m{i}" for i, x in enumerate(SWEEP)) + " FROM jj GROUP BY ALL) "
+    + " UNION ALL ".join(f"SELECT model, '{x}' AS metric, round(avg(m{i}), 6) AS value FROM per GROUP BY model" for i, x in enumerate(SWEEP))
+))
+def eval_sweep(s, d):
+    c, rel = corpus(s, d), qrels(s, d)
+    out = None
+    for model, scores in (("coord", c.coordination()), ("tfidf", c.tfidf())):
+        part = evaluation.evaluate(rel, lexical.ranked(scores, 100), SWEEP).select(F.lit(model).alias("model"), "metric", "value")
+        out = part if out is None else out.union(part)
+    return out
+
+
+# -- subsets and checks -----------------------------------------------------------------------------------------------
+SQL_SPLIT = """
+sides AS (SELECT split, query_id, CASE WHEN r <= floor(0.8 * n + 1e-9) THEN 'train80' ELSE 'eval20' END AS side FROM (
+  SELECT *, row_number() OVER (PARTITION BY split ORDER BY sha256(concat_ws('#', 'seed-1', split, query_id::VARCHAR)), query_id) AS r, count(*) OVER (PARTITION BY split) AS n
+  FROM (SELECT 'dev' || (item_id % 3)::VARCHAR AS split, item_id AS query_id FROM benchmark)))
+"""
+SQL_GOLD = "gold AS (SELECT DISTINCT doc_id FROM qrels JOIN sides ON query_id = item_id WHERE side = 'train80')"
+
+
+def sides(s, d) -> DataFrame:
+    return subsets.split_80_20(table(s, d, "benchmark").select(F.concat(F.lit("dev"), (F.col("item_id") % 3).cast("string")).alias("split"), F.col("item_id").alias("query_id")))
+
+
+def gold(s, d) -> DataFrame:
+    train = sides(s, d).filter("side = 'train80'").select(F.col("query_id").alias("item_id"))
+    return qrels(s, d).join(train, "item_id", "left_semi").select("doc_id").distinct()
+
+
+@query(f"WITH {SQL_SPLIT} SELECT * FROM sides")
+def split_80_20(s, d):
+    return sides(s, d)
+
+
+@query(based(f", {SQL_QRELS}, {SQL_SPLIT} SELECT side, doc_id, min(item_id) AS first_item FROM qrels JOIN sides ON query_id = item_id GROUP BY ALL"))
+def gold_docs(s, d):
+    rows = qrels(s, d).join(sides(s, d).withColumnRenamed("query_id", "item_id"), "item_id")
+    return rows.groupBy("side", "doc_id").agg(F.min("item_id").alias("first_item"))
+
+
+@query(based(f", {SQL_QRELS}, {SQL_SPLIT}, {SQL_GOLD} SELECT DISTINCT d.doc_id FROM documents d JOIN gold g ON d.doc_id BETWEEN g.doc_id - 2 AND g.doc_id + 2 AND d.doc_id <> g.doc_id"))
+def neighbors(s, d):
+    return subsets.neighbours(table(s, d, "documents"), gold(s, d), 2, 2)
+
+
+def runs(s, d) -> DataFrame:
+    c = corpus(s, d)
+    out = [lexical.ranked(x, 100).select(F.lit(m).alias("model"), "item_id", "doc_id", "rnk") for m, x in (("coord", c.coordination()), ("tfidf", c.tfidf()))]
+    return out[0].union(out[1])
+
+
+@query()
+def pool_quota(s, d):
+    return subsets.pool_quota(runs(s, d), gold(s, d), 5)
+
+
+SQL_FILL = """
+fill AS (SELECT d.doc_id FROM documents d LEFT JOIN gold g ON g.doc_id = d.doc_id LEFT JOIN near v ON v.doc_id = d.doc_id
+  ORDER BY CASE WHEN g.doc_id IS NOT NULL THEN 0 WHEN v.doc_id IS NOT NULL THEN 1 ELSE 2 END,
+  CASE WHEN g.doc_id IS NULL AND v.doc_id IS NULL THEN sha256(concat_ws('#', 'fill-1', d.doc_id::VARCHAR)) ELSE '' END, d.doc_id LIMIT 200)
+"""
+SQL_NEAR2 = "near AS (SELECT DISTINCT d.doc_id FROM documents d JOIN gold g ON d.doc_id BETWEEN g.doc_id - 2 AND g.doc_id + 2 AND d.doc_id <> g.doc_id)"
+SQL_SUBSET = f", {SQL_QRELS}, {SQL_SPLIT}, {SQL_GOLD}, {SQL_NEAR2}, {SQL_FILL}"
+
+
+def subset(s, d, size: int = 200) -> DataFrame:
+    docs, g = table(s, d, "documents"), gold(s, d)
+    return subsets.filled(docs, subsets.neighbours(docs, g, 2, 2), g, size)
+
+
+@query(based(f"{SQL_SUBSET} SELECT * FROM fill"))
+def fill_to_size(s, d):
+    return subset(s, d)
+
+
+@query(based(f"{SQL_SUBSET} SELECT doc_id, sha256(text) AS hash, text FROM documents SEMI JOIN fill USING (doc_id)"))
+def verbatim_subset(s, d):
+    return table(s, d, "documents").join(subset(s, d), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("hash"), "text")
+
+
+@query(based(f"{SQL_SUBSET} SELECT DISTINCT split, query_id FROM sides JOIN qrels ON item_id = query_id SEMI JOIN fill USING (doc_id)"))
+def surviving_queries(s, d):
+    left = qrels(s, d).join(subset(s, d), "doc_id", "left_semi").select(F.col("item_id").alias("query_id")).distinct()
+    return sides(s, d).join(left, "query_id").select("split", "query_id")
+
+
+@query(based(f"{SQL_SUBSET} SELECT 'gold' AS part, count(*) AS n FROM gold UNION ALL SELECT 'near', count(*) FROM near UNION ALL SELECT 'subset', count(*) FROM fill UNION ALL SELECT side, count(*) FROM sides GROUP BY side"))
+def build_stats(s, d):
+    docs, g = table(s, d, "documents"), gold(s, d)
+    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return n(g, "gold").union(n(subsets.neighbours(docs, g, 2, 2), "near")).union(n(subset(s, d), "subset")).union(sides(s, d).groupBy(F.col("side").alias("part")).agg(F.count("*").alias("n")))
+
+
+def check(name: str, sql: str):
+    """A check: (check, ok, detail), passing without offending rows. sql counts those."""
+
+    def add(f):
+        QUERIES[f"check_{name}"] = lambda s, d: subsets.report((name, f(s, d)))
+        SQL[f"check_{name}"] = based(f"{SQL_SUBSET} SELECT '{name}' AS \"check\", detail = 0 AS ok, detail FROM (SELECT count(*) AS detail FROM ({sql}))")
+        return f
+
+    return add
+
+
+@check("coverage", "SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM sides)")
+def coverage(s, d):
+    return table(s, d, "benchmark").select("item_id").join(sides(s, d).select(F.col("query_id").alias("item_id")), "item_id", "left_anti")
+
+
+@check("docids", "SELECT doc_id FROM qrels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def docids(s, d):
+    return qrels(s, d).join(table(s, d, "documents"), "doc_id", "left_anti")
+
+
+@check("overlap", "SELECT query_id FROM sides GROUP BY query_id HAVING count(DISTINCT side) > 1")
+def overlap(s, d):
+    return sides(s, d).groupBy("query_id").agg(F.countDistinct("side").alias("n")).filter("n > 1")
+
+
+@check("membership", "SELECT doc_id FROM gold WHERE doc_id NOT IN (SELECT doc_id FROM fill)")
+def membership(s, d):
+    return gold(s, d).join(subset(s, d), "doc_id", "left_anti")
+
+
+@check("qids", "SELECT query_id FROM sides WHERE query_id NOT IN (SELECT item_id FROM qrels)")
+def qids(s, d):
+    return sides(s, d).join(qrels(s, d).select(F.col("item_id").alias("query_id")), "query_id", "left_anti")
+
+
+@check("counts", "SELECT 1 FROM (SELECT count(*) AS n FROM fill) WHERE n <> 200")
+def counts(s, d):
+    return subset(s, d).agg(F.count("*").alias("n")).filter("n <> 200")
+
+
+@check("duplicates", "SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicates(s, d):
+    return table(s, d, "documents").groupBy(F.sha2("text", 256)).count().filter("count > 1")
+
+
+@check("idlist", "(SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM fill) UNION ALL (SELECT doc_id FROM fill EXCEPT SELECT doc_id FROM documents)")
+def idlist(s, d):
+    docs, have = table(s, d, "documents").select("doc_id"), subset(s, d)
+    return docs.join(have, "doc_id", "left_anti").union(have.join(docs, "doc_id", "left_anti"))
+
+
+@check("hash", "SELECT a.doc_id FROM documents a JOIN documents b ON a.doc_id = b.doc_id SEMI JOIN fill f ON f.doc_id = a.doc_id WHERE sha256(a.text) <> sha256(b.text)")
+def hash_(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    copy = table(s, d, "documents").join(subset(s, d), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("copied"))
+    return docs.join(copy, "doc_id").filter("hash <> copied")
+
+
+# -- lines ----------------------------------------------------------------------------------------------------------------
+@query(based(f", {SQL_RUN.rstrip().rstrip(',')} SELECT item_id, rnk, concat_ws(' ', item_id::VARCHAR, 'Q0', doc_id::VARCHAR, rnk::VARCHAR, printf('%.6f', score), 'tfidf') AS line FROM run"))
+def run_lines(s, d):
+    return trec.run_lines(tfidf_run(s, d), "tfidf")
+
+
+LINES = "concat_ws(' ', conv_id::VARCHAR, 'Q0', 'd' || (turn // 2)::VARCHAR, CASE WHEN turn % 5 = 4 THEN 'x' ELSE turn::VARCHAR END, CASE WHEN turn % 7 = 6 THEN 'bad' ELSE (100 - turn)::VARCHAR || '.5' END, 'r')"
+
+
+def lines(s, d) -> DataFrame:
+    c = table(s, d, "conversations")
+    t = F.col("turn")
+    value = F.concat_ws(
+        " ", F.col("conv_id").cast("string"), F.lit("Q0"), F.concat(F.lit("d"), F.floor(t / 2).cast("string")), F.when(t % 5 == 4, "x").otherwise(t.cast("string")),
+        F.when(t % 7 == 6, "bad").otherwise(F.concat((100 - t).cast("string"), F.lit(".5"))), F.lit("r"),
+    )
+    return c.select(value.alias("value"), (F.col("conv_id") * 1000 + t).alias("line_no"))
+
+
+@query(
+    "SELECT query_id, doc_id, rank, score, run_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, line_no) AS r FROM ("
+    f"SELECT f[1] AS query_id, f[3] AS doc_id, coalesce(try_cast(f[4] AS INTEGER), 1000000000) AS rank, coalesce(try_cast(f[5] AS DOUBLE), 0) AS score, f[6] AS run_id, line_no FROM (SELECT string_split({LINES}, ' ') AS f, conv_id * 1000 + turn AS line_no FROM conversations))) WHERE r = 1"
+)
+def parse_run(s, d):
+    return trec.parse_run(lines(s, d))
+
+
+@query(
+    "SELECT query_id, doc_id, rel FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY line_no DESC) AS r FROM ("
+    f"SELECT f[1] AS query_id, f[3] AS doc_id, coalesce(try_cast(f[4] AS INTEGER), 1) AS rel, line_no FROM (SELECT string_split({LINES}, ' ') AS f, conv_id * 1000 + turn AS line_no FROM conversations))) WHERE r = 1"
+)
+def parse_qrels(s, d):
+    return trec.parse_qrels(lines(s, d))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(s, d):
+    from quillon.streaming.incremental import event_windows as run
+
+    return run(table(s, d, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(based("SELECT term, doc_id, tf FROM posts"))
+def incremental_index(s, d):
+    """The same index as tf_postings, built by a stream of files."""
+    from quillon.session import table_path
+    from quillon.streaming.incremental import index_files
+
+    out = table_path(s, "stream-index")
+    return index_files(s, d, out, f"{out}-checkpoint", glob="documents.parquet").select("term", "doc_id", "tf")
