@@ -26,14 +26,14 @@ from quillon.llm.blocks import pieces
 
 TERM_BITS, RANK, HALF = 14, 256, 32
 FIT_DOCS, FIT_ITEMS, FIT_PARTS, SEED = 1000, 2000, 4, 7
-COSINE, COVER, ANSWER_COVER, ANSWER_SHARE = 0.2, 0.7, 0.55, 0.8
+COSINE, COVER, ANSWER_COVER, ANSWER_SHARE = 0.25, 0.7, 0.55, 0.8
 ITEM_BLOCK = 4096
 # ASCII punctuation and controls part words; letters of other scripts are bytes of their own.
 PARTING = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.lower().translate(PARTING).split()
+    return text.decode(errors="replace").lower().encode().translate(PARTING).split()
 
 
 class Terms(dict):
