@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from quillon.llm.blocks import pieces
 
-TERM_BITS, RANK, HALF = 14, 256, 32
+TERM_BITS, RANK, HALF = 13, 224, 32
 FIT_DOCS, FIT_ITEMS, FIT_PARTS, SEED = 1000, 2000, 4, 7
 COSINE, COVER, ANSWER_COVER, ANSWER_SHARE = 0.25, 0.7, 0.55, 0.8
 ITEM_BLOCK = 4096
