@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillon.llm.blocks import counted, pieces, remainder
 from quillon.session import saved
 
-DEPTH, SHARE_BITS, WORD_BITS = 6, 16, 20
+DEPTH, SHARE_BITS, WORD_BITS = 5, 16, 20
 GRAM, WORD, DOC = 0, 1, 2
 LOG10_2 = math.log10(2)
 
