@@ -1,0 +1,363 @@
+"""The operators on small awkward tables, against brute force, round trips and held-out accuracy."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import duckdb
+import pytest
+from quillon.llm import ctw, decontam, fixity, jaccard, langid, media, mixing, pii, repeats, viterbi
+from quillon.llm.blocks import remainder
+from quillon.session import saved
+
+FOLDER = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, tokens string, block int, key string"
+LONG = " ".join(f"w{i % 997} alpha{i % 13}" for i in range(6000))
+TEXTS = ["", None, "   \n\t ", "one two three", "One TWO three", LONG, LONG + " more", "a" * 350, "7 8 9 !!", "été à la plage avec l'ami", LONG[:900], LONG[:900] + " tail " + LONG[:300]]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls, empty, short, long and equal texts, and columns whose names clash with those inside."""
+    rows = [(i, t, ["en", None, "fr"][i % 3], ["s", None, ""][i % 3], None, i, "x", 1, None) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, (None, "no id", None, None, None, 0, "", 0, "")], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+def texts_of(df):
+    return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# -- language identification
+def test_language_held_out(docs):
+    got = langid.languages(docs, remainder("doc_id", 4) != 2).join(docs.select("doc_id", "lang"), "doc_id").filter(remainder("doc_id", 4) == 2).collect()
+    assert len(got) > 20 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
+
+
+def test_language_edges(awkward, empty):
+    got = by_id(langid.languages(awkward, remainder("doc_id", 4) != 2))
+    assert len(got) == len(TEXTS) + 1
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert {got[i].lang_pred for i in (0, 1, 2, 8)} == {"und"} and got[5].lang_pred in ("en", "fr")
+    assert langid.languages(empty, remainder("doc_id", 4) != 2).count() == 0
+
+
+# -- language-model scoring
+def test_lm_base_and_normalisation(docs):
+    got = by_id(ctw.lm_scores(docs, remainder("doc_id", 7) != 2))
+    text = texts_of(docs)
+    tok = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    count = collections.Counter(x for i, t in text.items() if zlib.crc32(str(i).encode()) % 7 != 2 for x in tok(t))
+    n, v = sum(count.values()), len(count)
+    for i, t in text.items():
+        assert got[i].base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in tok(t)), abs=1e-6)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tok(t)), sum(count[x] > 0 for x in tok(t)), n)
+
+
+def test_lm_edges(awkward, empty):
+    got = by_id(ctw.lm_scores(awkward, remainder("doc_id", 7) != 2))
+    assert len(got) == len(TEXTS) + 1 and got[0].n_tokens == got[1].n_tokens == got[2].n_tokens == 1
+    assert got[3].score == pytest.approx(got[4].score) and all(r.score < 0 for r in got.values())
+    assert ctw.lm_scores(empty, remainder("doc_id", 7) != 2).count() == 0
+
+
+def test_tree_is_a_mixture_over_all_depths():
+    """Against a direct recursion over the context tree of a short string, and rows that sum to 1."""
+    import numpy as np
+
+    data, at, _ = ctw.stream([[b"abracadabra", b"abba"]], 2)
+    codes, n = np.unique(ctw.grams(data, at, 2), return_counts=True)
+    counts = []
+    for d in range(3):
+        tally = collections.defaultdict(lambda: np.zeros(256))
+        for c, k in zip(codes, n):
+            tally[(int(c) >> 8) & ((1 << 8 * d) - 1)][int(c) & 255] += k
+        keys = sorted(tally)
+        counts.append((np.array(keys, np.int64), np.stack([tally[k] for k in keys])))
+    tree = ctw.Tree(2, counts)
+    assert np.allclose((2.0 ** tree.costs.astype(float)).sum(1), 1, atol=0.02)
+
+    def block(c):
+        a, b = c
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def first_bit(d, key):
+        c = counts[d][1][list(counts[d][0]).index(key)]
+        return c[:128].sum(), c[128:].sum()
+
+    def weighted(d, key):
+        e = block(first_bit(d, key))
+        if d == 2:
+            return e
+        down = sum(weighted(d + 1, int(k)) for k in counts[d + 1][0] if int(k) & ((1 << 8 * d) - 1) == key)
+        return np.logaddexp(e, down) - math.log(2)
+
+    def predict(d, context):
+        key = context & ((1 << 8 * d) - 1)
+        a, b = first_bit(d, key)
+        p = (a + 0.5) / (a + b + 1)
+        if d == 2:
+            return p
+        w = math.exp(block((a, b)) - math.log(2) - weighted(d, key))
+        return w * p + (1 - w) * predict(d + 1, context)
+
+    context = int.from_bytes(b"br", "big")
+    row = tree.first[2] + list(counts[2][0]).index(context)
+    assert (2.0 ** tree.costs[row].astype(float))[:128].sum() == pytest.approx(predict(0, context), abs=0.01)
+
+
+# -- near duplicates
+def brute_links(text):
+    sets = {}
+    for i, t in text.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    parent, links = {i: i for i in sets}, collections.Counter()
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                links[a] += 1
+                links[b] += 1
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i), links[i]) for i in ids}
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_jaccard(docs, block):
+    got = by_id(jaccard.jaccard_links(docs, block=block))
+    assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == brute_links(texts_of(docs))
+
+
+def test_jaccard_near_group_in_blocks(spark):
+    base = [f"word{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:70] + [f"x{i}", f"y{i}"])) for i in range(40)] + [(100 + i, f"lone{i} a b c d e f g {i}") for i in range(5)]
+    text = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (7, 1024):
+        got = by_id(jaccard.jaccard_links(df, block=block))
+        assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == brute_links(text)
+
+
+def test_jaccard_edges(awkward, empty):
+    got = by_id(jaccard.jaccard_links(awkward))
+    text = {i: t for i, t in enumerate(TEXTS)}
+    assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == brute_links(text)
+    assert jaccard.jaccard_links(empty).count() == 0
+
+
+def test_packed_round_trip():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for docs in (np.arange(5), np.array([3, 1 << 50, 7, 8, 9]), np.repeat(np.arange(3), 400)):
+        tokens = np.sort(rng.integers(0, 1 << 48, len(docs)).astype(np.uint64))
+        a, b = jaccard.unpacked(jaccard.packed(tokens, docs))
+        assert (a == tokens).all() and (b == docs).all()
+
+
+# -- repeated strings
+def brute_repeats(text, window):
+    seen, out = set(), {}
+    for i in sorted(text):
+        b = (text[i] or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - window + 1):
+            w = b[s : s + window]
+            if w in seen:
+                gone[s : s + window] = b"\1" * window
+            seen.add(w)
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = sum(1 for j in range(len(gone)) if gone[j] and not (j and gone[j - 1]))
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def removed(df):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect() if r.doc_id is not None}
+
+
+def test_repeats(docs, awkward, empty):
+    assert removed(repeats.repeated_spans(docs)) == brute_repeats(texts_of(docs), 100)
+    assert removed(repeats.repeated_spans(awkward)) == brute_repeats(dict(enumerate(TEXTS)), 100)
+    assert repeats.repeated_spans(empty).count() == 0
+
+
+def test_repeats_periodic_and_edges(spark):
+    text = {1: "ab" * 90 + "c", 2: "x" + "ab" * 60, 3: "line of text shared by all " * 6, 4: "zz" + "line of text shared by all " * 5, 5: "q" * 99, 6: "q" * 100, 7: "q" * 101}
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(4)
+    assert removed(repeats.repeated_spans(df)) == brute_repeats(text, 100)
+
+
+# -- personal data
+def test_pii(spark, awkward, empty):
+    text = (
+        "mail a.b@c.de, x@y.z_w@q.rs ip 10.0.0.1 300.1.1.1 1.2.3.4.5.6.7.8 card 4111 1111 1111 1111 and 4111111111111112, +1 (555) 010-9999; "
+        "iban DE89 3704 0044 0532 0130 00 password=deadbeefdeadbeef ssn 123-45-6789 éé b@c.com"
+    )
+    got = pii.with_spans(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
+    found = [(s.kind, text[s.start : s.end]) for s in got[0].spans]
+    assert found == [
+        ("email", "a.b@c.de"), ("email", "x@y.z"), ("email", "_w@q.rs"), ("email", "b@c.com"), ("ip", "10.0.0.1"), ("ip", "1.2.3.4"), ("ip", "5.6.7.8"), ("card", "4111 1111 1111 1111"),
+        ("phone", "+1 (555) 010-9999"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789"), ("secret", "deadbeefdeadbeef"),
+    ]
+    assert got[1].spans == []
+    clean = pii.masked(pii.with_spans(spark.createDataFrame([(1, "to a@b.cd now"), (2, "none")], "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert [r.text for r in clean] == ["to [EMAIL] now", "none"]
+    assert pii.with_spans(awkward).count() == len(TEXTS) + 1 and pii.with_spans(empty).count() == 0
+
+
+def test_pii_base_against_regex(docs):
+    def luhn(d):
+        return sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    for r in pii.with_spans(docs).collect():
+        want = [(k, m.start(), m.end()) for k, q, ok in kinds for m in re.finditer(q, r.text or "") if ok(m.group())]
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.BASE] == want
+
+
+def test_pii_long_runs(spark):
+    text = "5" * 20_000 + " " + "a" * 20_000 + "@" + "1." * 5_000
+    assert pii.with_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans is not None
+
+
+# -- mixing
+def test_mixing_matches_sql(spark, awkward, docs):
+    for name, df in (("awkward", awkward.filter("doc_id is not null")), ("docs", docs)):
+        c = duckdb.connect()
+        c.register("documents", df.select("doc_id", "text", "source").toPandas())
+        want = c.execute(mixing.MIXING_SQL.replace("@docs", "documents")).fetchdf()
+        got = mixing.mixture(df).toPandas()
+        key = lambda d: sorted(map(tuple, d[sorted(d.columns)].round(9).astype(str).values))
+        assert key(got) == key(want), name
+
+
+def test_mixing_limits(spark, empty):
+    rows = [(i, "w " * 10, "big" if i < 900 else "small") for i in range(910)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), target=0.9, repeats=4.0).toPandas()
+    assert got[got.source == "small"].copies.max() <= 4 and (got[got.source == "small"].copies >= 3).all()
+    assert abs((got.copies * got.n_tokens).sum() - 9100) <= 40
+    assert mixing.mixture(empty).count() == 0
+
+
+# -- token counts
+def test_token_counts_against_tokenizer(docs, awkward, empty):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = viterbi.vocabulary(viterbi.VOCABULARY)
+    ours = Tokenizer(models.Unigram([("<unk>", 0.0)] + [(f"<0x{i:02X}>", 0.0) for i in range(256)] + vocabulary, unk_id=0, byte_fallback=True))
+    ours.pre_tokenizer = pre_tokenizers.Metaspace(replacement=viterbi.SPACE, prepend_scheme="always", split=True)
+    for df in (docs, awkward):
+        for r in viterbi.token_counts(df).join(df.select("doc_id", "text"), "doc_id").collect():
+            assert r.n_tokens == (len(ours.encode(r.text, add_special_tokens=False).ids) if r.text else 0)
+    assert viterbi.token_counts(empty).count() == 0
+
+
+# -- fixity
+def test_warc_round_trip(spark, tmp_path):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    records = fixity.warc_records(pages)
+    fixity.write_warc(records, str(tmp_path / "w"))
+    back = fixity.read_warc(spark, str(tmp_path / "w")).collect()
+    want = {(r.start, r.end) for r in records.collect()}
+    assert {(r.start, r.end) for r in back} == want
+    assert sorted(r.block.decode() for r in back) == sorted(r.html for r in pages.collect())
+
+
+def test_fixity(spark):
+    got = {r.page_id: r.state for r in fixity.op8_fixity(spark, FOLDER).collect()}
+    rule = lambda i: "lost" if i % 389 == 11 else "changed" if i % 97 == 13 or i % 193 == 7 else "ok"
+    assert got == {i: rule(i) for i in got} and len(got) == 50
+    pages = spark.createDataFrame([(1, None, None), (None, "u", "h"), (1, "b", "x"), (1 << 20, "u", "h" * 100_000)], "page_id long, url string, html string")
+    leaf = saved(fixity.leaves(fixity.warc_records(pages)), "leaves")
+    levels = fixity.height(leaf)
+    nodes = saved(fixity.tree(leaf, levels), "tree")
+    assert leaf.count() == 2 and nodes.filter(f"level = {levels}").count() == 1
+    assert fixity.audit(nodes, nodes, levels).count() == 0
+
+
+# -- media
+def test_media(spark, awkward):
+    df = awkward.filter("doc_id is not null")
+    for t in TEXTS:
+        data = media.payload((t or "").encode())
+        assert len(data) % 64 == 0 and data and media.loaded(media.stored(data)) == data
+    store = {(r.digest, r.n_bytes): r for r in media.text_media(df).collect()}
+    for t in TEXTS:
+        data = media.payload((t or "").encode())
+        r = store[hashlib.sha256(data).hexdigest(), len((t or "").encode())]
+        assert (r.payload_bytes, r.tail_crc32, r.media_sha256) == (len(data), zlib.crc32(data[-64:]), hashlib.sha256(media.stored(data)).hexdigest())
+
+
+def test_sequences_stay_aligned(spark):
+    html = "<p>a<b>b</b></p><figure><img src='sha256:1' alt='x'><figcaption>cap one</figcaption></figure>mid<script>no</script><img src='sha256:2'><p>end"
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    store = spark.createDataFrame([("2", 5)], "digest string, size int")
+    got = {r.page_id: r.parts for r in media.resolved(media.sequences(pages), store).collect()}
+    assert [(p.kind, p.text, p.ref, p.caption, p.media and p.media.size) for p in got[1]] == [
+        ("text", "ab", None, None, None), ("image", None, "sha256:1", "cap one", None), ("text", "mid", None, None, None), ("image", None, "sha256:2", None, 5), ("text", "end", None, None, None),
+    ]
+    assert got[2] == got[3] == []
+
+
+# -- decontamination
+def test_decontamination(spark, docs, awkward, empty):
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    norm = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
+    asked = [norm(r.text) for r in items.collect()]
+    want = {i for i, t in texts_of(docs).items() if any(q in norm(t) for q in asked)}
+    got = {r.doc_id for r in decontam.contaminated(docs, items).filter("contaminated").collect()}
+    assert want <= got and len(got - want) <= 1
+    assert decontam.contaminated(awkward, items).filter("contaminated").count() == 0
+    assert decontam.contaminated(empty, items).count() == 0
+    assert decontam.contaminated(docs, items.limit(0)).filter("contaminated").count() == 0
+
+
+def test_common_subsequence():
+    a, b = b"the cat sat on the mat".split(), b"a cat was on some mat the".split()
+    assert decontam.common(decontam.masks(a), len(a), b) == 3
+
+
+# -- pipeline
+def test_pipeline(spark, docs):
+    import corpus_pipeline as p
+
+    got = by_id(p.run(spark, FOLDER))
+    text = texts_of(docs)
+    groups = {i: c for i, (_, c, _) in brute_links(text).items()}
+    items = [" ".join(re.findall(r"\w+", r.text.lower())) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    norm = {i: " ".join(re.findall(r"\w+", t.lower())) for i, t in text.items()}
+    left = {i for i in text if groups[i] == i and not any(q in norm[i] for q in items)}
+    assert set(got) <= left and len(got) > 0.9 * len(left)
+    assert all("@" not in r.text or not re.search(r"[a-z]+@[a-z]+\.[a-z]+", r.text) for r in got.values())
+    assert [n for n, _ in p.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "mixing"]
