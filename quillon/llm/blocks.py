@@ -21,6 +21,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def salted_join(rows: DataFrame, held: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Each of rows with the one row that held has for its keys (left join), where one key may have any share of rows.
+
+    Rows are split by a hash of column `by`; held's row goes once to every part that a key has. rows is read
+    twice, so it should be a written table.
+    """
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(partitions(rows.sparkSession))))
+    spread = rows.select(*keys, "_part").distinct().join(held, keys)
+    return rows.join(spread, [*keys, "_part"], "left").drop("_part")
+
+
 def remainder(key: str, n: int):
     """crc32 of the key's text form, modulo n."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n

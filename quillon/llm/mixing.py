@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from quillon.llm.blocks import partitions
+from quillon.llm.blocks import partitions, salted_join
 from quillon.session import saved
 
 ENTROPY, REPEATS, STEPS, SEED = 0.95, 4.0, 40, "mix-1"
@@ -72,8 +72,8 @@ def mixture(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS,
         .withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(0))
         .select("source", "weight", F.ceil(F.sqrt("n")).alias("blocks"), "whole", (F.col("quota") - F.col("whole") * F.col("tokens")).alias("rest"), (F.col("tokens") > 0).alias("live"))
     )
-    dealt = rows.join(plan, "source").withColumn("block", F.expr("shiftright(place * blocks, 32)"))
-    dealt = dealt.repartition(partitions(docs.sparkSession), "source", "block")  # else the windows inherit the join's split by source alone
+    dealt = salted_join(rows, plan, ["source"], "place").withColumn("block", F.expr("shiftright(place * blocks, 32)"))
+    dealt = dealt.repartition(partitions(docs.sparkSession), "source", "block")
     blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"))
     before = blocks.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
     inside = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
