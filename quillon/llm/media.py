@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quillon.llm.blocks import pieces
+from quillon.llm.blocks import pieces, salted_join
+from quillon.session import saved
 
 RATE, UNIT = 8000, 64
 HIDDEN = {"script", "style", "template", "noscript"}
@@ -104,7 +105,9 @@ def resolved(found: DataFrame, store: DataFrame, key: str = "page_id") -> DataFr
     """key and parts with `media`, the store's row for a reference `sha256:<digest>`; null where there is none."""
     rows = found.select(key, F.explode_outer("parts").alias("part")).withColumn("digest", F.when(F.col("part.ref").startswith("sha256:"), F.substring("part.ref", 8, 64)))
     held = store.select("digest", F.struct(*(c for c in store.columns if c != "digest")).alias("media"))
-    both = rows.join(held, "digest", "left")
+    rows = saved(rows, "parts")
+    # parts without a reference need no partner, and would meet in one task
+    both = salted_join(rows.filter("digest is not null"), held, ["digest"], key).unionByName(rows.filter("digest is null"), allowMissingColumns=True)
     part = F.struct("part.pos", "part.kind", "part.text", "part.ref", "part.caption", "media")
     return both.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), part)), lambda a, b: a["pos"] - b["pos"]).alias("parts"))
 
@@ -172,4 +175,4 @@ def op9_media(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     refs = sequences(text_pages(docs), "doc_id").select("doc_id", F.explode("parts").alias("part"))
     refs = refs.select("doc_id", F.substring("part.ref", 8, 64).alias("digest"), F.col("part.caption").cast("long").alias("n_bytes"))
-    return refs.join(text_media(docs), ["digest", "n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return salted_join(saved(refs, "references"), text_media(docs), ["digest", "n_bytes"], "doc_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
