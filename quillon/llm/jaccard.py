@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quillon.llm.blocks import components, mixed, partitions, pieces
+from quillon.llm.blocks import components, mixed, partitions, pieces, salted_join
 from quillon.session import saved
 
 WORDS, PERCENT, BLOCK, LONGEST = 5, 75, 1024, 16
@@ -249,9 +249,9 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, b
     spark = docs.sparkSession
     parts = min(partitions(spark), 32768)
     docs = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = docs.groupBy("doc_id").agg(F.min(F.md5(F.col("text").cast("binary"))).alias("digest"))
-    groups = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    members = saved(keyed.join(groups, "digest").select("doc_id", "rep", "copies", "digest"), "members")
+    keyed = saved(docs.groupBy("doc_id").agg(F.min(F.md5(F.col("text").cast("binary"))).alias("digest")), "digests")
+    groups = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+    members = saved(salted_join(keyed, groups, ["digest"], "doc_id").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
     others = members.filter("doc_id <> rep").select("doc_id")
     texts = docs.join(others, "doc_id", "left_anti")
     blocks = texts.mapInArrow(dealt(parts, width), "bucket int, sizes boolean, blob binary").repartitionById(parts, "bucket")
@@ -273,8 +273,9 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, b
     split = components(found.filter("not whole and root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.first("whole").alias("whole"))
     linked = linked.join(split, linked.doc_id == split.id, "left").select(F.col("doc_id").alias("rep"), "links", F.when(F.col("whole"), F.col("root")).otherwise(F.coalesce("component", "doc_id")).alias("class"))
-    sizes = profile.select(F.col("doc_id").alias("rep"), "n").join(linked, "rep", "left")
-    return members.join(sizes, "rep", "left").select(
+    sizes = saved(profile.select(F.col("doc_id").alias("rep"), "n").join(linked, "rep", "left"), "classes")
+    single = members.filter("doc_id = rep").join(sizes, "rep", "left")
+    return single.unionByName(salted_join(members.filter("doc_id <> rep"), sizes, ["rep"], "doc_id")).select(
         "doc_id",
         F.coalesce("n", F.lit(0)).alias("n_shingles"),
         F.when(F.coalesce("n", F.lit(0)) == 0, F.col("doc_id")).otherwise(F.coalesce("class", "rep")).alias("component_id"),
