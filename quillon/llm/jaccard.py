@@ -262,9 +262,10 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, b
     leaders = posts.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("df")).filter("df > 1")
     coarse = components(posts.join(leaders, "token").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct())
     group_sizes = coarse.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # where a document goes is settled on ids alone; its shingles then move once to meet that, and once to their blocks
+    places = salted_join(coarse.withColumnRenamed("id", "doc_id"), group_sizes, ["component"], "doc_id").join(members.filter("doc_id = rep").select("doc_id", "copies"), "doc_id")
     placed = (
-        ordered.join(coarse.withColumnRenamed("id", "doc_id"), "doc_id").join(group_sizes, "component")
-        .join(members.filter("doc_id = rep").select("doc_id", "copies"), "doc_id")
+        ordered.join(places, "doc_id")
         .withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
