@@ -2,7 +2,9 @@
 
 Two documents link when their sets of five-word shingles have a Jaccard similarity of 0.75 or more.
 
-1. Byte-identical texts are collapsed to the smallest doc_id; only that one is compared.
+1. Byte-identical texts are collapsed to the smallest doc_id; only that one is compared. The texts are not
+   shuffled for this: a run of a task reads each text once, and copies that are left from other runs go by
+   their id, when the shingles of a document meet.
 2. Shingle hashes are dealt to tasks by value, in sorted delta-coded blocks. A task sees every holder
    of a shingle, so document frequencies are exact; shingles of one document can match nothing and
    leave the data here, though they still count as the rarest places of their document's order.
@@ -89,9 +91,15 @@ def dealt(parts: int, width: int, most: int = 3_000_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, owners, held = [], [], 0
+        place: dict[bytes, int] = {}  # of each text of the run
+        least: list[int] = []  # the smallest id of each
+        sizes: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            value, owner = np.concatenate(values), np.concatenate(owners)
+            ids = np.array(least, np.int64)
+            found = np.stack([ids, np.concatenate(sizes)])
+            yield pa.record_batch([pa.array([int(ids[0]) % parts], pa.int32()), pa.array([True]), pa.array([found.astype(np.int64).tobytes()], pa.binary())], ["bucket", "sizes", "blob"])
+            value, owner = np.concatenate(values), ids[np.concatenate(owners)]
             bucket = ((value >> np.uint64(49)) * np.uint64(parts) >> np.uint64(15)).astype(np.int64)
             low = value & LOW
             order = np.lexsort((low, bucket))
@@ -99,19 +107,26 @@ def dealt(parts: int, width: int, most: int = 3_000_000):
             cuts = np.searchsorted(bucket, np.arange(parts + 1))
             for i in range(0, parts, 64):
                 some = [b for b in range(i, min(parts, i + 64)) if cuts[b + 1] > cuts[b]]
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([False] * len(some)), pa.array([packed(low[cuts[b] : cuts[b + 1]], owner[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())], ["bucket", "sizes", "blob"])
+                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([False] * len(some), pa.bool_()), pa.array([packed(low[cuts[b] : cuts[b + 1]], owner[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())], ["bucket", "sizes", "blob"])
 
         for keys, texts in pieces(batches, "text", "doc_id", 2 << 20):
-            doc, value = shingles(texts, width)
-            ids = np.array(keys, np.int64)
+            fresh, start = [], len(least)
+            for k, t in zip(keys, texts):
+                i = place.setdefault(xxhash.xxh3_128_digest(t), len(least))
+                if i == len(least):
+                    least.append(k)
+                    fresh.append(t)
+                else:
+                    least[i] = min(least[i], k)
+            doc, value = shingles(fresh, width)
             values.append(value)
-            owners.append(ids[doc])
-            held += len(doc)
-            sizes = np.stack([ids, np.bincount(doc, minlength=len(ids))])
-            yield pa.record_batch([pa.array([int(ids[0]) % parts], pa.int32()), pa.array([True]), pa.array([sizes.astype(np.int64).tobytes()], pa.binary())], ["bucket", "sizes", "blob"])
+            owners.append(doc + start)
+            sizes.append(np.bincount(doc, minlength=len(fresh)))
+            held += len(doc) + 8 * len(fresh)
             if held >= most:
                 yield from flush()
                 values, owners, held = [], [], 0
+                place.clear(), least.clear(), sizes.clear()
         if held:
             yield from flush()
 
@@ -144,8 +159,10 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     token, doc = np.concatenate(tokens), np.concatenate(docs)
     del tokens, docs
-    order = np.argsort(token, kind="stable")
+    order = np.lexsort((doc, token))
     token, doc = token[order], doc[order]
+    once = np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])]  # a repeated row counts once
+    token, doc = token[once], doc[once]
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     df = np.repeat(np.diff(np.r_[first, len(token)]), np.diff(np.r_[first, len(token)]))
     many = df > 1
@@ -243,20 +260,29 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, b
 
     n_links counts the documents linked directly, copies of itself included. Null or empty text, and
     text of white space only, has an empty set and links with nothing. Rows with a null doc_id are
-    left out; rows that repeat a doc_id count once (the text then is the least one). Other columns are
+    left out; rows that repeat a doc_id count once (of several texts, the one with the least MD5). Other columns are
     ignored. Shingles are compared by 48 bits of a hash plus the task they were dealt to.
     """
     spark = docs.sparkSession
     parts = min(partitions(spark), 32768)
     docs = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = saved(docs.groupBy("doc_id").agg(F.min(F.md5(F.col("text").cast("binary"))).alias("digest")), "digests")
+    digest = F.md5(F.col("text").cast("binary"))
+    keyed = saved(docs.groupBy("doc_id").agg(F.min(digest).alias("digest"), F.max(digest).alias("high")), "digests")
+    if not keyed.filter("digest <> high").isEmpty():  # an id with several texts: only the one with the least digest counts
+        docs = docs.join(keyed.select("doc_id", "digest"), "doc_id").filter(digest == F.col("digest")).select("doc_id", "text")
+    keyed = keyed.drop("high")
     groups = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
     members = saved(salted_join(keyed, groups, ["digest"], "doc_id").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
-    others = members.filter("doc_id <> rep").select("doc_id")
-    texts = docs.join(others, "doc_id", "left_anti")
-    blocks = texts.mapInArrow(dealt(parts, width), "bucket int, sizes boolean, blob binary").repartitionById(parts, "bucket")
+    blocks = docs.mapInArrow(dealt(parts, width), "bucket int, sizes boolean, blob binary").repartitionById(parts, "bucket")
     rows = blocks.mapInArrow(shared, "doc_id long, n long, tokens array<long>, dfs array<int>")
-    profile = saved(rows.groupBy("doc_id").agg(F.max("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs")), "profiles")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("tokens", "array<long>"), ("dfs", "array<int>"))]
+    copied = members.filter("doc_id <> rep").select("doc_id", *none, F.lit(True).alias("copied"))
+    profile = saved(
+        rows.withColumn("copied", F.lit(False)).unionByName(copied).groupBy("doc_id")
+        .agg(F.max("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"), F.max("copied").alias("copied"))
+        .filter("not copied").drop("copied"),
+        "profiles",
+    )
     ordered = saved(profile.filter("size(tokens) > 0").mapInArrow(prefixes(percent, longest), "doc_id long, n long, tokens array<long>, level int, size int"), "prefixes")
     posts = ordered.select("doc_id", F.explode(F.slice("tokens", 1, F.col("size"))).alias("token"))
     leaders = posts.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("df")).filter("df > 1")

@@ -162,6 +162,17 @@ def test_jaccard_near_group_in_blocks(spark):
         assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == brute_links(text)
 
 
+def test_jaccard_copies_apart_and_repeated_rows(spark):
+    """Copies that different tasks read, rows that repeat, and an id with two texts of which the least digest counts."""
+    base = [" ".join(f"t{g}w{i}" for i in range(60)) for g in range(4)]
+    rows = [(7 * i + 3, base[i % 4] + (" end" if i % 5 == 0 else "")) for i in range(120)] + [(5000 + i, f"alone {i} " * 9) for i in range(20)]
+    two = sorted([base[0], "another text of its own with words enough"], key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    df = spark.createDataFrame([*rows, *rows[:30], (9000, two[0]), (9000, two[1]), (9001, "")], "doc_id long, text string").repartition(7)
+    plain = spark.createDataFrame([*rows, (9000, two[0]), (9001, "")], "doc_id long, text string")
+    got = by_id(jaccard.jaccard_links(df))
+    assert {k: (r.n_shingles, r.component_id, r.n_links) for k, r in got.items()} == brute_links(texts_of(plain))
+
+
 def test_jaccard_edges(awkward, empty):
     got = by_id(jaccard.jaccard_links(awkward))
     text = {i: t for i, t in enumerate(TEXTS)}
