@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from quillon.llm.blocks import pieces
 
-TERM_BITS, RANK, HALF = 13, 224, 32
+TERM_BITS, RANK, HALF = 14, 256, 32
 FIT_DOCS, FIT_ITEMS, FIT_PARTS, SEED = 1000, 2000, 4, 7
 COSINE, COVER, ANSWER_COVER, ANSWER_SHARE = 0.25, 0.7, 0.55, 0.8
 ITEM_BLOCK = 4096
+SLICE, SLICES = 512, "slice long, n long, sum binary"
 # ASCII punctuation and controls part words; letters of other scripts are bytes of their own.
 PARTING = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 
@@ -101,11 +102,14 @@ def fit(sample: DataFrame, items: list[bytes], idf: np.ndarray, rank: int) -> np
                 rows = [passages(term_array(w, terms), weights) for t in texts if (w := words_of(t))]
                 n += sum(len(r[1]) for r in rows)
                 total += times(rows, m)
-            yield pa.record_batch([pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["n", "sum"])
+            for i in range(0, len(total), SLICE):
+                yield pa.record_batch([pa.array([i // SLICE]), pa.array([n if i == 0 else 0]), pa.array([total[i : i + SLICE].tobytes()], pa.binary())], ["slice", "n", "sum"])
 
         total, n = np.zeros_like(matrix), 0
-        for r in sample.mapInArrow(run, "n long, sum binary").toLocalIterator():
-            total += np.frombuffer(r["sum"], np.float32).reshape(matrix.shape)
+        # slices are summed where they meet, so that the driver gets the matrix once and in small parts
+        parts = sample.mapInArrow(run, SLICES).repartition(-(-len(matrix) // SLICE), "slice").mapInArrow(slices_added, SLICES)
+        for r in parts.toLocalIterator():
+            total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["sum"], np.float32).reshape(-1, matrix.shape[1])
             n += r["n"]
         shared.destroy()
         return total + times(own, matrix) * (max(1.0, n / max(1, len(own))))
@@ -117,6 +121,17 @@ def fit(sample: DataFrame, items: list[bytes], idf: np.ndarray, rank: int) -> np
     return (y @ vector[:, value > 1e-6 * max(value.max(), 1e-12)][:, ::-1]).astype(np.float32)
 
 
+def slices_added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the slices of a task by their number."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for k, n, b in zip(*(batch.column(c).to_pylist() for c in ("slice", "n", "sum"))):
+            part = np.frombuffer(b, np.float32)
+            sums[k] = [n + sums[k][0], part + sums[k][1]] if k in sums else [n, part]
+    for k, (n, part) in sums.items():
+        yield pa.record_batch([pa.array([k]), pa.array([n]), pa.array([part.tobytes()], pa.binary())], ["slice", "n", "sum"])
+
+
 def masks(words: list[bytes]) -> dict[bytes, int]:
     out: dict[bytes, int] = {}
     for i, w in enumerate(words):
