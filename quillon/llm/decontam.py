@@ -9,7 +9,10 @@ half a passage on either side, covers enough of the item, or covers less but hol
 words of its last sentence.
 
 The index (the latent space) is fitted on passages of a bounded sample of documents and on the benchmark;
-everything else covers all rows.
+everything else covers all rows. The space has a fixed rank, so the cosine of a copy falls as the benchmark grows. It
+is therefore not the only way to a candidate: an item also is one wherever the words around a passage could cover
+enough of it, which no item that passes the comparison can miss, as a common subsequence is never longer than the
+words in common. Items that a document's words cannot cover are not looked at in that document.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from quillon.llm.blocks import pieces
 
 TERM_BITS, RANK, HALF = 14, 256, 32
-FIT_DOCS, FIT_ITEMS, FIT_PARTS, SEED = 1000, 2000, 4, 7
+FIT_DOCS, FIT_PARTS, SEED = 1000, 4, 7
 COSINE, COVER, ANSWER_COVER, ANSWER_SHARE = 0.25, 0.7, 0.55, 0.8
 ITEM_BLOCK = 4096
 SLICE, SLICES = 512, "slice long, n long, sum binary"
@@ -155,15 +158,53 @@ def answer(text: bytes) -> set[bytes]:
     return set(parts[-1]) if parts else set()
 
 
+def around(words: list[bytes], p: int, size: int) -> list[bytes]:
+    """The words that an item of `size` words is compared with for passage p."""
+    return words[max(0, (p - 1) * HALF) : (p + 3) * HALF]
+
+
+class Held:
+    """How much of each item the words at hand could cover at most, by terms: an upper bound of the common subsequence."""
+
+    def __init__(self, item_words: list[list[bytes]], least: float):
+        terms = Terms()
+        self.rows = [np.unique(term_array(w, terms), return_counts=True) for w in item_words]
+        self.need = np.array([least * len(w) - 1e-9 for w in item_words])
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.rows)])
+        item = np.repeat(np.arange(len(self.rows)), [len(t) for t, _ in self.rows])
+        count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in self.rows)])
+        order = np.argsort(term, kind="stable")
+        self.item, self.count = item[order], count[order]
+        self.start = np.searchsorted(term[order], np.arange((1 << TERM_BITS) + 1))
+
+    def items(self, own: np.ndarray) -> np.ndarray:
+        """Items that the terms of a document can cover."""
+        size = self.start[own + 1] - self.start[own]
+        at = np.repeat(self.start[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.flatnonzero(np.bincount(self.item[at], self.count[at], len(self.need)) >= self.need)
+
+    def places(self, own: np.ndarray, rows: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """For each passage, whether it with half a passage on either side can cover each of items."""
+        there = (rows > 0).astype(np.float32)
+        wide = there.copy()
+        wide[1:] = np.maximum(wide[1:], there[:-1])
+        wide[:-1] = np.maximum(wide[:-1], there[1:])
+        counts = np.zeros((len(own), len(items)), np.float32)
+        for k, i in enumerate(items):
+            term, count = self.rows[i]
+            at = np.minimum(np.searchsorted(own, term), len(own) - 1)
+            good = own[at] == term
+            counts[at[good], k] = count[good]
+        return wide @ counts >= self.need[items]
+
+
 def searched(model, limits: tuple[float, float, float, float]):
     cosine, cover, answer_cover, answer_share = limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis, idf, ids, texts_, latent = model.value
         terms, item_words = Terms(), [words_of(t) for t in texts_]
-        # with fewer items than directions, terms go straight to items
-        fold = len(ids) <= basis.shape[1]
-        matrix = basis @ latent.T if fold else basis
+        held = Held(item_words, min(cover, answer_cover))
         ready: dict[int, tuple] = {}
         for keys, texts in pieces(batches, "text", "doc_id", 1 << 20):
             out = []
@@ -171,27 +212,30 @@ def searched(model, limits: tuple[float, float, float, float]):
                 words = words_of(raw)
                 best = (0.0, 0.0, None)
                 hits = 0
-                if words and len(ids):
-                    own, rows = passages(term_array(words, terms), idf)
-                    near = rows @ matrix[own]
-                    if not fold:
-                        near = near @ latent.T
-                    seen: dict[int, list] = {}
-                    for p, i in np.argwhere(near >= cosine):
-                        seen.setdefault(int(i), []).append(int(p))
-                    for i, at in seen.items():
+                t = term_array(words, terms)
+                items = held.items(np.unique(t)) if words and len(ids) else ()
+                if len(items):
+                    own, rows = passages(t, idf)
+                    seen: dict[int, tuple] = {}
+                    for j in range(0, len(items), 512):
+                        some = items[j : j + 512]
+                        near = rows @ (basis[own] @ latent[some].T) if len(some) < len(rows) else (rows @ basis[own]) @ latent[some].T
+                        good = held.places(own, rows, some) | (near >= cosine)
+                        for k in np.flatnonzero(good.any(0)):
+                            at = np.flatnonzero(good[:, k])
+                            seen[int(some[k])] = at.tolist(), float(near[at, k].max())
+                    for i, (at, close) in seen.items():
                         if i not in ready:
                             ready[i] = masks(item_words[i]), len(item_words[i]), answer(texts_[i])
                         mask, size, final = ready[i]
                         top = 0.0
                         for p in at:
-                            window = words[max(0, (p - 1) * HALF) : (p + 3) * HALF]
+                            window = around(words, p, size)
                             share = common(mask, size, window) / size
                             if share >= cover or share >= answer_cover and len(final & set(window)) >= answer_share * len(final):
                                 top = max(top, share)
                         if top:
                             hits += 1
-                            close = float(near[at, i].max())
                             best = max(best, (top, close, -ids[i]), key=lambda b: (b[0], b[2] if b[2] is not None else -(1 << 62)))
                 out.append((key, hits > 0, None if best[2] is None else -best[2], hits, round(best[0], 6), round(best[1], 4)))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "contaminated", "item_id", "n_items", "lcs_share", "cosine"])
@@ -204,7 +248,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_do
 
     Returns doc_id, contaminated, item_id (of the item covered most, the least id among equals; null if none),
     n_items, lcs_share, cosine. Null and wordless texts are clean, and so are null or wordless items. Rows
-    repeat as they come; other columns are ignored. Items are taken 4096 at a time, each time against all rows.
+    repeat as they come; other columns are ignored. Items are taken 4096 at a time, each time
+    against all rows and in a space fitted on them.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -218,13 +263,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_do
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.01)
     asked = benchmark.filter("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id").toLocalIterator()
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // fit_docs))) == 0
-    basis, found, block = None, None, []
+    found, block = None, []
 
     def search(block: list) -> DataFrame:
-        nonlocal basis
         rows = [(i, t.encode()) for i, t in block if t and words_of(t.encode())]
-        if basis is None:
-            basis = fit(texts.filter(chosen), [t for _, t in rows[:FIT_ITEMS]], idf, rank)
+        basis = fit(texts.filter(chosen), [t for _, t in rows], idf, rank)
         terms = Terms()
         latent = np.zeros((len(rows), basis.shape[1]), np.float32)
         for k, (_, t) in enumerate(rows):
