@@ -4,8 +4,8 @@ Documents are cut into passages of 64 words, a new one every 32. Passages are TF
 document frequencies cover all documents. A distributed randomised SVD of passages (a random range, taken
 through A'A once and then held against A'A, each step a sum of matrices made where the passages are) gives the latent space. Every passage
 of every document is projected and compared by cosine with every benchmark item; pairs above the threshold are
-candidates. A candidate counts if the longest common subsequence of words of the item and the passage, with
-half a passage on either side, covers enough of the item, or covers less but holds the item's answer: the
+candidates. A candidate counts if the longest common subsequence of words of the item and the passage, with as many
+words on either side as the item has (in whole half passages), covers enough of the item, or covers less but holds the item's answer: the
 words of its last sentence.
 
 The index (the latent space) is fitted on passages of a bounded sample of documents and on the benchmark;
@@ -158,9 +158,15 @@ def answer(text: bytes) -> set[bytes]:
     return set(parts[-1]) if parts else set()
 
 
+def reach(size: int) -> int:
+    """Half passages that an item of `size` words looks at on either side of a passage."""
+    return max(1, -(-size // HALF))
+
+
 def around(words: list[bytes], p: int, size: int) -> list[bytes]:
     """The words that an item of `size` words is compared with for passage p."""
-    return words[max(0, (p - 1) * HALF) : (p + 3) * HALF]
+    e = reach(size)
+    return words[max(0, p - e) * HALF : (p + 2 + e) * HALF]
 
 
 class Held:
@@ -169,12 +175,18 @@ class Held:
     def __init__(self, item_words: list[list[bytes]], least: float):
         terms = Terms()
         self.rows = [np.unique(term_array(w, terms), return_counts=True) for w in item_words]
+        self.reach = np.array([reach(len(w)) for w in item_words], np.int64)
         self.need = np.array([least * len(w) - 1e-9 for w in item_words])
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.rows)])
         item = np.repeat(np.arange(len(self.rows)), [len(t) for t, _ in self.rows])
         count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in self.rows)])
         order = np.argsort(term, kind="stable")
         self.item, self.count = item[order], count[order]
+        # few items have a matrix, terms by items
+        self.dense = None
+        if len(self.need) <= RANK:
+            self.dense = np.zeros((1 << TERM_BITS, len(self.need)), np.float32)
+            self.dense[term, item] = count
         self.start = np.searchsorted(term[order], np.arange((1 << TERM_BITS) + 1))
 
     def items(self, own: np.ndarray) -> np.ndarray:
@@ -184,18 +196,25 @@ class Held:
         return np.flatnonzero(np.bincount(self.item[at], self.count[at], len(self.need)) >= self.need)
 
     def places(self, own: np.ndarray, rows: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """For each passage, whether it with half a passage on either side can cover each of items."""
-        there = (rows > 0).astype(np.float32)
-        wide = there.copy()
-        wide[1:] = np.maximum(wide[1:], there[:-1])
-        wide[:-1] = np.maximum(wide[:-1], there[1:])
-        counts = np.zeros((len(own), len(items)), np.float32)
-        for k, i in enumerate(items):
-            term, count = self.rows[i]
-            at = np.minimum(np.searchsorted(own, term), len(own) - 1)
-            good = own[at] == term
-            counts[at[good], k] = count[good]
-        return wide @ counts >= self.need[items]
+        """For each passage, whether it with the words on either side can cover each of items."""
+        if self.dense is not None:
+            counts = self.dense[own[:, None], items]
+        else:
+            counts = np.zeros((len(own), len(items)), np.float32)
+            for k, i in enumerate(items):
+                term, count = self.rows[i]
+                at = np.minimum(np.searchsorted(own, term), len(own) - 1)
+                good = own[at] == term
+                counts[at[good], k] = count[good]
+        out = np.zeros((len(rows), len(items)), bool)
+        # passages with each term, up to each passage
+        upto = np.concatenate([np.zeros((1, len(own)), np.int32), np.cumsum(rows > 0, 0, dtype=np.int32)])
+        p = np.arange(len(rows))
+        for e in np.unique(self.reach[items]):
+            some = self.reach[items] == e
+            wide = (upto[np.minimum(p + e + 1, len(rows))] > upto[np.maximum(p - e, 0)]).astype(np.float32)
+            out[:, some] = wide @ counts[:, some] >= self.need[items[some]]
+        return out
 
 
 def searched(model, limits: tuple[float, float, float, float]):
@@ -204,6 +223,8 @@ def searched(model, limits: tuple[float, float, float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis, idf, ids, texts_, latent = model.value
         terms, item_words = Terms(), [words_of(t) for t in texts_]
+        # with fewer items than directions, terms go straight to items
+        matrix = basis @ latent.T if len(ids) <= basis.shape[1] else None
         held = Held(item_words, min(cover, answer_cover))
         ready: dict[int, tuple] = {}
         for keys, texts in pieces(batches, "text", "doc_id", 1 << 20):
@@ -219,7 +240,7 @@ def searched(model, limits: tuple[float, float, float, float]):
                     seen: dict[int, tuple] = {}
                     for j in range(0, len(items), 512):
                         some = items[j : j + 512]
-                        near = rows @ (basis[own] @ latent[some].T) if len(some) < len(rows) else (rows @ basis[own]) @ latent[some].T
+                        near = rows @ matrix[own[:, None], some] if matrix is not None else (rows @ basis[own]) @ latent[some].T
                         good = held.places(own, rows, some) | (near >= cosine)
                         for k in np.flatnonzero(good.any(0)):
                             at = np.flatnonzero(good[:, k])
@@ -234,6 +255,8 @@ def searched(model, limits: tuple[float, float, float, float]):
                             share = common(mask, size, window) / size
                             if share >= cover or share >= answer_cover and len(final & set(window)) >= answer_share * len(final):
                                 top = max(top, share)
+                                if top == 1:
+                                    break
                         if top:
                             hits += 1
                             best = max(best, (top, close, -ids[i]), key=lambda b: (b[0], b[2] if b[2] is not None else -(1 << 62)))

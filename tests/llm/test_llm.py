@@ -386,6 +386,19 @@ def test_decontamination_of_many_items(spark):
     assert set(range(60)) <= got and got == brute_contaminated(text, items)
 
 
+def test_decontamination_of_long_items(spark):
+    """Items longer than the old window of 128 words, whole and in part, and a part too short to count."""
+    item = lambda k, n: [f"item{k}x{i}" for i in range(n)]
+    items = [(k, " ".join(item(k, n))) for k, n in enumerate((40, 190, 400, 1500))]
+    text = {}
+    for k, n in enumerate((40, 190, 400, 1500)):
+        for j, part in enumerate((item(k, n), item(k, n)[: n * 3 // 4], item(k, n)[: n // 3])):
+            text[10 * k + j] = " ".join([f"a{i}" for i in range(77)] + part + [f"z{i}" for i in range(91)])
+    frames = spark.createDataFrame(list(text.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.item_id for r in decontam.contaminated(*frames).filter("contaminated").collect()}
+    assert got == {10 * k + j: k for k in range(4) for j in range(2)}
+
+
 def test_common_subsequence():
     a, b = b"the cat sat on the mat".split(), b"a cat was on some mat the".split()
     assert decontam.common(decontam.masks(a), len(a), b) == 3
