@@ -6,6 +6,10 @@ learned from: some of them are Nystroem landmarks, the rest are mapped to them,
 each language separates it from the others. Because the kernel is linear in presence, landmarks, Nystroem
 map and regressions fold into one matrix with a row for each n-gram of the landmarks and a column for each
 language, and a batch of texts is scored by one product with its presence matrix.
+
+Scores add up to 1 over the languages, so the best one says nothing about texts in none of them. The share of a
+text's 3-grams that the landmarks hold does: a text fits if it has LEAST_PART of what 99 of 100 learned rows that are no
+landmarks have.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from quillon.llm.blocks import pieces, remainder
 
 SIZES, FIT_ROWS, MOST_FIT_ROWS, LANDMARKS, FIT_CHARS, RIDGE = 3, 200, 20_000, 30, 20_000, 1e-2
+LEAST_PART, LEAST_QUANTILE, THIRD = 0.85, 0.01, 1 << 42
 UNKNOWN = "und"
 
 
@@ -55,7 +60,7 @@ def fitted(texts: list[str], langs: list[str], landmarks: int, ridge: float = RI
     letter = letters()
     rows = [(g, lang) for t, lang in zip(texts, langs) if (g := ngrams(t, letter, sizes)) is not None]
     if not rows:
-        return {"names": [], "vocabulary": np.zeros(1, np.int64), "matrix": np.zeros((1, 0), np.float32), "base": np.zeros(0), "sizes": sizes}
+        return {"names": [], "vocabulary": np.zeros(1, np.int64), "matrix": np.zeros((1, 1), np.float32), "base": np.zeros(0), "least": 0.0, "sizes": sizes}
     names = sorted({lang for _, lang in rows})
     seen: dict[str, int] = {}
     marks = []
@@ -76,7 +81,13 @@ def fitted(texts: list[str], langs: list[str], landmarks: int, ridge: float = RI
     base = (target * weight**2).sum(0) / (weight**2).sum()
     left = (mapped * weight).T @ (mapped * weight)
     solved = np.linalg.solve(left + ridge * np.eye(len(left)), (mapped * weight).T @ ((target - base) * weight))
-    return {"names": names, "vocabulary": vocabulary, "matrix": (held.T @ (root @ solved)).astype(np.float32), "base": base, "sizes": sizes}
+    # the last column counts the known 3-grams
+    long = vocabulary >= THIRD
+    matrix = np.column_stack([held.T @ (root @ solved), long]).astype(np.float32)
+    apart = [rows[i][0] for i in sorted(set(range(len(rows))) - set(marks))]
+    known = [np.isin(g[g >= THIRD], vocabulary).mean() for g in apart if (g >= THIRD).any()]
+    least = LEAST_PART * float(np.quantile(known, LEAST_QUANTILE)) if known else 0.0
+    return {"names": names, "vocabulary": vocabulary, "matrix": matrix, "base": base, "least": least, "sizes": sizes}
 
 
 def predicted(model, batch: int = 128):
@@ -84,27 +95,30 @@ def predicted(model, batch: int = 128):
         m, letter = model.value, letters()
         for keys, texts in pieces(batches, "text", "doc_id", 1 << 20):
             rows = [ngrams(t.decode(), letter, m["sizes"]) for t in texts]
-            langs, scores = [UNKNOWN] * len(rows), np.zeros(len(rows))
+            langs, scores, fits = [UNKNOWN] * len(rows), np.zeros(len(rows)), np.zeros(len(rows), bool)
             some = [i for i, g in enumerate(rows) if g is not None] if m["names"] else []
             for j in range(0, len(some), batch):
                 part = some[j : j + batch]
                 size = np.sqrt([len(rows[i]) for i in part])[:, None]
-                got = presence([rows[i] for i in part], m["vocabulary"]) @ m["matrix"] / size + m["base"]
+                sums = presence([rows[i] for i in part], m["vocabulary"]) @ m["matrix"]
+                got = sums[:, :-1] / size + m["base"]
+                fits[part] = sums[:, -1] >= m["least"] * np.array([(rows[i] >= THIRD).sum() for i in part])
                 best = got.argmax(1)
                 scores[part] = np.clip(got.max(1), 0, 1)
                 for i, b in zip(part, best):
                     langs[i] = m["names"][b]
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(langs), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(langs), pa.array(scores), pa.array(fits)], ["doc_id", "lang_pred", "score", "fits"])
 
     return run
 
 
 def languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, most: int = MOST_FIT_ROWS, longest: int = FIT_CHARS) -> DataFrame:
-    """Predict the language of each whole text: doc_id, lang_pred, score (0 to 1).
+    """Predict the language of each whole text: doc_id, lang_pred, score (0 to 1), fits (whether its 3-grams are
+    those of the learned languages).
 
     Learns from text and lang of at most `fit_rows` rows of each language where `train` holds (fewer where
     there are more than most / fit_rows languages), in the order of a hash of doc_id, among texts of at most
-    `longest` characters. Null text and text without a letter give `und` and 0, as does everything if nothing
+    `longest` characters. Null text and text without a letter give `und`, 0 and false, as does everything if nothing
     could be learned. Rows repeat as they come; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -115,7 +129,7 @@ def languages(docs: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS, landma
     ids = [r[0] for r in labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= each).select("doc_id").collect()]
     rows = sorted(labelled.filter(F.col("doc_id").isin(ids)).select(F.xxhash64("doc_id"), "doc_id", "text", "lang").collect()) if ids else []
     model = spark.sparkContext.broadcast(fitted([r[2] for r in rows], [r[3] for r in rows], landmarks))
-    return docs.select("doc_id", "text").mapInArrow(predicted(model), "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(predicted(model), "doc_id long, lang_pred string, score double, fits boolean")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

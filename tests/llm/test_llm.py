@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from quillon.llm import ctw, decontam, fixity, jaccard, langid, media, mixing, pii, repeats, viterbi
 from quillon.llm.blocks import remainder
 from quillon.session import saved
@@ -57,6 +58,26 @@ def test_language_edges(awkward, empty):
     assert langid.languages(empty, remainder("doc_id", 4) != 2).count() == 0
 
 
+def test_pipeline_rejects_what_is_in_no_learned_language(spark):
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(2)
+    folder = "/root/testdata/sf0.01"
+    known = spark.read.parquet(f"{folder}/documents.parquet").select(p.COLUMNS)
+    soup = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (60, 400, 3000)]
+    other = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Все люди рождаются свободными и равными в своем достоинстве и правах"]
+    rows = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(soup + other)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in p.identified(spark, known.union(rows), folder).select("doc_id").collect()}
+    assert not {i for i in kept if i >= 10**9} and len(kept) > 0.98 * known.count()
+    some = known.filter("lang <> 'fr'").union(known.filter("lang = 'fr'").withColumn("lang", F.lit(None).cast("string")))
+    kept = p.identified(spark, some, folder).join(known.select("doc_id", F.col("lang").alias("true")), "doc_id").groupBy("true").count().collect()
+    kept = {r.true: r["count"] for r in kept}
+    whole = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    assert kept.get("fr", 0) < 0.1 * whole["fr"] and all(kept[k] > 0.97 * n for k, n in whole.items() if k != "fr")
+
+
 # -- language-model scoring
 def test_lm_base_and_normalisation(docs):
     got = by_id(ctw.lm_scores(docs, remainder("doc_id", 7) != 2))
