@@ -15,8 +15,12 @@ QUERY_BLOCK = 4096
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
-    """vectors(doc_id, v) by cosine with queries(item_id, q), best k each; expressions only, for few queries."""
-    pairs = vectors.select("doc_id", unit(F.col("v")).alias("v")).crossJoin(F.broadcast(queries.select("item_id", unit(F.col("q")).alias("q")).limit(QUERY_BLOCK)))
+    """vectors(doc_id, v) by cosine with queries(item_id, q), best k each; expressions only. Queries are broadcast by hint if
+    they fit into one block; more of them meet the vectors by the join that Spark picks."""
+    asked = queries.select("item_id", unit(F.col("q")).alias("q"))
+    if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        asked = F.broadcast(asked)
+    pairs = vectors.select("doc_id", unit(F.col("v")).alias("v")).crossJoin(asked)
     return ranked(pairs.select("item_id", "doc_id", dot(F.col("v"), F.col("q")).alias("score")), k, 5)
 
 

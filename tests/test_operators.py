@@ -95,6 +95,14 @@ def test_dense_forms_agree(spark):
     assert a == b
 
 
+def test_dense_topk_keeps_all_queries(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    v, q = e.selectExpr("vec_id doc_id", "embedding v"), e.filter("vec_id < 11").selectExpr("vec_id item_id", "embedding q")
+    a, b = (sorted(map(tuple, f(v, q, 5).collect())) for f in (dense.dense_topk, dense.dense_blocks))
+    assert a == b and len(a) == 55
+
+
 def test_boolean_and_is_inside_or(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red hen"), (3, None)], "doc_id long, text string")
     c = lexical.Lexical(docs, spark.createDataFrame([(7, "red fox"), (8, "")], "item_id long, text string"))
