@@ -67,6 +67,48 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, key: str, most: int = 4
         yield keys, texts
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Integers from their least value on, in as few bytes as the widest needs."""
+    if not len(x):
+        return b""
+    low = int(x.min())
+    top = int(x.max()) - low
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)
+    return np.array([low, np.dtype(kind).itemsize], np.int64).tobytes() + (x - low).astype(kind).tobytes()
+
+
+def wide(blob: bytes | memoryview) -> np.ndarray:
+    if not len(blob):
+        return np.zeros(0, np.int64)
+    low, size = np.frombuffer(blob, np.int64, 2)
+    return np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[int(size)], -1, 16).astype(np.int64) + low
+
+
+def bundle(*columns: np.ndarray) -> bytes:
+    """Arrays of integers as one value."""
+    parts = [narrow(c) for c in columns]
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def unbundle(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.r_[0, np.frombuffer(blob, np.int64, n, 8)])
+    view = memoryview(blob)
+    return [wide(view[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def sliced(order_by: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """From sorted numbers: each one that occurs, and where."""
+    first = np.flatnonzero(np.r_[True, order_by[1:] != order_by[:-1]]) if len(order_by) else np.zeros(0, np.int64)
+    for a, b in zip(first, np.r_[first[1:], len(order_by)]):
+        yield int(order_by[a]), slice(int(a), int(b))
+
+
+def bucket_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The task of `parts` that holds a document."""
+    return (mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Merge (values, counts) pairs: sorted distinct values, summed counts."""
     if len(parts) == 1:
@@ -84,7 +126,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates taking each vertex's least neighbour with jumping to that neighbour's own label.
     Every round is a written table; nothing but one changed-row count reaches the driver.
     """
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")
+    both = saved(edges.filter("a <> b").select(turned).select("p.a", "p.b").distinct(), "edges")
+    if both.isEmpty():
+        return both.select(F.col("a").alias("id"), F.col("b").alias("component"))
     label = saved(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), "labels")
     for _ in range(rounds):
         near = both.join(label, both.b == label.id).groupBy(F.col("a").alias("v")).agg(F.min("component").alias("m"))

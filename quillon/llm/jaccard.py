@@ -5,16 +5,22 @@ Two documents link when their sets of five-word shingles have a Jaccard similari
 1. Byte-identical texts are collapsed to the smallest doc_id; only that one is compared. The texts are not
    shuffled for this: a run of a task reads each text once, and copies that are left from other runs go by
    their id, when the shingles of a document meet.
-2. Shingle hashes are dealt to tasks by value, in sorted delta-coded blocks. A task sees every holder
-   of a shingle, so document frequencies are exact; shingles of one document can match nothing and
-   leave the data here, though they still count as the rarest places of their document's order.
-3. Shingles are ordered by (frequency, value). With a = ceil(0.75 n), a document that links must share
+2. Shingles are dealt to tasks by value, in sorted delta-coded blocks. A task sees every holder of a shingle,
+   so document frequencies are exact; a shingle of one document can match nothing and leaves the data here,
+   though it still counts among the rarest places of its document's order. What is left goes to the tasks
+   of the documents, one packed row for each task and group of documents. The join needs only one order of shingles
+   for all documents, so the few that a sample of documents finds very frequent are put last in it and go to
+   their documents at once: no task gathers the holders of a shingle of a third of all documents.
+3. Shingles are ordered by (frequency, number). With a = ceil(0.75 n), a document that links must share
    l of the first n - a + l shingles with its partner. Each document lengthens its prefix to the l with the
    least estimated cost (postings to read, and candidates to verify, which fall with l); a pair is
    verified only if it shares min(l, l') prefix shingles.
-4. Documents that share a prefix shingle are joined to the shingle's first holder, never to each other;
-   the groups so found are cut into blocks of bounded size, and every pair of blocks counts its own
-   matches, verifies them exactly and returns one row for each document.
+4. Candidates come from the postings of prefix shingles in two passes. The first compares the holders of a
+   shingle with its least and its greatest holder only, which finds most classes at a cost in proportion to
+   the postings. The second takes what is left: shingles whose holders are in several classes, and only pairs
+   of different classes, as no other link can change a class. Shingles of few holders count the matches
+   of each pair by a join; holders of others are cut into blocks of bounded size, and every two blocks count
+   their matches as a product of presence matrices.
 """
 
 from __future__ import annotations
@@ -26,12 +32,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quillon.llm.blocks import components, mixed, partitions, pieces, salted_join
-from quillon.session import saved
+from quillon.llm.blocks import bucket_of, bundle, components, mixed, partitions, pieces, salted_join, sliced, unbundle
+from quillon.session import discard, saved
 
-WORDS, PERCENT, BLOCK, LONGEST = 5, 75, 1024, 16
-LOW = np.uint64((1 << 48) - 1)
+WORDS, PERCENT, BLOCK, LONGEST, FEW, GROUP = 5, 75, 256, 16, 16, 512
+SAMPLE_DOCS, SAMPLE_SHARE, MOST_HOT = 4096, 64, 65536
+HOT = 1 << 60
 TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+BLOBS, NAMES = "bucket int, source int, blob binary", ["bucket", "source", "blob"]
+THROUGH = -1  # source of what needs no other task on its way to the documents
 
 
 def shingles(texts: list[bytes], width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -59,37 +68,36 @@ def shingles(texts: list[bytes], width: int = WORDS) -> tuple[np.ndarray, np.nda
     return doc, value
 
 
-def packed(tokens: np.ndarray, docs: np.ndarray) -> bytes:
-    """Sorted 48-bit tokens as deltas, their documents as places in a table or as offsets, whichever is smaller."""
-    delta = np.diff(tokens, prepend=np.uint64(0))
-    table, place = np.unique(docs, return_inverse=True)
-    head, kind = b"", 8
-    if len(table) < 65536 and len(table) * 8 + 2 * len(docs) < 4 * len(docs):
-        body, head, kind = place.astype(np.uint16).tobytes(), table.astype(np.int64).tobytes(), 2
-    elif len(table) and table[-1] - table[0] < 2**32:
-        body, head, kind = (docs - table[0]).astype(np.uint32).tobytes(), table[:1].astype(np.int64).tobytes(), 4
-    else:
-        body = docs.astype(np.int64).tobytes()
-    n = np.array([len(tokens), kind, len(head)], np.int64).tobytes()
-    return n + (delta & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (delta >> np.uint64(32)).astype(np.uint16).tobytes() + head + body
-
-
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, kind, head = np.frombuffer(blob, np.int64, 3)
-    at = 24
-    low = np.frombuffer(blob, np.uint32, n, at).astype(np.uint64)
-    high = np.frombuffer(blob, np.uint16, n, at + 4 * n).astype(np.uint64)
-    at += 6 * n
-    table = np.frombuffer(blob, np.int64, head // 8, at)
-    body = np.frombuffer(blob, {2: np.uint16, 4: np.uint32, 8: np.int64}[int(kind)], n, at + head)
-    docs = table[body] if kind == 2 else body.astype(np.int64) + table[0] if kind == 4 else body
-    return np.cumsum(low | (high << np.uint64(32)), dtype=np.uint64), docs
-
-
-def dealt(parts: int, width: int, most: int = 3_000_000):
-    """Blocks of shingles for each of `parts` tasks, and every document's set size to one of them."""
+def sampled(width: int):
+    """Shingles of a partition with the number of its documents that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in pieces(batches, "text", "doc_id", 2 << 20):
+            value, n = np.unique(shingles(texts, width)[1], return_counts=True)
+            yield pa.record_batch([pa.array(value.view(np.int64)), pa.array(n)], ["value", "n"])
+
+    return run
+
+
+def frequent(docs: DataFrame, total: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Very frequent shingles by a sample of documents, sorted, and their expected frequencies.
+
+    Which ones they are changes no result, only where they stand in the order of all shingles. At most MOST_HOT.
+    """
+    rate = max(1, total // SAMPLE_DOCS)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rate)) == 0)
+    least = max(16, total // rate // SAMPLE_SHARE)
+    top = some.mapInArrow(sampled(width), "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "value").limit(MOST_HOT).toArrow()
+    value, n = top["value"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(value)
+    return value[order], n[order] * rate
+
+
+def dealt(parts: int, width: int, hot, most: int = 3_000_000):
+    """Blocks of shingles for each of `parts` tasks; set sizes and very frequent shingles to one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = hot.value[0]
         values, owners, held = [], [], 0
         place: dict[bytes, int] = {}  # of each text of the run
         least: list[int] = []  # the smallest id of each
@@ -97,17 +105,26 @@ def dealt(parts: int, width: int, most: int = 3_000_000):
 
         def flush() -> Iterator[pa.RecordBatch]:
             ids = np.array(least, np.int64)
-            found = np.stack([ids, np.concatenate(sizes)])
-            yield pa.record_batch([pa.array([int(ids[0]) % parts], pa.int32()), pa.array([True]), pa.array([found.astype(np.int64).tobytes()], pa.binary())], ["bucket", "sizes", "blob"])
-            value, owner = np.concatenate(values), ids[np.concatenate(owners)]
+            value, owner = np.concatenate(values), np.concatenate(owners)
+            at = np.searchsorted(known, value)
+            at[at == len(known)] = 0
+            often = known[at] == value if len(known) else np.zeros(len(value), bool)
+            blob = bundle(ids, np.concatenate(sizes), owner[often], at[often])
+            yield pa.record_batch([pa.array([int(ids[0]) % parts], pa.int32()), pa.array([THROUGH], pa.int32()), pa.array([blob], pa.binary())], NAMES)
+            value, owner = value[~often], owner[~often]
+            order = np.argsort(value, kind="stable")  # owners are in order
+            value, owner = value[order], owner[order]
             bucket = ((value >> np.uint64(49)) * np.uint64(parts) >> np.uint64(15)).astype(np.int64)
-            low = value & LOW
-            order = np.lexsort((low, bucket))
-            bucket, low, owner = bucket[order], low[order], owner[order]
-            cuts = np.searchsorted(bucket, np.arange(parts + 1))
-            for i in range(0, parts, 64):
-                some = [b for b in range(i, min(parts, i + 64)) if cuts[b + 1] > cuts[b]]
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([False] * len(some), pa.bool_()), pa.array([packed(low[cuts[b] : cuts[b + 1]], owner[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())], ["bucket", "sizes", "blob"])
+            out = []
+            for b, s in sliced(bucket):
+                delta = np.diff(value[s])
+                table, own = np.unique(owner[s], return_inverse=True)
+                out.append((b, bundle(value[s][:1].view(np.int64), (delta & np.uint64(0xFFFFFFFF)).view(np.int64), (delta >> np.uint64(32)).view(np.int64), ids[table], own)))
+                if len(out) == 64:
+                    yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], NAMES)
+                    out.clear()
+            if out:
+                yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], NAMES)
 
         for keys, texts in pieces(batches, "text", "doc_id", 2 << 20):
             fresh, start = [], len(least)
@@ -133,50 +150,77 @@ def dealt(parts: int, width: int, most: int = 3_000_000):
     return run
 
 
-def by_document(doc: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    return doc[first], np.r_[first, len(doc)], [c[order] for c in columns]
-
-
-def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From all blocks of a task: for each document its size, or its shingles with other holders and their frequency."""
-    names = ["doc_id", "n", "tokens", "dfs"]
-    tokens, docs, bucket = [], [], 0
-    for batch in batches:
-        for b, sizes, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sizes", "blob"))):
-            if sizes:
-                ids, n = np.frombuffer(blob, np.int64).reshape(2, -1)
-                none = pa.array([[]] * len(ids), pa.list_(pa.int64()))
-                yield pa.record_batch([pa.array(ids), pa.array(n), none, none.cast(pa.list_(pa.int32()))], names)
-            else:
+def shared(groups: int):
+    """From all blocks of a task: for each group of documents one row of their sizes, shared shingles and frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, through, bucket = [], [], 0
+        for batch in batches:
+            for b, source, blob in zip(*(batch.column(c).to_pylist() for c in NAMES)):
+                found = unbundle(blob)
+                if source == THROUGH:
+                    ids, n, owner, at = found
+                    through.append((ids, n, ids[owner], at))
+                    continue
                 bucket = b
-                t, d = unpacked(blob)
-                tokens.append(t)
-                docs.append(d)
-    if not tokens:
-        return
-    token, doc = np.concatenate(tokens), np.concatenate(docs)
-    del tokens, docs
-    order = np.lexsort((doc, token))
-    token, doc = token[order], doc[order]
-    once = np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])]  # a repeated row counts once
-    token, doc = token[once], doc[once]
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    df = np.repeat(np.diff(np.r_[first, len(token)]), np.diff(np.r_[first, len(token)]))
-    many = df > 1
-    name = (token[many] | (np.uint64(bucket) << np.uint64(48))).view(np.int64)
-    ids, cuts, (name, df) = by_document(doc[many], name, df[many].astype(np.int32))
-    for i in range(0, len(ids), 5000):
-        j = min(len(ids), i + 5000)
-        offsets = pa.array((cuts[i : j + 1] - cuts[i]).astype(np.int32))
-        part = slice(cuts[i], cuts[j])
-        yield pa.record_batch([pa.array(ids[i:j]), pa.nulls(j - i, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(name[part])), pa.ListArray.from_arrays(offsets, pa.array(df[part]))], names)
+                first, low, high, table, own = found
+                value = np.cumsum(np.r_[first.view(np.uint64), low.view(np.uint64) | (high.view(np.uint64) << np.uint64(32))], dtype=np.uint64)
+                blocks.append((value, table[own]))
+        none = np.zeros(0, np.int64)
+        ids, n, hot_doc, hot_at = (np.concatenate(x) for x in zip(*through)) if through else (none,) * 4
+        doc, place, df = none, none, none
+        if blocks:
+            value, doc = (np.concatenate(x) for x in zip(*blocks))
+            del blocks
+            order = np.lexsort((doc, value))
+            value, doc = value[order], doc[order]
+            once = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]  # a repeated row counts once
+            value, doc = value[once], doc[once]
+            first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+            df = np.diff(np.r_[first, len(value)])
+            many = df > 1
+            place = np.repeat(np.cumsum(many) - 1, df)  # numbers the shingles with several holders
+            keep = np.repeat(many, df)
+            df = np.repeat(df, df)[keep]
+            doc, place = doc[keep], place[keep]
+        columns = []
+        for k, *rest in ((doc, place, df), (ids, n), (hot_doc, hot_at)):
+            at = bucket_of(k, groups)
+            order = np.lexsort((*rest[:1], k, at))
+            columns.append(({b: s for b, s in sliced(at[order])}, k[order], *(r[order] for r in rest)))
+        (a, doc, place, df), (b, ids, n), (c, hot_doc, hot_at) = columns
+        nothing = slice(0, 0)
+        out = []
+        for to in sorted(a.keys() | b.keys() | c.keys()):
+            x, y, z = a.get(to, nothing), b.get(to, nothing), c.get(to, nothing)
+            own, count = np.unique(doc[x], return_counts=True)
+            out.append((to, bucket, bundle(own, count, place[x], df[x], ids[y], n[y], hot_doc[z], hot_at[z])))
+            if len(out) == 64:
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], NAMES)
+                out.clear()
+        if out:
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], NAMES)
+
+    return run
+
+
+def copies_dealt(groups: int):
+    """Ids to leave out, for the groups of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            at = bucket_of(ids, groups)
+            order = np.argsort(at, kind="stable")
+            rows = [(b, bundle(ids[order][s])) for b, s in sliced(at[order])]
+            if rows:
+                yield pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([THROUGH] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], NAMES)
+
+    return run
 
 
 def prefix(n: int, dfs: np.ndarray, percent: int, longest: int) -> tuple[int, int]:
-    """(l, number of shared shingles in the prefix) for a document of n shingles, of which those in dfs (ascending) have other holders.
+    """(l, number of shared shingles in the prefix) for a document of n shingles, of which those in dfs (in order) have other holders.
 
     The cost of l: the postings behind the prefix plus the candidates left, taken as those postings over l.
     """
@@ -191,124 +235,233 @@ def prefix(n: int, dfs: np.ndarray, percent: int, longest: int) -> tuple[int, in
     return best + 1, int(ends[best])
 
 
-def prefixes(percent: int, longest: int):
-    """Orders every document's shared shingles and chooses its prefix; documents that can link to nothing are left out."""
+PROFILE = "doc_id long, n long, tokens array<long>, level int, size int"
+
+
+def profiled(percent: int, longest: int, hot):
+    """Each document of a group: its size, and if it can link its shared shingles in order and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expected = hot.value[1]
+        rank = np.argsort(np.argsort(expected, kind="stable"))
+        docs, tokens, dfs, sizes, gone = [], [], [], [], []
         for batch in batches:
-            out = []
-            for doc, n, tokens, dfs in zip(*(batch.column(c) for c in ("doc_id", "n", "tokens", "dfs"))):
-                token, df = tokens.values.to_numpy(), dfs.values.to_numpy()
-                order = np.lexsort((token, df))
-                level, size = prefix(n.as_py(), df[order], percent, longest)
-                if size:
-                    out.append((doc.as_py(), n.as_py(), token[order], level, size))
-            if out:
-                d, n, t, level, size = zip(*out)
-                yield pa.record_batch([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(t, pa.list_(pa.int64())), pa.array(level, pa.int32()), pa.array(size, pa.int32())], ["doc_id", "n", "tokens", "level", "size"])
+            for source, blob in zip(*(batch.column(c).to_pylist() for c in NAMES[1:])):
+                found = unbundle(blob)
+                if source == THROUGH:
+                    gone.append(found[0])
+                    continue
+                own, count, place, df, ids, n, hot_doc, hot_at = found
+                docs += [np.repeat(own, count), hot_doc]
+                tokens += [place + (source << 40), rank[hot_at] + HOT]
+                dfs += [df, expected[hot_at]]
+                sizes.append((ids, n))
+        if not sizes:
+            return
+        ids, n = (np.concatenate(x) for x in zip(*sizes))
+        ids, first = np.unique(ids, return_index=True)  # several runs may hold a repeated row
+        n = n[first]
+        here = ~np.isin(ids, np.concatenate(gone)) if gone else np.ones(len(ids), bool)
+        doc, token, df = np.concatenate(docs), np.concatenate(tokens), np.concatenate(dfs)
+        del docs, tokens, dfs
+        order = np.lexsort((token, df, token >= HOT, doc))
+        doc, token, df = doc[order], token[order], df[order]
+        if len(doc):
+            once = np.r_[True, (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])]
+            doc, token, df = doc[once], token[once], df[once]
+        starts, ends = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
+        names = [f.split()[0] for f in PROFILE.split(", ")]
+        for i in range(0, len(ids), 5000):
+            some = [k for k in range(i, min(len(ids), i + 5000)) if here[k]]
+            chosen = [prefix(int(n[k]), df[starts[k] : ends[k]], percent, longest) if ends[k] > starts[k] else (1, 0) for k in some]
+            lists = [token[starts[k] : ends[k]] if size else None for k, (_, size) in zip(some, chosen)]
+            yield pa.record_batch([pa.array(ids[some]), pa.array(n[some]), pa.array(lists, pa.list_(pa.int64())), pa.array([x for x, _ in chosen], pa.int32()), pa.array([x for _, x in chosen], pa.int32())], names)
 
     return run
 
 
-def verified(percent: int):
-    """Links inside a block, or between two blocks: for each document its least linked companion in the group and its links."""
+def linked(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b), a the one with many partners, those that share enough of their prefixes and link."""
+    x = ordered.select(*(F.col(c).alias(f"x_{c}") for c in ordered.columns))
+    y = ordered.select(*(F.col(c).alias(f"y_{c}") for c in ordered.columns))
+    met = pairs.join(x, F.col("b") == F.col("x_doc_id")).join(y, F.col("a") == F.col("y_doc_id"))
+    fronts = F.size(F.array_intersect(F.slice("x_tokens", 1, F.col("x_size")), F.slice("y_tokens", 1, F.col("y_size"))))
+    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
+    return met.filter(fronts >= F.least("x_level", "y_level")).filter(100 * both >= percent * (F.col("x_n") + F.col("y_n") - both)).select("a", "b")
+
+
+def verified(percent: int, every: bool):
+    """Links inside a block or between two, of documents of different classes: all of them, or enough to join what they join."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         lo, hi = key[1].as_py(), key[2].as_py()
-        ids, n, level, size, block, copies = (t[c].to_numpy() for c in ("doc_id", "n", "level", "size", "block", "copies"))
+        ids, n, level, size, block, label = (t[c].to_numpy() for c in ("doc_id", "n", "level", "size", "block", "label"))
         tokens = t["tokens"].combine_chunks()
         lengths = np.diff(tokens.offsets.to_numpy())
-        _, flat = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+        names, flat = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
         starts = np.cumsum(lengths) - lengths
-        rank = np.arange(len(flat)) - np.repeat(starts, lengths)
-        front = rank < np.repeat(size, lengths)
-        parent, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-        mark, ahead = np.zeros(flat.max() + 1, bool), np.zeros(flat.max() + 1, bool)
+        doc = np.repeat(np.arange(len(ids)), lengths)
+        front = np.arange(len(flat)) - starts[doc] < size[doc]
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        place = np.zeros(len(ids), np.int64)
+        counts = np.zeros((len(left), len(right)), np.float32)
+        here = [np.isin(doc, side) & front for side in (left, right)]
+        common = np.flatnonzero(np.logical_and(*(np.bincount(flat[h], minlength=len(names)) > 0 for h in here)))
+        for i in range(0, len(common), 2048):
+            sides = []
+            for side, h in zip((left, right), here):
+                place[side] = np.arange(len(side))
+                at = np.searchsorted(common[i : i + 2048], flat[h])
+                at[at == len(common[i : i + 2048])] = 0
+                good = common[i : i + 2048][at] == flat[h]
+                m = np.zeros((len(side), min(2048, len(common) - i)), np.float32)
+                m[place[doc[h][good]], at[good]] = 1
+                sides.append(m)
+            counts += sides[0] @ sides[1].T
+        fit = (counts >= np.minimum.outer(level[left], level[right])) & (label[left][:, None] != label[right][None, :])
+        if lo == hi:
+            fit &= np.triu(np.ones_like(fit), 1)
+        _, group = np.unique(label, return_inverse=True)
+        parent = np.arange(len(group))
 
         def root(i: int) -> int:
             while parent[i] != i:
                 parent[i] = i = parent[parent[i]]
             return i
 
-        for x in range(len(ids)) if lo == hi else np.flatnonzero(block == lo):
+        mark, found = np.zeros(len(names), bool), []
+        for i in np.flatnonzero(fit.any(1)):
+            x = left[i]
             mine = flat[starts[x] : starts[x] + lengths[x]]
-            mark[mine], ahead[mine[: size[x]]] = True, True
-            matches = np.add.reduceat(ahead[flat] & front, starts, dtype=np.int64)
-            fit = matches >= np.minimum(level, level[x])
-            fit[x] = False
-            fit &= block == hi
-            near = np.flatnonzero(fit)
-            if len(near):
-                both = np.add.reduceat(mark[flat], starts, dtype=np.int64)[near]
-                near = near[100 * both >= percent * (n[near] + n[x] - both)]
-                links[x] += copies[near].sum()
-                if lo != hi:
-                    links[near] += copies[x]
-                for y in near:
-                    a, b = root(x), root(int(y))
-                    if a != b:
-                        parent[max(a, b, key=lambda i: ids[i])] = min(a, b, key=lambda i: ids[i])
-            mark[mine], ahead[mine] = False, False
-        top = np.array([ids[root(i)] for i in range(len(ids))], np.int64)
-        return pa.table({"doc_id": pa.array(ids), "root": pa.array(top), "links": pa.array(links), "whole": pa.array(np.full(len(ids), key[3].as_py() == 1))})
+            mark[mine] = True
+            for y in right[fit[i]]:
+                a, b = root(group[x]), root(group[y])
+                if a != b or every:
+                    both = int(mark[flat[starts[y] : starts[y] + lengths[y]]].sum())
+                    if 100 * both >= percent * (n[x] + n[y] - both):
+                        found.append((ids[x], ids[y]))
+                        parent[a] = b
+            mark[mine] = False
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, block: int = BLOCK, longest: int = LONGEST) -> DataFrame:
-    """Near-duplicate classes of docs(doc_id, text, ...): doc_id, n_shingles, component_id, n_links.
-
-    n_links counts the documents linked directly, copies of itself included. Null or empty text, and
-    text of white space only, has an empty set and links with nothing. Rows with a null doc_id are
-    left out; rows that repeat a doc_id count once (of several texts, the one with the least MD5). Other columns are
-    ignored. Shingles are compared by 48 bits of a hash plus the task they were dealt to.
-    """
+def residual_links(ordered: DataFrame, label: DataFrame, percent: int, block: int, few: int, every: bool = False) -> DataFrame | None:
+    """Links (a, b) between documents of different classes of label(id, component); a document that it lacks is its own class."""
+    own = ordered.join(label, ordered.doc_id == label.id, "left").select("doc_id", "n", "tokens", "level", "size", F.coalesce("component", "doc_id").alias("label"))
+    posts = own.select("doc_id", "level", "label", F.explode(F.slice("tokens", 1, F.col("size"))).alias("token"))
+    several = posts.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("holders"), F.min("doc_id").alias("leader")).filter("low <> high")
+    rest = saved(posts.join(several.select("token", "holders", "leader"), "token"), "residual")
+    if rest.isEmpty():
+        return None
+    small = rest.filter(F.col("holders") <= few)
+    one, two = (small.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "level", "label"))) for k in "ab")
+    pairs = (
+        one.join(two, "token").filter("doc_id_a < doc_id_b and label_a <> label_b")
+        .groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("level_a", "level_b")).alias("level"))
+        .filter("c >= level").select("a", "b")
+    )
+    found = linked(saved(pairs, "pairs"), ordered, percent)
+    big = rest.filter(F.col("holders") > few)
+    family = components(big.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct())
+    sizes = family.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    family = saved(family, "families")
+    if not family.isEmpty():
+        places = salted_join(family.withColumnRenamed("id", "doc_id"), sizes, ["component"], "doc_id")
+        placed = (
+            own.join(places, "doc_id")
+            .withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        )
+        found = found.union(placed.groupBy("component", "lo", "hi").applyInArrow(verified(percent, every), "a long, b long"))
+    return found.distinct()
+
+
+def profiles(docs: DataFrame, members: DataFrame, percent: int, width: int, longest: int) -> DataFrame:
+    """Stored table of every distinct text by its least id: doc_id, n, tokens, level, size."""
     spark = docs.sparkSession
-    parts = min(partitions(spark), 32768)
+    total, parts = docs.count(), min(partitions(spark), 32768)
+    groups = max(1, min(parts, total // GROUP))
+    hot = spark.sparkContext.broadcast(frequent(docs, total, width))
+    blocks = docs.mapInArrow(dealt(parts, width, hot), BLOBS).repartitionById(parts, "bucket")
+    copied = members.filter("doc_id <> rep").select("doc_id").mapInArrow(copies_dealt(groups), BLOBS)
+    met = blocks.mapInArrow(shared(groups), BLOBS).union(copied).repartitionById(groups, "bucket")
+    return saved(met.mapInArrow(profiled(percent, longest, hot), PROFILE), "profiles")
+
+
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) without null ids, one text for an id; and stored members(doc_id, rep), rep the least id with the same text."""
     docs = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digest = F.md5(F.col("text").cast("binary"))
     keyed = saved(docs.groupBy("doc_id").agg(F.min(digest).alias("digest"), F.max(digest).alias("high")), "digests")
     if not keyed.filter("digest <> high").isEmpty():  # an id with several texts: only the one with the least digest counts
         docs = docs.join(keyed.select("doc_id", "digest"), "doc_id").filter(digest == F.col("digest")).select("doc_id", "text")
     keyed = keyed.drop("high")
-    groups = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
-    members = saved(salted_join(keyed, groups, ["digest"], "doc_id").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
-    blocks = docs.mapInArrow(dealt(parts, width), "bucket int, sizes boolean, blob binary").repartitionById(parts, "bucket")
-    rows = blocks.mapInArrow(shared, "doc_id long, n long, tokens array<long>, dfs array<int>")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("tokens", "array<long>"), ("dfs", "array<int>"))]
-    copied = members.filter("doc_id <> rep").select("doc_id", *none, F.lit(True).alias("copied"))
-    profile = saved(
-        rows.withColumn("copied", F.lit(False)).unionByName(copied).groupBy("doc_id")
-        .agg(F.max("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"), F.max("copied").alias("copied"))
-        .filter("not copied").drop("copied"),
-        "profiles",
-    )
-    ordered = saved(profile.filter("size(tokens) > 0").mapInArrow(prefixes(percent, longest), "doc_id long, n long, tokens array<long>, level int, size int"), "prefixes")
+    groups = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    members = saved(salted_join(keyed, groups, ["digest"], "doc_id").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    return docs, members
+
+
+def unnamed(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in pieces(batches, "text", "doc_id", 2 << 20):
+            n = np.bincount(shingles(texts, width)[0], minlength=len(texts))
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(n), pa.nulls(len(keys), pa.int64())], ["doc_id", "n_shingles", "component_id"])
+
+    return run
+
+
+def jaccard_pairs(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, block: int = BLOCK, longest: int = LONGEST, few: int = FEW) -> DataFrame:
+    """All links between different texts of docs(doc_id, text, ...): (a, b), a < b, each text by its least doc_id.
+
+    Together with which ids share a text this is every link. A class of g texts may have g * g / 2 of them. Rows and
+    ids are treated as in jaccard_links.
+    """
+    docs, members = distinct_texts(docs)
+    ordered = saved(profiles(docs, members, percent, width, longest).filter("size > 0"), "prefixes")
+    none = members.selectExpr("doc_id as id", "rep as component").limit(0)
+    found = residual_links(ordered, none, percent, block, few, every=True)
+    return none.selectExpr("id as a", "component as b") if found is None else found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, block: int = BLOCK, longest: int = LONGEST, few: int = FEW) -> DataFrame:
+    """Near-duplicate classes of docs(doc_id, text, ...): doc_id, n_shingles, component_id.
+
+    Null or empty text, and text of white space only, has an empty set and links with nothing. Rows with a null
+    doc_id keep their rows with a null component_id: no id names them, and they link with nothing. Rows that
+    repeat a doc_id count once (of several texts, the one with the least MD5). Other columns are ignored.
+    """
+    whole = docs
+    docs, members = distinct_texts(docs)
+    profile = profiles(docs, members, percent, width, longest)
+    ordered = saved(profile.filter("size > 0"), "prefixes")
     posts = ordered.select("doc_id", F.explode(F.slice("tokens", 1, F.col("size"))).alias("token"))
-    leaders = posts.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("df")).filter("df > 1")
-    coarse = components(posts.join(leaders, "token").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct())
-    group_sizes = coarse.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    # where a document goes is settled on ids alone; its shingles then move once to meet that, and once to their blocks
-    places = salted_join(coarse.withColumnRenamed("id", "doc_id"), group_sizes, ["component"], "doc_id").join(members.filter("doc_id = rep").select("doc_id", "copies"), "doc_id")
-    placed = (
-        ordered.join(places, "doc_id")
-        .withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    )
-    found = saved(placed.groupBy("component", "lo", "hi", "blocks").applyInArrow(verified(percent), "doc_id long, root long, links long, whole boolean"), "links")
-    split = components(found.filter("not whole and root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-    linked = found.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.first("whole").alias("whole"))
-    linked = linked.join(split, linked.doc_id == split.id, "left").select(F.col("doc_id").alias("rep"), "links", F.when(F.col("whole"), F.col("root")).otherwise(F.coalesce("component", "doc_id")).alias("class"))
-    sizes = saved(profile.select(F.col("doc_id").alias("rep"), "n").join(linked, "rep", "left"), "classes")
+    ends = posts.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    near = posts.join(ends, "token").select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("high").alias("a"), F.when(F.col("doc_id") != F.col("low"), F.col("doc_id")).alias("b")))).alias("p"))
+    near = saved(near.select("p.a", "p.b").filter("a <> b").distinct(), "near")
+    label = saved(components(linked(near, ordered, percent)), "classes")
+    more = residual_links(ordered, label, percent, block, few)
+    if more is not None:
+        of = lambda c: (label.select(F.col("id").alias(c), F.col("component").alias(f"{c}_class")))
+        both = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        over = saved(components(both.select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))), "classes")
+        over = over.select(F.col("id").alias("class"), F.col("component").alias("top"))
+        every = label.union(over.selectExpr("class as id", "class as component").join(label.select("id"), "id", "left_anti"))
+        label = saved(every.join(over, every.component == over["class"], "left").select("id", F.coalesce("top", "component").alias("component")), "classes")
+    sizes = saved(profile.join(label, profile.doc_id == label.id, "left").select(F.col("doc_id").alias("rep"), "n", F.coalesce("component", "doc_id").alias("class")), "sizes")
+    discard(near)
     single = members.filter("doc_id = rep").join(sizes, "rep", "left")
-    return single.unionByName(salted_join(members.filter("doc_id <> rep"), sizes, ["rep"], "doc_id")).select(
+    named = single.unionByName(salted_join(members.filter("doc_id <> rep"), sizes, ["rep"], "doc_id")).select(
         "doc_id",
         F.coalesce("n", F.lit(0)).alias("n_shingles"),
         F.when(F.coalesce("n", F.lit(0)) == 0, F.col("doc_id")).otherwise(F.coalesce("class", "rep")).alias("component_id"),
-        F.when(F.coalesce("n", F.lit(0)) == 0, 0).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
+    return named.union(whole.filter("doc_id is null").select("doc_id", "text").mapInArrow(unnamed(width), "doc_id long, n_shingles long, component_id long"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: doc_id, n_shingles, component_id. Edge cases as in jaccard_links."""
     return jaccard_links(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -9,7 +9,7 @@ import zlib
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from quillon.llm import ctw, decontam, fixity, jaccard, langid, media, mixing, pii, repeats, viterbi
+from quillon.llm import ctw, decontam, fixity, langid, media, mixing, pii, repeats, viterbi
 from quillon.llm.blocks import remainder
 from quillon.session import saved
 
@@ -142,75 +142,6 @@ def test_tree_is_a_mixture_over_all_depths():
     assert (2.0 ** tree.costs[row].astype(float))[:128].sum() == pytest.approx(predict(0, context), abs=0.01)
 
 
-# -- near duplicates
-def brute_links(text):
-    sets = {}
-    for i, t in text.items():
-        w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    parent, links = {i: i for i in sets}, collections.Counter()
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-                links[a] += 1
-                links[b] += 1
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), root(i), links[i]) for i in ids}
-
-
-@pytest.mark.parametrize("block", [1024, 3])
-def test_jaccard(docs, block):
-    got = by_id(jaccard.jaccard_links(docs, block=block))
-    assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == brute_links(texts_of(docs))
-
-
-def test_jaccard_near_group_in_blocks(spark):
-    base = [f"word{i}" for i in range(80)]
-    rows = [(i, " ".join(base[:70] + [f"x{i}", f"y{i}"])) for i in range(40)] + [(100 + i, f"lone{i} a b c d e f g {i}") for i in range(5)]
-    text = dict(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (7, 1024):
-        got = by_id(jaccard.jaccard_links(df, block=block))
-        assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == brute_links(text)
-
-
-def test_jaccard_copies_apart_and_repeated_rows(spark):
-    """Copies that different tasks read, rows that repeat, and an id with two texts of which the least digest counts."""
-    base = [" ".join(f"t{g}w{i}" for i in range(60)) for g in range(4)]
-    rows = [(7 * i + 3, base[i % 4] + (" end" if i % 5 == 0 else "")) for i in range(120)] + [(5000 + i, f"alone {i} " * 9) for i in range(20)]
-    two = sorted([base[0], "another text of its own with words enough"], key=lambda t: hashlib.md5(t.encode()).hexdigest())
-    df = spark.createDataFrame([*rows, *rows[:30], (9000, two[0]), (9000, two[1]), (9001, "")], "doc_id long, text string").repartition(7)
-    plain = spark.createDataFrame([*rows, (9000, two[0]), (9001, "")], "doc_id long, text string")
-    got = by_id(jaccard.jaccard_links(df))
-    assert {k: (r.n_shingles, r.component_id, r.n_links) for k, r in got.items()} == brute_links(texts_of(plain))
-
-
-def test_jaccard_edges(awkward, empty):
-    got = by_id(jaccard.jaccard_links(awkward))
-    text = {i: t for i, t in enumerate(TEXTS)}
-    assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == brute_links(text)
-    assert jaccard.jaccard_links(empty).count() == 0
-
-
-def test_packed_round_trip():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    for docs in (np.arange(5), np.array([3, 1 << 50, 7, 8, 9]), np.repeat(np.arange(3), 400)):
-        tokens = np.sort(rng.integers(0, 1 << 48, len(docs)).astype(np.uint64))
-        a, b = jaccard.unpacked(jaccard.packed(tokens, docs))
-        assert (a == tokens).all() and (b == docs).all()
-
-
 # -- repeated strings
 def brute_repeats(text, window):
     seen, out = set(), {}
