@@ -97,6 +97,18 @@ def unbundle(blob: bytes) -> list[np.ndarray]:
     return [wide(view[a:b]) for a, b in zip(ends, ends[1:])]
 
 
+def deltas(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted 64-bit numbers, at least one, in a form that packs well."""
+    step = np.diff(values)
+    return values[:1].view(np.int64), (step & np.uint64(0xFFFFFFFF)).view(np.int64), (step >> np.uint64(32)).view(np.int64)
+
+
+def summed(packed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The numbers of deltas()."""
+    first, low, high = (x.view(np.uint64) for x in packed)
+    return np.cumsum(np.r_[first, low | (high << np.uint64(32))], dtype=np.uint64)
+
+
 def sliced(order_by: np.ndarray) -> Iterator[tuple[int, slice]]:
     """From sorted numbers: each one that occurs, and where."""
     first = np.flatnonzero(np.r_[True, order_by[1:] != order_by[:-1]]) if len(order_by) else np.zeros(0, np.int64)
@@ -145,12 +157,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     discard(both)
     return label
-
-
-def by_runs(keys: np.ndarray, *columns: np.ndarray, most: int = 20_000) -> Iterator[tuple[np.ndarray, pa.Array, list[np.ndarray]]]:
-    """Columns ordered by key as lists for each key, some keys at a time: (keys, offsets, columns)."""
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    cuts = np.r_[first, len(keys)]
-    for i in range(0, len(first), most):
-        j = min(len(first), i + most)
-        yield keys[first[i:j]], pa.array((cuts[i : j + 1] - cuts[i]).astype(np.int32)), [c[cuts[i] : cuts[j]] for c in columns]

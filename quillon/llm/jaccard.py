@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quillon.llm.blocks import bucket_of, bundle, components, mixed, partitions, pieces, salted_join, sliced, unbundle
+from quillon.llm.blocks import bucket_of, bundle, components, deltas, mixed, partitions, pieces, salted_join, sliced, summed, unbundle
 from quillon.session import discard, saved
 
 WORDS, PERCENT, BLOCK, LONGEST, FEW, GROUP = 5, 75, 256, 16, 16, 512
@@ -117,9 +117,8 @@ def dealt(parts: int, width: int, hot, most: int = 3_000_000):
             bucket = ((value >> np.uint64(49)) * np.uint64(parts) >> np.uint64(15)).astype(np.int64)
             out = []
             for b, s in sliced(bucket):
-                delta = np.diff(value[s])
                 table, own = np.unique(owner[s], return_inverse=True)
-                out.append((b, bundle(value[s][:1].view(np.int64), (delta & np.uint64(0xFFFFFFFF)).view(np.int64), (delta >> np.uint64(32)).view(np.int64), ids[table], own)))
+                out.append((b, bundle(*deltas(value[s]), ids[table], own)))
                 if len(out) == 64:
                     yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], NAMES)
                     out.clear()
@@ -163,9 +162,8 @@ def shared(groups: int):
                     through.append((ids, n, ids[owner], at))
                     continue
                 bucket = b
-                first, low, high, table, own = found
-                value = np.cumsum(np.r_[first.view(np.uint64), low.view(np.uint64) | (high.view(np.uint64) << np.uint64(32))], dtype=np.uint64)
-                blocks.append((value, table[own]))
+                *value, table, own = found
+                blocks.append((summed(value), table[own]))
         none = np.zeros(0, np.int64)
         ids, n, hot_doc, hot_at = (np.concatenate(x) for x in zip(*through)) if through else (none,) * 4
         doc, place, df = none, none, none

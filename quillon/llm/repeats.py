@@ -1,18 +1,20 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through the threshold (100 bytes), most significant digit first, and a suffix
-that is alone after a pass is settled and leaves. Only equality matters, so a digit is a 64-bit fingerprint
-of a block of bytes, which is what lets whole runs of suffixes take a pass together:
-
-* pass 1: the least fingerprint of a 32-byte block inside the suffix's first 100 bytes. Equal windows have
-  equal digits. Neighbouring suffixes mostly share theirs; a maximal run of them is handled as one row.
-* pass 2, within a digit of pass 1: the fingerprint of the whole run's bytes. All but the first of equal runs
-  are repeats in every window. A run that is the only kind under its first digit holds no repeat.
-* pass 3, for what is left (the first run of each kind where a digit has several kinds, and runs that could
-  repeat inside themselves): the fingerprint of each 100-byte window.
-
-Every task keeps one row of each equal digit pair before anything is sent, so a passage in a third of all
-documents sends one row a task.
+Suffixes are ordered only through the threshold (100 bytes), most significant digit first; a group of one is
+settled after any pass and leaves, and the groups that are left after the last pass are exactly the repeated windows.
+
+* The first digit of a suffix is a fingerprint: the least one of a 32-byte block inside its first 100 bytes. Equal
+  windows have equal first digits, so this pass parts none of them. Neighbouring suffixes mostly share the digit; a
+  maximal run of them is one row. Only digits are shuffled, and runs alone under their digit are settled (1.7e9 suffixes a
+  GB cannot be shuffled one by one).
+* All further digits are raw bytes, eight at a time. Runs that are left send their bytes to the task of their first
+  digit. There whole runs are ordered first: all but the first of equal runs are repeats in every window. Of
+  the runs that remain, those whose digit has several kinds, and those that could repeat inside themselves, are
+  ordered window by window. Fingerprints decide where bytes meet, never that they are equal.
+
+Every task orders what it has before it sends anything, and keeps one row of equal ones, so a passage in a third of
+all documents sends one row a task. Digits with very many kinds (passages with many different surroundings) do not
+meet in one task: their windows are dealt by their own fingerprints. Texts are cut into pieces that overlap by a window.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quillon.llm.blocks import by_runs, mixed, partitions, pieces, utf8
+from quillon.llm.blocks import bucket_of, bundle, deltas, mixed, partitions, sliced, summed, unbundle
 from quillon.session import saved
 
-WINDOW, BLOCK = 100, 32
+WINDOW, BLOCK, PIECE, GROUP = 100, 32, 1 << 20, 512
+CROWD, CROWD_BITS = 4096, 22
 ODD = 0x9E3779B97F4A7C15 | 1
 LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+APART = np.uint64(0x94D049BB133111EB)
+NONE = np.zeros(0, np.int64)
 
 
 class Prints:
@@ -44,9 +49,6 @@ class Prints:
         self.sums = np.zeros(n, np.uint64)
         np.cumsum(LETTERS[data] * up[:-1], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
     def each(self, width: int) -> np.ndarray:
         return mixed((self.sums[width:] - self.sums[:-width]) * self.down[:-width])
 
@@ -60,56 +62,80 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - done)], values[width - done :]) if done < width else values
 
 
-def runs(texts: list[bytes], window: int, block: int) -> tuple[np.ndarray, ...] | None:
-    """Pass 1 on whole texts: (text, start, number of windows, digit 1, digit 2, could repeat inside)."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+def runs(data: np.ndarray, sizes: np.ndarray, window: int, block: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with the same first digit, in pieces of `sizes` bytes laid end to end: (piece, place in data, number of windows, digit, could repeat inside)."""
     many = np.maximum(sizes - window + 1, 0)
     if not many.sum():
-        return None
-    data = np.frombuffer(b"".join(texts), np.uint8)
+        return NONE, NONE, NONE, NONE.astype(np.uint64), NONE.astype(bool)
     begin = np.cumsum(sizes) - sizes
-    prints = Prints(data)
-    each = prints.each(block)
+    each = Prints(data).each(block)
     digit = least(each, window - block + 1)
-    again = np.r_[0, np.cumsum(each[: len(digit)] == digit)]
-    doc = np.repeat(np.arange(len(texts)), many)
+    again = np.r_[0, np.cumsum(each[: len(digit)] == digit, dtype=np.int32)]
+    piece = np.repeat(np.arange(len(sizes)), many)
     at = np.arange(int(many.sum())) + np.repeat(begin - (np.cumsum(many) - many), many)
     d = digit[at]
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (d[1:] != d[:-1])])
-    last = np.r_[first[1:], len(at)] - 1
-    left, right, doc = at[first], at[last], doc[first]
-    inside = again[right] - again[left] > 0
-    return doc, left - begin[doc], right - left + 1, d[first], prints.of(left, right + window), inside
-
-
-def window_prints(text: bytes, starts: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and fingerprints of all windows of the given runs of one text."""
-    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    return at, Prints(np.frombuffer(text, np.uint8)).of(at, at + window)
-
-
-def firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, then place: (order, whether an earlier place has the same key, index of each key's first row)."""
-    order = np.lexsort((start, doc, *keys[::-1]))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (d[1:] != d[:-1])])
+    left, right = at[first], at[np.r_[first[1:], len(at)] - 1]
+    return piece[first], left, right - left + 1, d[first], again[right] - again[left] > 0
+
+
+def ordered(data: np.ndarray, start: np.ndarray, size: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """Radix passes over strings of data: equal numbers for equal digit, size and bytes.
+
+    After each pass only groups of several strings go on, and only groups that the pass parts are sorted.
+    """
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    eight = np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))
+    order = np.lexsort((size, digit))
+    new = np.r_[True, (digit[order][1:] != digit[order][:-1]) | (size[order][1:] != size[order][:-1])] if len(order) else np.zeros(0, bool)
+    number = np.empty(len(start), np.int64)
     group = np.cumsum(new) - 1
+    number[order] = group
+    fresh = len(order)
+    held = np.bincount(group, minlength=1)[group] > 1 if len(order) else new
+    rows, group, depth = order[held], group[held], 0
+    while len(rows):
+        some = size[rows] > depth
+        rows, group = rows[some], group[some]
+        if not len(rows):
+            break
+        rest = size[rows] - depth
+        key = eight[start[rows] + depth].astype(np.uint64)
+        short = rest < 8
+        key[short] >>= (8 * (8 - rest[short])).astype(np.uint64)
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        width = np.diff(np.r_[first, len(rows)])
+        parted = np.add.reduceat(key != np.repeat(key[first], width), first) > 0
+        if parted.any():
+            mine = np.repeat(parted, width)
+            r, g, k = rows[mine], group[mine], key[mine]
+            o = np.lexsort((k, g))
+            r, g, k = r[o], g[o], k[o]
+            new = np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])]
+            g = np.cumsum(new) - 1
+            number[r] = g + fresh
+            several = np.bincount(g)[g] > 1
+            rows, group = np.r_[rows[~mine], r[several]], np.r_[group[~mine], g[several] + fresh]
+            fresh += int(new.sum())
+        depth += 8
+    return number
+
+
+def firsts(number: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first row of each number by place, rows with an earlier place under the same number)."""
+    order = np.lexsort((start, doc, number))
+    n = number[order]
+    first = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else NONE
+    group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(n)]))
     d, s = doc[order], start[order]
     later = (d != d[first][group]) | (s != s[first][group])
-    return order, later, first
+    return order[first], order[later]
 
 
-SPANS = "doc_id long, starts array<int>, ends array<int>"
-
-
-def span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row a document with its merged spans."""
+def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each document in order, without overlap."""
     if not len(doc):
-        return
+        return doc, start, end
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
     new = np.r_[True, doc[1:] != doc[:-1]]
@@ -117,201 +143,356 @@ def span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[p
     reach = np.maximum.accumulate(end + lift)
     fresh = new | np.r_[True, (start + lift)[1:] > reach[:-1]]
     first = np.flatnonzero(fresh)
-    doc, start, end = doc[first], start[first], (reach - lift)[np.r_[first[1:], len(reach)] - 1]
-    for ids, offsets, (s, e) in by_runs(doc, start.astype(np.int32), end.astype(np.int32)):
-        yield pa.record_batch([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(s)), pa.ListArray.from_arrays(offsets, pa.array(e))], ["doc_id", "starts", "ends"])
-
+    return doc[first], start[first], (reach - lift)[np.r_[first[1:], len(reach)] - 1]
 
-ROWS = "bucket int, kind byte, digits binary, more binary, doc binary, start binary, count binary"
-NAMES = ["bucket", "kind", "digits", "more", "doc", "start", "count"]
-DONE, OPEN = 0, 1
 
+ROWS, NAMES = "bucket int, kind byte, blob binary, data binary", ["bucket", "kind", "blob", "data"]
+MEET, KNOWN, SPAN, CROWDED = 0, 1, 2, 3
+TYPES = (pa.int32(), pa.int8(), pa.binary(), pa.binary())
 
-def narrow(x: np.ndarray) -> bytes:
-    """Integers from their least value on, in as few bytes as the widest needs."""
-    if not len(x):
-        return b""
-    low = int(x.min())
-    top = int(x.max()) - low
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)
-    return np.array([low, np.dtype(kind).itemsize], np.int64).tobytes() + (x - low).astype(kind).tobytes()
 
+def batched(rows: Iterator[tuple], most: int = 64) -> Iterator[pa.RecordBatch]:
+    out = []
+    for r in rows:
+        out.append(r)
+        if len(out) == most:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
+            out = []
+    if out:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
 
-def wide(blob: bytes) -> np.ndarray:
-    if not blob:
-        return np.zeros(0, np.int64)
-    low, size = np.frombuffer(blob, np.int64, 2)
-    return np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[int(size)], -1, 16).astype(np.int64) + low
 
+def home(digit: np.ndarray, parts: int) -> np.ndarray:
+    """The task of each first digit; in the order of digits."""
+    return ((digit >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
 
-def sent(parts: int, digit: np.ndarray, more: np.ndarray | None, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by digit, as one block for each task that will hold them."""
-    bucket = ((digit >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
-    cuts = np.searchsorted(bucket, np.arange(parts + 1))
-    for i in range(0, parts, 64):
-        some = [(b, slice(cuts[b], cuts[b + 1])) for b in range(i, min(parts, i + 64)) if cuts[b + 1] > cuts[b]]
-        cols = [[x[s].tobytes() if x is not None else b"" for _, s in some] for x in (digit, more)] + [[narrow(x[s]) for _, s in some] for x in (doc, start, count)]
-        yield pa.record_batch([pa.array([b for b, _ in some], pa.int32()), pa.array([OPEN] * len(some), pa.int8()), *(pa.array(c, pa.binary()) for c in cols)], NAMES)
 
-
-def settled(bucket: int, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Repeats that need no other task, passed through."""
-    if len(doc):
-        yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([DONE], pa.int8()), *(pa.array([x], pa.binary()) for x in (b"", b"", narrow(doc), narrow(start), narrow(count)))], NAMES)
+def texts_in(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+    """Rows of (doc_id, bytes of the text as an array without a copy, other columns' values)."""
+    for batch in batches:
+        ids, others = batch.column("doc_id").to_pylist(), [batch.column(c) for c in more]
+        for i, (key, text) in enumerate(zip(ids, batch.column("text"))):
+            raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
+            yield key, raw, *(c[i] for c in others)
 
 
-def sort_runs(parts: int, window: int, block: int, most: int = 1_000_000):
-    """Passes 1 and 2 inside a task."""
+def sort_runs(parts: int, window: int, block: int, piece: int, most: int = 16 << 20):
+    """Orders the runs of a task; sends first digits to where they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            doc, start, count, digit, more, inside = (np.concatenate(x) for x in zip(*held))
-            order, later, first = firsts((digit, more), doc, start)
-            far = order[later]
-            yield from settled(int(doc[0]) % parts, doc[far], start[far], count[far])
-            keep = order[first]
-            yield from sent(parts, digit[keep], more[keep], doc[keep], start[keep], np.where(inside[keep], -count[keep], count[keep]))
-
-        for keys, texts in pieces(batches, "text", "doc_id", 3 << 20):
-            if (found := runs(texts, window, block)) is not None:
-                held.append((np.array(keys, np.int64)[found[0]], *found[1:]))
-                size += len(found[0])
-            if size >= most:
-                yield from flush()
-                held, size = [], 0
+        held: list[tuple] = []  # data, then runs in it: document, start in its text, place in data, windows, digit, inside
+        waiting: list[tuple[int, int, np.ndarray]] = []
+        size = waits = 0
+
+        def wait_over() -> None:
+            nonlocal waits
+            keys, offsets, raws = (np.array(x) if i < 2 else x for i, x in enumerate(zip(*waiting)))
+            sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+            data = np.concatenate(raws)
+            found, place, count, digit, inside = runs(data, sizes, window, block)
+            begin = np.cumsum(sizes) - sizes
+            held.append((data, keys[found], place - begin[found] + offsets[found], place, count, digit, inside))
+            waiting.clear()
+            waits = 0
+
+        def flush() -> Iterator[tuple]:
+            base = np.cumsum([0] + [len(h[0]) for h in held])
+            data, doc, start, count, digit, inside = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2, 4, 5, 6))
+            place = np.concatenate([h[3] + b for h, b in zip(held, base)])
+            held.clear()
+            if not len(doc):
+                return
+            keep, far = firsts(ordered(data, place, count + window - 1, digit), doc, start)
+            through = int(doc[0]) % parts
+            if len(far):
+                yield through, SPAN, bundle(*merged(doc[far], start[far], start[far] + count[far] + window - 1)), None
+            doc, start, count, digit, inside = (x[keep] for x in (doc, start, count, digit, inside))
+            order = np.argsort(digit, kind="stable")
+            doc, start, count, digit, inside = (x[order] for x in (doc, start, count, digit, inside))
+            first = np.flatnonzero(np.r_[True, digit[1:] != digit[:-1]])
+            kinds = np.diff(np.r_[first, len(digit)])
+            known = (kinds > 1) | (np.add.reduceat(inside, first) > 0)
+            mine = np.repeat(known, kinds)
+            if mine.any():
+                yield through, KNOWN, bundle(doc[mine], start[mine], np.where(inside[mine], -count[mine], count[mine])), None
+            # a digit that is known to go on sends the number of its kinds only
+            doc, start, count, digit = doc[first], start[first], np.where(known, -kinds, count[first]), digit[first]
+            for b, s in sliced(home(digit, parts)):
+                yield b, MEET, bundle(*deltas(digit[s]), doc[s], start[s], count[s]), None
+
+        for key, raw in texts_in(batches):
+            for a in range(0, max(len(raw) - window + 1, 0), piece):
+                part = raw[a : a + piece + window - 1]
+                waiting.append((key, a, part.copy()))
+                waits += len(part)
+                size += len(part)
+                if waits >= piece:
+                    wait_over()
+                if size >= most:
+                    if waiting:
+                        wait_over()
+                    yield from batched(flush())
+                    size = 0
+        if waiting:
+            wait_over()
         if held:
-            yield from flush()
+            yield from batched(flush())
 
     return run
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list, list]:
-    done, open_ = [], []
+def by_group(groups: int, kind: int, doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    at = bucket_of(doc, groups)
+    order = np.argsort(at, kind="stable")
+    doc, *columns = (x[order] for x in (doc, *columns))
+    for b, s in sliced(at[order]):
+        yield b, kind, bundle(doc[s], *(c[s] for c in columns)), None
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list]:
+    found: dict[int, list] = {}
     for batch in batches:
-        for kind, digits, more, doc, start, count in zip(*(batch.column(c).to_pylist() for c in NAMES[1:])):
-            place = (wide(doc), wide(start), wide(count))
-            if kind == DONE:
-                done.append(place)
-            else:
-                open_.append((np.frombuffer(digits, np.uint64), np.frombuffer(more, np.uint64), *place))
-    return [np.concatenate(x) for x in zip(*done)] if done else [np.zeros(0, np.int64)] * 3, [np.concatenate(x) for x in zip(*open_)] if open_ else []
+        for kind, blob, data in zip(*(batch.column(c).to_pylist() for c in NAMES[1:])):
+            found.setdefault(kind, []).append((*unbundle(blob), *([] if data is None else [np.frombuffer(data, np.uint8)])))
+    return found
+
+
+def joined(rows: list | None, n: int) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*rows)] if rows else [NONE] * n
 
 
-def merge_runs(window: int):
-    """Passes 1 and 2 across tasks: spans to remove (kind 0) and runs left for pass 3 (kind 1: starts and counts)."""
+def meet(groups: int, window: int):
+    """Runs whose first digit other runs have too, for the groups of their documents; digits with very many kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (doc, start, count), rows = gathered(batches)
-        left = None
-        if rows:
-            digit, more, d, s, c = rows
-            order, later, first = firsts((digit, more), d, s)
-            far = order[later]
-            doc, start, count = np.r_[doc, d[far]], np.r_[start, s[far]], np.r_[count, np.abs(c[far])]
-            keep = order[first]
-            same = np.r_[False, digit[keep][1:] == digit[keep][:-1]]
-            keep = keep[same | np.r_[same[1:], False] | (c[keep] < 0)]
-            left = d[keep], s[keep], np.abs(c[keep])
-        for b in span_rows(doc, start, start + count + window - 1):
-            yield pa.record_batch([pa.array(np.zeros(b.num_rows, np.int8)), *b.columns], ["kind", "doc_id", "starts", "ends"])
-        if left is not None and len(left[0]):
-            order = np.argsort(left[0], kind="stable")
-            for ids, offsets, (s, c) in by_runs(left[0][order], left[1][order].astype(np.int32), left[2][order].astype(np.int32)):
-                yield pa.record_batch([pa.array(np.ones(len(ids), np.int8)), pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(s)), pa.ListArray.from_arrays(offsets, pa.array(c))], ["kind", "doc_id", "starts", "ends"])
+        found = gathered(batches)
+        doc, start, count = joined(found.get(KNOWN), 3)
+        span = joined(found.get(SPAN), 3)
+        crowds = []
+        if MEET in found:
+            digit = np.concatenate([summed(r[:3]) for r in found[MEET]])
+            d, s, c = joined([r[3:] for r in found[MEET]], 3)
+            order = np.argsort(digit, kind="stable")
+            digit, d, s, c = digit[order], d[order], s[order], c[order]
+            first = np.flatnonzero(np.r_[True, digit[1:] != digit[:-1]])
+            kinds = np.add.reduceat(np.where(c < 0, -c, 1), first)
+            # a known digit of one kind could repeat inside; a digit of one task has no one to meet
+            here = (np.repeat(kinds, np.diff(np.r_[first, len(digit)])) > 1) & (c > 0)
+            doc, start, count = np.r_[doc, d[here]], np.r_[start, s[here]], np.r_[count, c[here]]
+            big = kinds >= CROWD
+            if big.any():
+                crowds.append((0, CROWDED, bundle(digit[first[big]].view(np.int64), kinds[big]), None))
+            crowds.append((0, CROWDED, bundle(NONE, np.array([kinds.sum()])), None))
+        yield from batched(iter(crowds))
+        yield from batched(by_group(groups, KNOWN, doc, start, count))
+        yield from batched(by_group(groups, SPAN, *span))
 
     return run
 
 
-def sort_windows(parts: int, window: int, most: int = 2_000_000):
-    """Pass 3 inside a task."""
+def lists(doc: np.ndarray, *columns: np.ndarray, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """A row for each document (doc is sorted) with its values as lists."""
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else NONE
+    cuts = np.r_[first, len(doc)]
+    for i in range(0, len(first), most):
+        j = min(len(first), i + most)
+        offsets = pa.array((cuts[i : j + 1] - cuts[i]).astype(np.int32))
+        yield pa.record_batch([pa.array(doc[first[i:j]]), *(pa.ListArray.from_arrays(offsets, pa.array(c[cuts[i] : cuts[j]])) for c in columns)], ["doc_id", "starts", "ends"])
+
+
+SPANS = "doc_id long, starts array<long>, ends array<long>"
+
+
+def left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's runs that go on: starts, and numbers of windows as ends."""
+    doc, start, count = joined(gathered(batches).get(KNOWN), 3)
+    order = np.lexsort((start, doc))
+    yield from lists(doc[order], start[order], count[order])
+
+
+def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from lists(*merged(*joined(gathered(batches).get(SPAN), 3)))
+
+
+def picked(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The strings of data end to end."""
+    at = np.arange(int(size.sum()), dtype=np.int64) + np.repeat(start - (np.cumsum(size) - size), size)
+    return data[at]
+
+
+def windows(place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each window of runs: (its run, its place)."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + place[owner]
+
+
+def first_digits(data: np.ndarray, place: np.ndarray, sizes: np.ndarray, window: int, block: int, crowded: np.ndarray, most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First digits of the strings of data, each a run, some strings at a time; and the prints of windows of those that are crowded."""
+    a = 0
+    while a < len(place):
+        b = max(a + 1, int(np.searchsorted(place, place[a] + most, "right")) - 1)
+        begin = place[a:b] - place[a]
+        prints = Prints(data[place[a] : place[b - 1] + sizes[b - 1]])
+        # the least block of a run is in its first window, as in all others
+        digit = np.minimum.reduceat(np.r_[prints.each(block), np.uint64(0)], np.ravel(np.column_stack([begin, begin + window - block + 1])))[::2]
+        at = windows(begin[many], sizes[a:b][many] - window + 1)[1] if len(crowded) and (many := within(digit, crowded)).any() else NONE
+        yield digit, mixed(prints.each(window)[at] ^ APART) if len(at) else NONE.astype(np.uint64)
+        a = b
+
+
+def within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def send_bytes(parts: int, window: int, block: int, crowd, most: int = 8 << 20):
+    """Bytes of the runs that go on, in order and each once, to the tasks of their digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            doc, start, digit = (np.concatenate(x) for x in zip(*held))
-            order, later, first = firsts((digit,), doc, start)
-            far, keep = order[later], order[first]
-            yield from settled(int(doc[0]) % parts, doc[far], start[far], np.ones(len(far), np.int64))
-            yield from sent(parts, digit[keep], None, doc[keep], start[keep], np.ones(len(keep), np.int64))
-
-        for batch in batches:
-            for doc, text, starts, counts in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("starts"), batch.column("ends")):
-                at, digit = window_prints(text, starts.values.to_numpy().astype(np.int64), counts.values.to_numpy().astype(np.int64), window)
-                held.append((np.full(len(at), doc), at, digit))
-                size += len(at)
+        crowded = crowd.value
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> Iterator[tuple]:
+            data, doc, start, count = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            inside, count = count < 0, np.abs(count)
+            sizes = count + window - 1
+            place = np.cumsum(sizes) - sizes
+            digit, each = (np.concatenate(x) for x in zip(*first_digits(data, place, sizes, window, block, crowded)))
+            if len(each):
+                many = within(digit, crowded)
+                owner, at = windows(place[many], count[many])
+                rest = ~many
+                doc, start = np.r_[doc[rest], doc[many][owner]], np.r_[start[rest], start[many][owner] + at - place[many][owner]]
+                place, count, digit, inside = np.r_[place[rest], at], np.r_[count[rest], np.ones(len(at), np.int64)], np.r_[digit[rest], each], np.r_[inside[rest], np.zeros(len(at), bool)]
+                sizes = count + window - 1
+            keep, far = firsts(ordered(data, place, sizes, digit), doc, start)
+            if len(far):
+                yield int(doc[0]) % parts, SPAN, bundle(*merged(doc[far], start[far], start[far] + sizes[far])), None
+            keep = keep[np.argsort(digit[keep], kind="stable")]
+            for b, s in sliced(home(digit[keep], parts)):
+                k = keep[s]
+                yield b, MEET, bundle(*deltas(digit[k]), doc[k], start[k], np.where(inside[k], -count[k], count[k])), picked(data, place[k], sizes[k]).tobytes()
+
+        for key, raw, starts, counts in texts_in(batches, "starts", "ends"):
+            start, count = starts.values.to_numpy(), counts.values.to_numpy()
+            ends = np.cumsum(np.abs(count) + window - 1)
+            for i in range(0, int(ends[-1]), most):
+                a, b = np.searchsorted(ends, [i, i + most], "right") if i else (0, np.searchsorted(ends, most, "right"))
+                if i + most >= ends[-1]:
+                    b = len(ends)
+                if b > a:
+                    held.append((picked(raw, start[a:b], np.abs(count[a:b]) + window - 1), np.full(b - a, key), start[a:b], count[a:b]))
+                    size += len(held[-1][0])
                 if size >= most:
-                    yield from flush()
-                    held, size = [], 0
+                    yield from batched(flush())
+                    size = 0
         if held:
-            yield from flush()
+            yield from batched(flush())
 
     return run
 
 
-def merge_windows(window: int):
+def sort_bytes(groups: int, window: int, most: int = 300_000):
+    """Orders all runs of a digit by their bytes, then the windows of what could still repeat: repeated spans for the groups of documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (doc, start, count), rows = gathered(batches)
-        if rows:
-            digit, _, d, s, c = rows
-            order, later, _ = firsts((digit,), d, s)
-            far = order[later]
-            doc, start, count = np.r_[doc, d[far]], np.r_[start, s[far]], np.r_[count, c[far]]
-        yield from span_rows(doc, start, start + count + window - 1)
+        found = gathered(batches)
+        span = found.get(SPAN, [])
+        if MEET in found:
+            rows = found.pop(MEET)
+            digit = np.concatenate([summed(r[:3]) for r in rows])
+            doc, start, count, data = joined([r[3:] for r in rows], 4)
+            del rows
+            inside, count = count < 0, np.abs(count)
+            sizes = count + window - 1
+            place = np.cumsum(sizes) - sizes
+            keep, far = firsts(ordered(data, place, sizes, digit), doc, start)
+            span.append(merged(doc[far], start[far], start[far] + sizes[far]))
+            keep = keep[np.argsort(digit[keep], kind="stable")]
+            d = digit[keep]
+            first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            kinds = np.diff(np.r_[first, len(d)])
+            keep = keep[np.repeat((kinds > 1) | (np.add.reduceat(inside[keep], first) > 0), kinds)]
+            # some digits at a time
+            d, total = digit[keep], np.cumsum(count[keep])
+            a = 0
+            while a < len(keep):
+                b = int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right"))
+                b = int(np.searchsorted(d, d[max(a, b - 1)], "right"))
+                k = keep[a:b]
+                owner, at = windows(place[k], count[k])
+                w_doc, w_start = doc[k][owner], start[k][owner] + at - place[k][owner]
+                _, far = firsts(ordered(data, at, np.full(len(at), window), digit[k][owner]), w_doc, w_start)
+                span.append(merged(w_doc[far], w_start[far], w_start[far] + window))
+                a = b
+        yield from batched(by_group(groups, SPAN, *merged(*joined(span, 3))))
 
     return run
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge a document's spans and take them out of its bytes."""
-    for batch in batches:
-        out = []
-        for doc, text, starts, ends in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("starts"), batch.column("ends")):
-            spans: list[list[int]] = []
-            if starts.is_valid:
-                for s, e in sorted(zip(starts.values.to_pylist(), ends.values.to_pylist())):
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], e)
-                    else:
-                        spans.append([s, e])
-            kept = hashlib.sha256()
-            at = 0
-            for s, e in spans:
-                kept.update(text[at:s])
-                at = e
-            kept.update(text[at:])
-            out.append((doc, len(text), sum(e - s for s, e in spans), len(spans), kept.hexdigest(), ",".join(f"{s}:{e}" for s, e in spans)))
-        if out:
-            yield pa.record_batch([pa.array(c) for c in zip(*out)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes a document's spans out of its bytes."""
+    out = []
+    for doc, raw, starts, ends in texts_in(batches, "starts", "ends"):
+        spans = [(s, min(e, len(raw))) for s, e in zip(starts.values.to_pylist(), ends.values.to_pylist()) if s < len(raw)] if starts.is_valid else []
+        kept = hashlib.sha256()
+        at = 0
+        for s, e in spans:
+            kept.update(raw[at:s])
+            at = e
+        kept.update(raw[at:])
+        out.append((doc, len(raw), sum(e - s for s, e in spans), len(spans), kept.hexdigest(), ",".join(f"{s}:{e}" for s, e in spans)))
+        if len(out) == 5000:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.string(),) * 2)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            out = []
+    if out:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.string(),) * 2)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+
+def kinds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digits with many kinds; without a digit the kinds of all."""
+    for digit, n in gathered(batches).get(CROWDED, []):
+        yield pa.record_batch([pa.array(digit) if len(digit) else pa.nulls(1, pa.int64()), pa.array(n)], ["digit", "n"])
+
+
+def crowds(met: DataFrame) -> np.ndarray:
+    """Sorted first digits with at least CROWD kinds and a 2**-CROWD_BITS part of all kinds, so at most 2**CROWD_BITS of them."""
+    kinds = met.filter(F.col("kind") == CROWDED).mapInArrow(kinds_of, "digit long, n long")
+    total = kinds.filter("digit is null").agg(F.sum("n")).first()[0] or 0
+    found = kinds.filter(F.col("digit").isNotNull() & (F.col("n") >= max(CROWD, total >> CROWD_BITS))).toArrow()
+    return np.sort(found["digit"].to_numpy().view(np.uint64))
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """For docs(doc_id, text, ...): each document's size, the bytes that repeat an earlier window, and what is left.
 
     A byte is removed if a `window`-byte string over it also starts earlier (at a smaller doc_id, or earlier
     in the same document). Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start:end in
     bytes). Null text is empty. Texts shorter than the window lose nothing, and neither do rows with a null
-    doc_id. Rows that share a doc_id have one place: none counts as earlier than the other, and spans found
-    in one apply to all. Other columns are ignored.
+    doc_id, which have no place among the others. Rows that share a doc_id have one place: none counts as earlier
+    than the other, and spans found in one apply to all, as far as each reaches. Other columns are ignored.
     """
-    parts = min(partitions(docs.sparkSession), 65536)
+    spark = docs.sparkSession
+    parts = min(partitions(spark), 65536)
+    groups = max(1, min(parts, docs.count() // GROUP))
     texts = docs.filter("doc_id is not null").select("doc_id", "text")
-    sorted_ = saved(texts.mapInArrow(sort_runs(parts, window, block), ROWS).repartitionById(parts, "bucket").mapInArrow(merge_runs(window), f"kind byte, {SPANS}"), "runs")
-    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")]
+    met = saved(texts.mapInArrow(sort_runs(parts, window, block, piece), ROWS).repartitionById(parts, "bucket").mapInArrow(meet(groups, window), ROWS), "runs")
+    crowd = spark.sparkContext.broadcast(crowds(met))
+    left = met.filter(F.col("kind") == KNOWN).repartitionById(groups, "bucket").mapInArrow(left_over, SPANS)
     held = texts.repartition(max(parts, 2), "doc_id")
-    left = sorted_.filter("kind = 1").groupBy("doc_id").agg(*lists)
-    windows = held.join(left.hint("shuffle_hash"), "doc_id").mapInArrow(sort_windows(parts, window), ROWS)
-    spans = windows.repartitionById(parts, "bucket").mapInArrow(merge_windows(window), SPANS)
-    every = sorted_.filter("kind = 0").drop("kind").union(spans).groupBy("doc_id").agg(*lists)
+    sent = held.join(left.hint("shuffle_hash"), "doc_id").mapInArrow(send_bytes(parts, window, block, crowd), ROWS)
+    spans = sent.repartitionById(parts, "bucket").mapInArrow(sort_bytes(groups, window), ROWS)
+    every = met.filter(F.col("kind") == SPAN).union(spans).repartitionById(groups, "bucket").mapInArrow(spans_of, SPANS)
     out = held.join(every.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts", "ends").mapInArrow(cut, OUT)
-    loose = docs.filter("doc_id is null").selectExpr("doc_id", "text", "cast(null as array<int>) starts", "cast(null as array<int>) ends").mapInArrow(cut, OUT)
+    loose = docs.filter("doc_id is null").selectExpr("doc_id", "text", "cast(null as array<long>) starts", "cast(null as array<long>) ends").mapInArrow(cut, OUT)
     return out.union(loose)
 
 
 def op4_repeats(spark, sf_dir: str) -> DataFrame:
+    """Repeated 100-byte strings of all documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans. Edge cases as in repeated_spans."""
     return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -9,7 +9,7 @@ import zlib
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from quillon.llm import ctw, decontam, fixity, langid, media, mixing, pii, repeats, viterbi
+from quillon.llm import ctw, decontam, fixity, langid, media, mixing, pii, viterbi
 from quillon.llm.blocks import remainder
 from quillon.session import saved
 
@@ -142,39 +142,6 @@ def test_tree_is_a_mixture_over_all_depths():
     assert (2.0 ** tree.costs[row].astype(float))[:128].sum() == pytest.approx(predict(0, context), abs=0.01)
 
 
-# -- repeated strings
-def brute_repeats(text, window):
-    seen, out = set(), {}
-    for i in sorted(text):
-        b = (text[i] or "").encode()
-        gone = bytearray(len(b))
-        for s in range(len(b) - window + 1):
-            w = b[s : s + window]
-            if w in seen:
-                gone[s : s + window] = b"\1" * window
-            seen.add(w)
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        spans = sum(1 for j in range(len(gone)) if gone[j] and not (j and gone[j - 1]))
-        out[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    return out
-
-
-def removed(df):
-    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect() if r.doc_id is not None}
-
-
-def test_repeats(docs, awkward, empty):
-    assert removed(repeats.repeated_spans(docs)) == brute_repeats(texts_of(docs), 100)
-    assert removed(repeats.repeated_spans(awkward)) == brute_repeats(dict(enumerate(TEXTS)), 100)
-    assert repeats.repeated_spans(empty).count() == 0
-
-
-def test_repeats_periodic_and_edges(spark):
-    text = {1: "ab" * 90 + "c", 2: "x" + "ab" * 60, 3: "line of text shared by all " * 6, 4: "zz" + "line of text shared by all " * 5, 5: "q" * 99, 6: "q" * 100, 7: "q" * 101}
-    df = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(4)
-    assert removed(repeats.repeated_spans(df)) == brute_repeats(text, 100)
-
-
 # -- personal data
 def test_pii(spark, awkward, empty):
     text = (
