@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +69,20 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, key: str, most: int = 4
         yield keys, texts
 
 
+def trimmed(run: Callable) -> Callable:
+    """run for mapInArrow, after which the worker, which waits for its next task, gives free memory back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def narrow(x: np.ndarray) -> bytes:
     """Integers from their least value on, in as few bytes as the widest needs."""
     if not len(x):

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quillon.llm.blocks import bucket_of, bundle, components, deltas, mixed, partitions, pieces, salted_join, sliced, summed, unbundle
+from quillon.llm.blocks import bucket_of, bundle, components, deltas, mixed, partitions, pieces, salted_join, sliced, summed, trimmed, unbundle
 from quillon.session import discard, saved
 
 WORDS, PERCENT, BLOCK, LONGEST, FEW, GROUP = 5, 75, 256, 16, 16, 512
@@ -93,7 +93,7 @@ def frequent(docs: DataFrame, total: int, width: int) -> tuple[np.ndarray, np.nd
     return value[order], n[order] * rate
 
 
-def dealt(parts: int, width: int, hot, most: int = 3_000_000):
+def dealt(parts: int, width: int, hot, most: int = 1_500_000):
     """Blocks of shingles for each of `parts` tasks; set sizes and very frequent shingles to one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +111,8 @@ def dealt(parts: int, width: int, hot, most: int = 3_000_000):
             often = known[at] == value if len(known) else np.zeros(len(value), bool)
             blob = bundle(ids, np.concatenate(sizes), owner[often], at[often])
             yield pa.record_batch([pa.array([int(ids[0]) % parts], pa.int32()), pa.array([THROUGH], pa.int32()), pa.array([blob], pa.binary())], NAMES)
-            value, owner = value[~often], owner[~often]
             order = np.argsort(value, kind="stable")  # owners are in order
+            order = order[~often[order]]
             value, owner = value[order], owner[order]
             bucket = ((value >> np.uint64(49)) * np.uint64(parts) >> np.uint64(15)).astype(np.int64)
             out = []
@@ -125,7 +125,7 @@ def dealt(parts: int, width: int, hot, most: int = 3_000_000):
             if out:
                 yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], NAMES)
 
-        for keys, texts in pieces(batches, "text", "doc_id", 2 << 20):
+        for keys, texts in pieces(batches, "text", "doc_id", 1 << 20):
             fresh, start = [], len(least)
             for k, t in zip(keys, texts):
                 i = place.setdefault(xxhash.xxh3_128_digest(t), len(least))
@@ -136,7 +136,7 @@ def dealt(parts: int, width: int, hot, most: int = 3_000_000):
                     least[i] = min(least[i], k)
             doc, value = shingles(fresh, width)
             values.append(value)
-            owners.append(doc + start)
+            owners.append((doc + start).astype(np.int32))
             sizes.append(np.bincount(doc, minlength=len(fresh)))
             held += len(doc) + 8 * len(fresh)
             if held >= most:
@@ -384,10 +384,10 @@ def profiles(docs: DataFrame, members: DataFrame, percent: int, width: int, long
     total, parts = docs.count(), min(partitions(spark), 32768)
     groups = max(1, min(parts, total // GROUP))
     hot = spark.sparkContext.broadcast(frequent(docs, total, width))
-    blocks = docs.mapInArrow(dealt(parts, width, hot), BLOBS).repartitionById(parts, "bucket")
+    blocks = docs.mapInArrow(trimmed(dealt(parts, width, hot)), BLOBS).repartitionById(parts, "bucket")
     copied = members.filter("doc_id <> rep").select("doc_id").mapInArrow(copies_dealt(groups), BLOBS)
-    met = blocks.mapInArrow(shared(groups), BLOBS).union(copied).repartitionById(groups, "bucket")
-    return saved(met.mapInArrow(profiled(percent, longest, hot), PROFILE), "profiles")
+    met = blocks.mapInArrow(trimmed(shared(groups)), BLOBS).union(copied).repartitionById(groups, "bucket")
+    return saved(met.mapInArrow(trimmed(profiled(percent, longest, hot)), PROFILE), "profiles")
 
 
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quillon.llm.blocks import bucket_of, bundle, deltas, mixed, partitions, sliced, summed, unbundle
+from quillon.llm.blocks import bucket_of, bundle, deltas, mixed, partitions, sliced, summed, trimmed, unbundle
 from quillon.session import saved
 
 WINDOW, BLOCK, PIECE, GROUP = 100, 32, 1 << 20, 512
@@ -481,12 +481,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, pi
     parts = min(partitions(spark), 65536)
     groups = max(1, min(parts, docs.count() // GROUP))
     texts = docs.filter("doc_id is not null").select("doc_id", "text")
-    met = saved(texts.mapInArrow(sort_runs(parts, window, block, piece), ROWS).repartitionById(parts, "bucket").mapInArrow(meet(groups, window), ROWS), "runs")
+    met = saved(texts.mapInArrow(trimmed(sort_runs(parts, window, block, piece)), ROWS).repartitionById(parts, "bucket").mapInArrow(trimmed(meet(groups, window)), ROWS), "runs")
     crowd = spark.sparkContext.broadcast(crowds(met))
     left = met.filter(F.col("kind") == KNOWN).repartitionById(groups, "bucket").mapInArrow(left_over, SPANS)
     held = texts.repartition(max(parts, 2), "doc_id")
-    sent = held.join(left.hint("shuffle_hash"), "doc_id").mapInArrow(send_bytes(parts, window, block, crowd), ROWS)
-    spans = sent.repartitionById(parts, "bucket").mapInArrow(sort_bytes(groups, window), ROWS)
+    sent = held.join(left.hint("shuffle_hash"), "doc_id").mapInArrow(trimmed(send_bytes(parts, window, block, crowd)), ROWS)
+    spans = sent.repartitionById(parts, "bucket").mapInArrow(trimmed(sort_bytes(groups, window)), ROWS)
     every = met.filter(F.col("kind") == SPAN).union(spans).repartitionById(groups, "bucket").mapInArrow(spans_of, SPANS)
     out = held.join(every.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts", "ends").mapInArrow(cut, OUT)
     loose = docs.filter("doc_id is null").selectExpr("doc_id", "text", "cast(null as array<long>) starts", "cast(null as array<long>) ends").mapInArrow(cut, OUT)
