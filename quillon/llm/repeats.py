@@ -76,7 +76,8 @@ def runs(data: np.ndarray, sizes: np.ndarray, window: int, block: int) -> tuple[
     d = digit[at]
     first = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (d[1:] != d[:-1])])
     left, right = at[first], at[np.r_[first[1:], len(at)] - 1]
-    return piece[first], left, right - left + 1, d[first], again[right] - again[left] > 0
+    # mixed once more, as least values crowd at the low end
+    return piece[first], left, right - left + 1, mixed(d[first]), again[right] - again[left] > 0
 
 
 def ordered(data: np.ndarray, start: np.ndarray, size: np.ndarray, digit: np.ndarray) -> np.ndarray:
@@ -334,7 +335,7 @@ def first_digits(data: np.ndarray, place: np.ndarray, sizes: np.ndarray, window:
         begin = place[a:b] - place[a]
         prints = Prints(data[place[a] : place[b - 1] + sizes[b - 1]])
         # the least block of a run is in its first window, as in all others
-        digit = np.minimum.reduceat(np.r_[prints.each(block), np.uint64(0)], np.ravel(np.column_stack([begin, begin + window - block + 1])))[::2]
+        digit = mixed(np.minimum.reduceat(np.r_[prints.each(block), np.uint64(0)], np.ravel(np.column_stack([begin, begin + window - block + 1])))[::2])
         at = windows(begin[many], sizes[a:b][many] - window + 1)[1] if len(crowded) and (many := within(digit, crowded)).any() else NONE
         yield digit, mixed(prints.each(window)[at] ^ APART) if len(at) else NONE.astype(np.uint64)
         a = b
