@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from quillon.functions.porter import porter_all
 
 # English stop words.
 STOPWORDS = (
@@ -40,11 +41,51 @@ def stem(term: Column) -> Column:
     )
 
 
+# The stop words of the English analyzer of a widespread search library.
+SEARCH_STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+
+# The Penn Treebank tokenizer's rules, in order.
+TREEBANK = [
+    (r'^"', "`` "), (r"(``)", " $1 "), (r'([ (\[{<])("|\'\')', "$1 `` "),
+    (r"([:,])([^0-9])", " $1 $2"), (r"([:,])$", " $1 "), (r"\.\.\.", " ... "), (r"([;@#$%&])", " $1 "),
+    (r"""([^.])(\.)([\])}>"']*)\s*$""", "$1 $2$3 "), (r"([?!])", " $1 "), (r"([^'])' ", "$1 ' "),
+    (r"([\]\[(){}<>])", " $1 "), (r"--", " -- "), (r'"', " '' "), (r"([^\s])('')", "$1 $2 "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "), (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    (r"(?i)\b(can)(not)\b", "$1 $2"), (r"(?i)\b(d)('ye)\b", "$1 $2"), (r"(?i)\b(gim)(me)\b", "$1 $2"), (r"(?i)\b(gon)(na)\b", "$1 $2"),
+    (r"(?i)\b(got)(ta)\b", "$1 $2"), (r"(?i)\b(lem)(me)\b", "$1 $2"), (r"(?i)\b(more)('n)\b", "$1 $2"), (r"(?i)\b(wan)(na)\b", "$1 $2"),
+]
+ENDINGS = 12  # the first rule for endings
+
+
+def treebank(text: str) -> Column:
+    """Penn Treebank tokens of one sentence, case kept: punctuation and clitics are tokens, opening and closing quotes differ."""
+    found = F.coalesce(F.col(text), F.lit(""))
+    for i, (pattern, out) in enumerate(TREEBANK):
+        if i == ENDINGS:  # the rules for endings look for a space on either side
+            found = F.concat(F.lit(" "), found, F.lit(" "))
+        found = F.regexp_replace(found, pattern, out)
+    return F.filter(F.split(found, r"\s+"), lambda x: x != "")
+
+
+def english(text: str) -> Column:
+    """Lower-cased terms without possessive endings and the search library's stop words, Porter-stemmed."""
+    body = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "['’]s\\b", "")
+    return porter_all(F.filter(F.regexp_extract_all(body, F.lit(TERM), F.lit(0)), lambda x: ~x.isin(SEARCH_STOP)))
+
+
+def stemmed(text: str) -> Column:
+    """Lower-cased terms without stop words, Porter-stemmed."""
+    return porter_all(tokens(text))
+
+
 ANALYZERS = {
     "plain": lambda c: tokens(c, stop=False),
     "stop": tokens,
     "stem": lambda c: F.transform(tokens(c), stem),
     "words": words,
+    "treebank": lambda c: F.filter(F.transform(treebank(c), F.lower), lambda x: x.rlike("[a-z0-9à-ÿ]") & ~x.isin(STOPWORDS)),
+    "english": english,
+    "porter": stemmed,
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from quillon.functions.text import words
 
 
 def windows(docs: DataFrame, size: int, stride: int, text: str = "text") -> DataFrame:
@@ -15,9 +16,15 @@ def windows(docs: DataFrame, size: int, stride: int, text: str = "text") -> Data
     w = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda x: x != "")
     rows = docs.select("doc_id", w.alias("w")).filter(F.size("w") > 0)
     more = F.greatest(F.lit(0), F.ceil((F.size("w") - size) / step)).cast("int")
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), more)))
-    part = F.slice("w", F.col("i") * step + 1, size)
-    return rows.select("doc_id", F.col("i").cast("long").alias("chunk_index"), F.size(part).cast("long").alias("n_words"), F.array_join(part, " ").alias("chunk"))
+    # passages are cut out before rows multiply, so that no row carries the words of the whole document
+    cut = F.transform(F.sequence(F.lit(0), more), lambda i: F.slice(F.col("w"), i * step + 1, size))
+    part = rows.select("doc_id", F.posexplode(cut).alias("i", "part"))
+    return part.select("doc_id", F.col("i").cast("long").alias("chunk_index"), F.size("part").cast("long").alias("n_words"), F.array_join("part", " ").alias("chunk"))
+
+
+def truncated(docs: DataFrame, most: int = 256) -> DataFrame:
+    """docs with the column `words`, the first `most` lower-cased words of text."""
+    return docs.withColumn("words", F.slice(words("text"), 1, most))
 
 
 def overflow(docs: DataFrame, length: int = 512, overlap: int = 64) -> DataFrame:

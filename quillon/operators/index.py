@@ -1,18 +1,21 @@
-"""Inverted index tables."""
+"""Inverted index tables: postings, term statistics, lengths and what a scorer needs of the whole corpus."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from quillon.functions.text import ANALYZERS
+from quillon.session import partitions, saved
+
+#: Postings that one key of a join holds at most; terms with more are split by documents.
+HEAVY = 1_000_000
 
 
-def postings(docs: DataFrame, analyzer: str = "stop", only: DataFrame | None = None) -> DataFrame:
-    """(term, doc_id, tf). only(term) keeps those terms, before anything is shuffled where it is small."""
-    rows = docs.select("doc_id", F.explode(ANALYZERS[analyzer]("text")).alias("term"))
-    if only is not None:
-        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, analyzer: str = "stop") -> DataFrame:
+    """(term, doc_id, tf)."""
+    return docs.select("doc_id", F.explode(ANALYZERS[analyzer]("text")).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def lengths(docs: DataFrame, analyzer: str = "stop") -> DataFrame:
@@ -29,3 +32,52 @@ def term_stats(posts: DataFrame, docs: DataFrame) -> DataFrame:
 def posting_lists(posts: DataFrame) -> DataFrame:
     """(term, df, doc_ids) with ascending ids; meant for lookups, scorers read the long table."""
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+
+
+def guarded(docs: DataFrame, top: int = 2**32 - 1) -> DataFrame:
+    """docs, failing on an id that an unsigned 32-bit array could not hold (0 < id < top)."""
+    bad = F.concat(F.lit("document id out of range: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    inside = F.coalesce((F.col("doc_id") > 0) & (F.col("doc_id") < top), F.lit(False))
+    return docs.withColumn("doc_id", F.when(inside, F.col("doc_id")).otherwise(F.raise_error(bad).cast("long")))
+
+
+@dataclass
+class Index:
+    """postings(term, doc_id, tf, salt), stats(term, df, idf, salts), lengths(doc_id, dl), corpus(n_docs, avgdl, mean_idf: one row)."""
+
+    postings: DataFrame
+    stats: DataFrame
+    lengths: DataFrame
+    corpus: DataFrame
+
+    def hits(self, q: DataFrame) -> DataFrame:
+        """q(term, ...) with statistics and postings of its terms; a heavy term meets its postings in parts."""
+        asked = q.join(self.stats, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        return asked.join(self.postings, ["term", "salt"]).drop("salt", "salts")
+
+
+TABLES = ("postings", "stats", "lengths", "corpus")
+
+
+def write_index(docs: DataFrame, path: str, analyzer: str = "stop", heavy: int = HEAVY) -> None:
+    """The tables of docs(doc_id, text) as parquet under path, from one scan of the texts."""
+    spark = docs.sparkSession
+    terms = docs.select("doc_id", F.explode_outer(ANALYZERS[analyzer]("text")).alias("term"))
+    raw = saved(terms.groupBy("doc_id", "term").agg(F.sum(F.when(F.col("term").isNotNull(), 1).otherwise(0)).alias("tf")), "terms")
+    raw.groupBy("doc_id").agg(F.sum("tf").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    dl = spark.read.parquet(f"{path}/lengths")
+    posts = raw.filter(F.col("term").isNotNull())
+    size = dl.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size.select("n_docs")))  # one row
+    stats = df.select("term", "df", F.log(F.col("n_docs") / F.col("df")).alias("idf"), F.ceil(F.col("df") / heavy).cast("int").alias("salts"), (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("plain"))
+    stats.repartitionByRange(partitions(spark), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats")
+    size.crossJoin(F.broadcast(stats.agg(F.avg("plain").alias("mean_idf")))).write.mode("overwrite").parquet(f"{path}/corpus")  # one row each
+    # at most (all postings / heavy) terms are heavy
+    often = F.broadcast(stats.filter("salts > 1").select("term", "salts"))
+    salted = posts.join(often, "term", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0)).cast("int"))
+    salted.select("term", "doc_id", "tf", "salt").repartitionByRange(partitions(spark), "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def read_index(spark, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in TABLES))

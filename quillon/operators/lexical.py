@@ -1,7 +1,7 @@
 """Lexical ranking: boolean, coordination, TF-IDF and BM25 families, as one plan shape.
 
-Query terms meet postings of those terms only, scores are summed for each (query, document), and the first k
-are taken by a window rank, which is cut before and after its shuffle.
+Query terms meet a stored index, scores are summed for each (query, document), and the first k are taken by a
+window rank, which is cut before and after its shuffle.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from quillon.functions.text import ANALYZERS
-from quillon.operators.index import lengths, postings, term_stats
+from quillon.operators.index import Index
 
 TOP = 1000
 DIGITS = 6
@@ -34,18 +34,16 @@ def normalised(scores: DataFrame, dl: DataFrame) -> DataFrame:
 
 
 class Lexical:
-    """All models over one corpus and query set."""
+    """All models over one index and query set."""
 
-    def __init__(self, docs: DataFrame, queries: DataFrame, analyzer: str = "stop"):
-        self.docs, self.queries, self.analyzer = docs, queries, analyzer
+    def __init__(self, index: Index, queries: DataFrame, analyzer: str = "stop"):
+        self.index, self.queries = index, queries
         self.terms = query_terms(queries, analyzer)
-        self.posts = postings(docs, analyzer, self.terms)
-        self.stats = term_stats(self.posts, docs)
-        self.dl = lengths(docs, analyzer)
+        self.dl = index.lengths
 
     def boolean(self, every: bool) -> DataFrame:
         q = self.terms.select("item_id", "term").distinct()
-        hits = q.join(self.posts.select("term", "doc_id"), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+        hits = self.index.hits(q).groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
         if every:
             need = q.groupBy("item_id").agg(F.count("*").alias("need"))
             hits = hits.join(need, "item_id").filter("n = need")
@@ -53,12 +51,11 @@ class Lexical:
 
     def coordination(self) -> DataFrame:
         q = self.terms.select("item_id", "term").distinct()
-        return q.join(self.posts.select("term", "doc_id"), "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+        return self.index.hits(q).groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
 
     def weighted(self, q: DataFrame, weight: Column) -> DataFrame:
         """q(item_id, term, ...) against postings and statistics; weight may use tf, df, idf and columns of q."""
-        hits = q.join(self.stats, "term").join(self.posts, "term")
-        return hits.groupBy("item_id", "doc_id").agg(F.sum(weight).alias("score"))
+        return self.index.hits(q).groupBy("item_id", "doc_id").agg(F.sum(weight).alias("score"))
 
     def tfidf(self, q: DataFrame | None = None) -> DataFrame:
         return self.weighted(self.terms if q is None else q, F.log(F.col("tf") + 1.0) * F.col("idf"))
@@ -67,17 +64,15 @@ class Lexical:
         """TF-IDF with weight 1 - (1 - low)(i / n)**2, i the place among in-vocabulary tokens, n all tokens."""
         q = self.terms if q is None else q
         n = q.groupBy("item_id").agg(F.count("*").alias("n"))
-        known = q.join(self.stats.select("term", "idf"), "term")
+        known = q.join(self.index.stats.select("term"), "term", "left_semi")
         place = F.row_number().over(Window.partitionBy("item_id").orderBy("pos")) - 1
-        known = known.withColumn("i", place).join(n, "item_id")
-        hits = known.join(self.posts, "term")
         w = 1 - (1 - low) * F.pow(F.col("i") / F.col("n"), 2.0)
-        return hits.groupBy("item_id", "doc_id").agg(F.sum(F.log(F.col("tf") + 1.0) * F.col("idf") * w).alias("score"))
+        return self.weighted(known.withColumn("i", place).join(n, "item_id"), F.log(F.col("tf") + 1.0) * F.col("idf") * w)
 
     def phrases(self, phrases: DataFrame) -> DataFrame:
         """phrases(item_id, phrase, weight, term): ln(least tf + 1) * greatest idf * weight of every phrase whose terms a document all holds."""
         need = phrases.groupBy("item_id", "phrase").agg(F.countDistinct("term").alias("need"), F.first("weight").alias("weight"))
-        hits = phrases.select("item_id", "phrase", "term").distinct().join(self.stats, "term").join(self.posts, "term")
+        hits = self.index.hits(phrases.select("item_id", "phrase", "term").distinct())
         full = hits.groupBy("item_id", "phrase", "doc_id").agg(F.min("tf").alias("tf"), F.max("idf").alias("idf"), F.count("*").alias("n"))
         full = full.join(need, ["item_id", "phrase"]).filter("n = need")
         return full.groupBy("item_id", "doc_id").agg(F.sum(F.log(F.col("tf") + 1.0) * F.col("idf") * F.col("weight")).alias("score"))
@@ -86,25 +81,20 @@ class Lexical:
         """lucene (k1 0.9, b 0.4), terrier (k1 1.2, b 0.75, k3 8), okapi (k1 1.5, b 0.75, epsilon 0.25)."""
         k1 = {"lucene": 0.9, "terrier": 1.2, "okapi": 1.5}[flavour] if k1 is None else k1
         b = {"lucene": 0.4, "terrier": 0.75, "okapi": 0.75}[flavour] if b is None else b
-        size = self.dl.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n_docs"))
         q = self.terms.groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
         df, n = F.col("df"), F.col("n_docs")
-        stats = self.stats.crossJoin(F.broadcast(size))  # one row
-        if flavour == "lucene":
-            stats = stats.withColumn("w", F.log(1 + (n - df + 0.5) / (df + 0.5)))
-        elif flavour == "terrier":
-            stats = stats.withColumn("w", F.log2((n - df + 0.5) / (df + 0.5)))
-        else:
-            plain = F.log(n - df + 0.5) - F.log(df + 0.5)
-            every = term_stats(postings(self.docs, self.analyzer), self.docs).crossJoin(F.broadcast(size))
-            mean = every.agg(F.avg(plain).alias("mean"))
-            stats = stats.crossJoin(F.broadcast(mean)).withColumn("w", F.when(plain < 0, 0.25 * F.col("mean")).otherwise(plain))
-        hits = q.join(stats.select("term", "w", "avgdl"), "term").join(self.posts, "term").join(self.dl, "doc_id")
+        plain = F.log(n - df + 0.5) - F.log(df + 0.5)
+        w = {
+            "lucene": F.log(1 + (n - df + 0.5) / (df + 0.5)),
+            "terrier": F.log2((n - df + 0.5) / (df + 0.5)),
+            "okapi": F.when(plain < 0, 0.25 * F.col("mean_idf")).otherwise(plain),
+        }[flavour]
+        hits = self.index.hits(q).crossJoin(F.broadcast(self.index.corpus)).join(self.dl, "doc_id")  # one row of the corpus
         tf, long = F.col("tf"), k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
         part = {
-            "lucene": F.col("qtf") * F.col("w") * tf / (tf + long),
-            "terrier": F.col("w") * tf * (k1 + 1) / (tf + long) * 9.0 * F.col("qtf") / (8.0 + F.col("qtf")),
-            "okapi": F.col("qtf") * F.col("w") * tf * (k1 + 1) / (tf + long),
+            "lucene": F.col("qtf") * w * tf / (tf + long),
+            "terrier": w * tf * (k1 + 1) / (tf + long) * 9.0 * F.col("qtf") / (8.0 + F.col("qtf")),
+            "okapi": F.col("qtf") * w * tf * (k1 + 1) / (tf + long),
         }[flavour]
         return hits.groupBy("item_id", "doc_id").agg(F.sum(part).alias("score"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from quillon.session import discard, saved
+from quillon.sources.lines import ordinals
 
 
 def parse_neighbours(spec: str) -> tuple[int, int]:
@@ -24,48 +26,46 @@ def split_80_20(queries: DataFrame, seed: str = "seed-1", share: float = 0.8) ->
     return rows.select("split", "query_id", side.alias("side"))
 
 
-def neighbours(docs: DataFrame, gold: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Documents within k places of a gold one, k from [lo, hi] by a hash of the document; an equi-join on places."""
-    k = lo + F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(hi - lo + 1)).cast("int")
-    near = gold.select("doc_id").distinct().select(F.explode(F.sequence(-k, k)).alias("d"), "doc_id").filter("d <> 0")
-    return docs.select("doc_id").join(near.select((F.col("doc_id") + F.col("d")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+def neighbours(order: DataFrame, gold: DataFrame, lo: int, hi: int, seed: str = "near-1") -> DataFrame:
+    """Documents within k places of a gold one in order(ord, doc_id), k from [lo, hi] by a hash of the gold document.
+
+    Places are those of the corpus, whatever the ids are; an equi-join on places. Gold ones near another are included.
+    """
+    k = lo + F.pmod(F.crc32(F.concat_ws("#", F.lit(seed), F.col("doc_id").cast("string")).cast("binary")), F.lit(hi - lo + 1)).cast("int")
+    around = order.join(gold.select("doc_id").distinct(), "doc_id", "left_semi").select("ord", F.explode(F.sequence(-k, k)).alias("d")).filter("d <> 0")
+    return order.join(around.select((F.col("ord") + F.col("d")).alias("ord")).distinct(), "ord", "left_semi").select("doc_id")
 
 
 def pool_quota(runs: DataFrame, have: DataFrame, quota: int) -> DataFrame:
     """runs(model, item_id, doc_id, rnk), have(doc_id): in the order of items, then models, each adds up to `quota`
-    documents not taken so far, from its ranks on. Greedy by nature: item after item, model after model. The claims
-    are sequential, so the ranked candidates (queries x models x depth, bounded) go through one task."""
-    import pandas as pd
-
-    held = have.select("doc_id").distinct().withColumn("kind", F.lit("have")).select("kind", F.lit("").alias("model"), F.lit(-1).cast("long").alias("item_id"), "doc_id", F.lit(0).cast("long").alias("rnk"))
-    # only held documents that some run ranks can matter
-    held = held.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("kind", "model", "item_id", "doc_id", "rnk")
-    rows = held.union(runs.select(F.lit("run").alias("kind"), "model", "item_id", "doc_id", "rnk"))
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(pdf.doc_id[pdf.kind == "have"]), []
-        ranked = pdf[pdf.kind == "run"].sort_values(["item_id", "model", "rnk"])
-        for (item, model), part in ranked.groupby(["item_id", "model"], sort=True):
-            n = 0
-            for doc in part.doc_id:
-                if n == quota:
-                    break
-                if doc not in taken:
-                    taken.add(doc)
-                    out.append((item, model, doc))
-                    n += 1
-        return pd.DataFrame(out, columns=["item_id", "model", "doc_id"])
-
-    return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(claim, "item_id long, model string, doc_id long")
-
-
-def filled(docs: DataFrame, have: DataFrame, gold: DataFrame, size: int, seed: str = "fill-1") -> DataFrame:
-    """Exactly `size` documents where there are as many: gold first, then the others of `have` by id, then the rest in hash order."""
+    documents not taken so far, from its ranks on: (item_id, model, doc_id).
+
+    All documents prefer the earliest that asks for them, so the greedy result is the one stable assignment, and
+    rounds of asking find it: everyone asks for its best `quota` rows that are left, each document keeps the
+    earliest that has asked, and all rows of later ones are gone. Rounds are written tables; none gathers the rows.
+    """
+    best = Window.partitionBy("item_id", "model").orderBy("rnk", "doc_id")
+    first = runs.groupBy("item_id", "model", "doc_id").agg(F.min("rnk").alias("rnk"))
+    left = saved(first.join(have.select("doc_id").distinct(), "doc_id", "left_anti"), "pool")
+    while True:
+        asked = saved(left.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= quota).drop("r"), "asked")
+        held = asked.groupBy("doc_id").agg(F.min(F.struct("item_id", "model")).alias("by"))
+        lost = saved(left.join(held, "doc_id").filter(F.struct("item_id", "model") > F.col("by")).select("item_id", "model", "doc_id"), "lost")
+        if asked.join(lost, ["item_id", "model", "doc_id"], "left_semi").isEmpty():
+            return asked.select("item_id", "model", "doc_id")
+        fresh = saved(left.join(lost, ["item_id", "model", "doc_id"], "left_anti"), "pool")
+        discard(left, asked, lost)
+        left = fresh
+
+
+def filled(order: DataFrame, have: DataFrame, gold: DataFrame, size: int, seed: str = "fill-1") -> DataFrame:
+    """Exactly `size` documents of order(ord, doc_id) where there are as many: gold first, then the others of `have`,
+    both in corpus order, then the rest in hash order."""
     mark = lambda df, c: df.select("doc_id").distinct().withColumn(c, F.lit(1))
-    rows = docs.select("doc_id").join(mark(gold, "g"), "doc_id", "left").join(mark(have, "h"), "doc_id", "left")
-    order = F.when(F.col("g") == 1, 0).when(F.col("h") == 1, 1).otherwise(2)
-    key = F.when(order == 2, F.sha2(F.concat_ws("#", F.lit(seed), F.col("doc_id").cast("string")), 256)).otherwise("")
-    return rows.orderBy(order, key, "doc_id").limit(size).select("doc_id")
+    rows = order.select("ord", "doc_id").join(mark(gold, "g"), "doc_id", "left").join(mark(have, "h"), "doc_id", "left")
+    kind = F.when(F.col("g") == 1, 0).when(F.col("h") == 1, 1).otherwise(2)
+    key = F.when(kind == 2, F.sha2(F.concat_ws("#", F.lit(seed), F.col("doc_id").cast("string")), 256)).otherwise("")
+    return ordinals(rows.select("doc_id", "ord", kind.alias("kind"), key.alias("key")), "kind", "key", "ord", name="place").filter(F.col("place") < size).select("doc_id")
 
 
 def report(*checks: tuple[str, DataFrame]) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from quillon.functions.text import STOPWORDS, TERM, tokens, words
+from quillon.functions.text import ENDINGS, STOPWORDS, TERM, TREEBANK, tokens, treebank, words
 from quillon.functions.vectors import norm
-from quillon.operators import chunking, dense, evaluation, index, lexical, subsets
-from quillon.sources import trec
+from quillon.operators import chunking, dense, evaluation, index, lexical, mining, subsets, validator
+from quillon.session import saved, table_path
+from quillon.sources import jsonl, shards, trec
+from quillon.sources import lines as ordered_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,8 +77,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def version(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a file or folder of files from another."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found))
+
+
+INDEXES: dict[tuple, index.Index] = {}
+
+
+def stored(spark: SparkSession, folder: str) -> index.Index:
+    """The stored index of a folder's documents: written once for each state of their files, read by every ranking."""
+    key = (spark.sparkContext.applicationId, version(spark, f"{folder}/documents.parquet"))
+    if key not in INDEXES:
+        path = table_path(spark, "index")
+        index.write_index(table(spark, folder, "documents"), path)
+        INDEXES[key] = index.read_index(spark, path)
+    return INDEXES[key]
+
+
 def corpus(spark: SparkSession, folder: str) -> lexical.Lexical:
-    return lexical.Lexical(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return lexical.Lexical(stored(spark, folder), table(spark, folder, "benchmark"))
 
 
 # -- index ------------------------------------------------------------------------------------------------------
@@ -85,6 +107,16 @@ def tf_postings(s, d):
     return index.postings(table(s, d, "documents"))
 
 
+@query(based("SELECT term, doc_id, tf, df, round(idf, 9) AS idf, dl, n_docs, round((SELECT avg(dl) FROM dl), 9) AS avgdl FROM posts JOIN stats USING (term) JOIN dl USING (doc_id), n"))
+def stored_index(s, d):
+    """Writes the index of all documents anew and reads its tables back; terms with more than 50 documents are split."""
+    path = table_path(s, "index")
+    index.write_index(table(s, d, "documents"), path, heavy=50)
+    i = index.read_index(s, path)
+    rows = i.hits(i.stats.select("term")).drop("plain").join(i.lengths, "doc_id").crossJoin(F.broadcast(i.corpus))  # one row
+    return rows.select("term", "doc_id", "tf", "df", F.round("idf", 9).alias("idf"), "dl", "n_docs", F.round("avgdl", 9).alias("avgdl"))
+
+
 @query(based("SELECT term, df, round(idf, 9) AS idf FROM stats"))
 def term_stats(s, d):
     docs = table(s, d, "documents")
@@ -179,12 +211,12 @@ def bm25_okapi(s, d):
 # -- dense --------------------------------------------------------------------------------------------------------
 DENSE_SQL = sql_ranked(
     "SELECT q.vec_id AS item_id, v.vec_id AS doc_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS score "
-    "FROM embeddings v, embeddings q WHERE q.vec_id < 20", 100, 5)
+    "FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0", 100, 5)
 
 
 def vectors(s, d) -> tuple[DataFrame, DataFrame]:
     e = table(s, d, "embeddings")
-    return e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), e.filter("vec_id < 20").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q"))
+    return e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q"))
 
 
 @query(DENSE_SQL)
@@ -194,7 +226,9 @@ def dense_topk(s, d):
 
 @query(DENSE_SQL)
 def dense_sharded_topk(s, d):
-    return dense.dense_blocks(*vectors(s, d))
+    """Shard by shard, the best so far merged with each."""
+    v, q = vectors(s, d)
+    return dense.merged_topk([dense.dense_topk(v.filter(F.col("doc_id") % 4 == shard), q) for shard in range(4)], 100)
 
 
 @query("SELECT vec_id, unnest(range(len(embedding))) AS dim, round(unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) + 0.0 AS value FROM embeddings")
@@ -236,10 +270,17 @@ SQL_QRELS = "qrels AS (SELECT item_id, doc_id, CASE WHEN score >= 0.9 * need THE
 
 
 def qrels(s, d) -> DataFrame:
-    c = corpus(s, d)
-    need = c.terms.groupBy("item_id").agg(F.countDistinct("term").alias("need"))
-    rows = c.coordination().join(need, "item_id").filter(F.col("score") >= 0.7 * F.col("need"))
-    return rows.select("item_id", "doc_id", F.when(F.col("score") >= 0.9 * F.col("need"), 2).otherwise(1).alias("rel"))
+    """Judgements are given to an evaluation: made once for each state of the tables."""
+    key = (s.sparkContext.applicationId, version(s, f"{d}/documents.parquet"), version(s, f"{d}/benchmark.parquet"))
+    if key not in QRELS:
+        c = corpus(s, d)
+        need = c.terms.groupBy("item_id").agg(F.countDistinct("term").alias("need"))
+        rows = c.coordination().join(need, "item_id").filter(F.col("score") >= 0.7 * F.col("need"))
+        QRELS[key] = saved(rows.select("item_id", "doc_id", F.when(F.col("score") >= 0.9 * F.col("need"), 2).otherwise(1).alias("rel")), "qrels")
+    return QRELS[key]
+
+
+QRELS: dict[tuple, DataFrame] = {}
 
 
 SQL_CHUNKS = f"""
@@ -258,22 +299,9 @@ best AS (SELECT item_id, doc_id, chunk_index, score FROM (SELECT *, row_number()
 
 
 def best_chunks(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For each (query, relevant document) the passage with the best BM25 inside that document; also passages and qrels."""
-    rel, docs = qrels(s, d), table(s, d, "documents")
-    chunks = chunking.windows(docs, 100, 50)
-    tok = chunks.join(rel.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "chunk_index", F.explode(words("chunk")).alias("term"))
-    tf = tok.groupBy("doc_id", "chunk_index", "term").agg(F.count("*").alias("tf"))
-    size = tf.groupBy("doc_id", "chunk_index").agg(F.sum("tf").alias("len"))
-    mean = size.groupBy("doc_id").agg(F.avg("len").alias("avglen"), F.count("*").alias("n"))
-    plain = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = tf.groupBy("doc_id", "term").agg(F.count("*").alias("df")).join(mean, "doc_id").withColumn("plain", plain)
-    w = df.withColumn("w", F.when(F.col("plain") < 0, 0.25 * F.avg("plain").over(Window.partitionBy("doc_id"))).otherwise(F.col("plain")))
-    q = table(s, d, "benchmark").select("item_id", F.explode(words("text")).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
-    hits = rel.select("item_id", "doc_id").join(q, "item_id").join(w.select("doc_id", "term", "w", "avglen"), ["doc_id", "term"]).join(tf, ["doc_id", "term"]).join(size, ["doc_id", "chunk_index"])
-    part = F.col("qtf") * F.col("w") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avglen")))
-    scores = hits.groupBy("item_id", "doc_id", "chunk_index").agg((F.round(F.sum(part), 6) + 0.0).alias("score"))
-    first = Window.partitionBy("item_id", "doc_id").orderBy(F.col("score").desc(), "chunk_index")
-    return scores.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r"), chunks, rel
+    """Best passages of relevant documents; also all passages and the judgements."""
+    rel, chunks = qrels(s, d), chunking.windows(table(s, d, "documents"), 100, 50)
+    return mining.best_chunks(rel, chunks, table(s, d, "benchmark")), chunks, rel
 
 
 @query(based(f", {SQL_QRELS}, {SQL_CHUNKS} SELECT * FROM best"))
@@ -293,12 +321,7 @@ neg AS (SELECT item_id, doc_id, chunk_index FROM (SELECT h.item_id, h.doc_id, c.
 
 
 def hard_negatives(s, d, chunks: DataFrame, rel: DataFrame) -> DataFrame:
-    """The first of a query's ten best documents that is not relevant, and one passage of it in hash order."""
-    top = lexical.ranked(corpus(s, d).bm25("okapi"), 10).join(rel, ["item_id", "doc_id"], "left_anti")
-    first = top.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("rnk"))).filter("r = 1").select("item_id", "doc_id")
-    key = F.sha2(F.concat_ws("#", F.lit("neg"), *(F.col(c).cast("string") for c in ("item_id", "doc_id", "chunk_index"))), 256)
-    pick = Window.partitionBy("item_id").orderBy(key)
-    return first.join(chunks.select("doc_id", "chunk_index"), "doc_id").withColumn("r", F.row_number().over(pick)).filter("r = 1").select("item_id", "doc_id", "chunk_index")
+    return mining.hard_negatives(corpus(s, d).bm25("okapi"), rel, chunks)
 
 
 @query(based(f", {SQL_QRELS}, {SQL_CHUNKS}, {SQL_HARD} SELECT * FROM neg"))
@@ -320,14 +343,8 @@ def triplets_hard(s, d):
     f"SELECT item_id, pos_doc, pos_chunk, neg_doc, neg_chunk FROM (SELECT b.item_id, b.doc_id AS pos_doc, b.chunk_index AS pos_chunk, p.doc_id AS neg_doc, p.chunk_index AS neg_chunk, row_number() OVER (PARTITION BY b.item_id, b.doc_id ORDER BY {sql_pick(chr(39) + 'rand' + chr(39) + ', b.item_id::VARCHAR, b.doc_id::VARCHAR, p.doc_id::VARCHAR, p.chunk_index::VARCHAR')}) AS r FROM best b, pool p) WHERE r <= 7"
 ))
 def triplets_random(s, d):
-    """Up to 7 passages that are relevant to no query for each positive, from a pool of 64 in hash order."""
     best, chunks, rel = best_chunks(s, d)
-    key = lambda tag, *c: F.sha2(F.concat_ws("#", F.lit(tag), *(F.col(x).cast("string") for x in c)), 256)
-    pool = chunks.select("doc_id", "chunk_index").join(rel.select("doc_id").distinct(), "doc_id", "left_anti").orderBy(key("pool", "doc_id", "chunk_index")).limit(64)
-    pool = pool.select(F.col("doc_id").alias("neg_doc"), F.col("chunk_index").alias("neg_chunk"))
-    pairs = best.select("item_id", F.col("doc_id").alias("pos_doc"), F.col("chunk_index").alias("pos_chunk")).crossJoin(F.broadcast(pool))  # 64 rows
-    first = Window.partitionBy("item_id", "pos_doc").orderBy(key("rand", "item_id", "pos_doc", "neg_doc", "neg_chunk"))
-    return pairs.withColumn("r", F.row_number().over(first)).filter("r <= 7").drop("r")
+    return mining.random_negatives(best, chunks, rel)
 
 
 @query(based(f", {SQL_QRELS}, chunks AS ({sql_windows(100, 50)}) SELECT item_id, doc_id, chunk_index, rel FROM qrels JOIN chunks USING (doc_id)"))
@@ -362,11 +379,11 @@ def sql_evaluate(labels: list[str], run: str = "tfidf_run") -> str:
     return f"{SQL_JUDGED}, per AS (SELECT item_id, {per} FROM j GROUP BY item_id) {rows}"
 
 
-SQL_RUN = f"run AS ({sql_ranked('SELECT * FROM tfidf', 100)}), "
+SQL_RUN = f"run AS ({sql_ranked('SELECT * FROM tfidf')}), "
 
 
 def tfidf_run(s, d) -> DataFrame:
-    return lexical.ranked(corpus(s, d).tfidf(), 100)
+    return lexical.ranked(corpus(s, d).tfidf())
 
 
 MEASURES = {
@@ -382,26 +399,6 @@ def eval_missing(s, d):
     return evaluation.missing(qrels(s, d), tfidf_run(s, d).filter("item_id % 3 <> 0"))
 
 
-SWEEP = ["NDCG@10", "R@100", "RR"]
-
-
-@query(based(
-    f", {SQL_QRELS}, runs AS (SELECT 'coord' AS model, * FROM ({sql_ranked('SELECT * FROM coord', 100)}) UNION ALL SELECT 'tfidf' AS model, * FROM ({sql_ranked('SELECT * FROM tfidf', 100)})), "
-    "rr AS (SELECT model, item_id, doc_id, row_number() OVER (PARTITION BY model, item_id ORDER BY score DESC, doc_id::VARCHAR DESC) AS rank FROM runs), "
-    "jj AS (SELECT model, q.item_id, q.doc_id, q.rel, rank, row_number() OVER (PARTITION BY model, q.item_id ORDER BY rank NULLS LAST, q.doc_id) AS hit, row_number() OVER (PARTITION BY model, q.item_id ORDER BY rel DESC, q.doc_id) AS ideal "
-    "FROM (SELECT * FROM qrels, (SELECT unnest(['coord', 'tfidf']) AS model)) q LEFT JOIN rr USING (model, item_id, doc_id)), "
-    "per AS (SELECT model, item_id, " + ", ".join(f"{sql_measure(*evaluation.parse_metric(x))} AS m{i}" for i, x in enumerate(SWEEP)) + " FROM jj GROUP BY ALL) "
-    + " UNION ALL ".join(f"SELECT model, '{x}' AS metric, round(avg(m{i}), 6) AS value FROM per GROUP BY model" for i, x in enumerate(SWEEP))
-))
-def eval_sweep(s, d):
-    c, rel = corpus(s, d), qrels(s, d)
-    out = None
-    for model, scores in (("coord", c.coordination()), ("tfidf", c.tfidf())):
-        part = evaluation.evaluate(rel, lexical.ranked(scores, 100), SWEEP).select(F.lit(model).alias("model"), "metric", "value")
-        out = part if out is None else out.union(part)
-    return out
-
-
 # -- subsets and checks -----------------------------------------------------------------------------------------------
 SQL_SPLIT = """
 sides AS (SELECT split, query_id, CASE WHEN r <= floor(0.8 * n + 1e-9) THEN 'train80' ELSE 'eval20' END AS side FROM (
@@ -431,9 +428,30 @@ def gold_docs(s, d):
     return rows.groupBy("side", "doc_id").agg(F.min("item_id").alias("first_item"))
 
 
-@query(based(f", {SQL_QRELS}, {SQL_SPLIT}, {SQL_GOLD} SELECT DISTINCT d.doc_id FROM documents d JOIN gold g ON d.doc_id BETWEEN g.doc_id - 2 AND g.doc_id + 2 AND d.doc_id <> g.doc_id"))
+SQL_ORDER = "placed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents)"
+SQL_NEAR2 = "near AS (SELECT DISTINCT o.doc_id FROM placed o JOIN (SELECT ord FROM placed SEMI JOIN gold USING (doc_id)) g ON o.ord BETWEEN g.ord - 2 AND g.ord + 2 AND o.ord <> g.ord)"
+
+
+def order(s, d) -> DataFrame:
+    """(ord, doc_id): places of all documents."""
+    return ordered_lines.ordinals(table(s, d, "documents").select("doc_id"), "doc_id")
+
+
+@query(f"WITH {SQL_ORDER} SELECT ord, doc_id FROM placed")
+def corpus_order(s, d):
+    return order(s, d).select("ord", "doc_id")
+
+
+@query(f"WITH {SQL_ORDER} SELECT ord, doc_id, len(text)::BIGINT AS n FROM placed JOIN documents USING (doc_id) WHERE ord IN (0, 1, 99, 150)")
+def line_at(s, d):
+    """Point lookups by place."""
+    docs = ordered_lines.ordinals(table(s, d, "documents").select("doc_id", F.length("text").cast("long").alias("n")), "doc_id")
+    return ordered_lines.lines_at(docs, [0, 1, 99, 150]).select("ord", "doc_id", "n")
+
+
+@query(based(f", {SQL_QRELS}, {SQL_SPLIT}, {SQL_GOLD}, {SQL_ORDER}, {SQL_NEAR2} SELECT doc_id FROM near"))
 def neighbors(s, d):
-    return subsets.neighbours(table(s, d, "documents"), gold(s, d), 2, 2)
+    return subsets.neighbours(order(s, d), gold(s, d), 2, 2)
 
 
 def runs(s, d) -> DataFrame:
@@ -442,7 +460,14 @@ def runs(s, d) -> DataFrame:
     return out[0].union(out[1])
 
 
-@query()
+# Step after step, what is taken so far in a list.
+@query(based(
+    f", {SQL_QRELS}, {SQL_SPLIT}, {SQL_GOLD}, pruns AS (SELECT 'coord' AS model, * FROM ({sql_ranked('SELECT * FROM coord', 100)}) UNION ALL SELECT 'tfidf' AS model, * FROM ({sql_ranked('SELECT * FROM tfidf', 100)})), "
+    "asked AS (SELECT item_id, model, list(doc_id ORDER BY rnk) AS docs, row_number() OVER (ORDER BY item_id, model) AS step FROM pruns GROUP BY item_id, model), "
+    "pool AS (SELECT 0::BIGINT AS step, (SELECT list(doc_id) FROM gold) AS taken, []::BIGINT[] AS got UNION ALL "
+    "SELECT p.step + 1, list_concat(p.taken, list_filter(a.docs, lambda x: NOT list_contains(p.taken, x))[1:5]), list_filter(a.docs, lambda x: NOT list_contains(p.taken, x))[1:5] FROM pool p JOIN asked a ON a.step = p.step + 1) "
+    "SELECT item_id, model, unnest(got) AS doc_id FROM pool JOIN asked USING (step)"
+))
 def pool_quota(s, d):
     return subsets.pool_quota(runs(s, d), gold(s, d), 5)
 
@@ -452,12 +477,11 @@ fill AS (SELECT d.doc_id FROM documents d LEFT JOIN gold g ON g.doc_id = d.doc_i
   ORDER BY CASE WHEN g.doc_id IS NOT NULL THEN 0 WHEN v.doc_id IS NOT NULL THEN 1 ELSE 2 END,
   CASE WHEN g.doc_id IS NULL AND v.doc_id IS NULL THEN sha256(concat_ws('#', 'fill-1', d.doc_id::VARCHAR)) ELSE '' END, d.doc_id LIMIT 200)
 """
-SQL_NEAR2 = "near AS (SELECT DISTINCT d.doc_id FROM documents d JOIN gold g ON d.doc_id BETWEEN g.doc_id - 2 AND g.doc_id + 2 AND d.doc_id <> g.doc_id)"
-SQL_SUBSET = f", {SQL_QRELS}, {SQL_SPLIT}, {SQL_GOLD}, {SQL_NEAR2}, {SQL_FILL}"
+SQL_SUBSET = f", {SQL_QRELS}, {SQL_SPLIT}, {SQL_GOLD}, {SQL_ORDER}, {SQL_NEAR2}, {SQL_FILL}"
 
 
 def subset(s, d, size: int = 200) -> DataFrame:
-    docs, g = table(s, d, "documents"), gold(s, d)
+    docs, g = order(s, d), saved(gold(s, d), "gold")
     return subsets.filled(docs, subsets.neighbours(docs, g, 2, 2), g, size)
 
 
@@ -479,68 +503,166 @@ def surviving_queries(s, d):
 
 @query(based(f"{SQL_SUBSET} SELECT 'gold' AS part, count(*) AS n FROM gold UNION ALL SELECT 'near', count(*) FROM near UNION ALL SELECT 'subset', count(*) FROM fill UNION ALL SELECT side, count(*) FROM sides GROUP BY side"))
 def build_stats(s, d):
-    docs, g = table(s, d, "documents"), gold(s, d)
+    docs, g = order(s, d), gold(s, d)
     n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
     return n(g, "gold").union(n(subsets.neighbours(docs, g, 2, 2), "near")).union(n(subset(s, d), "subset")).union(sides(s, d).groupBy(F.col("side").alias("part")).agg(F.count("*").alias("n")))
 
 
-def check(name: str, sql: str):
-    """A check: (check, ok, detail), passing without offending rows. sql counts those."""
-
-    def add(f):
-        QUERIES[f"check_{name}"] = lambda s, d: subsets.report((name, f(s, d)))
-        SQL[f"check_{name}"] = based(f"{SQL_SUBSET} SELECT '{name}' AS \"check\", detail = 0 AS ok, detail FROM (SELECT count(*) AS detail FROM ({sql}))")
-        return f
-
-    return add
-
-
-@check("coverage", "SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM sides)")
-def coverage(s, d):
-    return table(s, d, "benchmark").select("item_id").join(sides(s, d).select(F.col("query_id").alias("item_id")), "item_id", "left_anti")
+# -- files: a subset is written, faults are planted in its files by rule, and every check is run on them ---------------------
+SQL_FILES = f"""{SQL_QRELS}, {SQL_SPLIT}, {SQL_ORDER},
+g1 AS (SELECT split, query_id, side, doc_id FROM (SELECT item_id, min(doc_id) AS doc_id FROM qrels GROUP BY item_id) JOIN sides ON query_id = item_id),
+gd AS (SELECT DISTINCT side, doc_id, ord FROM g1 JOIN placed USING (doc_id)),
+nd AS (SELECT DISTINCT g.side, o.doc_id FROM gd g JOIN placed o ON o.ord BETWEEN g.ord - 2 AND g.ord + 2 AND o.ord <> g.ord),
+ch AS (SELECT side, doc_id FROM (SELECT s.side, p.doc_id, row_number() OVER (PARTITION BY s.side ORDER BY CASE WHEN g.doc_id IS NOT NULL THEN 0 WHEN n.doc_id IS NOT NULL THEN 1 ELSE 2 END,
+  CASE WHEN g.doc_id IS NULL AND n.doc_id IS NULL THEN sha256(concat_ws('#', 'fill-1', p.doc_id::VARCHAR)) ELSE '' END, p.ord) AS r
+  FROM placed p, (SELECT unnest(['train80', 'eval20']) AS side) s LEFT JOIN gd g ON g.side = s.side AND g.doc_id = p.doc_id LEFT JOIN nd n ON n.side = s.side AND n.doc_id = p.doc_id) WHERE r <= 200),
+t AS (SELECT * FROM g1 WHERE side = 'train80'), wrong AS (SELECT DISTINCT CASE WHEN query_id % 17 = 4 THEN -1 ELSE doc_id END AS doc_id FROM t),
+te AS (SELECT doc_id FROM ch WHERE side = 'eval20'), tt AS (SELECT doc_id FROM ch WHERE side = 'train80')"""
+NONE = "SELECT 0 AS detail"
+CHECKS = {
+    ("coverage", "both"): "SELECT count(*) AS detail FROM t WHERE query_id % 9 = 2",
+    ("overlap", "qrels"): NONE,
+    ("overlap", "queries"): "SELECT count(*) AS detail FROM t WHERE query_id % 5 = 0",
+    ("docids", "train80"): "SELECT count(*) AS detail FROM t WHERE query_id % 17 = 4", ("docids", "eval20"): NONE,
+    ("gold_in_ids", "train80"): "SELECT count(*) AS detail FROM wrong WHERE doc_id = -1 OR doc_id % 11 = 5", ("gold_in_ids", "eval20"): NONE,
+    ("gold_in_corpus", "train80"): "SELECT count(*) AS detail FROM wrong WHERE doc_id = -1", ("gold_in_corpus", "eval20"): NONE,
+    ("qids", "train80"): NONE, ("qids", "eval20"): "SELECT count(*) AS detail FROM t WHERE query_id % 5 = 0",
+    ("count", "train80"): NONE, ("count", "eval20"): "SELECT (count(*) > 0)::BIGINT AS detail FROM te WHERE doc_id % 13 = 1",
+    ("duplicates", "train80"): NONE, ("duplicates", "eval20"): "SELECT count(*) AS detail FROM te WHERE doc_id % 13 = 1",
+    ("ids_are_corpus", "train80"): "SELECT count(*) AS detail FROM tt WHERE doc_id % 11 = 5", ("ids_are_corpus", "eval20"): NONE,
+    ("lines", "train80"): NONE, ("lines", "eval20"): "SELECT count(*) AS detail FROM te WHERE doc_id % 7 = 3",
+}
+FILES: dict[tuple, tuple] = {}
+SUBSET_PLAN = validator.Plan({"train80": 200, "eval20": 200}, (2, 2), 0)
+
+
+def source(s, d) -> validator.Source:
+    """All documents as JSON lines, the items as queries in three splits, one gold document for each that has one."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("line_no"), F.to_json(F.struct(F.col("doc_id").alias("id"), "text")).alias("value"))
+    asked = table(s, d, "benchmark").select(F.concat(F.lit("dev"), (F.col("item_id") % 3).cast("string")).alias("split"), F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+    first = qrels(s, d).groupBy(F.col("item_id").cast("string").alias("query_id")).agg(F.min("doc_id").cast("string").alias("doc_id"))
+    return validator.Source(docs, asked, asked.join(first, "query_id", "left").select("split", "query_id", F.coalesce("doc_id", F.lit("none")).alias("doc_id")))
+
+
+def planted(s, d) -> tuple[str, validator.Source]:
+    """The folder of a subset with faults in its files, written once for each state of the tables."""
+    key = (s.sparkContext.applicationId, version(s, f"{d}/documents.parquet"), version(s, f"{d}/benchmark.parquet"))
+    if key not in FILES:
+        good, bad, src = table_path(s, "subset"), table_path(s, "planted"), source(s, d)
+        validator.build(s, good, src, SUBSET_PLAN)
+
+        def copy(name: str, change=lambda df: df, by: str | None = None) -> None:
+            rows = change(trec.read_lines_by(s, f"{good}/{name}", by) if by else s.read.text(f"{good}/{name}"))
+            (rows.write.partitionBy(by) if by else rows.write).mode("overwrite").text(f"{bad}/{name}")
+
+        num = lambda c, n: F.coalesce(c.try_cast("long") % n, F.lit(-1))
+        of = F.get_json_object("value", "$.id")
+        qid = F.split("value", " ")[0]
+        changes = {
+            "train80/ids": lambda df: df.filter(num(F.col("value"), 11) != 5),
+            "train80/qrels": lambda df: df.withColumn("value", F.when(num(qid, 17) == 4, F.concat(qid, F.lit(" 0 none 1"))).otherwise(F.col("value"))),
+            "train80/qrels_by_split": lambda df: df.filter(num(qid, 9) != 2),
+            "eval20/corpus": lambda df: df.withColumn("value", F.when(num(of, 7) == 3, F.concat("value", F.lit(" "))).otherwise(F.col("value"))).withColumn("n", F.explode(F.sequence(F.lit(0), F.when(num(of, 13) == 1, 1).otherwise(0)))).drop("n"),
+            "eval20/queries": lambda df: df.union(s.read.text(f"{good}/train80/queries").filter(num(F.get_json_object("value", "$.query_id"), 5) == 0)),
+        }
+        for side in validator.SIDES:
+            for k in validator.paths("", side):
+                copy(f"{side}/{k}", changes.get(f"{side}/{k}", lambda df: df), "split" if k.endswith("by_split") else None)
+        copy("missing")
+        FILES[key] = good, bad, saved(validator.validate(s, bad, src, SUBSET_PLAN), "report")
+    return FILES[key]
+
+
+def check(name: str) -> None:
+    rows = " UNION ALL ".join(f"SELECT '{side}' AS side, detail::BIGINT AS detail FROM ({sql})" for (c, side), sql in CHECKS.items() if c == name)
+    query(based(f", {SQL_FILES} SELECT '{name}' AS \"check\", side, detail = 0 AS ok, detail FROM ({rows})"), f"check_{name}")(lambda s, d: planted(s, d)[2].filter(F.col("check") == name).select("check", "side", "ok", "detail"))
+
+
+for name_ in dict.fromkeys(c for c, _ in CHECKS):
+    check(name_)
+
+
+@query("SELECT \"check\", side, true AS ok, 0::BIGINT AS detail FROM (VALUES " + ", ".join(f"('{c}', '{side}')" for c, side in CHECKS) + ") x(\"check\", side)")
+def validator_report(s, d):
+    """The files as they were written pass every check."""
+    return validator.validate(s, planted(s, d)[0], source(s, d), SUBSET_PLAN).select("check", "side", "ok", "detail")
+
+
+@query(based(f", {SQL_FILES} SELECT side, split, query_id::VARCHAR || ' 0 ' || doc_id::VARCHAR || ' 1' AS line FROM g1 SEMI JOIN ch USING (side, doc_id)"))
+def qrel_files(s, d):
+    """Judgement files by split, read back."""
+    good, out = planted(s, d)[0], None
+    for side in validator.SIDES:
+        part = trec.read_lines_by(s, f"{good}/{side}/qrels_by_split", "split").select(F.lit(side).alias("side"), "split", F.col("value").alias("line"))
+        out = part if out is None else out.union(part)
+    return out
 
 
-@check("docids", "SELECT doc_id FROM qrels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
-def docids(s, d):
-    return qrels(s, d).join(table(s, d, "documents"), "doc_id", "left_anti")
+@query(based(f", {SQL_FILES} SELECT side, count(query_id)::BIGINT AS n, coalesce(string_agg(query_id::VARCHAR, ',' ORDER BY len(query_id::VARCHAR), query_id::VARCHAR), '') AS ids FROM (SELECT unnest(['train80', 'eval20']) AS side) LEFT JOIN (SELECT * FROM g1 SEMI JOIN ch USING (side, doc_id)) USING (side) GROUP BY side"))
+def query_files(s, d):
+    """Query files in their natural order, read back in the order of their lines."""
+    good, out = planted(s, d)[0], None
+    for side in validator.SIDES:
+        rows = ordered_lines.numbered(s, f"{good}/{side}/queries").select(F.struct("line_no", F.get_json_object("value", "$.query_id").alias("id")).alias("x"))
+        part = rows.agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["id"]), ",").alias("ids")).select(F.lit(side).alias("side"), "n", "ids")
+        out = part if out is None else out.union(part)
+    return out
 
 
-@check("overlap", "SELECT query_id FROM sides GROUP BY query_id HAVING count(DISTINCT side) > 1")
-def overlap(s, d):
-    return sides(s, d).groupBy("query_id").agg(F.countDistinct("side").alias("n")).filter("n > 1")
+@query(based(f", {SQL_FILES} SELECT split, query_id::VARCHAR AS query_id, 'none' AS doc_id FROM sides ANTI JOIN g1 USING (query_id)"))
+def missing_gold(s, d):
+    return jsonl.missing_log(s.read.text(f"{planted(s, d)[0]}/missing"))
 
 
-@check("membership", "SELECT doc_id FROM gold WHERE doc_id NOT IN (SELECT doc_id FROM fill)")
-def membership(s, d):
-    return gold(s, d).join(subset(s, d), "doc_id", "left_anti")
+@query(based(f", {SQL_FILES} SELECT side, doc_id::VARCHAR AS doc_id FROM ch"))
+def id_files(s, d):
+    good = planted(s, d)[0]
+    one, two = (jsonl.id_list(s.read.text(f"{good}/{side}/ids")).select(F.lit(side).alias("side"), "doc_id") for side in validator.SIDES)
+    return one.union(two)
 
 
-@check("qids", "SELECT query_id FROM sides WHERE query_id NOT IN (SELECT item_id FROM qrels)")
-def qids(s, d):
-    return sides(s, d).join(qrels(s, d).select(F.col("item_id").alias("query_id")), "query_id", "left_anti")
+@query(based(
+    f", {SQL_FILES}, n1 AS (SELECT side || '_docs' AS part, count(*) AS n FROM ch GROUP BY side UNION ALL SELECT side || '_gold', count(*) FROM gd GROUP BY side "
+    "UNION ALL SELECT side || '_queries', count(*) FROM g1 SEMI JOIN ch USING (side, doc_id) GROUP BY side UNION ALL SELECT 'missing', count(*) FROM sides ANTI JOIN g1 USING (query_id)) "
+    "SELECT '{' || string_agg('\"' || part || '\":' || coalesce(n, 0)::VARCHAR, ',' ORDER BY part) || '}' AS value FROM "
+    "(SELECT unnest(['eval20_docs', 'eval20_gold', 'eval20_queries', 'missing', 'train80_docs', 'train80_gold', 'train80_queries']) AS part) LEFT JOIN n1 USING (part)"
+))
+def stats_file(s, d):
+    return s.read.text(f"{planted(s, d)[0]}/stats")
 
 
-@check("counts", "SELECT 1 FROM (SELECT count(*) AS n FROM fill) WHERE n <> 200")
-def counts(s, d):
-    return subset(s, d).agg(F.count("*").alias("n")).filter("n <> 200")
+SWEEP = ["NDCG@10", "NDCG@1000", "R@1000", "MAP", "RR", "F1@10", "success@10"]
+SQL_SWEEP = (
+    f"{SQL_SUBSET}, runs AS (SELECT 'bm25' AS model, * FROM ({sql_ranked(BM25.format(w='ln(1 + (n_docs - df + 0.5) / (df + 0.5))', part='qtf * w * tf / (tf + ' + long(0.9, 0.4) + ')'))}) UNION ALL "
+    f"SELECT 'coord' AS model, * FROM ({sql_ranked('SELECT * FROM coord')}) UNION ALL SELECT 'tfidf' AS model, * FROM ({sql_ranked('SELECT * FROM tfidf')})), "
+    "kinds AS (SELECT 'all' AS subset, doc_id FROM documents UNION ALL SELECT 'subset', doc_id FROM fill), "
+    "rr AS (SELECT model, item_id, doc_id, row_number() OVER (PARTITION BY model, item_id ORDER BY score DESC, doc_id::VARCHAR DESC) AS rank FROM runs), "
+    "jj AS (SELECT model, split, subset, q.item_id, q.doc_id, q.rel, rank, row_number() OVER (PARTITION BY model, subset, q.item_id ORDER BY rank NULLS LAST, q.doc_id) AS hit, row_number() OVER (PARTITION BY model, subset, q.item_id ORDER BY rel DESC, q.doc_id) AS ideal "
+    "FROM (SELECT * FROM qrels JOIN kinds USING (doc_id) JOIN sides ON query_id = item_id, (SELECT unnest(['bm25', 'coord', 'tfidf']) AS model)) q LEFT JOIN rr USING (model, item_id, doc_id)), "
+    "per AS (SELECT model, split, subset, item_id, " + ", ".join(f"{sql_measure(*evaluation.parse_metric(x))} AS m{i}" for i, x in enumerate(SWEEP)) + " FROM jj GROUP BY ALL)"
+)
 
 
-@check("duplicates", "SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(*) > 1")
-def duplicates(s, d):
-    return table(s, d, "documents").groupBy(F.sha2("text", 256)).count().filter("count > 1")
+def swept(s, d) -> DataFrame:
+    c = corpus(s, d)
+    models = (("bm25", c.bm25("lucene")), ("coord", c.coordination()), ("tfidf", c.tfidf()))
+    rows = None
+    for model, scores in models:
+        part = lexical.ranked(scores).select(F.lit(model).alias("model"), "item_id", "doc_id", "score")
+        rows = part if rows is None else rows.union(part)
+    rel = qrels(s, d).join(sides(s, d).select("split", F.col("query_id").alias("item_id")), "item_id")
+    kinds = table(s, d, "documents").select(F.lit("all").alias("subset"), "doc_id").union(subset(s, d).select(F.lit("subset").alias("subset"), "doc_id"))
+    return evaluation.sweep(rel, saved(rows, "runs"), kinds, SWEEP)
 
 
-@check("idlist", "(SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM fill) UNION ALL (SELECT doc_id FROM fill EXCEPT SELECT doc_id FROM documents)")
-def idlist(s, d):
-    docs, have = table(s, d, "documents").select("doc_id"), subset(s, d)
-    return docs.join(have, "doc_id", "left_anti").union(have.join(docs, "doc_id", "left_anti"))
+@query(based(SQL_SWEEP + " " + " UNION ALL ".join(f"SELECT model, split, subset, '{x}' AS metric, round(avg(m{i}), 6) AS value FROM per GROUP BY ALL" for i, x in enumerate(SWEEP))))
+def eval_sweep(s, d):
+    return swept(s, d)
 
 
-@check("hash", "SELECT a.doc_id FROM documents a JOIN documents b ON a.doc_id = b.doc_id SEMI JOIN fill f ON f.doc_id = a.doc_id WHERE sha256(a.text) <> sha256(b.text)")
-def hash_(s, d):
-    docs = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    copy = table(s, d, "documents").join(subset(s, d), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("copied"))
-    return docs.join(copy, "doc_id").filter("hash <> copied")
+@query(based(SQL_SWEEP + " " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS place, '{x}' || chr(9) || printf('%.3f', round(avg(m{i}), 6)) AS line FROM per WHERE model = 'tfidf' AND split = 'dev0' AND subset = 'all'" for i, x in enumerate(SWEEP))))
+def metric_report(s, d):
+    return evaluation.report_lines(swept(s, d).filter("model = 'tfidf' and split = 'dev0' and subset = 'all'").select("metric", "value"), SWEEP)
 
 
 # -- lines ----------------------------------------------------------------------------------------------------------------
@@ -587,9 +709,250 @@ def event_windows(s, d):
 
 @query(based("SELECT term, doc_id, tf FROM posts"))
 def incremental_index(s, d):
-    """The same index as tf_postings, built by a stream of files."""
-    from quillon.session import table_path
+    """The same index as tf_postings, built by a stream of files of at most one a batch."""
     from quillon.streaming.incremental import index_files
 
     out = table_path(s, "stream-index")
-    return index_files(s, d, out, f"{out}-checkpoint", glob="documents.parquet").select("term", "doc_id", "tf")
+    return index_files(s, f"{d}/documents.parquet", out, f"{out}-checkpoint", files=1).select("term", "doc_id", "tf")
+
+
+SPLIT_LINES = f"SELECT string_split({LINES}, ' ') AS f, conv_id * 1000 + turn AS line_no FROM conversations"
+
+
+@query(f"SELECT query_id, doc_id FROM (SELECT f[1] AS query_id, f[3] AS doc_id, row_number() OVER (PARTITION BY f[1] ORDER BY line_no DESC) AS r FROM ({SPLIT_LINES})) WHERE r = 1")
+def parse_gold(s, d):
+    return trec.parse_gold(lines(s, d))
+
+
+@query(f"SELECT DISTINCT f[1] AS query_id, f[3] AS doc_id FROM ({SPLIT_LINES}) WHERE f[4] <> 'x'")
+def parse_relevant(s, d):
+    """Lines of exactly four fields; those with a bad rank have five here."""
+    four = lines(s, d).withColumn("value", F.regexp_replace("value", r"^(\S+ \S+ \S+) (\S+) .*", "$1 $2"))
+    return trec.parse_relevant(four.withColumn("value", F.when(F.col("value").endswith(" x"), F.concat("value", F.lit(" y"))).otherwise(F.col("value"))))
+
+
+@query(f"SELECT f[1] AS query_id, string_agg(f[3], ',' ORDER BY line_no) AS doc_ids FROM ({SPLIT_LINES}) GROUP BY f[1]")
+def grouped_run(s, d):
+    return trec.grouped_run(lines(s, d)).select("query_id", F.array_join("doc_ids", ",").alias("doc_ids"))
+
+
+@query(f"SELECT query_id, doc_id, rank, score FROM (SELECT f[1] AS query_id, f[3] AS doc_id, coalesce(try_cast(f[4] AS INTEGER), 1000000000) AS rank, coalesce(try_cast(f[5] AS DOUBLE), 0) AS score, row_number() OVER (PARTITION BY f[1], f[3] ORDER BY line_no DESC) AS r FROM ({SPLIT_LINES})) WHERE r = 1")
+def parse_run_strict(s, d):
+    return trec.parse_run(lines(s, d), strict=True).select("query_id", "doc_id", "rank", "score")
+
+
+@query(based(f", {SQL_RUN.rstrip().rstrip(',')} SELECT item_id::VARCHAR AS query_id, doc_id::VARCHAR AS doc_id, rnk::INTEGER AS rank, score FROM run"))
+def run_round_trip(s, d):
+    """A run written as gzipped lines with whole scores and read back."""
+    path = table_path(s, "run")
+    trec.write_run(tfidf_run(s, d), path, "tfidf", gzip=True, digits=None)
+    return trec.parse_run(ordered_lines.numbered(s, path)).select("query_id", "doc_id", "rank", "score")
+
+
+def awkward(s, d) -> DataFrame:
+    """All documents as JSON lines: every ninth is cut off, every seventh has no id, every fifth no title, every third an id under doc_id."""
+    t, i = table(s, d, "documents"), F.col("doc_id")
+    whole = F.to_json(F.struct(
+        F.when((i % 7 != 3) & (i % 3 != 0), i.cast("string")).alias("id"), F.when((i % 7 != 3) & (i % 3 == 0), i.cast("string")).alias("doc_id"),
+        F.when(i % 5 != 1, F.col("source")).alias("title"), F.when(i % 4 != 2, F.col("text")).alias("text"),
+    ))
+    return t.withColumn("value", whole).select(F.when(i % 9 == 4, F.expr("substring(value, 1, length(value) - 1)")).when(i % 31 == 6, "  ").otherwise(F.col("value")).alias("value"))
+
+
+def sql_form(form: str, by: str, text: str, keep: str = "true") -> str:
+    return f"SELECT '{form}' AS form, {by} AS doc_id, sha256({text}) AS hash, len({text})::BIGINT AS n FROM l WHERE {by} IS NOT NULL AND {keep}"
+
+
+FORM_TEXT = "regexp_replace(coalesce(title, '') || {sep} || coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
+TITLED = "concat_ws(chr(10), nullif(trim(coalesce(title, '')), ''), nullif(trim(coalesce(text, '')), ''))"
+
+
+@query(
+    "WITH l AS (SELECT CASE WHEN doc_id % 7 <> 3 AND doc_id % 3 <> 0 THEN doc_id::VARCHAR END AS id, CASE WHEN doc_id % 7 <> 3 THEN doc_id::VARCHAR END AS any_id, CASE WHEN doc_id % 5 <> 1 THEN source END AS title, CASE WHEN doc_id % 4 <> 2 THEN text END AS text FROM documents WHERE doc_id % 9 <> 4 AND doc_id % 31 <> 6) "
+    + " UNION ALL ".join((
+        sql_form("titled", "id", TITLED), sql_form("plain", "id", "coalesce(text, '')"), sql_form("spaced", "id", FORM_TEXT.format(sep="' '")),
+        sql_form("strict", "any_id", FORM_TEXT.format(sep="chr(10)"), f"{FORM_TEXT.format(sep='chr(10)')} <> ''"),
+    ))
+)
+def corpus_forms(s, d):
+    """Documents read from JSON lines on disk in all four forms."""
+    path, out = table_path(s, "corpus"), None
+    awkward(s, d).write.option("compression", "gzip").text(path)
+    for form in jsonl.FORMS:
+        part = jsonl.documents(ordered_lines.numbered(s, path), form).select(F.lit(form).alias("form"), "doc_id", F.sha2("text", 256).alias("hash"), F.length("text").cast("long").alias("n"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("SELECT conv_id::VARCHAR AS query_id, coalesce(nullif(arg_max(text, turn), ''), '') AS query FROM conversations WHERE turn % 4 <> 3 GROUP BY conv_id")
+def read_queries(s, d):
+    """Queries under changing field names, several lines an id, with lines that are cut off."""
+    c, t = table(s, d, "conversations"), F.col("turn")
+    key, text = F.col("conv_id").cast("string"), F.col("text")
+    at = lambda k, v, n: F.when(t % 3 == k, v).alias(n)
+    value = F.to_json(F.struct(at(0, key, "query_id"), at(1, key, "qid"), at(2, key, "id"), at(0, text, "query"), at(1, text, "text"), at(2, text, "title")))
+    rows = c.select((F.col("conv_id") * 1000 + t).alias("line_no"), F.when(t % 4 == 3, F.substring(value, 1, 9)).otherwise(value).alias("value"))
+    return jsonl.queries(rows)
+
+
+@query(based("SELECT 'dev' || (item_id % 3)::VARCHAR AS split, item_id, pos::BIGINT AS pos, term, round(1 - 0.05 * pos, 6) AS weight FROM red"))
+def improved_queries(s, d):
+    """Keyword queries in a file for each split, read back with the split from the file's name."""
+    b, base = table(s, d, "benchmark"), table_path(s, "improved")
+    k = lexical.reduced(b).groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term", "weight"))), lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight"), F.array(F.lit("x")).alias("extra"))).alias("keywords"))
+    for i in range(3):
+        k.filter(F.col("item_id") % 3 == i).select(F.col("item_id").alias("id"), "keywords").write.json(f"{base}/eval20-queries-dev{i}_improved_queries.jsonl")
+    return jsonl.improved_queries(s, f"{base}/*").select("split", "item_id", F.col("pos").cast("long").alias("pos"), "term", F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT doc_id, lang, source, n_chars, sha256(text) AS hash FROM documents")
+def jsonl_round_trip(s, d):
+    path = table_path(s, "jsonl")
+    jsonl.write_jsonl(table(s, d, "documents"), path)
+    return jsonl.read_jsonl(s, path, "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("hash"))
+
+
+@query("SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS place, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+def embedding_shards(s, d):
+    """Vectors written in shards of bounded files and read back; shards by number."""
+    path = table_path(s, "shards")
+    shards.write_shards(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), path, shards=12, per_file=100)
+    rows = shards.read_shards(s, path).select("id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+    return ordered_lines.ordinals(rows, "id", name="place").select("id", "place", "total")
+
+
+@query("SELECT 'shard' || lpad(i::VARCHAR, 2, '0') AS dir, i AS number, row_number() OVER (ORDER BY i) AS place FROM (SELECT DISTINCT vec_id % 12 AS i FROM embeddings)")
+def shard_order(s, d):
+    """Shard folders by the number at their end, not as text."""
+    names = table(s, d, "embeddings").select(F.concat(F.lit("/x/shard"), F.lpad((F.col("vec_id") % 12).cast("string"), 2, "0"), F.lit("/emb.npy")).alias("path")).distinct()
+    rows = names.select(F.element_at(F.split("path", "/"), -2).alias("dir"), shards.shard_number("path").alias("number"))
+    return ordered_lines.ordinals(rows, "number").select("dir", "number", (F.col("ord") + 1).alias("place"))
+
+
+@query("WITH p AS (SELECT label, (vec_id % 4 <> 0)::INTEGER AS m, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, dim, round(sum(x * m) / greatest(sum(m), 1), 6) + 0.0 AS value FROM p GROUP BY ALL")
+def masked_mean_vectors(s, d):
+    e = table(s, d, "embeddings").select("label", (F.col("vec_id") % 4 != 0).cast("int").alias("mask"), F.col("embedding").alias("v"))
+    return dense.masked_mean(e, "label").withColumn("value", F.col("value") + 0.0)
+
+
+@query(based(sql_ranked("SELECT * FROM tfidf", 20)))
+def without_padding(s, d):
+    """A run padded to a fixed length with rows of no document and of no score."""
+    run = lexical.ranked(corpus(s, d).tfidf(), 20)
+    ids = run.select("item_id").distinct()
+    pad = ids.select("item_id", F.lit(-1).cast("long"), F.lit(21).cast("long"), F.lit(0.0)).union(ids.select("item_id", F.lit(5).cast("long"), F.lit(22).cast("long"), F.lit(float("-inf"))))
+    return dense.without_padding(run.union(pad))
+
+
+@query(f"SELECT doc_id, len(w[1:256])::BIGINT AS n, md5(array_to_string(w[1:256], ' ')) AS hash FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)")
+def truncated_words(s, d):
+    return chunking.truncated(table(s, d, "documents")).select("doc_id", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ").cast("binary")).alias("hash"))
+
+
+@query("SELECT doc_id + 1 AS doc_id FROM documents")
+def guarded_ids(s, d):
+    return index.guarded(table(s, d, "documents").select((F.col("doc_id") + 1).alias("doc_id")))
+
+
+@query("SELECT item_id, row_number() OVER (ORDER BY len(item_id::VARCHAR), item_id::VARCHAR) - 1 AS place FROM benchmark")
+def natural_order(s, d):
+    t = table(s, d, "benchmark").select("item_id", F.length(F.col("item_id").cast("string")).alias("a"), F.col("item_id").cast("string").alias("b"))
+    return ordered_lines.ordinals(t, "a", "b", name="place").select("item_id", "place")
+
+
+@query("SELECT source, count(*) AS detail, array_to_string(list_sort(list(doc_id::VARCHAR))[1:20], ',') AS sample FROM documents GROUP BY source")
+def sampled_ids(s, d):
+    rows = table(s, d, "documents").select("source", F.col("doc_id").cast("string").alias("id"))
+    return validator.sampled(rows, ["source"], "id").select("source", "detail", F.array_join("sample", ",").alias("sample"))
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS stem FROM pages")
+def filename_stem(s, d):
+    return table(s, d, "pages").select("page_id", F.regexp_extract("url", r"([^/]*?)(\.[^./]*)?$", 1).alias("stem"))
+
+
+@query(based("SELECT term, doc_id, tf FROM posts"))
+def zipped_postings(s, d):
+    """Parallel arrays of documents and frequencies, put together by place."""
+    p = index.postings(table(s, d, "documents")).groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("x"))
+    p = p.select("term", F.col("x.doc_id").alias("doc_ids"), F.col("x.tf").alias("tfs"))
+    return p.select("term", F.explode(F.arrays_zip("doc_ids", "tfs")).alias("z")).select("term", F.col("z.doc_ids").alias("doc_id"), F.col("z.tfs").alias("tf"))
+
+
+def sql_treebank(text: str) -> str:
+    found = text
+    for i, (pattern, out) in enumerate(TREEBANK):
+        found = f"(' ' || {found} || ' ')" if i == ENDINGS else found
+        found = f"regexp_replace({found}, {chr(39)}{pattern.replace(chr(39), chr(39) * 2)}{chr(39)}, {chr(39)}{out.replace(chr(39), chr(39) * 2).replace('$', chr(92))}{chr(39)}, 'g')"
+    return f"list_filter(regexp_split_to_array({found}, '\\s+'), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, len(w)::BIGINT AS n, md5(array_to_string(w, ' ')) AS hash FROM (SELECT doc_id, {sql_treebank('text')} AS w FROM documents)")
+def treebank_tokens(s, d):
+    return table(s, d, "documents").select("doc_id", treebank("text").alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("hash"))
+
+
+SQL_STEM = (
+    "CASE WHEN regexp_matches(term, '(ss|us|is)$') THEN term WHEN regexp_matches(term, 'ies$') AND len(term) > 4 THEN regexp_replace(term, 'ies$', 'y') WHEN regexp_matches(term, '(ch|sh|x|s|z)es$') THEN regexp_replace(term, 'es$', '') "
+    "WHEN regexp_matches(term, '[a-z]{3,}ing$') THEN regexp_replace(term, 'ing$', '') WHEN regexp_matches(term, '[a-z]{3,}ed$') THEN regexp_replace(term, 'ed$', '') WHEN regexp_matches(term, '[^s]s$') AND len(term) > 3 THEN regexp_replace(term, 's$', '') ELSE term END"
+)
+
+
+@query(based(f"SELECT stem, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, {SQL_STEM} AS stem FROM toks) GROUP BY stem"))
+def stemmed_terms(s, d):
+    """Terms after the light stemmer; no table of lemmas is at hand."""
+    p = index.postings(table(s, d, "documents"), "stem")
+    return p.groupBy(F.col("term").alias("stem")).agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query()
+def bm25_english(s, d):
+    """Lucene's BM25 over its English analysis: no possessives, its stop words, Porter stems."""
+    path = table_path(s, "index")
+    index.write_index(table(s, d, "documents"), path, "english")
+    return lexical.ranked(lexical.Lexical(index.read_index(s, path), table(s, d, "benchmark"), "english").bm25("lucene"))
+
+
+@query("SELECT (r - 1) // 25 AS part, count(*) AS n, 'Queries:' || chr(10) || string_agg(item_id::VARCHAR || chr(9) || text, chr(10) ORDER BY r) AS prompt FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS r FROM benchmark) GROUP BY ALL")
+def prompt_groups(s, d):
+    return jsonl.prompts(ordered_lines.ordinals(table(s, d, "benchmark"), "item_id"), "Queries:")
+
+
+@query("SELECT source || doc_id::VARCHAR AS key, CASE WHEN doc_id % 6 = 5 THEN 'none' WHEN doc_id % 4 = 1 THEN 'new ' || lang ELSE lang END AS value FROM documents")
+def key_value(s, d):
+    """Two writes, the second over part of the first, and a lookup of all keys with a default."""
+    kv, i = jsonl.KeyValue(s, table_path(s, "kv")), F.col("doc_id")
+    t = table(s, d, "documents").select(F.concat("source", i.cast("string")).alias("key"), F.col("lang").alias("value"), F.lit(0).alias("order"), "doc_id")
+    kv.put(t.filter(i % 6 != 5).select("key", "value", "order"))
+    again = t.filter((i % 4 == 1) & (i % 6 != 5))
+    kv.put(again.select("key", F.lit("older").alias("value"), "order").union(again.select("key", F.concat(F.lit("new "), "value"), F.lit(1))))
+    return kv.get(t.select("key"), "none")
+
+
+SQL_BOW = (
+    f"WITH c AS ({sql_windows(100, 50)}), w AS (SELECT doc_id, chunk_index, n_words, unnest({sql_words('chunk')}) AS t FROM c), "
+    "v AS (SELECT doc_id, chunk_index, any_value(n_words) AS n, ('0x' || substr(md5(t), 1, 4))::BIGINT % 64 AS dim, count(*)::DOUBLE AS x FROM w GROUP BY doc_id, chunk_index, dim), "
+    "z AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, chunk_index, any_value(n_words) AS n FROM c GROUP BY ALL) GROUP BY doc_id), "
+    "m AS (SELECT v.doc_id, dim, sum(x * v.n) / greatest(any_value(z.n), 1) AS x FROM v JOIN z USING (doc_id) GROUP BY ALL) "
+    "SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS value FROM m"
+)
+
+
+@query(SQL_BOW)
+def encoded_documents(s, d):
+    """Passages through the encoder hook, their vectors weighted by words to one a document; zero components are left out."""
+    v = dense.encoded(chunking.windows(table(s, d, "documents"), 100, 50), dense.hashed)
+    return dense.weighted_mean(v, "doc_id", "n_words").filter("value <> 0")
+
+
+@query(
+    "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, vec_id // 16 AS batch FROM embeddings), "
+    "p AS (SELECT q.batch, q.vec_id AS a, r.vec_id AS b, list_inner_product(q.e, r.e) / sqrt(list_inner_product(q.e, q.e)) / sqrt(list_inner_product(r.e, r.e)) AS s "
+    "FROM v q JOIN (SELECT x.vec_id, x.batch, y.e FROM v x JOIN v y ON y.vec_id = x.vec_id + CASE WHEN x.vec_id % 2 = 0 THEN 1 ELSE -1 END) r USING (batch)), "
+    "l AS (SELECT batch, a, ln(sum(exp(s))) - sum(CASE WHEN a = b THEN s ELSE 0 END) AS loss FROM p GROUP BY ALL) SELECT batch, count(*) AS n, round(avg(loss), 6) AS loss FROM l GROUP BY batch"
+)
+def contrastive_loss(s, d):
+    """Each vector as a query, its neighbour in the pair as its passage, batches of 16."""
+    e = table(s, d, "embeddings")
+    pair = e.select((F.col("vec_id") + F.when(F.col("vec_id") % 2 == 0, 1).otherwise(-1)).alias("ord"), F.col("embedding").alias("p"))
+    return dense.contrastive_loss(e.select(F.col("vec_id").alias("ord"), F.col("embedding").alias("q")).join(pair, "ord"), 16)

@@ -26,13 +26,20 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors see.
 
-    Only where that setting is absent (tests, local mode) is a folder made and set.
+    Only in local mode, where that setting may be absent, is a folder made and set; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quillon-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
