@@ -1,18 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are cut into passages of 64 words, a new one every 32. Passages are TF-IDF vectors over hashed words;
-document frequencies cover all documents. A distributed randomised SVD of passages (a random range, taken
-through A'A once and then held against A'A, each step a sum of matrices made where the passages are) gives the latent space. Every passage
-of every document is projected and compared by cosine with every benchmark item; pairs above the threshold are
-candidates. A candidate counts if the longest common subsequence of words of the item and the passage, with as many
-words on either side as the item has (in whole half passages), covers enough of the item, or covers less but holds the item's answer: the
-words of its last sentence.
-
-The index (the latent space) is fitted on passages of a bounded sample of documents and on the benchmark;
-everything else covers all rows. The space has a fixed rank, so the cosine of a copy falls as the benchmark grows. It
-is therefore not the only way to a candidate: an item also is one wherever the words around a passage could cover
-enough of it, which no item that passes the comparison can miss, as a common subsequence is never longer than the
-words in common. Items that a document's words cannot cover are not looked at in that document.
+Documents are cut into passages of 64 words, a new one every 32; benchmark items into queries of at most 64 words.
+Both are TF-IDF vectors over hashed words; document frequencies cover all documents. A distributed randomised SVD
+(a random range, taken through A'A once and then held against A'A, each step a sum of matrices made where the
+passages are) gives the latent space. Every passage of every document is projected and compared by cosine
+with every query; pairs above the threshold are candidates. A candidate counts if the longest common subsequence of
+words of the item and the words around the passage, as many on either side as the item has, covers enough of the
+item, or covers less but holds the item's answer: the words of its last sentence.
+
+The space is fitted on passages of a bounded sample of documents and on all queries, which weigh more than the
+sample. Its rank is above the number of queries of a block, so that it holds all of them, and the cosine of a copy does
+not fall as the benchmark grows; a larger benchmark takes more blocks, each with its own space. Everything but
+that fit covers all rows.
 """
 
 from __future__ import annotations
@@ -22,106 +21,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quillon.llm.blocks import pieces
+from quillon.llm.blocks import mixed, pieces, trimmed
+from quillon.session import saved
 
-TERM_BITS, RANK, HALF = 14, 256, 32
-FIT_DOCS, FIT_PARTS, SEED = 1000, 4, 7
+TERM_BITS, RANK, SPARE, HALF = 14, 256, 56, 32
+FIT_DOCS, FIT_PARTS, FIT_WEIGHT, SEED = 1000, 4, 8.0, 7
 COSINE, COVER, ANSWER_COVER, ANSWER_SHARE = 0.25, 0.7, 0.55, 0.8
-ITEM_BLOCK = 4096
+QUERY_BLOCK, RUN = 960, 256
 SLICE, SLICES = 512, "slice long, n long, sum binary"
 # ASCII punctuation and controls part words; letters of other scripts are bytes of their own.
 PARTING = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+ODD = 0x9E3779B97F4A7C15 | 1
+LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+STRETCH = 1 << 20
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, kept for the next call."""
+    if len(POWERS[0]) < n:
+        for i, base in enumerate((ODD, pow(ODD, -1, 1 << 64))):
+            grown = np.full(n + n // 4, base, np.uint64)
+            grown[0] = 1
+            POWERS[i] = np.cumprod(grown)
+    return POWERS
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, a stretch of bytes at a time."""
+    out = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(start, start[a] + STRETCH)))
+        low, high = int(start[a]), int(end[b - 1])
+        up, down = powers(high - low + 1)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(LETTERS[data[low:high]] * up[: high - low], out=sums[1:])
+        s, e = start[a:b] - low, end[a:b] - low
+        out[a:b] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        a = b
+    return out
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.decode(errors="replace").lower().encode().translate(PARTING).split()
-
-
-class Terms(dict):
-    """Word to term number, remembered for a while."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = term = xxhash.xxh3_64_intdigest(word) >> (64 - TERM_BITS)
-        return term
+def worded(texts: list[bytes]) -> list[np.ndarray]:
+    """The hashes of each text's words, in order: lower-cased, parted at white space and ASCII punctuation."""
+    low = [t.decode(errors="replace").lower().encode().translate(PARTING) for t in texts]
+    data = np.frombuffer(b" " + b" ".join(low) + b" ", np.uint8)
+    turns = np.flatnonzero(np.diff(data == 32)) + 1
+    start, end = turns[::2], turns[1::2]
+    sizes = np.fromiter(map(len, low), np.int64, len(low)) + 1
+    cuts = np.searchsorted(start, 1 + np.cumsum(sizes) - sizes)
+    hashes = word_hashes(data, start, end)
+    return [hashes[a:b] for a, b in zip(cuts, np.r_[cuts[1:], len(hashes)])]
 
 
-def term_array(words: list[bytes], terms: Terms) -> np.ndarray:
-    return np.fromiter(map(terms.__getitem__, words), np.int64, len(words))
+def terms_of(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
 
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents, and documents with each term, in a partition."""
-    total, df, terms = 0, np.zeros(1 << TERM_BITS, np.int64), Terms()
+    total, df, seen = 0, np.zeros(1 << TERM_BITS, np.int64), np.zeros(1 << TERM_BITS, bool)
     for _, texts in pieces(batches, "text", "doc_id", 1 << 20):
-        for t in texts:
-            df[np.unique(term_array(words_of(t), terms))] += 1
+        for words in worded(texts):
+            t = terms_of(words)
+            seen[t] = True
+            own = np.flatnonzero(seen) if len(t) > 1000 else np.unique(t)
+            df[own] += 1
+            seen[own] = False
         total += len(texts)
     yield pa.record_batch([pa.array([total]), pa.array([df.tobytes()], pa.binary())], ["n", "df"])
 
 
-def passages(t: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """TF-IDF rows of unit length, dense in the document's own terms: (those terms, passages by terms)."""
-    own, place = np.unique(t, return_inverse=True)
-    block = np.arange(len(t)) // HALF
-    last = int(block[-1]) + 1
-    counts = np.bincount(block * len(own) + place, minlength=last * len(own)).reshape(last, len(own))
-    if last > 1:
-        counts = counts[:-1] + counts[1:]
-    rows = counts * idf[own]
-    rows /= np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
-    return own, rows.astype(np.float32)
-
-
-def times(rows: list[tuple[np.ndarray, np.ndarray]], matrix: np.ndarray) -> np.ndarray:
-    """Sum of A'(A M) over blocks of A."""
-    out = np.zeros_like(matrix)
+def passages(t: np.ndarray, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """TF-IDF rows of unit length, RUN passages at a time: (number of the first, terms at hand, passages by terms)."""
+    last = max(1, -(-len(t) // HALF) - 1)
+    for p in range(0, last, RUN):
+        part = t[p * HALF : (min(last, p + RUN) + 1) * HALF]
+        own, place = np.unique(part, return_inverse=True)
+        block = np.arange(len(part)) // HALF
+        counts = np.bincount(block * len(own) + place, minlength=(int(block[-1]) + 1) * len(own)).reshape(-1, len(own)).astype(np.float32)
+        if len(counts) > 1:
+            counts = counts[:-1] + counts[1:]
+        rows = counts * idf[own]
+        rows /= np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+        yield p, own, rows
+
+
+def times(rows: Iterator[tuple[np.ndarray, np.ndarray]], matrix: np.ndarray, out: np.ndarray) -> int:
+    """Adds A'(A M) over blocks of A to out; their number of rows."""
+    n = 0
     for own, block in rows:
         out[own] += block.T @ (block @ matrix[own])
-    return out
+        n += len(block)
+    return n
 
 
-def fit(sample: DataFrame, items: list[bytes], idf: np.ndarray, rank: int) -> np.ndarray:
-    """Orthonormal terms-by-rank basis of the passages' leading directions.
+def fit(sample: DataFrame, queries: list[np.ndarray], idf: np.ndarray, rank: int) -> np.ndarray:
+    """Orthonormal terms-by-rank basis of the leading directions of the sampled passages and the queries.
 
-    Benchmark rows weigh as much as the sampled passages together, so that the space spans what is searched for.
+    Queries weigh FIT_WEIGHT times as much as all sampled passages together, so that the space holds what is searched for.
     """
     sc = sample.sparkSession.sparkContext
-    terms = Terms()
-    own = [passages(term_array(w, terms), idf) for t in items if (w := words_of(t))]
+    asked = [(own, rows) for q in queries for _, own, rows in passages(q, idf)]
     sample = sample.repartition(FIT_PARTS)
 
-    def product(matrix: np.ndarray) -> tuple[np.ndarray, int]:
+    def product(matrix: np.ndarray) -> np.ndarray:
         shared = sc.broadcast((matrix, idf))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (m, weights), terms, total, n = shared.value, Terms(), 0, 0
-            total = np.zeros_like(m)
+            m, weights = shared.value
+            total, n = np.zeros_like(m), 0
             for _, texts in pieces(batches, "text", "doc_id", 1 << 20):
-                rows = [passages(term_array(w, terms), weights) for t in texts if (w := words_of(t))]
-                n += sum(len(r[1]) for r in rows)
-                total += times(rows, m)
+                n += times(((own, rows) for words in worded(texts) if len(words) for _, own, rows in passages(terms_of(words), weights)), m, total)
             for i in range(0, len(total), SLICE):
                 yield pa.record_batch([pa.array([i // SLICE]), pa.array([n if i == 0 else 0]), pa.array([total[i : i + SLICE].tobytes()], pa.binary())], ["slice", "n", "sum"])
 
         total, n = np.zeros_like(matrix), 0
         # slices are summed where they meet, so that the driver gets the matrix once and in small parts
-        parts = sample.mapInArrow(run, SLICES).repartition(-(-len(matrix) // SLICE), "slice").mapInArrow(slices_added, SLICES)
+        parts = sample.mapInArrow(trimmed(run), SLICES).repartition(-(-len(matrix) // SLICE), "slice").mapInArrow(slices_added, SLICES)
         for r in parts.toLocalIterator():
             total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["sum"], np.float32).reshape(-1, matrix.shape[1])
             n += r["n"]
         shared.destroy()
-        return total + times(own, matrix) * (max(1.0, n / max(1, len(own))))
+        own = np.zeros_like(matrix)
+        times(iter(asked), matrix, own)
+        own *= np.float32(FIT_WEIGHT * max(1.0, n / max(1, len(asked))))
+        return total + own
 
     y = np.random.default_rng(SEED).standard_normal((1 << TERM_BITS, rank)).astype(np.float32)
     y = np.linalg.qr(product(y))[0].astype(np.float32)
     small = y.T @ product(y)
     value, vector = np.linalg.eigh((small + small.T) / 2)
-    return (y @ vector[:, value > 1e-6 * max(value.max(), 1e-12)][:, ::-1]).astype(np.float32)
+    return (y @ vector[:, value > 1e-7 * max(value.max(), 1e-12)][:, ::-1]).astype(np.float32)
 
 
 def slices_added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,183 +169,165 @@ def slices_added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([k]), pa.array([n]), pa.array([part.tobytes()], pa.binary())], ["slice", "n", "sum"])
 
 
-def masks(words: list[bytes]) -> dict[bytes, int]:
-    out: dict[bytes, int] = {}
-    for i, w in enumerate(words):
-        out[w] = out.get(w, 0) | 1 << i
-    return out
-
-
-def common(mask: dict[bytes, int], size: int, words: list[bytes]) -> int:
-    """Length of the longest common subsequence, one bit for each word of the item."""
-    full = row = (1 << size) - 1
-    for w in words:
-        if hit := mask.get(w):
-            u = row & hit
-            row = ((row + u) | (row - u)) & full
-    return size - row.bit_count()
-
-
-def answer(text: bytes) -> set[bytes]:
-    """Words of the last sentence that has any."""
-    parts = [w for s in re.split(rb"[.!?\n]+", text) if (w := words_of(s))]
-    return set(parts[-1]) if parts else set()
-
-
-def reach(size: int) -> int:
-    """Half passages that an item of `size` words looks at on either side of a passage."""
-    return max(1, -(-size // HALF))
-
-
-def around(words: list[bytes], p: int, size: int) -> list[bytes]:
-    """The words that an item of `size` words is compared with for passage p."""
-    e = reach(size)
-    return words[max(0, p - e) * HALF : (p + 2 + e) * HALF]
-
-
-class Held:
-    """How much of each item the words at hand could cover at most, by terms: an upper bound of the common subsequence."""
-
-    def __init__(self, item_words: list[list[bytes]], least: float):
-        terms = Terms()
-        self.rows = [np.unique(term_array(w, terms), return_counts=True) for w in item_words]
-        self.reach = np.array([reach(len(w)) for w in item_words], np.int64)
-        self.need = np.array([least * len(w) - 1e-9 for w in item_words])
-        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.rows)])
-        item = np.repeat(np.arange(len(self.rows)), [len(t) for t, _ in self.rows])
-        count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in self.rows)])
-        order = np.argsort(term, kind="stable")
-        self.item, self.count = item[order], count[order]
-        # few items have a matrix, terms by items
-        self.dense = None
-        if len(self.need) <= RANK:
-            self.dense = np.zeros((1 << TERM_BITS, len(self.need)), np.float32)
-            self.dense[term, item] = count
-        self.start = np.searchsorted(term[order], np.arange((1 << TERM_BITS) + 1))
-
-    def items(self, own: np.ndarray) -> np.ndarray:
-        """Items that the terms of a document can cover."""
-        size = self.start[own + 1] - self.start[own]
-        at = np.repeat(self.start[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.flatnonzero(np.bincount(self.item[at], self.count[at], len(self.need)) >= self.need)
-
-    def places(self, own: np.ndarray, rows: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """For each passage, whether it with the words on either side can cover each of items."""
-        if self.dense is not None:
-            counts = self.dense[own[:, None], items]
-        else:
-            counts = np.zeros((len(own), len(items)), np.float32)
-            for k, i in enumerate(items):
-                term, count = self.rows[i]
-                at = np.minimum(np.searchsorted(own, term), len(own) - 1)
-                good = own[at] == term
-                counts[at[good], k] = count[good]
-        out = np.zeros((len(rows), len(items)), bool)
-        # passages with each term, up to each passage
-        upto = np.concatenate([np.zeros((1, len(own)), np.int32), np.cumsum(rows > 0, 0, dtype=np.int32)])
-        p = np.arange(len(rows))
-        for e in np.unique(self.reach[items]):
-            some = self.reach[items] == e
-            wide = (upto[np.minimum(p + e + 1, len(rows))] > upto[np.maximum(p - e, 0)]).astype(np.float32)
-            out[:, some] = wide @ counts[:, some] >= self.need[items[some]]
-        return out
+class Item:
+    """What a benchmark item is compared by."""
+
+    def __init__(self, number: int, text: bytes):
+        self.number = number
+        words = worded([text])[0].tolist()
+        self.size, self.mask = len(words), {}
+        for i, w in enumerate(words):
+            self.mask[w] = self.mask.get(w, 0) | 1 << i
+        self.known = set(words)
+        parts = [w for w in worded(re.split(rb"[.!?\n]+", text)) if len(w)]
+        self.answer = set(parts[-1].tolist()) if parts else set()
+        self.reach = max(1, -(-self.size // HALF))
+
+    def common(self, words: list[int]) -> int:
+        """Length of the longest common subsequence, one bit for each word of the item."""
+        full = row = (1 << self.size) - 1
+        get = self.mask.get
+        for w in words:
+            if hit := get(w):
+                u = row & hit
+                row = ((row + u) | (row - u)) & full
+        return self.size - row.bit_count()
+
+    def share(self, words: np.ndarray, limits: tuple[float, float, float]) -> float:
+        """How much of the item the words cover in order, if it is enough; else 0."""
+        cover, answer_cover, answer_share = limits
+        here = words.tolist()
+        held = self.known.intersection(here)
+        # no common subsequence is longer than the words in common
+        if sum(self.mask[w].bit_count() for w in held) < min(cover, answer_cover) * self.size:
+            return 0.0
+        share = self.common(here) / self.size
+        return share if share >= cover or (share >= answer_cover and len(self.answer & held) >= answer_share * len(self.answer)) else 0.0
+
+
+def stretches(at: np.ndarray, gap: int) -> Iterator[tuple[int, int]]:
+    """First and last of passages that lie within `gap` of the first."""
+    i = 0
+    while i < len(at):
+        j = int(np.searchsorted(at, at[i] + gap, "right"))
+        yield int(at[i]), int(at[j - 1])
+        i = j
+
+
+FOUND = "row long, doc_id long, contaminated boolean, item_id long, n_items long, lcs_share double, cosine double"
 
 
 def searched(model, limits: tuple[float, float, float, float]):
-    cosine, cover, answer_cover, answer_share = limits
+    cosine, *checks = limits
+    checks = tuple(checks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis, idf, ids, texts_, latent = model.value
-        terms, item_words = Terms(), [words_of(t) for t in texts_]
-        # with fewer items than directions, terms go straight to items
-        matrix = basis @ latent.T if len(ids) <= basis.shape[1] else None
-        held = Held(item_words, min(cover, answer_cover))
-        ready: dict[int, tuple] = {}
-        for keys, texts in pieces(batches, "text", "doc_id", 1 << 20):
+        matrix, idf, numbers, texts_, owner = model.value
+        items: dict[int, Item] = {}
+
+        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.record_batch([pa.array(list(zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist())), pa.list_(pa.int64())), b.column("text")], ["key", "text"])
+
+        for keys, texts in pieces(rows_of(batches), "text", "key", 1 << 20):
             out = []
-            for key, raw in zip(keys, texts):
-                words = words_of(raw)
-                best = (0.0, 0.0, None)
-                hits = 0
-                t = term_array(words, terms)
-                items = held.items(np.unique(t)) if words and len(ids) else ()
-                if len(items):
-                    own, rows = passages(t, idf)
-                    seen: dict[int, tuple] = {}
-                    for j in range(0, len(items), 512):
-                        some = items[j : j + 512]
-                        near = rows @ matrix[own[:, None], some] if matrix is not None else (rows @ basis[own]) @ latent[some].T
-                        good = held.places(own, rows, some) | (near >= cosine)
-                        for k in np.flatnonzero(good.any(0)):
-                            at = np.flatnonzero(good[:, k])
-                            seen[int(some[k])] = at.tolist(), float(near[at, k].max())
-                    for i, (at, close) in seen.items():
-                        if i not in ready:
-                            ready[i] = masks(item_words[i]), len(item_words[i]), answer(texts_[i])
-                        mask, size, final = ready[i]
+            for (row, key), words in zip(keys, worded(texts)):
+                best, hits = (0.0, 0.0, None), 0
+                if len(words) and len(numbers):
+                    near: dict[int, tuple[list, float]] = {}
+                    for p, own, rows in passages(terms_of(words), idf):
+                        score = rows @ matrix[own]
+                        for k in np.flatnonzero(score.max(0) >= cosine):
+                            at = np.flatnonzero(score[:, k] >= cosine) + p
+                            places, top = near.get(owner[k], ([], 0.0))
+                            near[owner[k]] = [*places, at], max(top, float(score[:, k].max()))
+                    for i, (places, close) in near.items():
+                        item = items.get(i) or items.setdefault(i, Item(numbers[i], texts_[i]))
+                        at = np.unique(np.concatenate(places))
                         top = 0.0
-                        for p in at:
-                            window = around(words, p, size)
-                            share = common(mask, size, window) / size
-                            if share >= cover or share >= answer_cover and len(final & set(window)) >= answer_share * len(final):
-                                top = max(top, share)
-                                if top == 1:
-                                    break
+                        for a, b in stretches(at, item.reach // 2):
+                            top = max(top, item.share(words[max(0, a - item.reach) * HALF : (b + 2 + item.reach) * HALF], checks))
+                            if top == 1:
+                                break
                         if top:
                             hits += 1
-                            best = max(best, (top, close, -ids[i]), key=lambda b: (b[0], b[2] if b[2] is not None else -(1 << 62)))
-                out.append((key, hits > 0, None if best[2] is None else -best[2], hits, round(best[0], 6), round(best[1], 4)))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "contaminated", "item_id", "n_items", "lcs_share", "cosine"])
+                            best = max(best, (top, close, -item.number), key=lambda b: (b[0], b[2] if b[2] is not None else -(1 << 62)))
+                out.append((row, key, hits > 0, None if best[2] is None else -best[2], hits, round(best[0], 6), round(best[1], 4)))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], [f.split()[0] for f in FOUND.split(", ")])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_docs: int = FIT_DOCS, limits: tuple[float, float, float, float] = (COSINE, COVER, ANSWER_COVER, ANSWER_SHARE)) -> DataFrame:
+def unit(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    term, count = np.unique(terms_of(words), return_counts=True)
+    w = (count * idf[term]).astype(np.float32)
+    return term, w / np.sqrt(w @ w)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_docs: int = FIT_DOCS, limits: tuple[float, float, float, float] = (COSINE, COVER, ANSWER_COVER, ANSWER_SHARE), block: int = QUERY_BLOCK) -> DataFrame:
     """Searches every text of docs(doc_id, text, ...) for the items of benchmark(item_id, text, ...).
 
     Returns doc_id, contaminated, item_id (of the item covered most, the least id among equals; null if none),
-    n_items, lcs_share, cosine. Null and wordless texts are clean, and so are null or wordless items. Rows
-    repeat as they come; other columns are ignored. Items are taken 4096 at a time, each time
-    against all rows and in a space fitted on them.
+    n_items, lcs_share, cosine. Null and wordless texts are clean, and so are null or wordless items. Of items that
+    repeat an id the least text counts; without items all is clean. Rows of docs stay as they come, whatever ids they
+    repeat or lack; other columns are ignored. Items make one query for each 64 words; `block` queries are taken
+    at a time, each time against all rows; with more than one block the texts are numbered and written once.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text")
     df, n = np.zeros(1 << TERM_BITS, np.int64), 0
     # the partial counts are summed in a few tasks, so that the driver gets no more than those
-    partial = texts.mapInArrow(frequencies, "n long, df binary").repartition(FIT_PARTS).mapInArrow(added, "n long, df binary")
+    partial = texts.select("doc_id", "text").mapInArrow(trimmed(frequencies), "n long, df binary").repartition(FIT_PARTS).mapInArrow(added, "n long, df binary")
     for r in partial.toLocalIterator():
         df += np.frombuffer(r["df"], np.int64)
         n += r["n"]
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.01)
-    asked = benchmark.filter("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id").toLocalIterator()
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // fit_docs))) == 0
-    found, block = None, []
-
-    def search(block: list) -> DataFrame:
-        rows = [(i, t.encode()) for i, t in block if t and words_of(t.encode())]
-        basis = fit(texts.filter(chosen), [t for _, t in rows], idf, rank)
-        terms = Terms()
-        latent = np.zeros((len(rows), basis.shape[1]), np.float32)
-        for k, (_, t) in enumerate(rows):
-            term, count = np.unique(term_array(words_of(t), terms), return_counts=True)
-            w = count * idf[term]
-            latent[k] = w @ basis[term] / np.sqrt(w @ w)
-        model = sc.broadcast((basis, idf, [i for i, _ in rows], [t for _, t in rows], latent))
-        return texts.mapInArrow(searched(model, limits), "doc_id long, contaminated boolean, item_id long, n_items long, lcs_share double, cosine double")
-
-    for r in asked:
-        block.append((r["item_id"], r["text"]))
-        if len(block) == ITEM_BLOCK:
-            part, block = search(block), []
-            found = part if found is None else found.union(part)
-    if block or found is None:
-        part = search(block)
+
+    def search(texts: DataFrame, items: list[tuple[int, bytes]], queries: list[tuple[int, np.ndarray]]) -> DataFrame:
+        width = max(rank, len(queries) + SPARE)
+        basis = fit(texts.filter(chosen).select("doc_id", "text"), [terms_of(q) for _, q in queries], idf, width)
+        matrix = np.zeros((1 << TERM_BITS, len(queries)), np.float32)
+        for k, (_, q) in enumerate(queries):
+            term, w = unit(q, idf)
+            matrix[:, k] = basis @ (w @ basis[term])
+        model = sc.broadcast((matrix, idf, [i for i, _ in items], [t for _, t in items], [k for k, _ in queries]))
+        return texts.mapInArrow(trimmed(searched(model, limits)), FOUND)
+
+    def blocks() -> Iterator[tuple[list, list]]:
+        items: list[tuple[int, bytes]] = []
+        queries: list[tuple[int, np.ndarray]] = []
+        asked = benchmark.filter("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).filter("text is not null").orderBy("item_id")
+        for r in asked.toLocalIterator():
+            raw = r["text"].encode()
+            words = worded([raw])[0]
+            mine = [words[a : a + 2 * HALF] for a in range(0, len(words), 2 * HALF)]
+            if len(mine) > 1 and len(mine[-1]) < HALF:  # a short rest says little by itself
+                mine[-2:] = [np.concatenate(mine[-2:])]
+            if mine and queries and len(queries) + len(mine) > block:
+                yield items, queries
+                items, queries = [], []
+            if mine:
+                queries += [(len(items), q) for q in mine]
+                items.append((r["item_id"], raw))
+        if queries:
+            yield items, queries
+
+    found, first = None, None
+    for items, queries in blocks():
+        if first is None:
+            first = items, queries
+            continue
         if found is None:
-            return part
-        found = found.union(part)
+            texts = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "texts")
+            found = search(texts, *first)
+        found = found.union(search(texts, items, queries))
+    if found is None:
+        names = ("doc_id", "contaminated", "item_id", "n_items", "lcs_share", "cosine")
+        return (search(texts, *first) if first else texts.mapInArrow(searched(sc.broadcast((np.zeros((1 << TERM_BITS, 0), np.float32), idf, [], [], [])), limits), FOUND)).select(*names)
     top = F.max(F.struct("lcs_share", (-F.col("item_id")).alias("item"), "cosine")).alias("top")
-    return found.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"), top).select(
+    return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"), top).select(
         "doc_id", "contaminated", (-F.col("top.item")).alias("item_id"), "n_items", "top.lcs_share", "top.cosine"
     )
 
@@ -326,4 +342,5 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items: doc_id, contaminated, item_id, n_items, lcs_share, cosine. Edge cases as in contaminated."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -9,7 +9,7 @@ import zlib
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from quillon.llm import ctw, decontam, fixity, langid, media, mixing, pii, viterbi
+from quillon.llm import ctw, fixity, langid, media, mixing, pii, viterbi
 from quillon.llm.blocks import remainder
 from quillon.session import saved
 
@@ -261,68 +261,6 @@ def test_sequences_stay_aligned(spark):
 
 
 # -- decontamination
-def test_decontamination(spark, docs, awkward, empty):
-    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
-    norm = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
-    asked = [norm(r.text) for r in items.collect()]
-    want = {i for i, t in texts_of(docs).items() if any(q in norm(t) for q in asked)}
-    got = {r.doc_id for r in decontam.contaminated(docs, items).filter("contaminated").collect()}
-    assert want <= got and len(got - want) <= 1
-    assert decontam.contaminated(awkward, items).filter("contaminated").count() == 0
-    assert decontam.contaminated(empty, items).count() == 0
-    assert decontam.contaminated(docs, items.limit(0)).filter("contaminated").count() == 0
-
-
-def brute_contaminated(text, items):
-    """Every passage against every item, without candidates."""
-    out = set()
-    asked = [(w := decontam.words_of(t.encode()), decontam.masks(w), decontam.answer(t.encode())) for _, t in items]
-    for d, t in text.items():
-        words = decontam.words_of((t or "").encode())
-        for w, mask, final in asked:
-            for p in range(max(1, -(-len(words) // 32) - 1)):
-                window = decontam.around(words, p, len(w))
-                share = decontam.common(mask, len(w), window) / len(w)
-                if share >= decontam.COVER or share >= decontam.ANSWER_COVER and len(final & set(window)) >= decontam.ANSWER_SHARE * len(final):
-                    out.add(d)
-    return out
-
-
-def test_decontamination_of_many_items(spark):
-    """More items than the latent space has directions for: as many are found as without candidates."""
-    import random
-
-    rng = random.Random(5)
-    vocabulary = [f"v{i}" for i in range(6000)]
-    prose = lambda n: [vocabulary[int(6000 * rng.random() ** 2)] for _ in range(n)]
-    items = [(i, " ".join(prose(rng.randint(15, 45)))) for i in range(1500)]
-    text = {}
-    for d in range(120):
-        host, own = prose(200), items[rng.randrange(1500)][1].split()
-        text[d] = " ".join(host[: d + 20] + own + host[d + 20 :]) if d < 60 else " ".join(host)
-    frames = spark.createDataFrame(list(text.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id for r in decontam.contaminated(*frames).filter("contaminated").collect()}
-    assert set(range(60)) <= got and got == brute_contaminated(text, items)
-
-
-def test_decontamination_of_long_items(spark):
-    """Items longer than the old window of 128 words, whole and in part, and a part too short to count."""
-    item = lambda k, n: [f"item{k}x{i}" for i in range(n)]
-    items = [(k, " ".join(item(k, n))) for k, n in enumerate((40, 190, 400, 1500))]
-    text = {}
-    for k, n in enumerate((40, 190, 400, 1500)):
-        for j, part in enumerate((item(k, n), item(k, n)[: n * 3 // 4], item(k, n)[: n // 3])):
-            text[10 * k + j] = " ".join([f"a{i}" for i in range(77)] + part + [f"z{i}" for i in range(91)])
-    frames = spark.createDataFrame(list(text.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r.item_id for r in decontam.contaminated(*frames).filter("contaminated").collect()}
-    assert got == {10 * k + j: k for k in range(4) for j in range(2)}
-
-
-def test_common_subsequence():
-    a, b = b"the cat sat on the mat".split(), b"a cat was on some mat the".split()
-    assert decontam.common(decontam.masks(a), len(a), b) == 3
-
-
 # -- pipeline
 def test_pipeline(spark, docs):
     import corpus_pipeline as p
