@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from quillon.session import discard, saved
 
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -113,6 +115,32 @@ def unbundle(blob: bytes) -> list[np.ndarray]:
     return [wide(view[a:b]) for a, b in zip(ends, ends[1:])]
 
 
+def judged(judge: Callable[[list[bytes]], list[tuple]], carry: list[str], types: list[pa.DataType], names: list[str], most: int = 1 << 20) -> Callable:
+    """For mapInArrow: the columns `carry` of every row, then what judge() says of its text; it gets texts of about `most` bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = batch.column("text").cast(pa.large_binary()), []
+            sizes = np.zeros(len(texts), np.int64) if not len(texts) else pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            total, a = np.cumsum(sizes), 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+                found += judge([b"" if x is None else x for x in texts.slice(a, b - a).to_pylist()])
+                a = b
+            columns = [pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * len(types), types)]
+            yield pa.record_batch([*(batch.column(c) for c in carry), *columns], [*carry, *names])
+
+    return run
+
+
+def carried(docs: DataFrame, carry: list[str], more: str) -> StructType:
+    """Columns of docs and more of them as a schema; a name that is in both is an error."""
+    fields = [f"{f.name}" for f in StructType.fromDDL(more)]
+    if clash := set(fields) & set(carry):
+        raise ValueError(f"columns {sorted(clash)} are made here and cannot be carried")
+    return StructType([docs.schema[c] for c in carry] + StructType.fromDDL(more).fields)
+
+
 def deltas(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted 64-bit numbers, at least one, in a form that packs well."""
     step = np.diff(values)

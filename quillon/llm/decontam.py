@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quillon.llm.blocks import mixed, pieces, trimmed
+from quillon.llm.blocks import carried, judged, mixed, pieces, trimmed
 from quillon.session import saved
 
 TERM_BITS, RANK, SPARE, HALF = 14, 256, 56, 32
@@ -214,48 +214,39 @@ def stretches(at: np.ndarray, gap: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-FOUND = "row long, doc_id long, contaminated boolean, item_id long, n_items long, lcs_share double, cosine double"
+FOUND = "contaminated boolean, item_id long, n_items long, lcs_share double, cosine double"
+NAMES = [f.split()[0] for f in FOUND.split(", ")]
+TYPES = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
 
-def searched(model, limits: tuple[float, float, float, float]):
+def searched(model, limits: tuple[float, float, float, float], carry: list[str]):
+    """What the items of a model say of each text."""
     cosine, *checks = limits
-    checks = tuple(checks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, idf, numbers, texts_, owner = model.value
-        items: dict[int, Item] = {}
-
-        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.record_batch([pa.array(list(zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist())), pa.list_(pa.int64())), b.column("text")], ["key", "text"])
-
-        for keys, texts in pieces(rows_of(batches), "text", "key", 1 << 20):
-            out = []
-            for (row, key), words in zip(keys, worded(texts)):
-                best, hits = (0.0, 0.0, None), 0
-                if len(words) and len(numbers):
-                    near: dict[int, tuple[list, float]] = {}
-                    for p, own, rows in passages(terms_of(words), idf):
-                        score = rows @ matrix[own]
-                        for k in np.flatnonzero(score.max(0) >= cosine):
-                            at = np.flatnonzero(score[:, k] >= cosine) + p
-                            places, top = near.get(owner[k], ([], 0.0))
-                            near[owner[k]] = [*places, at], max(top, float(score[:, k].max()))
-                    for i, (places, close) in near.items():
-                        item = items.get(i) or items.setdefault(i, Item(numbers[i], texts_[i]))
-                        at = np.unique(np.concatenate(places))
-                        top = 0.0
-                        for a, b in stretches(at, item.reach // 2):
-                            top = max(top, item.share(words[max(0, a - item.reach) * HALF : (b + 2 + item.reach) * HALF], checks))
-                            if top == 1:
-                                break
-                        if top:
-                            hits += 1
-                            best = max(best, (top, close, -item.number), key=lambda b: (b[0], b[2] if b[2] is not None else -(1 << 62)))
-                out.append((row, key, hits > 0, None if best[2] is None else -best[2], hits, round(best[0], 6), round(best[1], 4)))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], [f.split()[0] for f in FOUND.split(", ")])
-
-    return run
+    items: dict[int, Item] = {}
+
+    def one(words: np.ndarray) -> tuple:
+        matrix, idf, numbers, texts, owner = model.value
+        best, hits = (0.0, 0.0, None), 0
+        near: dict[int, tuple[list, float]] = {}
+        for p, own, rows in passages(terms_of(words), idf) if len(words) and len(numbers) else ():
+            score = rows @ matrix[own]
+            for k in np.flatnonzero(score.max(0) >= cosine):
+                at = np.flatnonzero(score[:, k] >= cosine) + p
+                places, top = near.get(owner[k], ([], 0.0))
+                near[owner[k]] = [*places, at], max(top, float(score[:, k].max()))
+        for i, (places, close) in near.items():
+            item = items.get(i) or items.setdefault(i, Item(numbers[i], texts[i]))
+            top = 0.0
+            for a, b in stretches(np.unique(np.concatenate(places)), item.reach // 2):
+                top = max(top, item.share(words[max(0, a - item.reach) * HALF : (b + 2 + item.reach) * HALF], tuple(checks)))
+                if top == 1:
+                    break
+            if top:
+                hits += 1
+                best = max(best, (top, close, -item.number), key=lambda b: (b[0], b[2] if b[2] is not None else -(1 << 62)))
+        return hits > 0, None if best[2] is None else -best[2], hits, round(best[0], 6), round(best[1], 4)
+
+    return judged(lambda texts: [one(words) for words in worded(texts)], carry, TYPES, NAMES)
 
 
 def unit(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,10 +255,10 @@ def unit(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return term, w / np.sqrt(w @ w)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_docs: int = FIT_DOCS, limits: tuple[float, float, float, float] = (COSINE, COVER, ANSWER_COVER, ANSWER_SHARE), block: int = QUERY_BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_docs: int = FIT_DOCS, limits: tuple[float, float, float, float] = (COSINE, COVER, ANSWER_COVER, ANSWER_SHARE), block: int = QUERY_BLOCK, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Searches every text of docs(doc_id, text, ...) for the items of benchmark(item_id, text, ...).
 
-    Returns doc_id, contaminated, item_id (of the item covered most, the least id among equals; null if none),
+    Returns the columns `carry` of docs, contaminated, item_id (of the item covered most, the least id among equals; null if none),
     n_items, lcs_share, cosine. Null and wordless texts are clean, and so are null or wordless items. Of items that
     repeat an id the least text counts; without items all is clean. Rows of docs stay as they come, whatever ids they
     repeat or lack; other columns are ignored. Items make one query for each 64 words; `block` queries are taken
@@ -275,25 +266,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_do
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    texts = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text")
     df, n = np.zeros(1 << TERM_BITS, np.int64), 0
     # the partial counts are summed in a few tasks, so that the driver gets no more than those
-    partial = texts.select("doc_id", "text").mapInArrow(trimmed(frequencies), "n long, df binary").repartition(FIT_PARTS).mapInArrow(added, "n long, df binary")
+    partial = docs.select("doc_id", "text").mapInArrow(trimmed(frequencies), "n long, df binary").repartition(FIT_PARTS).mapInArrow(added, "n long, df binary")
     for r in partial.toLocalIterator():
         df += np.frombuffer(r["df"], np.int64)
         n += r["n"]
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.01)
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // fit_docs))) == 0
 
-    def search(texts: DataFrame, items: list[tuple[int, bytes]], queries: list[tuple[int, np.ndarray]]) -> DataFrame:
-        width = max(rank, len(queries) + SPARE)
-        basis = fit(texts.filter(chosen).select("doc_id", "text"), [terms_of(q) for _, q in queries], idf, width)
+    def search(rows: DataFrame, keep: list[str], items: list[tuple[int, bytes]], queries: list[tuple[int, np.ndarray]]) -> DataFrame:
         matrix = np.zeros((1 << TERM_BITS, len(queries)), np.float32)
+        if queries:
+            basis = fit(docs.filter(chosen).select("doc_id", "text"), [terms_of(q) for _, q in queries], idf, max(rank, len(queries) + SPARE))
         for k, (_, q) in enumerate(queries):
             term, w = unit(q, idf)
             matrix[:, k] = basis @ (w @ basis[term])
         model = sc.broadcast((matrix, idf, [i for i, _ in items], [t for _, t in items], [k for k, _ in queries]))
-        return texts.mapInArrow(trimmed(searched(model, limits)), FOUND)
+        given = rows.select(*dict.fromkeys([*keep, "text"]))
+        return given.mapInArrow(trimmed(searched(model, limits, keep)), carried(given, keep, FOUND))
 
     def blocks() -> Iterator[tuple[list, list]]:
         items: list[tuple[int, bytes]] = []
@@ -314,22 +305,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_do
         if queries:
             yield items, queries
 
-    found, first = None, None
-    for items, queries in blocks():
-        if first is None:
-            first = items, queries
-            continue
-        if found is None:
-            texts = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "texts")
-            found = search(texts, *first)
-        found = found.union(search(texts, items, queries))
-    if found is None:
-        names = ("doc_id", "contaminated", "item_id", "n_items", "lcs_share", "cosine")
-        return (search(texts, *first) if first else texts.mapInArrow(searched(sc.broadcast((np.zeros((1 << TERM_BITS, 0), np.float32), idf, [], [], [])), limits), FOUND)).select(*names)
+    every = blocks()
+    first = next(every, ([], []))
+    second = next(every, None)
+    if second is None:
+        return search(docs, list(carry), *first)
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys([*carry, "text"])), "texts")
+    found = search(rows, ["_row"], *first).union(search(rows, ["_row"], *second))
+    for items, queries in every:
+        found = found.union(search(rows, ["_row"], items, queries))
     top = F.max(F.struct("lcs_share", (-F.col("item_id")).alias("item"), "cosine")).alias("top")
-    return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"), top).select(
-        "doc_id", "contaminated", (-F.col("top.item")).alias("item_id"), "n_items", "top.lcs_share", "top.cosine"
-    )
+    best = found.groupBy("_row").agg(F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"), top)
+    return rows.select("_row", *carry).join(best, "_row").select(*carry, "contaminated", (-F.col("top.item")).alias("item_id"), "n_items", "top.lcs_share", "top.cosine")
 
 
 def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

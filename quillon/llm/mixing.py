@@ -10,45 +10,58 @@ that running totals are taken over blocks first and inside a block next, never o
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from quillon.llm.blocks import partitions, salted_join
 from quillon.session import saved
 
-ENTROPY, REPEATS, STEPS, SEED = 0.95, 4.0, 40, "mix-1"
-
+ENTROPY, REPEATS, STEPS, GRID, SEED = 0.95, 4.0, 40, 6, "mix-1"
 
-def bisected(test: str) -> str:
-    """SQL: last [lo, hi] of x after STEPS halvings of [0, 1]; lo moves up where `test` holds at @x."""
-    mid = "((a.lo + a.hi) / 2)"
-    hit = test.replace("@x", mid)
-    return f"aggregate(sequence(1, {STEPS}), named_struct('lo', 0D, 'hi', 1D), (a, i) -> if({hit}, named_struct('lo', {mid}, 'hi', a.hi), named_struct('lo', a.lo, 'hi', {mid})))"
 
-
-def entropy(x: str) -> str:
-    return (
-        f"aggregate(shares, named_struct('z', 0D, 's', 0D), (b, r) -> named_struct('z', b.z + r.c * pow(r.p, {x}), 's', b.s + r.c * pow(r.p, {x}) * ln(r.p)), "
-        f"b -> ln(b.z) - {x} * b.s / b.z)"
-    )
+def powers(shares: DataFrame, points: list[float]) -> list[tuple[float, float]]:
+    """For each x of points the sums of p**x and of p**x * ln p over shares(p): one distributed aggregation."""
+    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(points)))).alias("g")
+    raised = F.pow("p", F.col("g.x"))
+    rows = shares.select("p", grid).groupBy("g.i").agg(F.sum(raised).alias("z"), F.sum(raised * F.log("p")).alias("s")).collect()
+    found = {r["i"]: (r["z"], r["s"]) for r in rows}
+    return [found[i] for i in range(len(points))]
 
 
-def normaliser(x: str) -> str:
-    return f"aggregate(shares, 0D, (b, r) -> b + r.c * pow(r.p, {x}))"
+def bisected(hits: Callable[[list[float]], list[bool]]) -> tuple[float, float]:
+    """The last [lo, hi] of x after STEPS halvings of [0, 1], where lo moves up if hits holds at the middle.
 
-
-def exponent(sources: DataFrame, target: float, repeats: float) -> DataFrame:
-    """One row (x, z, total): exponent, normaliser and tokens of sources(source, tokens, ...).
-
-    Only the distinct token totals and how often each occurs are brought together.
+    GRID halvings are settled by one call, for all points that they could ask for.
+    """
+    lo, hi, left = 0.0, 1.0, STEPS
+    while left:
+        n = 1 << min(GRID, left)
+        width = (hi - lo) / n
+        found = [True, *hits([lo + width * j for j in range(1, n)])]
+        a, b = 0, n
+        while b - a > 1:
+            middle = (a + b) // 2
+            a, b = (middle, b) if found[middle] else (a, middle)
+        lo, hi, left = lo + width * a, lo + width * b, left - min(GRID, left)
+    return lo, hi
+
+
+def exponent(sources: DataFrame, target: float, repeats: float) -> tuple[float, float, int]:
+    """(x, z, total): exponent, normaliser and tokens of the stored table sources(source, tokens, ...).
+
+    Sources stay where they are, however many there are; the driver gets the sums at 2**GRID - 1 points at a time.
     """
-    totals = sources.filter("tokens > 0").groupBy("tokens").agg(F.count("*").alias("c"))
-    one = totals.agg(F.sum(F.col("tokens") * F.col("c")).alias("total"), F.sort_array(F.collect_list(F.struct("tokens", "c"))).alias("rows"), F.sum("c").alias("k"))
-    one = one.withColumn("shares", F.expr("transform(rows, r -> named_struct('p', r.tokens / cast(total as double), 'c', cast(r.c as double)))"))
-    one = one.withColumn("by_entropy", F.expr(bisected(f"{entropy('@x')} >= {target}D * ln(k)") + ".lo"))
-    most = f"pow(shares[0].p, @x - 1) / {normaliser('@x')} > {repeats}D"
-    one = one.withColumn("by_repeats", F.expr(f"if(pow(shares[0].p, -1D) / k <= {repeats}D, 0D, {bisected(most)}.hi)"))
-    one = one.withColumn("x", F.greatest("by_entropy", "by_repeats"))
-    return one.select("x", F.expr(normaliser("x")).alias("z"), "total")
+    live = sources.filter("tokens > 0")
+    total, k, least = live.agg(F.sum("tokens"), F.count("*"), F.min("tokens")).first()
+    if not k:
+        return 0.0, 1.0, 0
+    shares, low = live.select((F.col("tokens") / F.lit(float(total))).alias("p")), least / total
+    by_entropy = bisected(lambda xs: [math.log(z) - x * s / z >= target * math.log(k) for x, (z, s) in zip(xs, powers(shares, xs))])[0]
+    by_repeats = 0.0 if 1 / low / k <= repeats else bisected(lambda xs: [low ** (x - 1) / z > repeats for x, (z, _) in zip(xs, powers(shares, xs))])[1]
+    x = max(by_entropy, by_repeats)
+    return x, powers(shares, [x])[0][0], total
 
 
 def mixture(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, seed: str = SEED) -> DataFrame:
@@ -59,16 +72,17 @@ def mixture(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS,
     default those of docs. ahead counts the tokens before the document in its source's permutation, and
     copies the passes that contain it: a document lies in the last, partial pass if it ends inside it.
     A null source is the source ''. Sources without a token have weight 0 and no copies; null text has no
-    tokens. Repeated rows are drawn separately and equally. Other columns are ignored. Empty input gives none.
+    tokens. Repeated rows are documents of their own, next to each other in the permutation, so the last pass may end
+    between them. Other columns are ignored. Empty input gives none.
     """
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^ \t-\r]+")).cast("long")
     place = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
     rows = saved(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), words.alias("n_tokens"), place.alias("place")), "mixing")
-    sources = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
+    sources = saved(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "sources")
+    x, z, total = exponent(sources, target, repeats)
     plan = (
-        sources.crossJoin(F.broadcast(exponent(sources, target, repeats)))  # one row
-        .withColumn("weight", F.when(F.col("tokens") > 0, F.round(F.pow(F.col("tokens") / F.col("total"), "x") / F.col("z"), 9)).otherwise(0.0))
-        .withColumn("quota", F.floor(F.col("weight") * (F.col("total") if budget is None else F.lit(budget))))
+        sources.withColumn("weight", F.when(F.col("tokens") > 0, F.round(F.pow(F.col("tokens") / F.lit(float(total)), F.lit(x)) / F.lit(z), 9)).otherwise(0.0))
+        .withColumn("quota", F.floor(F.col("weight") * F.lit(total if budget is None else budget)))
         .withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(0))
         .select("source", "weight", F.ceil(F.sqrt("n")).alias("blocks"), "whole", (F.col("quota") - F.col("whole") * F.col("tokens")).alias("rest"), (F.col("tokens") > 0).alias("live"))
     )
@@ -76,7 +90,7 @@ def mixture(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS,
     dealt = dealt.repartition(partitions(docs.sparkSession), "source", "block")
     blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"))
     before = blocks.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
-    inside = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     drawn = dealt.withColumn("inside", inside).join(before, ["source", "block"])
     ahead = F.col("before") + F.col("inside") - F.col("n_tokens")
     part = (F.col("live") & (F.col("rest") > 0) & (ahead + F.col("n_tokens") <= F.col("rest"))).cast("long")
@@ -84,6 +98,7 @@ def mixture(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS,
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    """The mixture of all documents by source: doc_id, source, n_tokens, weight, block, ahead, copies. Edge cases as in mixture."""
     return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -137,10 +137,13 @@ def test_recall_on_paraphrases(spark, prose):
 
 def test_ties_go_to_the_least_id_and_clashing_names(spark):
     same = " ".join(f"tie{i}" for i in range(25))
-    docs = spark.createDataFrame([(7, same, 1, "x", 2.0)], "doc_id long, text string, row int, item_id string, cosine double")
+    docs = spark.createDataFrame([(7, same, 1, "x", 2.0, 5)], "doc_id long, text string, row int, item_id string, cosine double, n int")
     items = spark.createDataFrame([(9, same), (3, same), (3, "zz later text of the same id"), (None, same), (5, None), (6, "  ")], ITEMS)
     r = decontam.contaminated(docs, items).first()
     assert (r.item_id, r.n_items, r.lcs_share) == (3, 2, 1.0)
+    assert decontam.contaminated(docs, items, carry=("n", "doc_id", "text")).first().asDict().items() >= {"doc_id": 7, "text": same, "n": 5, "n_items": 2}.items()
+    with pytest.raises(ValueError, match="cosine"):
+        decontam.contaminated(docs, items, carry=("doc_id", "cosine"))
     assert decontam.contaminated(docs, items.limit(0)).first().contaminated is False
     assert decontam.contaminated(docs.limit(0), items).count() == 0 and decontam.contaminated(docs.limit(0), items.limit(0)).count() == 0
 
@@ -157,9 +160,9 @@ def test_memory_of_a_long_text():
     term, w = decontam.unit(np.array([k for k in item.mask], np.uint64), idf)
     matrix[term, 0] = w
     model = type("B", (), {"value": (matrix, idf, [4], [" ".join(f"needle{i}" for i in range(30)).encode()], [0])})
-    batch = pa.record_batch([pa.array([0]), pa.array([1]), pa.array([text])], ["row", "doc_id", "text"])
+    batch = pa.record_batch([pa.array([1]), pa.array([text])], ["doc_id", "text"])
     tracemalloc.start()
-    out = list(decontam.searched(model, (decontam.COSINE, *CHECKS))(iter([batch])))
+    out = list(decontam.searched(model, (decontam.COSINE, *CHECKS), ["doc_id"])(iter([batch])))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert out[0]["contaminated"].to_pylist() == [True] and peak < 40 * len(text)

@@ -58,26 +58,6 @@ def test_language_edges(awkward, empty):
     assert langid.languages(empty, remainder("doc_id", 4) != 2).count() == 0
 
 
-def test_pipeline_rejects_what_is_in_no_learned_language(spark):
-    import random
-
-    import corpus_pipeline as p
-
-    rng = random.Random(2)
-    folder = "/root/testdata/sf0.01"
-    known = spark.read.parquet(f"{folder}/documents.parquet").select(p.COLUMNS)
-    soup = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (60, 400, 3000)]
-    other = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Все люди рождаются свободными и равными в своем достоинстве и правах"]
-    rows = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(soup + other)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r.doc_id for r in p.identified(spark, known.union(rows), folder).select("doc_id").collect()}
-    assert not {i for i in kept if i >= 10**9} and len(kept) > 0.98 * known.count()
-    some = known.filter("lang <> 'fr'").union(known.filter("lang = 'fr'").withColumn("lang", F.lit(None).cast("string")))
-    kept = p.identified(spark, some, folder).join(known.select("doc_id", F.col("lang").alias("true")), "doc_id").groupBy("true").count().collect()
-    kept = {r.true: r["count"] for r in kept}
-    whole = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    assert kept.get("fr", 0) < 0.1 * whole["fr"] and all(kept[k] > 0.97 * n for k, n in whole.items() if k != "fr")
-
-
 # -- language-model scoring
 def test_lm_base_and_normalisation(docs):
     got = by_id(ctw.lm_scores(docs, remainder("doc_id", 7) != 2))
@@ -153,6 +133,39 @@ def test_mixing_matches_sql(spark, awkward, docs):
         assert key(got) == key(want), name
 
 
+def test_mixing_of_very_many_sources(spark):
+    """A source for each host: none gathers them, and weights are those of the plain formula."""
+    rows = spark.range(4000).selectExpr("id doc_id", "repeat('w ', cast(1 + id % 37 as int)) text", "concat('h', id % 3000) source")
+    got = mixing.mixture(rows, target=0.999, repeats=1.5).select("source", "weight").distinct().collect()
+    size = collections.Counter()
+    for i in range(4000):
+        size[f"h{i % 3000}"] += 1 + i % 37
+    total = sum(size.values())
+    p = {k: v / total for k, v in size.items()}
+
+    def weights(x):
+        z = sum(v**x for v in p.values())
+        return {k: v**x / z for k, v in p.items()}
+
+    entropy = lambda w: -sum(v * math.log(v) for v in w.values())
+    lo, hi = 0.0, 1.0
+    for _ in range(40):
+        m = (lo + hi) / 2
+        lo, hi = (m, hi) if entropy(weights(m)) >= 0.999 * math.log(len(p)) else (lo, m)
+    by_entropy, (lo, hi) = lo, (0.0, 1.0)
+    for _ in range(40):
+        m, least = (lo + hi) / 2, min(p, key=p.get)
+        lo, hi = (m, hi) if weights(m)[least] / p[least] > 1.5 else (lo, m)
+    want = weights(max(by_entropy, hi))
+    assert len(got) == 3000 and all(r.weight == pytest.approx(want[r.source], abs=2e-9) for r in got)
+
+
+def test_mixing_repeated_rows(spark):
+    rows = [(1, "a b c", "s")] * 2 + [(1, "a b", "s"), (None, "x y", None), (None, None, "t"), (2, "w " * 5, "t")]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 0), (0, 2), (1, 2), (1, 3), (1, 3), (2, 5)]
+
+
 def test_mixing_limits(spark, empty):
     rows = [(i, "w " * 10, "big" if i < 900 else "small") for i in range(910)]
     got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), target=0.9, repeats=4.0).toPandas()
@@ -222,16 +235,3 @@ def test_sequences_stay_aligned(spark):
 
 
 # -- decontamination
-# -- pipeline
-def test_pipeline(spark, docs):
-    import corpus_pipeline as p
-
-    got = by_id(p.run(spark, FOLDER))
-    text = texts_of(docs)
-    groups = {i: c for i, (_, c, _) in brute_links(text).items()}
-    items = [" ".join(re.findall(r"\w+", r.text.lower())) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
-    norm = {i: " ".join(re.findall(r"\w+", t.lower())) for i, t in text.items()}
-    left = {i for i in text if groups[i] == i and not any(q in norm[i] for q in items)}
-    assert set(got) <= left and len(got) > 0.9 * len(left)
-    assert all("@" not in r.text or not re.search(r"[a-z]+@[a-z]+\.[a-z]+", r.text) for r in got.values())
-    assert [n for n, _ in p.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "mixing"]
