@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quillon.llm.blocks import pieces, salted_join
+from quillon.llm.blocks import pieces, salted_join, trimmed
 from quillon.session import saved
 
 RATE, UNIT = 8000, 64
@@ -89,6 +89,9 @@ def parts_of(html: str) -> list[dict]:
     return [{"pos": i, "kind": k, "text": t, "ref": r, "caption": c} for i, (k, t, r, c) in enumerate(parser.parts)]
 
 
+PARTS = "parts array<struct<pos: int, kind: string, text: string, ref: string, caption: string>>"
+
+
 def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, parts: array of (pos, kind, text, ref, caption). Null or empty html has no parts; broken HTML is read as far as it goes."""
 
@@ -98,18 +101,22 @@ def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
             yield pa.record_batch([batch.column("key"), pa.array(parts, pa.list_(PART))], ["key", "parts"])
 
     kind = dict(pages.dtypes)[key]
-    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(run, f"key {kind}, parts array<struct<pos: int, kind: string, text: string, ref: string, caption: string>>").withColumnRenamed("key", key)
+    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(trimmed(run), f"key {kind}, {PARTS}").withColumnRenamed("key", key)
 
 
 def resolved(found: DataFrame, store: DataFrame, key: str = "page_id") -> DataFrame:
-    """key and parts with `media`, the store's row for a reference `sha256:<digest>`; null where there is none."""
-    rows = found.select(key, F.explode_outer("parts").alias("part")).withColumn("digest", F.when(F.col("part.ref").startswith("sha256:"), F.substring("part.ref", 8, 64)))
+    """key and parts with `media`, the store's row for a reference `sha256:<digest>`; null where there is none.
+
+    The store has one row for each digest. Rows of found stay as they come, whatever keys they repeat or lack.
+    """
+    rows = saved(found.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), "parts"), "sequences")
+    parts = rows.select("_row", F.explode("parts").alias("part")).withColumn("digest", F.when(F.col("part.ref").startswith("sha256:"), F.substring("part.ref", 8, 64)))
     held = store.select("digest", F.struct(*(c for c in store.columns if c != "digest")).alias("media"))
-    rows = saved(rows, "parts")
-    # parts without a reference need no partner, and would meet in one task
-    both = salted_join(rows.filter("digest is not null"), held, ["digest"], key).unionByName(rows.filter("digest is null"), allowMissingColumns=True)
-    part = F.struct("part.pos", "part.kind", "part.text", "part.ref", "part.caption", "media")
-    return both.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), part)), lambda a, b: a["pos"] - b["pos"]).alias("parts"))
+    asked = saved(parts.filter("digest is not null").select("_row", "part.pos", "digest"), "references")
+    # only references are moved to the store's rows; texts and captions wait at their place
+    met = salted_join(asked, held, ["digest"], "_row").filter("media is not null").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "media"))).alias("at"))
+    part = lambda x: F.struct(*(x[c].alias(c) for c in ("pos", "kind", "text", "ref", "caption")), F.col("at")[x["pos"]].alias("media"))
+    return rows.join(met, "_row", "left").select(F.col("_key").alias(key), F.transform("parts", part).alias("parts"))
 
 
 def payload(text: bytes) -> bytes:
@@ -140,7 +147,8 @@ def feature(data: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};step={step:.4f};quarters=" + "/".join(f"{q:.4f}" for q in quarters)
 
 
-FIELDS = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FIELDS = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -152,27 +160,36 @@ def text_media(docs: DataFrame) -> DataFrame:
             for t in texts:
                 data = payload(t)
                 digest = hashlib.sha256(data).hexdigest()
-                if (digest, len(t)) not in rows:
+                if digest not in rows:
                     media = stored(data)
                     back = loaded(media)
-                    rows[digest, len(t)] = (digest, len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(back))
-            yield pa.record_batch([pa.array(c) for c in zip(*rows.values())], [f.split()[0] for f in FIELDS.split(", ")])
+                    rows[digest] = (digest, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(back))
+            yield pa.record_batch([pa.array(c) for c in zip(*rows.values())], NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, FIELDS).groupBy("digest", "n_bytes").agg(*(F.first(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")))
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), FIELDS).groupBy("digest").agg(*(F.first(c).alias(c) for c in NAMES[1:]))
 
 
 def text_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, html: a page whose one figure refers to the text's payload; n_bytes tells texts of one payload apart."""
+    """doc_id, n_bytes, html: each text as a page, a heading, a figure that refers to its payload with the size as its caption, and a line below."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     n = F.octet_length(text)
     zeros = F.when(n == 0, UNIT).otherwise(F.pmod(-n, F.lit(UNIT)))
     data = F.concat(text, F.repeat(F.lit("\0"), zeros).cast("binary"))
-    html = F.concat(F.lit("<figure><audio src='sha256:"), F.sha2(data, 256), F.lit("'></audio><figcaption>"), n.cast("string"), F.lit("</figcaption></figure>"))
+    size = n.cast("string")
+    html = F.concat(F.lit("<h1>text</h1><figure><audio src='sha256:"), F.sha2(data, 256), F.lit("'></audio><figcaption>"), size, F.lit(" bytes</figcaption></figure><p>end of "), size, F.lit(" bytes</p>"))
     return docs.select("doc_id", html.alias("html"))
 
 
+def text_sequences(docs: DataFrame) -> DataFrame:
+    """doc_id, parts of the pages of all texts, with the store's row at each figure."""
+    return resolved(sequences(text_pages(docs), "doc_id"), text_media(docs), "doc_id")
+
+
 def op9_media(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    refs = sequences(text_pages(docs), "doc_id").select("doc_id", F.explode("parts").alias("part"))
-    refs = refs.select("doc_id", F.substring("part.ref", 8, 64).alias("digest"), F.col("part.caption").cast("long").alias("n_bytes"))
-    return salted_join(saved(refs, "references"), text_media(docs), ["digest", "n_bytes"], "doc_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """All texts as media: doc_id, n_bytes and what the store says of the payload that the document's sequence refers to.
+
+    A row for each row of documents, also where doc_id is null or repeats; null text is empty.
+    """
+    parts = text_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    figure = parts.select("doc_id", F.element_at(F.filter("parts", lambda p: p["ref"].isNotNull()), 1).alias("p"))
+    return figure.select("doc_id", F.regexp_extract("p.caption", r"^(\d+)", 1).cast("long").alias("n_bytes"), *(f"p.media.{c}" for c in NAMES[1:]))

@@ -14,24 +14,29 @@ from __future__ import annotations
 
 import math
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from quillon.llm.blocks import pieces
+from quillon.llm.blocks import pieces, trimmed
 
 SPACE, PENALTY, MOST_WORDS = "▁", 10.0, 400_000
 VOCABULARY = os.environ.get("QUILLON_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
 
-def vocabulary(path: str) -> list[tuple[str, float]]:
-    """Pieces of a sentencepiece file with unigram log-probabilities by Zipf's law of their rank; control, byte and unknown pieces left out."""
+def zipf(n: int) -> list[float]:
+    """Log-probabilities of n pieces by Zipf's law of their rank."""
+    norm = math.log(sum(1 / r for r in range(1, n + 1)))
+    return [-math.log(r) - norm for r in range(1, n + 1)]
+
+
+def vocabulary(path: str = VOCABULARY, scores: Callable[[int], list[float]] = zipf) -> list[tuple[str, float]]:
+    """Pieces of a sentencepiece file with the log-probabilities that `scores` gives to their number, in order; control, byte and unknown pieces left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))]
-    norm = math.log(sum(1 / r for r in range(1, len(ids) + 1)))
-    return [(model.id_to_piece(i), -math.log(r) - norm) for r, i in enumerate(ids, 1)]
+    return [(model.id_to_piece(i), s) for i, s in zip(ids, scores(len(ids)))]
 
 
 def counter(pieces_: list[tuple[str, float]]):
@@ -83,9 +88,9 @@ def words_of(text: str) -> list[str]:
     return text[1:].split(" ")
 
 
-def counts(path: str, most: int = MOST_WORDS):
+def counts(shared, most: int = MOST_WORDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, known = counter(vocabulary(path)), {}
+        count, known = counter(shared.value), {}
         for keys, texts in pieces(batches, "text", "doc_id", 1 << 20):
             chars, n_words, n_tokens = [], [], []
             for t in texts:
@@ -109,15 +114,17 @@ def counts(path: str, most: int = MOST_WORDS):
     return run
 
 
-def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """Tokens of each whole text of docs(doc_id, text, ...): doc_id, n_chars, n_pretokens, n_tokens.
+def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFrame:
+    """Tokens of each whole text of docs(doc_id, text, ...) under a vocabulary of (piece, score): doc_id, n_chars, n_pretokens, n_tokens.
 
-    `path` is a sentencepiece vocabulary that every executor can read. Null and empty text have no tokens;
-    white space other than the space is an ordinary character. Rows repeat as they come, a null doc_id
-    stays, and other columns are ignored.
+    The vocabulary is read by the driver and broadcast; its size is that of a tokenizer, whatever the input. Null and
+    empty text have no tokens; white space other than the space is an ordinary character. Of paths with equal
+    scores the one by the rules above counts. Rows repeat as they come, a null doc_id stays, and other columns are ignored.
     """
-    return docs.select("doc_id", "text").mapInArrow(counts(path), "doc_id long, n_chars long, n_pretokens long, n_tokens long")
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(counts(shared)), "doc_id long, n_chars long, n_pretokens long, n_tokens long")
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Token counts of all documents: doc_id, n_chars, n_pretokens, n_tokens. Edge cases as in token_counts."""
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())

@@ -9,9 +9,8 @@ import zlib
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from quillon.llm import ctw, fixity, langid, media, mixing, viterbi
+from quillon.llm import ctw, mixing
 from quillon.llm.blocks import remainder
-from quillon.session import saved
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, tokens string, block int, key string"
@@ -44,20 +43,6 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-# -- language identification
-def test_language_held_out(docs):
-    got = langid.languages(docs, remainder("doc_id", 4) != 2).join(docs.select("doc_id", "lang"), "doc_id").filter(remainder("doc_id", 4) == 2).collect()
-    assert len(got) > 20 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
-
-
-def test_language_edges(awkward, empty):
-    got = by_id(langid.languages(awkward, remainder("doc_id", 4) != 2))
-    assert len(got) == len(TEXTS) + 1
-    assert all(0 <= r.score <= 1 for r in got.values())
-    assert {got[i].lang_pred for i in (0, 1, 2, 8)} == {"und"} and got[5].lang_pred in ("en", "fr")
-    assert langid.languages(empty, remainder("doc_id", 4) != 2).count() == 0
-
-
 # -- language-model scoring
 def test_lm_base_and_normalisation(docs):
     got = by_id(ctw.lm_scores(docs, remainder("doc_id", 7) != 2))
@@ -172,66 +157,3 @@ def test_mixing_limits(spark, empty):
     assert got[got.source == "small"].copies.max() <= 4 and (got[got.source == "small"].copies >= 3).all()
     assert abs((got.copies * got.n_tokens).sum() - 9100) <= 40
     assert mixing.mixture(empty).count() == 0
-
-
-# -- token counts
-def test_token_counts_against_tokenizer(docs, awkward, empty):
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
-    vocabulary = viterbi.vocabulary(viterbi.VOCABULARY)
-    ours = Tokenizer(models.Unigram([("<unk>", 0.0)] + [(f"<0x{i:02X}>", 0.0) for i in range(256)] + vocabulary, unk_id=0, byte_fallback=True))
-    ours.pre_tokenizer = pre_tokenizers.Metaspace(replacement=viterbi.SPACE, prepend_scheme="always", split=True)
-    for df in (docs, awkward):
-        for r in viterbi.token_counts(df).join(df.select("doc_id", "text"), "doc_id").collect():
-            assert r.n_tokens == (len(ours.encode(r.text, add_special_tokens=False).ids) if r.text else 0)
-    assert viterbi.token_counts(empty).count() == 0
-
-
-# -- fixity
-def test_warc_round_trip(spark, tmp_path):
-    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
-    records = fixity.warc_records(pages)
-    fixity.write_warc(records, str(tmp_path / "w"))
-    back = fixity.read_warc(spark, str(tmp_path / "w")).collect()
-    want = {(r.start, r.end) for r in records.collect()}
-    assert {(r.start, r.end) for r in back} == want
-    assert sorted(r.block.decode() for r in back) == sorted(r.html for r in pages.collect())
-
-
-def test_fixity(spark):
-    got = {r.page_id: r.state for r in fixity.op8_fixity(spark, FOLDER).collect()}
-    rule = lambda i: "lost" if i % 389 == 11 else "changed" if i % 97 == 13 or i % 193 == 7 else "ok"
-    assert got == {i: rule(i) for i in got} and len(got) == 50
-    pages = spark.createDataFrame([(1, None, None), (None, "u", "h"), (1, "b", "x"), (1 << 20, "u", "h" * 100_000)], "page_id long, url string, html string")
-    leaf = saved(fixity.leaves(fixity.warc_records(pages)), "leaves")
-    levels = fixity.height(leaf)
-    nodes = saved(fixity.tree(leaf, levels), "tree")
-    assert leaf.count() == 2 and nodes.filter(f"level = {levels}").count() == 1
-    assert fixity.audit(nodes, nodes, levels).count() == 0
-
-
-# -- media
-def test_media(spark, awkward):
-    df = awkward.filter("doc_id is not null")
-    for t in TEXTS:
-        data = media.payload((t or "").encode())
-        assert len(data) % 64 == 0 and data and media.loaded(media.stored(data)) == data
-    store = {(r.digest, r.n_bytes): r for r in media.text_media(df).collect()}
-    for t in TEXTS:
-        data = media.payload((t or "").encode())
-        r = store[hashlib.sha256(data).hexdigest(), len((t or "").encode())]
-        assert (r.payload_bytes, r.tail_crc32, r.media_sha256) == (len(data), zlib.crc32(data[-64:]), hashlib.sha256(media.stored(data)).hexdigest())
-
-
-def test_sequences_stay_aligned(spark):
-    html = "<p>a<b>b</b></p><figure><img src='sha256:1' alt='x'><figcaption>cap one</figcaption></figure>mid<script>no</script><img src='sha256:2'><p>end"
-    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
-    store = spark.createDataFrame([("2", 5)], "digest string, size int")
-    got = {r.page_id: r.parts for r in media.resolved(media.sequences(pages), store).collect()}
-    assert [(p.kind, p.text, p.ref, p.caption, p.media and p.media.size) for p in got[1]] == [
-        ("text", "ab", None, None, None), ("image", None, "sha256:1", "cap one", None), ("text", "mid", None, None, None), ("image", None, "sha256:2", None, 5), ("text", "end", None, None, None),
-    ]
-    assert got[2] == got[3] == []
-
-
-# -- decontamination
