@@ -1,365 +1,446 @@
 """LM scoring by context-tree weighting over binary-decomposed bytes.
 
-A byte is eight binary decisions. Each decision has a tree of byte contexts of depth 0 to `depth`;
-every tree node holds a Krichevsky-Trofimov estimate, and the weighted probability of a node mixes
-its own estimate with its children's by halves. Training counts cover every training document. A
-context keeps a node of its own if it holds at least one 2**-`share_bits` part of all training
-bytes, so that a depth has at most 2**share_bits nodes at any corpus size; what its pruned children
-saw forms one further child, so no count is lost. The finished mixture is the same for every
-occurrence of a context, hence a table of log-probabilities with 256 entries a node: at most
-depth * 2**share_bits + 1 rows of 512 bytes (log2 probabilities as half floats), the proven bound of
-what is broadcast.
-
-Text is taken with A-Z lowered and each run of white space as one space, then one end symbol, so
-that the model and the word baseline give probability to the same events.
+A byte is eight binary decisions. Each decision has a tree of byte contexts of depth 0 to `depth`; every tree node
+holds a Krichevsky-Trofimov estimate of all training bytes, and the weighted probability of a node mixes its own
+estimate with its children's by halves. No context is left out: the tree grows with the corpus. It is never in one
+place.
+
+1. Tasks take documents in units of some megabytes and send each distinct string of a context and its byte, with its
+   count in training texts (0 if only other texts hold it), to the task that its last three context bytes are dealt to.
+   Words go the same way for the word baseline. The texts of a unit are stored beside.
+2. A task that owns contexts has all their counts, so it weighs its subtrees by itself. Of the contexts above, up to two
+   bytes, the driver gets counts and sums of the subtrees: 2**24 numbers at most, at any corpus size.
+3. With the weights above, which are broadcast, an owner mixes the estimates along every path and answers each unit
+   with the cost of the strings that it has asked for. A unit's texts and answers meet, and costs are added up.
+
+Text is taken with A-Z lowered and each run of white space as one space, then one end symbol, so that the model and
+the word baseline give probability to the same events.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quillon.llm.blocks import counted, pieces, remainder
+from quillon.llm.blocks import bundle, counted, mixed, partitions, remainder, sliced, trimmed, unbundle, utf8
+from quillon.llm.decontam import word_hashes
 from quillon.session import saved
 
-DEPTH, SHARE_BITS, WORD_BITS = 6, 16, 20
-GRAM, WORD, DOC = 0, 1, 2
-LOG10_2 = math.log10(2)
+DEPTH, TOP, UNIT, PIECE = 6, 3, 8 << 20, 2 << 20
+TEXT, GRAM, WORD = 0, 1, 2
+LOG10_2, LN2, FIXED = math.log10(2), math.log(2), 1 << 20
+ROWS, NAMES = "kind byte, bucket int, unit long, blob binary, data binary", ["kind", "bucket", "unit", "blob", "data"]
+TYPES = (pa.int8(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+SMALL, MOST_WAITING = 1 << 16, 4_000_000
+#: ln of the gamma function at x + 1/2 and at x + 1, for small x.
+HALVES = np.r_[0.0, np.cumsum(np.log(np.arange(SMALL - 1) + 0.5))] + 0.5 * math.log(math.pi)
+WHOLES = np.r_[0.0, np.cumsum(np.log(np.arange(1, SMALL, dtype=np.float64)))]
 
 
-def stream(words: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts with `depth` zero bytes before each: bytes, positions to code, number of them by text."""
-    texts = [b" ".join(w) + b"\n" for w in words]
+# -- packing
+def squeezed(x: np.ndarray) -> bytes:
+    """Integers by planes of their bytes, compressed: high planes of small numbers cost nothing."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unsqueezed(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+
+
+def packed(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted keys and a number for each."""
+    a, b = squeezed(np.diff(keys, prepend=0)), squeezed(values)
+    return len(a).to_bytes(8, "little") + a + b
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = 8 + int.from_bytes(blob[:8], "little")
+    return np.cumsum(unsqueezed(blob[8:n])), unsqueezed(blob[n:])
+
+
+def rows_of(rows: Iterator[tuple], most: int = 64) -> Iterator[pa.RecordBatch]:
+    out = []
+    for r in rows:
+        out.append(r)
+        if len(out) == most or r[4] is not None:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
+            out = []
+    if out:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
+
+
+# -- texts
+def grams(texts: list[bytes], depth: int, most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Strings of context (last byte first) and byte at every place of texts, pieces of about `most` places at a time: (strings, first
+    place of each text in the piece, index of that text). Before a text are zero bytes."""
     pad = bytes(depth)
-    data = np.frombuffer(pad + pad.join(texts), np.uint8)
+    held: list[tuple[int, bytes, bytes]] = []
+    size = 0
+
+    def piece() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(x for _, before, body in held for x in (before, body)), np.uint8).astype(np.int64)
+        code = data[depth:].copy()
+        for j in range(1, depth + 1):
+            code |= data[depth - j : len(data) - j] << (8 * (depth + 1 - j))
+        sizes = np.fromiter((len(body) for _, _, body in held), np.int64, len(held))
+        real = np.ones(len(data), bool)
+        real[((np.cumsum(sizes + depth) - sizes - depth)[:, None] + np.arange(depth)).ravel()] = False
+        return code[real[depth:]], np.cumsum(sizes) - sizes, np.array([i for i, _, _ in held])
+
+    for i, text in enumerate(texts):
+        for a in range(0, len(text), most):
+            held.append((i, (pad + text[max(0, a - depth) : a])[-depth:], text[a : a + most]))
+            size += len(held[-1][2])
+            if size >= most:
+                yield piece()
+                held, size = [], 0
+    if held:
+        yield piece()
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of normalised texts, and the number of words of each."""
+    data = np.frombuffer(b" " + b" ".join(t[:-1] for t in texts) + b" ", np.uint8)
+    turns = np.flatnonzero(np.diff(data == 32)) + 1
+    start, end = turns[::2], turns[1::2]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    real = np.ones(len(data), bool)
-    starts = np.cumsum(np.r_[0, sizes[:-1] + depth])
-    real[(starts[:, None] + np.arange(depth)).ravel()] = False
-    return data, np.flatnonzero(real), sizes
+    cuts = np.searchsorted(start, 1 + np.cumsum(sizes) - sizes)
+    return (word_hashes(data, start, end) >> np.uint64(1)).view(np.int64), np.diff(np.r_[cuts, len(start)])
 
 
-def grams(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The `depth` bytes before each position and the byte there, as one number."""
-    wide = data.astype(np.int64)
-    code = wide[: len(wide) - depth].copy()
-    for j in range(1, depth + 1):
-        code <<= 8
-        code |= wide[j : len(wide) - depth + j]
-    return code[at - depth]
+def tallied(parts: int, depth: int, most: int = UNIT):
+    """A unit's distinct strings and words for their owners, and its texts."""
+    top = min(TOP, depth)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        texts: list[bytes] = []
+        flags: list[bool] = []
+        held = 0
+
+        def flush() -> Iterator[tuple]:
+            unit = int.from_bytes(os.urandom(8), "little") >> 1
+            found: dict[int, list] = {GRAM: [], WORD: []}
+            for learn in (True, False):
+                some = [t for t, f in zip(texts, flags) if f == learn]
+                for code, _, _ in grams(some, depth):
+                    u, n = np.unique(code, return_counts=True)
+                    found[GRAM].append((u, n if learn else np.zeros(len(u), np.int64)))
+                if some:
+                    u, n = np.unique(words(some)[0], return_counts=True)
+                    found[WORD].append((u, n if learn else np.zeros(len(u), np.int64)))
+            for kind, of in ((GRAM, lambda k: mixed((k >> (8 * (depth - top) + 8)).view(np.uint64))), (WORD, lambda k: mixed(k.view(np.uint64)))):
+                keys, n = counted(found[kind])
+                bucket = (of(keys) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                for b, s in sliced(bucket[order]):
+                    yield kind, b, unit, packed(keys[order[s]], n[order[s]]), None
+            null = np.fromiter((i is None for i in ids), np.int64, len(ids))
+            blob = bundle(np.array([0 if i is None else i for i in ids], np.int64), null, np.fromiter(map(len, texts), np.int64, len(texts)))
+            yield TEXT, 0, unit, blob, zstandard.ZstdCompressor(3).compress(b"".join(texts))
+
+        for batch in batches:
+            for key, learn, text in zip(batch.column("doc_id").to_pylist(), batch.column("learn").to_pylist(), utf8(batch.column("text"))):
+                ids.append(key)
+                flags.append(bool(learn))
+                texts.append(b" ".join(text.lower().split()) + b"\n")
+                held += len(texts[-1])
+                if held >= most:
+                    yield from rows_of(flush())
+                    ids, texts, flags, held = [], [], [], 0
+        if ids:
+            yield from rows_of(flush())
+
+    return run
 
-def tally(depth: int):
-    """Counts of byte strings and of words in a partition, one row for each distinct one."""
+
+# -- the tree
+def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    return gamma(a, 0.5, HALVES) + gamma(b, 0.5, HALVES) - gamma(a + b, 1.0, WHOLES) - math.log(math.pi)
+
+
+def gamma(x: np.ndarray, add: float, table: np.ndarray) -> np.ndarray:
+    out = table[np.minimum(x, SMALL - 1)]
+    if len(big := np.flatnonzero(x >= SMALL)):
+        y = x[big] + add
+        out[big] = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3)
+    return out
+
+
+class Layer:
+    """Strings of one depth (context, then byte) in order, their counts, and the eight decisions of each."""
+
+    def __init__(self, g: np.ndarray, n: np.ndarray):
+        self.g, self.n = g, n
+        self.first, self.run, self.a, self.b = [], [], [], []
+        for level in range(8):
+            x = g >> (8 - level)
+            new = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            ones = np.add.reduceat(n * ((g >> (7 - level)) & 1), first) if len(x) else n
+            self.first.append(first)
+            self.run.append((np.cumsum(new) - 1).astype(np.int32))
+            self.b.append(ones)
+            self.a.append((np.add.reduceat(n, first) if len(x) else n) - ones)
+
+    def keys(self, level: int, up: int = 0) -> np.ndarray:
+        """Context, without its last `up` bytes, and node of each decision, as one number."""
+        g = self.g[self.first[level]]
+        return (g >> (8 + 8 * up)) << 8 | (1 << level) | ((g & 255) >> (8 - level))
+
+
+class Part:
+    """Layers of depths `low` to `high`, made of the strings of the deepest; `sums` are ln probabilities of what is below it."""
+
+    def __init__(self, g: np.ndarray, n: np.ndarray, high: int, low: int, sums: tuple[np.ndarray, np.ndarray] | None = None):
+        self.high, self.low, self.leaf = high, low, sums is None
+        self.layer, self.up = {high: Layer(g, n)}, {}
+        for d in range(high - 1, low - 1, -1):
+            below = self.layer[d + 1]
+            g, up = np.unique((below.g >> 16) << 8 | (below.g & 255), return_inverse=True)
+            self.up[d + 1] = up.ravel()
+            self.layer[d] = Layer(g, np.bincount(self.up[d + 1], below.n, len(g)).astype(np.int64))
+        self.weight: dict[int, list] = {}
+        self.total: dict[int, list] = {}
+        for d in range(high, low - 1, -1):
+            x = self.layer[d]
+            self.weight[d], self.total[d] = [], []
+            for level in range(8):
+                own = kt(x.a[level], x.b[level])
+                if d == high and self.leaf:
+                    self.weight[d].append(np.ones(len(own)))
+                    self.total[d].append(own)
+                    continue
+                if d == high:
+                    down = sums[1][np.searchsorted(sums[0], x.keys(level))]
+                else:
+                    down = np.bincount(self.parent(d + 1, level), self.total[d + 1][level], len(own))
+                both = np.logaddexp(own, down) - LN2
+                self.weight[d].append(np.exp(own - LN2 - both))
+                self.total[d].append(both)
+
+    def parent(self, d: int, level: int) -> np.ndarray:
+        """For each decision of depth d the same decision in the context that is a byte shorter."""
+        return self.layer[d - 1].run[level][self.up[d][self.layer[d].first[level]]]
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the context above the lowest layer needs of it: keys of its decisions, and sums of ln probabilities."""
+        keys = np.concatenate([self.layer[self.low].keys(level, 1) for level in range(8)])
+        return summed(keys, np.concatenate(self.total[self.low]))
+
+    def mixed(self, above: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each level, what every decision of the deepest layer has of P(1), and the share that is left for what is below."""
+        out = []
+        for level in range(8):
+            for d in range(self.low, self.high + 1):
+                x = self.layer[d]
+                if d > self.low:
+                    at = self.parent(d, level)
+                    have, left = have[at], left[at]  # noqa: F821
+                elif above is None:
+                    have, left = np.zeros(len(x.a[level])), np.ones(len(x.a[level]))
+                else:
+                    at = np.searchsorted(above[0], x.keys(level, 1))
+                    have, left = above[1][at], above[2][at]
+                w = self.weight[d][level]
+                p = (x.b[level] + 0.5) / (x.a[level] + x.b[level] + 1.0)
+                have, left = have + left * w * p, left * (1.0 - w)
+            out.append((have, left))
+        return out
+
+    def costs(self, above: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """Bits of the byte of each string after its context."""
+        x = self.layer[self.high]
+        bits = np.zeros(len(x.g))
+        for level, (have, _) in enumerate(self.mixed(above)):
+            p = have[x.run[level]]
+            bits -= np.log2(np.where((x.g >> (7 - level)) & 1, p, 1.0 - p))
+        return bits
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their values."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at.ravel(), values, len(keys)) if len(keys) else np.zeros(0)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Of each kind (unit, keys, counts)."""
+    found: dict[int, list] = {GRAM: [], WORD: []}
+    for batch in batches:
+        for kind, unit, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "unit", "blob"))):
+            found[kind].append((unit, *unpacked(blob)))
+    return found
+
+
+def merged(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return counted([(k, n) for _, k, n in rows]) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+ABOVE = "keys binary, sums binary, grams binary, counts binary, tokens long, distinct long"
+
+
+def below(depth: int):
+    """What the contexts above need of the subtrees that a task owns, and its number of words."""
+    top = min(TOP, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, words = [], 0, Counter()
-
-        def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(keys), 200_000):
-                k = keys[i : i + 200_000]
-                yield pa.record_batch([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[i : i + 200_000].astype(np.int64))], ["kind", "key", "n"])
-
-        def flush_words() -> Iterator[pa.RecordBatch]:
-            keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
-            yield from rows(WORD, keys, np.fromiter(words.values(), np.int64, len(words)))
-            words.clear()
-
-        for keys, texts in pieces(batches, "text", "doc_id", 2 << 20):
-            split = [t.lower().split() for t in texts]
-            for w in split:
-                words.update(w)
-            words[b"\n"] += len(split)
-            data, at, _ = stream(split, depth)
-            parts.append(np.unique(grams(data, at, depth), return_counts=True))
-            size += len(parts[-1][0])
-            if size > 3_000_000:
-                merged = counted(parts)
-                parts, size = ([merged], len(merged[0])) if len(merged[0]) < 1_500_000 else ([], 0)
-                if not parts:
-                    yield from rows(GRAM, *merged)
-            if len(words) > 600_000:
-                yield from flush_words()
-        if parts:
-            yield from rows(GRAM, *counted(parts))
-        yield from flush_words()
+        found = gathered(batches)
+        _, n = merged(found[WORD])
+        tokens, distinct = int(n.sum()), int((n > 0).sum())
+        g, n = merged(found.pop(GRAM))
+        part = Part(g, n, depth, top)
+        keys, sums = part.sums()
+        short, counts = summed((part.layer[top].g >> 16) << 8 | (part.layer[top].g & 255), part.layer[top].n)
+        yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (keys, sums, short, counts.astype(np.int64))] + [pa.array([tokens]), pa.array([distinct])], [f.split()[0] for f in ABOVE.split(", ")])
 
     return run
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """ln of the gamma function for x > 0 (shifted Stirling series)."""
-    y = x + 6
-    s = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3)
-    return s - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
-
-
-def kt(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From byte counts (rows of 256): ln of the KT block probability and P(1) at the 255 bit nodes."""
-    tree = np.zeros((len(counts), 512))
-    tree[:, 256:] = counts
-    for level in range(7, -1, -1):
-        lo = 1 << level
-        tree[:, lo : 2 * lo] = tree[:, 2 * lo : 4 * lo : 2] + tree[:, 2 * lo + 1 : 4 * lo : 2]
-    a, b = tree[:, 2::2], tree[:, 3::2]
-    block = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - math.log(math.pi)
-    block[(a + b) == 0] = 0
-    return block, (b + 0.5) / (a + b + 1)
-
-
-def byte_costs(p1: np.ndarray) -> np.ndarray:
-    """log2 of the 256 byte probabilities from P(1) at the bit nodes."""
-    out = np.zeros((len(p1), 512), np.float32)
-    for level in range(8):
-        lo = 1 << level
-        p = p1[:, lo - 1 : 2 * lo - 1]
-        out[:, 2 * lo : 4 * lo : 2] = out[:, lo : 2 * lo] + np.log2(1 - p)
-        out[:, 2 * lo + 1 : 4 * lo : 2] = out[:, lo : 2 * lo] + np.log2(p)
-    return out[:, 256:]
-
-
-class Tree:
-    """The finished model: for each depth the kept contexts in order, and a row of 256 costs for each."""
-
-    def __init__(self, depth: int, counts: list[tuple[np.ndarray, np.ndarray]], step: int = 4096):
-        """counts: for each depth sorted contexts and their byte counts, suffix-closed."""
-        self.depth, self.keys = depth, [k for k, _ in counts]
-        parent = [None] + [np.searchsorted(self.keys[d - 1], self.keys[d] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, depth + 1)]
-        own = [None] * (depth + 1)
-        down = None
-
-        def unkept(d: int) -> np.ndarray:
-            rest = counts[d][1].astype(np.float64)
-            if d < depth:
-                np.subtract.at(rest, parent[d + 1], counts[d + 1][1])
-            return np.maximum(rest, 0)
-
-        for d in range(depth, -1, -1):
-            keys, n = counts[d]
-            rest = unkept(d)
-            weight = np.empty((len(keys), 255), np.float32)
-            mixed = np.empty((len(keys), 255))
-            for i in range(0, len(keys), step):
-                s = slice(i, i + step)
-                block, _ = kt(n[s])
-                if d == depth:
-                    weight[s], mixed[s] = 1, block
-                    continue
-                other, _ = kt(rest[s])
-                below = other + down[s]
-                mixed[s] = np.logaddexp(block, below) - math.log(2)
-                weight[s] = np.exp(block - math.log(2) - mixed[s])
-            own[d] = weight
-            if d:
-                down = np.zeros((len(counts[d - 1][0]), 255))
-                np.add.at(down, parent[d], mixed)
-        rows, have, left = [], None, None
-        for d in range(depth + 1):
-            weight, own[d] = own[d], None
-            rest, size = unkept(d), len(counts[d][0])
-            grown, spare, row = np.empty((size, 255), np.float32), np.empty((size, 255), np.float32), np.empty((size, 256), np.float16)
-            for i in range(0, size, step):
-                s = slice(i, i + step)
-                p, q = kt(counts[d][1][s])[1], kt(rest[s])[1]
-                above, share = (0.0, 1.0) if d == 0 else (have[parent[d][s]], left[parent[d][s]])
-                grown[s], spare[s] = above + share * weight[s] * p, share * (1.0 - weight[s])
-                row[s] = byte_costs(np.clip(grown[s] + spare[s] * q, 1e-7, 1 - 1e-7))
-            have, left = grown, spare
-            rows.append(row)
-        self.costs = np.concatenate(rows)
-        self.first = np.cumsum([0] + [len(k) for k in self.keys])
-
-    def parts(self) -> dict:
-        """Plain arrays, to broadcast."""
-        return {"depth": self.depth, "keys": self.keys, "costs": self.costs, "first": self.first}
-
-    @classmethod
-    def of(cls, parts: dict) -> Tree:
-        tree = cls.__new__(cls)
-        tree.__dict__.update(parts)
-        return tree
-
-    def index(self) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """Open-addressed slots for each depth, made once in each worker."""
-        made = []
-        for d, keys in enumerate(self.keys):
-            bits = max(4, (8 * max(1, len(keys)) - 1).bit_length())
-            slot, value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
-            todo = np.arange(len(keys))
-            at = spread(keys, bits)
-            while len(todo):
-                free = slot[at[todo]] < 0
-                _, first = np.unique(at[todo[free]], return_index=True)
-                put = todo[free][first]
-                slot[at[put]], value[at[put]] = keys[put], put + self.first[d]
-                todo = np.setdiff1d(todo, put)
-                at[todo] = (at[todo] + 1) & ((1 << bits) - 1)
-            made.append((slot, value, bits))
-        return made
-
-    def score(self, codes: np.ndarray, index: list) -> np.ndarray:
-        """log2 probability of the last byte of each gram after its context."""
-        context, symbol = codes >> 8, codes & 255
-        row = np.zeros(len(codes), np.int32)
-        todo = None
-        for d in range(self.depth, 0, -1):
-            slot, value, bits = index[d]
-            want = (context if todo is None else context[todo]) & ((1 << 8 * d) - 1)
-            at = spread(want, bits)
-            got = slot[at]
-            near = got == want
-            while len(miss := np.flatnonzero(~near & (got >= 0))):
-                at[miss] = (at[miss] + 1) & ((1 << bits) - 1)
-                seen = slot[at[miss]]
-                got[miss] = seen
-                near[miss] = seen == want[miss]
-            if todo is None:
-                row[near] = value[at[near]]
-                todo = np.flatnonzero(~near)
-            else:
-                row[todo[near]] = value[at[near]]
-                todo = todo[~near]
-            if not len(todo):
-                break
-        return self.costs[row, symbol]
-
-
-def spread(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def fit(counts: DataFrame, depth: int, share_bits: int) -> Tree:
-    """Sum the byte strings to contexts of all depths, keep the frequent ones, weight the tree."""
-    n = counts.filter(F.col("kind") == GRAM)
-    total = n.agg(F.sum("n")).first()[0] or 0
-    by_depth = n.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(depth)))).select(
-        "d", F.expr(f"shiftright(key, 8) & (shiftleft(1L, 8 * d) - 1)").alias("context"), F.expr("cast(key & 255 as short)").alias("byte"), "n"
-    )
-    kept = (
-        by_depth.groupBy("d", "context", "byte").agg(F.sum("n").alias("n"))
-        .groupBy("d", "context").agg(F.sum("n").alias("total"), F.collect_list("byte").alias("bytes"), F.collect_list("n").alias("ns"))
-        .filter(F.col("total") >= max(1.0, total / 2**share_bits)).select("d", "context", "bytes", "ns")
-    ).toArrow()
-    d, context = kept["d"].to_numpy(), kept["context"].to_numpy()
-    bytes_, ns = kept["bytes"].combine_chunks(), kept["ns"].combine_chunks()
-    sizes = np.diff(bytes_.offsets.to_numpy())
-    which = np.repeat(np.arange(len(d)), sizes)
-    byte, count = bytes_.flatten().to_numpy(), ns.flatten().to_numpy()
-    found = []
-    for k in range(depth + 1):
-        ids = np.flatnonzero(d == k)
-        ids = ids[np.argsort(context[ids])]
-        if k:
-            ids = ids[np.isin(context[ids] & ((1 << 8 * (k - 1)) - 1), found[-1][0])]
-        keys = context[ids] if k else np.zeros(1, np.int64)
-        place = np.full(len(d), -1)
-        place[ids] = np.arange(len(ids))
-        dense = np.zeros((len(keys), 256), np.float32)
-        mine = place[which] >= 0
-        np.add.at(dense, (place[which[mine]], byte[mine]), count[mine])
-        found.append((keys, dense))
-    return Tree(depth, found)
-
-
-def scorer(model, frequent, depth: int):
-    """For each text a DOC row, and a WORD row for each of its words that is not in the broadcast list."""
-    cache: dict = {}
+def above_of(rows: Iterator, depth: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int, int]:
+    """The share of every decision of the contexts above, for their subtrees; training words, and distinct ones."""
+    top, tokens, distinct, waits = min(TOP, depth), 0, 0, 0
+    held: dict[str, list] = {"sums": [], "counts": []}
+
+    def settle() -> None:
+        for name, pairs in held.items():
+            held[name] = [summed(*(np.concatenate(x) for x in zip(*pairs)))] if pairs else [(np.zeros(0, np.int64), np.zeros(0))]
+
+    for r in rows:
+        held["sums"].append((np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sums"], np.float64)))
+        held["counts"].append((np.frombuffer(r["grams"], np.int64), np.frombuffer(r["counts"], np.int64).astype(np.float64)))
+        tokens, distinct, waits = tokens + r["tokens"], distinct + r["distinct"], waits + len(r["keys"]) // 8
+        if waits > MOST_WAITING:
+            settle()
+            waits = 0
+    settle()
+    (keys, sums), (short, counts) = held["sums"][0], held["counts"][0]
+    part = Part(short, counts.astype(np.int64), top - 1, 0, (keys, sums))
+    at = np.concatenate([part.layer[top - 1].keys(level) for level in range(8)])
+    have, left = (np.concatenate(x) for x in zip(*part.mixed(None)))
+    order = np.argsort(at)
+    return (at[order], have[order], left[order]), tokens, distinct
+
+
+def answers(above, depth: int):
+    """For each unit the costs of its strings and the counts of its words that a task owns."""
+    top = min(TOP, depth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = gathered(batches)
+
+        def rows() -> Iterator[tuple]:
+            g, n = merged(found[WORD])
+            for unit, keys, _ in found.pop(WORD):
+                yield WORD, 0, unit, packed(keys, n[np.searchsorted(g, keys)]), None
+            g, n = merged(found[GRAM])
+            if len(g):
+                cost = np.round(Part(g, n, depth, top).costs(above.value) * FIXED).astype(np.int64)
+                for unit, keys, _ in found.pop(GRAM):
+                    yield GRAM, 0, unit, packed(keys, cost[np.searchsorted(g, keys)]), None
+
+        yield from rows_of(rows())
+
+    return run
+
+
+# -- scores
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, bytes, dict[int, tuple]]]:
+    """Of rows ordered by unit: ids, null marks and sizes, texts, and the answers of each kind as sorted keys and values."""
+    unit, held = None, []
+
+    def whole() -> tuple[list, bytes, dict[int, tuple]]:
+        text = [(b, d) for k, b, d in held if k == TEXT]
+        if len(text) != 1:
+            raise RuntimeError(f"unit {unit} has {len(text)} texts")
+        given = {}
+        for kind in (GRAM, WORD):
+            got = [unpacked(b) for k, b, _ in held if k == kind]
+            keys, values = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 2
+            order = np.argsort(keys, kind="stable")
+            given[kind] = keys[order], values[order]
+        return unbundle(text[0][0]), zstandard.ZstdDecompressor().decompress(text[0][1]), given
+
+    for batch in batches:
+        for k, u, b, d in zip(*(batch.column(c).to_pylist() for c in ("kind", "unit", "blob", "data"))):
+            if u != unit and held:
+                yield whole()
+                held = []
+            unit = u
+            held.append((k, b, d))
+    if held:
+        yield whole()
+
+
+def looked_up(given: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    u, at = np.unique(keys, return_inverse=True)
+    place = np.searchsorted(given[0], u)
+    if len(u) and (place[-1] >= len(given[0]) or (given[0][place] != u).any()):
+        raise RuntimeError("a unit lacks answers")
+    return given[1][place][at.ravel()]
+
+
+SCORED = "doc_id long, n_tokens long, n_known long, logs double, bits double, n_bytes long"
+
+
+def scored(depth: int, ends: int):
+    """Scores of each unit's texts; `ends` is the count of the end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree.of(model.value)
-        if "index" not in cache:
-            cache["index"] = tree.index()
-        known, count = frequent.value
-        for keys, texts in pieces(batches, "text", "doc_id", 2 << 20):
-            split = [t.lower().split() for t in texts]
-            data, at, sizes = stream(split, depth)
-            got = tree.score(grams(data, at, depth), cache["index"])
-            bits = np.add.reduceat(got.astype(np.float64), np.r_[0, np.cumsum(sizes)[:-1]])
-            flat = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in split for w in (*ws, b"\n")), np.uint64).view(np.int64)
-            n_tokens = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
-            doc = np.repeat(np.arange(len(split)), n_tokens)
-            place = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
-            hit = known[place] == flat if len(known) else np.zeros(len(flat), bool)
-            logs = np.zeros(len(flat))
-            logs[hit] = np.log10(count[place[hit]] + 1.0)
-            sums = np.bincount(doc, logs, len(split))
-            seen = np.bincount(doc[hit], minlength=len(split))
-            miss = ~hit
-            d, w = doc[miss], flat[miss]
-            order = np.lexsort((w, d))
-            d, w = d[order], w[order]
-            first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (w[1:] != w[:-1])]) if len(d) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[first, len(d)])
-            ids = np.array([-1 if k is None else k for k in keys], np.int64)
-            nulls = np.fromiter((k is None for k in keys), bool, len(keys))
-            k, m = len(ids), len(first)
-            at_doc = np.r_[np.arange(k), d[first]]
-            own = np.fromiter((xxhash.xxh3_64_intdigest(b"%d" % i, 7) for i in ids), np.uint64, k).view(np.int64)
-            yield pa.record_batch(
-                [
-                    pa.array(np.r_[np.full(k, DOC, np.int8), np.full(m, WORD, np.int8)]),
-                    pa.array(np.r_[own, w[first]]),
-                    pa.array(ids[at_doc], mask=nulls[at_doc]),
-                    pa.array(np.r_[n_tokens, times]),
-                    pa.array(np.r_[seen, np.zeros(m, np.int64)]),
-                    pa.array(np.r_[sums, np.zeros(m)]),
-                    pa.array(np.r_[bits * LOG10_2, np.zeros(m)]),
-                    pa.array(np.r_[sizes, np.zeros(m, np.int64)]),
-                ],
-                ["kind", "key", "doc_id", "n", "seen", "logs", "score", "n_bytes"],
-            )
+        for (ids, null, sizes), whole, given in units(batches):
+            cuts = np.r_[0, np.cumsum(sizes)]
+            texts = [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+            bits = np.zeros(len(texts))
+            for code, first, which in grams(texts, depth):
+                np.add.at(bits, which, np.add.reduceat(looked_up(given[GRAM], code) / FIXED, first))
+            flat, n = words(texts)
+            c = looked_up(given[WORD], flat)
+            doc = np.repeat(np.arange(len(texts)), n)
+            logs = np.bincount(doc, np.log10(c + 1.0), len(texts)) + math.log10(ends + 1.0)
+            known = np.bincount(doc, c > 0, len(texts)).astype(np.int64) + (ends > 0)
+            columns = [pa.array(ids, mask=null.astype(bool)), pa.array(n + 1), pa.array(known), pa.array(logs), pa.array(bits), pa.array(sizes)]
+            yield pa.record_batch(columns, [f.split()[0] for f in SCORED.split(", ")])
 
     return run
 
 
-def lm_scores(docs: DataFrame, train: F.Column, depth: int = DEPTH, share_bits: int = SHARE_BITS, word_bits: int = WORD_BITS) -> DataFrame:
+def lm_scores(docs: DataFrame, train: F.Column, depth: int = DEPTH, unit: int = UNIT) -> DataFrame:
     """Score every text of docs(doc_id, text, ...) under a tree trained on the rows where `train` holds.
 
-    Returns doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. Null text is
-    empty (its end symbol alone is scored); doc_id must be unique, and one null id is allowed; other
-    columns of docs are ignored. Without training rows every estimate is the uniform one and the
-    baseline is 0. Word counts are joined on 64-bit hashes; words that make up at least a
-    2**-word_bits part of the training words (so at most 2**word_bits) are broadcast instead.
+    Returns doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability),
+    bits_per_byte. Null text is empty (its end symbol alone is scored). Rows stay as they come, whatever ids
+    they repeat or lack, and a repeated row is learned from and scored as often as it is there; a null `train` is false;
+    other columns of docs are ignored. Without training rows every estimate is the uniform one, and so is the baseline.
+    Costs are exact to 2**-21 bits a byte; words are told apart by 63 bits of a hash.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
-    learn = docs.filter(train).select("doc_id", "text")
-    counts = saved(learn.mapInArrow(tally(depth), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
-    tree = fit(counts, depth, share_bits)
-    words = counts.filter(F.col("kind") == WORD)
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.filter(F.col("n") >= max(1.0, total / 2**word_bits)).select("key", "n").toArrow()
-    keys, n = top["key"].to_numpy(), top["n"].to_numpy()
-    order = np.argsort(keys)
-    model, frequent = spark.sparkContext.broadcast(tree.parts()), spark.sparkContext.broadcast((keys[order], n[order]))
-    rows = texts.mapInArrow(scorer(model, frequent, depth), "kind byte, key long, doc_id long, n long, seen long, logs double, score double, n_bytes long")
-    rare = words.filter(F.col("n") < max(1.0, total / 2**word_bits)).select("key", "kind", F.col("n").alias("c"))
-    is_doc = F.col("kind") == DOC
-    joined = rows.join(rare, ["key", "kind"], "left").filter(is_doc | F.col("c").isNotNull())
-    return (
-        joined.groupBy("doc_id")
-        .agg(
-            F.sum(F.when(is_doc, F.col("n")).otherwise(0)).alias("n_tokens"),
-            F.sum(F.when(is_doc, F.col("seen")).otherwise(F.col("n"))).alias("n_known"),
-            F.sum(F.when(is_doc, F.col("logs")).otherwise(F.col("n") * F.log10(F.col("c") + 1.0))).alias("logs"),
-            F.sum("score").alias("score"),
-            F.sum("n_bytes").alias("n_bytes"),
-        )
-        .select(
-            "doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-            (F.col("logs") - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
-            "score", (-F.col("score") / LOG10_2 / F.col("n_bytes")).alias("bits_per_byte"),
-        )
+    sc, parts = spark.sparkContext, min(partitions(spark), 32768)
+    given = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("learn"))
+    ends = given.filter("learn").count()
+    asked = saved(given.mapInArrow(trimmed(tallied(parts, depth, unit)), ROWS), "units")
+    owned = asked.filter(F.col("kind") != TEXT).select("kind", "bucket", "unit", "blob").repartitionById(parts, "bucket")
+    above, tokens, distinct = above_of(owned.mapInArrow(trimmed(below(depth)), ABOVE).toLocalIterator(), depth)
+    tokens, distinct = tokens + ends, distinct + (ends > 0)
+    back = owned.mapInArrow(trimmed(answers(sc.broadcast(above), depth)), ROWS)
+    met = asked.filter(F.col("kind") == TEXT).union(back).repartition(parts, "unit").sortWithinPartitions("unit", "kind")
+    rows = met.mapInArrow(trimmed(scored(depth, ends)), SCORED)
+    return rows.select(
+        "doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * math.log10(tokens + distinct + 1)).alias("base_score"),
+        (F.col("bits") * -LOG10_2).alias("score"), (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. Edge cases as in lm_scores."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = remainder("doc_id", 7) == 2
     return lm_scores(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
