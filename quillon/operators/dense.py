@@ -114,14 +114,25 @@ def hashed(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 
 def encoded(chunks: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 256) -> DataFrame:
-    """chunks(doc_id, n_words, chunk) with `v`; make() loads the encoder once in each task, which gets `batch` texts at a time."""
+    """chunks(doc_id, n_words, chunk) with `v`; make() loads the encoder once in each task, which gets `batch` texts at a time.
+
+    An encoder that runs out of memory is asked again with half as many, down to one, and stays at that size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = make()
+        encode, most = make(), batch
         for b in batches:
-            for i in range(0, b.num_rows, batch):
-                part = b.slice(i, batch)
-                v = encode(part.column("chunk").to_pylist())
+            i = 0
+            while i < b.num_rows:
+                part = b.slice(i, most)
+                try:
+                    v = encode(part.column("chunk").to_pylist())
+                except MemoryError:
+                    if most == 1:
+                        raise
+                    most = max(1, most // 2)
+                    continue
+                i += part.num_rows
                 yield pa.record_batch([part.column("doc_id"), part.column("n_words"), pa.array(list(v), pa.list_(pa.float64()))], ["doc_id", "n_words", "v"])
 
     return chunks.select("doc_id", "n_words", "chunk").mapInArrow(run, "doc_id long, n_words long, v array<double>")

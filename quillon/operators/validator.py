@@ -28,11 +28,12 @@ class Source:
 
 @dataclass
 class Plan:
-    """Documents on each side, neighbours of a gold document, documents that each model adds for a query."""
+    """Documents on each side, neighbours of a gold document, documents that each model adds for a query, and the seed of the split."""
 
     sizes: dict[str, int] = field(default_factory=lambda: {"train80": 100_000, "eval20": 250_000})
     near: tuple[int, int] = (2, 2)
     quota: int = 5
+    seed: str = "seed-1"
 
 
 def paths(out: str, side: str) -> dict[str, str]:
@@ -42,7 +43,7 @@ def paths(out: str, side: str) -> dict[str, str]:
 def build(spark: SparkSession, out: str, source: Source, plan: Plan) -> None:
     """Writes corpus, id list, qrels, queries (together and by split) for both sides, the log of missing gold, and counts as JSON."""
     order = saved(lines.corpus_order(source.lines, source.key), "order")
-    sides = saved(subsets.split_80_20(source.queries.select("split", "query_id")), "sides")
+    sides = saved(subsets.split_80_20(source.queries.select("split", "query_id"), plan.seed), "sides")
     gold = saved(source.gold.join(sides, ["split", "query_id"]), "gold")
     missing = gold.join(order, "doc_id", "left_anti")
     trec.write_lines(missing.select("query_id", F.concat_ws("\t", "split", "query_id", "doc_id").alias("line")), f"{out}/missing")
