@@ -32,7 +32,7 @@ from quillon.llm.blocks import bundle, counted, mixed, partitions, remainder, sl
 from quillon.llm.decontam import word_hashes
 from quillon.session import saved
 
-DEPTH, TOP, UNIT, PIECE = 6, 3, 8 << 20, 2 << 20
+DEPTH, TOP, UNIT, PIECE = 6, 3, 8 << 20, 1 << 20
 TEXT, GRAM, WORD = 0, 1, 2
 LOG10_2, LN2, FIXED = math.log10(2), math.log(2), 1 << 20
 ROWS, NAMES = "kind byte, bucket int, unit long, blob binary, data binary", ["kind", "bucket", "unit", "blob", "data"]
@@ -115,9 +115,14 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (word_hashes(data, start, end) >> np.uint64(1)).view(np.int64), np.diff(np.r_[cuts, len(start)])
 
 
+def owners(kind: int, keys: np.ndarray, parts: int, depth: int) -> np.ndarray:
+    """The task that owns each string (by the first bytes of its context) or word."""
+    own = keys >> (8 * (depth - min(TOP, depth)) + 8) if kind == GRAM else keys
+    return (mixed(own.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 def tallied(parts: int, depth: int, most: int = UNIT):
     """A unit's distinct strings and words for their owners, and its texts."""
-    top = min(TOP, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -133,12 +138,14 @@ def tallied(parts: int, depth: int, most: int = UNIT):
                 for code, _, _ in grams(some, depth):
                     u, n = np.unique(code, return_counts=True)
                     found[GRAM].append((u, n if learn else np.zeros(len(u), np.int64)))
+                    if len(found[GRAM]) == 4:
+                        found[GRAM] = [counted(found[GRAM])]
                 if some:
                     u, n = np.unique(words(some)[0], return_counts=True)
                     found[WORD].append((u, n if learn else np.zeros(len(u), np.int64)))
-            for kind, of in ((GRAM, lambda k: mixed((k >> (8 * (depth - top) + 8)).view(np.uint64))), (WORD, lambda k: mixed(k.view(np.uint64)))):
+            for kind in (GRAM, WORD):
                 keys, n = counted(found[kind])
-                bucket = (of(keys) % np.uint64(parts)).astype(np.int64)
+                bucket = owners(kind, keys, parts, depth)
                 order = np.argsort(bucket, kind="stable")
                 for b, s in sliced(bucket[order]):
                     yield kind, b, unit, packed(keys[order[s]], n[order[s]]), None
@@ -272,16 +279,16 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, np.bincount(at.ravel(), values, len(keys)) if len(keys) else np.zeros(0)
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Of each kind (unit, keys, counts)."""
+def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[tuple[int, int], np.ndarray, np.ndarray]]]:
+    """Of each kind ((unit, bucket), keys, counts)."""
     found: dict[int, list] = {GRAM: [], WORD: []}
     for batch in batches:
-        for kind, unit, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "unit", "blob"))):
-            found[kind].append((unit, *unpacked(blob)))
+        for kind, bucket, unit, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "unit", "blob"))):
+            found[kind].append(((unit, bucket), *unpacked(blob)))
     return found
 
 
-def merged(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def merged(rows: list[tuple[tuple[int, int], np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return counted([(k, n) for _, k, n in rows]) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -331,7 +338,7 @@ def above_of(rows: Iterator, depth: int) -> tuple[tuple[np.ndarray, np.ndarray,
 
 
 def answers(above, depth: int):
-    """For each unit the costs of its strings and the counts of its words that a task owns."""
+    """For each unit the costs of its strings and the counts of its words that a task owns, in the order of what was asked."""
     top = min(TOP, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,13 +346,13 @@ def answers(above, depth: int):
 
         def rows() -> Iterator[tuple]:
             g, n = merged(found[WORD])
-            for unit, keys, _ in found.pop(WORD):
-                yield WORD, 0, unit, packed(keys, n[np.searchsorted(g, keys)]), None
+            for (unit, bucket), keys, _ in found.pop(WORD):
+                yield WORD, bucket, unit, squeezed(n[np.searchsorted(g, keys)]), None
             g, n = merged(found[GRAM])
             if len(g):
                 cost = np.round(Part(g, n, depth, top).costs(above.value) * FIXED).astype(np.int64)
-                for unit, keys, _ in found.pop(GRAM):
-                    yield GRAM, 0, unit, packed(keys, cost[np.searchsorted(g, keys)]), None
+                for (unit, bucket), keys, _ in found.pop(GRAM):
+                    yield GRAM, bucket, unit, squeezed(cost[np.searchsorted(g, keys)]), None
 
         yield from rows_of(rows())
 
@@ -353,56 +360,65 @@ def answers(above, depth: int):
 
 
 # -- scores
-def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, bytes, dict[int, tuple]]]:
-    """Of rows ordered by unit: ids, null marks and sizes, texts, and the answers of each kind as sorted keys and values."""
-    unit, held = None, []
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, bytes, dict[int, dict[int, bytes]]]]:
+    """Of rows ordered by unit: ids, null marks and sizes, texts, and the answers of each kind by the task that they come from."""
+    unit, text, given = None, [], {GRAM: {}, WORD: {}}
 
-    def whole() -> tuple[list, bytes, dict[int, tuple]]:
-        text = [(b, d) for k, b, d in held if k == TEXT]
+    def whole() -> tuple[list, bytes, dict[int, dict[int, bytes]]]:
         if len(text) != 1:
             raise RuntimeError(f"unit {unit} has {len(text)} texts")
-        given = {}
-        for kind in (GRAM, WORD):
-            got = [unpacked(b) for k, b, _ in held if k == kind]
-            keys, values = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 2
-            order = np.argsort(keys, kind="stable")
-            given[kind] = keys[order], values[order]
         return unbundle(text[0][0]), zstandard.ZstdDecompressor().decompress(text[0][1]), given
 
     for batch in batches:
-        for k, u, b, d in zip(*(batch.column(c).to_pylist() for c in ("kind", "unit", "blob", "data"))):
-            if u != unit and held:
+        for k, b, u, blob, data in zip(*(batch.column(c).to_pylist() for c in NAMES)):
+            if u != unit and (text or given[GRAM] or given[WORD]):
                 yield whole()
-                held = []
+                text, given = [], {GRAM: {}, WORD: {}}
             unit = u
-            held.append((k, b, d))
-    if held:
+            if k == TEXT:
+                text.append((blob, data))
+            else:
+                given[k][b] = blob
+    if unit is not None:
         yield whole()
 
 
-def looked_up(given: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    u, at = np.unique(keys, return_inverse=True)
-    place = np.searchsorted(given[0], u)
-    if len(u) and (place[-1] >= len(given[0]) or (given[0][place] != u).any()):
-        raise RuntimeError("a unit lacks answers")
-    return given[1][place][at.ravel()]
+def answered(kind: int, keys: np.ndarray, given: dict[int, bytes], parts: int, depth: int) -> np.ndarray:
+    """The answer to each of a unit's sorted distinct keys; every task has answered in their order."""
+    out = np.empty(len(keys), np.int64)
+    bucket = owners(kind, keys, parts, depth)
+    order = np.argsort(bucket, kind="stable")
+    for b, s in sliced(bucket[order]):
+        values = unsqueezed(given.pop(b)) if b in given else ()
+        if len(values) != s.stop - s.start:
+            raise RuntimeError("a unit lacks answers")
+        out[order[s]] = values
+    return out
 
 
 SCORED = "doc_id long, n_tokens long, n_known long, logs double, bits double, n_bytes long"
 
 
-def scored(depth: int, ends: int):
+def scored(parts: int, depth: int, ends: int):
     """Scores of each unit's texts; `ends` is the count of the end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (ids, null, sizes), whole, given in units(batches):
             cuts = np.r_[0, np.cumsum(sizes)]
             texts = [whole[a:b] for a, b in zip(cuts, cuts[1:])]
-            bits = np.zeros(len(texts))
+            del whole
+            held, every = [], np.zeros(0, np.int64)
             for code, first, which in grams(texts, depth):
-                np.add.at(bits, which, np.add.reduceat(looked_up(given[GRAM], code) / FIXED, first))
+                u, at = np.unique(code, return_inverse=True)
+                held.append((u, at.ravel().astype(np.int32), first, which))
+                every = np.unique(np.r_[every, u])
+            cost, bits = answered(GRAM, every, given[GRAM], parts, depth) / FIXED, np.zeros(len(texts))
+            for u, at, first, which in held:
+                np.add.at(bits, which, np.add.reduceat(cost[np.searchsorted(every, u)][at], first))
+            del held, every, cost
             flat, n = words(texts)
-            c = looked_up(given[WORD], flat)
+            u, at = np.unique(flat, return_inverse=True)
+            c = answered(WORD, u, given[WORD], parts, depth)[at.ravel()]
             doc = np.repeat(np.arange(len(texts)), n)
             logs = np.bincount(doc, np.log10(c + 1.0), len(texts)) + math.log10(ends + 1.0)
             known = np.bincount(doc, c > 0, len(texts)).astype(np.int64) + (ends > 0)
@@ -431,7 +447,7 @@ def lm_scores(docs: DataFrame, train: F.Column, depth: int = DEPTH, unit: int =
     tokens, distinct = tokens + ends, distinct + (ends > 0)
     back = owned.mapInArrow(trimmed(answers(sc.broadcast(above), depth)), ROWS)
     met = asked.filter(F.col("kind") == TEXT).union(back).repartition(parts, "unit").sortWithinPartitions("unit", "kind")
-    rows = met.mapInArrow(trimmed(scored(depth, ends)), SCORED)
+    rows = met.mapInArrow(trimmed(scored(parts, depth, ends)), SCORED)
     return rows.select(
         "doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * math.log10(tokens + distinct + 1)).alias("base_score"),
