@@ -32,9 +32,9 @@ from quillon.llm.blocks import bundle, counted, mixed, partitions, remainder, sl
 from quillon.llm.decontam import word_hashes
 from quillon.session import saved
 
-DEPTH, TOP, UNIT, PIECE = 6, 3, 8 << 20, 1 << 20
+DEPTH, TOP, UNIT, PIECE = 6, 3, 16 << 20, 1 << 20
 TEXT, GRAM, WORD = 0, 1, 2
-LOG10_2, LN2, FIXED = math.log10(2), math.log(2), 1 << 20
+LOG10_2, LN2, FIXED = math.log10(2), math.log(2), 1 << 18
 ROWS, NAMES = "kind byte, bucket int, unit long, blob binary, data binary", ["kind", "bucket", "unit", "blob", "data"]
 TYPES = (pa.int8(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
 SMALL, MOST_WAITING = 1 << 16, 4_000_000
@@ -46,7 +46,7 @@ WHOLES = np.r_[0.0, np.cumsum(np.log(np.arange(1, SMALL, dtype=np.float64)))]
 # -- packing
 def squeezed(x: np.ndarray) -> bytes:
     """Integers by planes of their bytes, compressed: high planes of small numbers cost nothing."""
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unsqueezed(blob: bytes) -> np.ndarray:
@@ -407,11 +407,12 @@ def scored(parts: int, depth: int, ends: int):
             cuts = np.r_[0, np.cumsum(sizes)]
             texts = [whole[a:b] for a, b in zip(cuts, cuts[1:])]
             del whole
-            held, every = [], np.zeros(0, np.int64)
+            held = []
             for code, first, which in grams(texts, depth):
                 u, at = np.unique(code, return_inverse=True)
                 held.append((u, at.ravel().astype(np.int32), first, which))
-                every = np.unique(np.r_[every, u])
+            every = np.sort(np.concatenate([np.zeros(0, np.int64), *(u for u, _, _, _ in held)]))
+            every = every[np.r_[True, every[1:] != every[:-1]]] if len(every) else every
             cost, bits = answered(GRAM, every, given[GRAM], parts, depth) / FIXED, np.zeros(len(texts))
             for u, at, first, which in held:
                 np.add.at(bits, which, np.add.reduceat(cost[np.searchsorted(every, u)][at], first))
@@ -435,7 +436,7 @@ def lm_scores(docs: DataFrame, train: F.Column, depth: int = DEPTH, unit: int =
     bits_per_byte. Null text is empty (its end symbol alone is scored). Rows stay as they come, whatever ids
     they repeat or lack, and a repeated row is learned from and scored as often as it is there; a null `train` is false;
     other columns of docs are ignored. Without training rows every estimate is the uniform one, and so is the baseline.
-    Costs are exact to 2**-21 bits a byte; words are told apart by 63 bits of a hash.
+    Costs are exact to 2**-19 bits a byte; words are told apart by 63 bits of a hash.
     """
     spark = docs.sparkSession
     sc, parts = spark.sparkContext, min(partitions(spark), 32768)

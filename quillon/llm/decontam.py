@@ -274,11 +274,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_do
         n += r["n"]
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.01)
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // fit_docs))) == 0
+    sample: list[DataFrame] = []  # about fit_docs documents, written once
 
     def search(rows: DataFrame, keep: list[str], items: list[tuple[int, bytes]], queries: list[tuple[int, np.ndarray]]) -> DataFrame:
         matrix = np.zeros((1 << TERM_BITS, len(queries)), np.float32)
         if queries:
-            basis = fit(docs.filter(chosen).select("doc_id", "text"), [terms_of(q) for _, q in queries], idf, max(rank, len(queries) + SPARE))
+            sample[:] = sample or [saved(docs.filter(chosen).select("doc_id", "text"), "sample")]
+            basis = fit(sample[0], [terms_of(q) for _, q in queries], idf, max(rank, len(queries) + SPARE))
         for k, (_, q) in enumerate(queries):
             term, w = unit(q, idf)
             matrix[:, k] = basis @ (w @ basis[term])
