@@ -59,6 +59,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that saved() has made in the shared folder. Results that still read them must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), "quillon"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by saved() that no later plan reads."""
     for df in tables:
