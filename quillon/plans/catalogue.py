@@ -300,8 +300,10 @@ best AS (SELECT item_id, doc_id, chunk_index, score FROM (SELECT *, row_number()
 
 def best_chunks(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Best passages of relevant documents; also all passages and the judgements."""
-    rel, chunks = qrels(s, d), chunking.windows(table(s, d, "documents"), 100, 50)
-    return mining.best_chunks(rel, chunks, table(s, d, "benchmark")), chunks, rel
+    rel, docs = qrels(s, d), table(s, d, "documents")
+    # only documents that are relevant to some query are cut for this
+    asked = docs.join(rel.select("doc_id").distinct(), "doc_id", "left_semi")
+    return mining.best_chunks(rel, chunking.windows(asked, 100, 50), table(s, d, "benchmark")), chunking.windows(docs, 100, 50), rel
 
 
 @query(based(f", {SQL_QRELS}, {SQL_CHUNKS} SELECT * FROM best"))
