@@ -169,9 +169,10 @@ def shared(groups: int):
         doc, place, df = none, none, none
         if blocks:
             value, doc = (np.concatenate(x) for x in zip(*blocks))
-            del blocks
+            blocks.clear()
             order = np.lexsort((doc, value))
             value, doc = value[order], doc[order]
+            del order
             once = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]  # a repeated row counts once
             value, doc = value[once], doc[once]
             first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
@@ -381,7 +382,7 @@ def residual_links(ordered: DataFrame, label: DataFrame, percent: int, block: in
 def profiles(docs: DataFrame, members: DataFrame, percent: int, width: int, longest: int) -> DataFrame:
     """Stored table of every distinct text by its least id: doc_id, n, tokens, level, size."""
     spark = docs.sparkSession
-    total, parts = docs.count(), min(partitions(spark), 32768)
+    total, parts = docs.count(), min(2 * partitions(spark), 32768)  # shingles take more room in a task than texts
     groups = max(1, min(parts, total // GROUP))
     hot = spark.sparkContext.broadcast(frequent(docs, total, width))
     blocks = docs.mapInArrow(trimmed(dealt(parts, width, hot)), BLOBS).repartitionById(parts, "bucket")

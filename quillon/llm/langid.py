@@ -14,6 +14,8 @@ landmarks have.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,8 +28,9 @@ LEAST_PART, LEAST_QUANTILE, THIRD = 0.85, 0.01, 1 << 42
 UNKNOWN = "und"
 
 
+@lru_cache(1)
 def letters() -> np.ndarray:
-    """For every code point, whether it is a letter."""
+    """For every code point, whether it is a letter; made once in a worker."""
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
@@ -130,11 +133,8 @@ CELLS = 1 << 24
 
 
 def predicted(model, carry: list[str]):
-    letter = None
-
     def judge(texts: list[bytes]) -> list[tuple]:
-        nonlocal letter
-        m, letter = model.value, letters() if letter is None else letter
+        m, letter = model.value, letters()
         rows = [ngrams(t.decode(), letter, m["sizes"]) for t in texts]
         langs, scores, fits = [UNKNOWN] * len(rows), np.zeros(len(rows)), np.zeros(len(rows), bool)
         some = [i for i, g in enumerate(rows) if g is not None] if m["names"] else []
