@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from quillon.llm import jaccard
 from quillon.llm.blocks import bundle, unbundle
 
