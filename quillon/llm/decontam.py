@@ -2,16 +2,14 @@
 
 Documents are cut into passages of 64 words, a new one every 32; benchmark items into queries of at most 64 words.
 Both are TF-IDF vectors over hashed words; document frequencies cover all documents. A distributed randomised SVD
-(a random range, taken through A'A once and then held against A'A, each step a sum of matrices made where the
-passages are) gives the latent space. Every passage of every document is projected and compared by cosine
+(a random matrix, taken through A'A once, as a sum of matrices made where the passages are) gives the latent space. Every passage of every document is projected and compared by cosine
 with every query; pairs above the threshold are candidates. A candidate counts if the longest common subsequence of
 words of the item and the words around the passage, as many on either side as the item has, covers enough of the
 item, or covers less but holds the item's answer: the words of its last sentence.
 
-The space is fitted on passages of a bounded sample of documents and on all queries, which weigh more than the
-sample. Its rank is above the number of queries of a block, so that it holds all of them, and the cosine of a copy does
-not fall as the benchmark grows; a larger benchmark takes more blocks, each with its own space. Everything but
-that fit covers all rows.
+The space is fitted on all passages of all documents, in one pass whatever the number of blocks, and on all queries,
+which weigh more than the passages. Its rank is above the number of queries of a block, so that it holds all of them, and
+the cosine of a copy does not fall as the benchmark grows; a larger benchmark takes more blocks, each with its own space.
 """
 
 from __future__ import annotations
@@ -27,7 +25,7 @@ from quillon.llm.blocks import carried, judged, mixed, pieces, trimmed
 from quillon.session import saved
 
 TERM_BITS, RANK, SPARE, HALF = 14, 256, 56, 32
-FIT_DOCS, FIT_PARTS, FIT_WEIGHT, SEED = 1000, 4, 8.0, 7
+FIT_PARTS, FIT_WEIGHT, SEED = 4, 8.0, 7
 COSINE, COVER, ANSWER_COVER, ANSWER_SHARE = 0.25, 0.7, 0.55, 0.8
 QUERY_BLOCK, RUN = 960, 256
 SLICE, SLICES = 512, "slice long, n long, sum binary"
@@ -119,43 +117,49 @@ def times(rows: Iterator[tuple[np.ndarray, np.ndarray]], matrix: np.ndarray, out
     return n
 
 
-def fit(sample: DataFrame, queries: list[np.ndarray], idf: np.ndarray, rank: int) -> np.ndarray:
-    """Orthonormal terms-by-rank basis of the leading directions of the sampled passages and the queries.
+def scattered(rank: int) -> np.ndarray:
+    """A random terms-by-rank matrix; that of a lower rank is its first columns."""
+    return np.ascontiguousarray(np.random.default_rng(SEED).standard_normal((rank, 1 << TERM_BITS), np.float32).T)
 
-    Queries weigh FIT_WEIGHT times as much as all sampled passages together, so that the space holds what is searched for.
+
+def gathered(docs: DataFrame, idf: np.ndarray, rank: int) -> tuple[np.ndarray, int]:
+    """A'A M of the passages of all documents for the random matrix M of a rank; the number of passages."""
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast((scattered(rank), idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, weights = shared.value
+        total, n = np.zeros_like(m), 0
+        for _, texts in pieces(batches, "text", "doc_id", 1 << 20):
+            n += times(((own, rows) for words in worded(texts) if len(words) for _, own, rows in passages(terms_of(words), weights)), m, total)
+        for i in range(0, len(total) if n else 0, SLICE):
+            yield pa.record_batch([pa.array([i // SLICE]), pa.array([n if i == 0 else 0]), pa.array([total[i : i + SLICE].tobytes()], pa.binary())], ["slice", "n", "sum"])
+
+    total, n = np.zeros((1 << TERM_BITS, rank), np.float32), 0
+    # a task makes one matrix of all its partitions, so that what is sent does not grow with the documents; slices are
+    # summed where they meet, so that the driver gets the matrix once and in small parts
+    dealt = docs.select("doc_id", "text").coalesce(max(FIT_PARTS, 2 * sc.defaultParallelism))
+    parts = dealt.mapInArrow(trimmed(run), SLICES).repartition(-(-len(total) // SLICE), "slice").mapInArrow(slices_added, SLICES)
+    for r in parts.toLocalIterator():
+        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["sum"], np.float32).reshape(-1, rank)
+        n += r["n"]
+    shared.destroy()
+    return total, n
+
+
+def fit(total: np.ndarray, n: int, queries: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Orthonormal terms-by-rank basis of the leading directions of n passages, of which gathered() made total, and the queries.
+
+    Queries weigh FIT_WEIGHT times as much as all passages together, so that the space holds what is searched for.
     """
-    sc = sample.sparkSession.sparkContext
     asked = [(own, rows) for q in queries for _, own, rows in passages(q, idf)]
-    sample = sample.repartition(FIT_PARTS)
-
-    def product(matrix: np.ndarray) -> np.ndarray:
-        shared = sc.broadcast((matrix, idf))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, weights = shared.value
-            total, n = np.zeros_like(m), 0
-            for _, texts in pieces(batches, "text", "doc_id", 1 << 20):
-                n += times(((own, rows) for words in worded(texts) if len(words) for _, own, rows in passages(terms_of(words), weights)), m, total)
-            for i in range(0, len(total), SLICE):
-                yield pa.record_batch([pa.array([i // SLICE]), pa.array([n if i == 0 else 0]), pa.array([total[i : i + SLICE].tobytes()], pa.binary())], ["slice", "n", "sum"])
-
-        total, n = np.zeros_like(matrix), 0
-        # slices are summed where they meet, so that the driver gets the matrix once and in small parts
-        parts = sample.mapInArrow(trimmed(run), SLICES).repartition(-(-len(matrix) // SLICE), "slice").mapInArrow(slices_added, SLICES)
-        for r in parts.toLocalIterator():
-            total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["sum"], np.float32).reshape(-1, matrix.shape[1])
-            n += r["n"]
-        shared.destroy()
-        own = np.zeros_like(matrix)
-        times(iter(asked), matrix, own)
-        own *= np.float32(FIT_WEIGHT * max(1.0, n / max(1, len(asked))))
-        return total + own
-
-    y = np.random.default_rng(SEED).standard_normal((1 << TERM_BITS, rank)).astype(np.float32)
-    y = np.linalg.qr(product(y))[0].astype(np.float32)
-    small = y.T @ product(y)
-    value, vector = np.linalg.eigh((small + small.T) / 2)
-    return (y @ vector[:, value > 1e-7 * max(value.max(), 1e-12)][:, ::-1]).astype(np.float32)
+    own = np.zeros(total.shape, np.float32)
+    times(iter(asked), scattered(total.shape[1]), own)
+    own *= np.float32(FIT_WEIGHT * max(1.0, n / max(1, len(asked))))
+    own += total
+    y, small = np.linalg.qr(own)
+    vector, value, _ = np.linalg.svd(small)
+    return (y @ vector[:, value > 1e-7 * max(value.max(), 1e-12)]).astype(np.float32)
 
 
 def slices_added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +259,7 @@ def unit(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return term, w / np.sqrt(w @ w)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_docs: int = FIT_DOCS, limits: tuple[float, float, float, float] = (COSINE, COVER, ANSWER_COVER, ANSWER_SHARE), block: int = QUERY_BLOCK, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, limits: tuple[float, float, float, float] = (COSINE, COVER, ANSWER_COVER, ANSWER_SHARE), block: int = QUERY_BLOCK, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Searches every text of docs(doc_id, text, ...) for the items of benchmark(item_id, text, ...).
 
     Returns the columns `carry` of docs, contaminated, item_id (of the item covered most, the least id among equals; null if none),
@@ -273,14 +277,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_do
         df += np.frombuffer(r["df"], np.int64)
         n += r["n"]
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.01)
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // fit_docs))) == 0
-    sample: list[DataFrame] = []  # about fit_docs documents, written once
+    made: list[tuple[np.ndarray, int]] = []  # what the passages give for the highest rank so far
 
     def search(rows: DataFrame, keep: list[str], items: list[tuple[int, bytes]], queries: list[tuple[int, np.ndarray]]) -> DataFrame:
         matrix = np.zeros((1 << TERM_BITS, len(queries)), np.float32)
         if queries:
-            sample[:] = sample or [saved(docs.filter(chosen).select("doc_id", "text"), "sample")]
-            basis = fit(sample[0], [terms_of(q) for _, q in queries], idf, max(rank, len(queries) + SPARE))
+            wanted = max(rank, len(queries) + SPARE)
+            if not made or made[0][0].shape[1] < wanted:
+                made[:] = [gathered(docs, idf, wanted if second is None else max(wanted, block + SPARE))]
+            total, passed = made[0]
+            basis = fit(total[:, :wanted], passed, [terms_of(q) for _, q in queries], idf)
         for k, (_, q) in enumerate(queries):
             term, w = unit(q, idf)
             matrix[:, k] = basis @ (w @ basis[term])

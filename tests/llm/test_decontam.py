@@ -167,6 +167,22 @@ def test_memory_of_a_long_text():
     assert out[0]["contaminated"].to_pylist() == [True] and peak < 40 * len(text)
 
 
+def test_space_is_fitted_on_all_documents(spark, monkeypatch):
+    """Passages that differ from all others lie in the space, in whichever of 2100 documents they are, with one block of queries or two."""
+    own = [" ".join(f"own{d}x{i}" for i in range(5)) for d in range(100)]
+    rows = [(d, own[d] if d < 100 else "words that all the others hold") for d in range(2100)]
+    items = [(i, " ".join(f"q{i}x{j}" for j in range(20))) for i in range(4)]
+    spaces, fit = [], decontam.fit
+    monkeypatch.setattr(decontam, "fit", lambda *a, **k: spaces.append(fit(*a, **k)) or spaces[-1])
+    for block in (4, 3):
+        decontam.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS), block=block)
+    assert len(spaces) == 3
+    for basis in spaces:
+        for text in own:
+            term, w = decontam.unit(decontam.worded([text.encode()])[0], np.ones(1 << decontam.TERM_BITS, np.float32))
+            assert np.linalg.norm(w @ basis[term]) > 0.99
+
+
 def test_query_holds_its_columns(spark):
     got = decontam.op10_decontamination(spark, FOLDER)
     assert got.columns == ["doc_id", "contaminated", "item_id", "n_items", "lcs_share", "cosine"]
