@@ -27,7 +27,7 @@ from quillon.session import saved
 TERM_BITS, RANK, SPARE, HALF = 14, 256, 56, 32
 FIT_PARTS, FIT_WEIGHT, SEED = 4, 8.0, 7
 COSINE, COVER, ANSWER_COVER, ANSWER_SHARE = 0.25, 0.7, 0.55, 0.8
-QUERY_BLOCK, RUN = 960, 256
+QUERY_BLOCK, RUN, FIT_RUN = 960, 256, 8
 SLICE, SLICES = 512, "slice long, n long, sum binary"
 # ASCII punctuation and controls part words; letters of other scripts are bytes of their own.
 PARTING = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
@@ -93,11 +93,11 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([total]), pa.array([df.tobytes()], pa.binary())], ["n", "df"])
 
 
-def passages(t: np.ndarray, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """TF-IDF rows of unit length, RUN passages at a time: (number of the first, terms at hand, passages by terms)."""
+def passages(t: np.ndarray, idf: np.ndarray, run: int = RUN) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """TF-IDF rows of unit length, `run` passages at a time: (number of the first, terms at hand, passages by terms)."""
     last = max(1, -(-len(t) // HALF) - 1)
-    for p in range(0, last, RUN):
-        part = t[p * HALF : (min(last, p + RUN) + 1) * HALF]
+    for p in range(0, last, run):
+        part = t[p * HALF : (min(last, p + run) + 1) * HALF]
         own, place = np.unique(part, return_inverse=True)
         block = np.arange(len(part)) // HALF
         counts = np.bincount(block * len(own) + place, minlength=(int(block[-1]) + 1) * len(own)).reshape(-1, len(own)).astype(np.float32)
@@ -111,8 +111,17 @@ def passages(t: np.ndarray, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray,
 def times(rows: Iterator[tuple[np.ndarray, np.ndarray]], matrix: np.ndarray, out: np.ndarray) -> int:
     """Adds A'(A M) over blocks of A to out; their number of rows."""
     n = 0
+    # rows are copied into memory that is kept: most blocks are small, and their time is that of moving rows
+    room = np.empty((2, 64, matrix.shape[1]), np.float32)
     for own, block in rows:
-        out[own] += block.T @ (block @ matrix[own])
+        if len(own) > room.shape[1]:
+            room = np.empty((2, 2 * len(own), matrix.shape[1]), np.float32)
+        part, held = room[:, : len(own)]
+        np.take(matrix, own, axis=0, out=part, mode="clip")
+        np.matmul(block.T, block @ part, out=part)
+        np.take(out, own, axis=0, out=held, mode="clip")
+        part += held
+        out[own] = part
         n += len(block)
     return n
 
@@ -131,7 +140,7 @@ def gathered(docs: DataFrame, idf: np.ndarray, rank: int) -> tuple[np.ndarray, i
         m, weights = shared.value
         total, n = np.zeros_like(m), 0
         for _, texts in pieces(batches, "text", "doc_id", 1 << 20):
-            n += times(((own, rows) for words in worded(texts) if len(words) for _, own, rows in passages(terms_of(words), weights)), m, total)
+            n += times(((own, rows) for words in worded(texts) if len(words) for _, own, rows in passages(terms_of(words), weights, FIT_RUN)), m, total)
         for i in range(0, len(total) if n else 0, SLICE):
             yield pa.record_batch([pa.array([i // SLICE]), pa.array([n if i == 0 else 0]), pa.array([total[i : i + SLICE].tobytes()], pa.binary())], ["slice", "n", "sum"])
 
