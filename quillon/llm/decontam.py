@@ -27,14 +27,17 @@ from quillon.session import saved
 TERM_BITS, RANK, SPARE, HALF = 14, 256, 56, 32
 FIT_PARTS, FIT_WEIGHT, SEED = 4, 8.0, 7
 COSINE, COVER, ANSWER_COVER, ANSWER_SHARE = 0.25, 0.7, 0.55, 0.8
-QUERY_BLOCK, RUN, FIT_RUN = 960, 256, 8
+QUERY_BLOCK, RUN, FIT_RUN, CELLS = 960, 16, 8, 1 << 20
 SLICE, SLICES = 512, "slice long, n long, sum binary"
 # ASCII punctuation and controls part words; letters of other scripts are bytes of their own.
 PARTING = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+HALF_BITS = 32 - TERM_BITS  # a block has fewer halves than this many bits can number
 ODD = 0x9E3779B97F4A7C15 | 1
 LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-STRETCH = 1 << 20
+STRETCH = 1 << 16
+# Lower-cased and parted, for texts in ASCII.
+LOWER_PARTING = bytes(PARTING[c + 32 if 65 <= c <= 90 else c] for c in range(256))
 
 
 def powers(n: int) -> list[np.ndarray]:
@@ -50,22 +53,26 @@ def powers(n: int) -> list[np.ndarray]:
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, a stretch of bytes at a time."""
     out = np.empty(len(start), np.uint64)
-    a = 0
+    a, room = 0, np.zeros((2, 0), np.uint64)
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(start, start[a] + STRETCH)))
         low, high = int(start[a]), int(end[b - 1])
         up, down = powers(high - low + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(LETTERS[data[low:high]] * up[: high - low], out=sums[1:])
+        if high - low >= room.shape[1]:
+            room = np.zeros((2, high - low + 1), np.uint64)
+        letters, sums = room[0, : high - low], room[1, : high - low + 1]  # sums begins with a 0
+        np.take(LETTERS, data[low:high], out=letters, mode="clip")
+        letters *= up[: high - low]
+        np.cumsum(letters, out=sums[1:])
         s, e = start[a:b] - low, end[a:b] - low
-        out[a:b] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        out[a:b] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
         a = b
-    return out
+    return mixed(out)
 
 
 def worded(texts: list[bytes]) -> list[np.ndarray]:
     """The hashes of each text's words, in order: lower-cased, parted at white space and ASCII punctuation."""
-    low = [t.decode(errors="replace").lower().encode().translate(PARTING) for t in texts]
+    low = [t.translate(LOWER_PARTING) if t.isascii() else t.decode(errors="replace").lower().encode().translate(PARTING) for t in texts]
     data = np.frombuffer(b" " + b" ".join(low) + b" ", np.uint8)
     turns = np.flatnonzero(np.diff(data == 32)) + 1
     start, end = turns[::2], turns[1::2]
@@ -81,31 +88,62 @@ def terms_of(words: np.ndarray) -> np.ndarray:
 
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents, and documents with each term, in a partition."""
-    total, df, seen = 0, np.zeros(1 << TERM_BITS, np.int64), np.zeros(1 << TERM_BITS, bool)
+    total, df = 0, np.zeros(1 << TERM_BITS, np.int64)
     for _, texts in pieces(batches, "text", "doc_id", 1 << 20):
-        for words in worded(texts):
-            t = terms_of(words)
-            seen[t] = True
-            own = np.flatnonzero(seen) if len(t) > 1000 else np.unique(t)
-            df[own] += 1
-            seen[own] = False
+        words = worded(texts)
+        keys = terms_of(np.concatenate(words)) | np.repeat(np.arange(len(texts)), list(map(len, words))) << TERM_BITS
+        keys.sort()
+        own = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+        df += np.bincount(own & (1 << TERM_BITS) - 1, minlength=len(df))
         total += len(texts)
     yield pa.record_batch([pa.array([total]), pa.array([df.tobytes()], pa.binary())], ["n", "df"])
 
 
-def passages(t: np.ndarray, idf: np.ndarray, run: int = RUN) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """TF-IDF rows of unit length, `run` passages at a time: (number of the first, terms at hand, passages by terms)."""
-    last = max(1, -(-len(t) // HALF) - 1)
-    for p in range(0, last, run):
-        part = t[p * HALF : (min(last, p + run) + 1) * HALF]
-        own, place = np.unique(part, return_inverse=True)
-        block = np.arange(len(part)) // HALF
-        counts = np.bincount(block * len(own) + place, minlength=(int(block[-1]) + 1) * len(own)).reshape(-1, len(own)).astype(np.float32)
-        if len(counts) > 1:
-            counts = counts[:-1] + counts[1:]
-        rows = counts * idf[own]
-        rows /= np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
-        yield p, own, rows
+def passages(texts: list[np.ndarray], idf: np.ndarray, run: int = RUN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """TF-IDF rows of unit length, up to `run` passages of a text at a time: (number of the text, that of the first passage, terms at hand, passages by terms).
+
+    Texts are given by their terms; one without any has no passages. Terms are sorted and counted for as many blocks at
+    once as take CELLS numbers, or one, since most texts are short and a count for each would take most of the time.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    last = np.where(sizes > 0, np.maximum(1, -(-sizes // HALF) - 1), 0)
+    blocks = -(-last // run)
+    text = np.repeat(np.arange(len(texts)), blocks)
+    first = run * (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    start = first * HALF
+    end = np.minimum(sizes[text], (np.minimum(last[text], first + run) + 1) * HALF)
+    halves = -(-(end - start) // HALF)
+    room = np.cumsum(halves * np.minimum(end - start, 1 << TERM_BITS))
+    a = 0
+    while a < len(text):
+        b = max(a + 1, int(np.searchsorted(room, (room[a - 1] if a else 0) + CELLS, "right")))
+        counts = end[a:b] - start[a:b]
+        block = np.repeat(np.arange(b - a), counts)
+        half = (np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)) // HALF
+        term = np.concatenate([texts[i][s:e] for i, s, e in zip(text[a:b].tolist(), start[a:b].tolist(), end[a:b].tolist())])
+        # block, term and half in one number, so that one sort brings equal terms of a block together
+        keys = (block << TERM_BITS | term) << HALF_BITS | half
+        keys.sort()
+        half = keys & (1 << HALF_BITS) - 1
+        keys >>= HALF_BITS
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        own = keys[new]
+        ends = np.searchsorted(own, np.arange(b - a + 1) << TERM_BITS)
+        own &= (1 << TERM_BITS) - 1
+        width = np.diff(ends)
+        cells = np.r_[0, np.cumsum(width * halves[a:b])]
+        block = np.repeat(np.arange(b - a), counts)
+        place = np.cumsum(new) - 1
+        weights = idf[own][place]
+        place += half * width[block] + (cells[:-1] - ends[:-1])[block]
+        flat = np.bincount(place, weights, minlength=int(cells[-1])).astype(np.float32)
+        for k, (i, p, h) in enumerate(zip(text[a:b].tolist(), first[a:b].tolist(), halves[a:b].tolist())):
+            rows = flat[cells[k] : cells[k + 1]].reshape(h, -1)
+            if h > 1:
+                rows = rows[:-1] + rows[1:]
+            rows /= np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+            yield i, p, own[ends[k] : ends[k + 1]], rows
+        a = b
 
 
 def times(rows: Iterator[tuple[np.ndarray, np.ndarray]], matrix: np.ndarray, out: np.ndarray) -> int:
@@ -140,7 +178,7 @@ def gathered(docs: DataFrame, idf: np.ndarray, rank: int) -> tuple[np.ndarray, i
         m, weights = shared.value
         total, n = np.zeros_like(m), 0
         for _, texts in pieces(batches, "text", "doc_id", 1 << 20):
-            n += times(((own, rows) for words in worded(texts) if len(words) for _, own, rows in passages(terms_of(words), weights, FIT_RUN)), m, total)
+            n += times(((own, rows) for _, _, own, rows in passages(list(map(terms_of, worded(texts))), weights, FIT_RUN)), m, total)
         for i in range(0, len(total) if n else 0, SLICE):
             yield pa.record_batch([pa.array([i // SLICE]), pa.array([n if i == 0 else 0]), pa.array([total[i : i + SLICE].tobytes()], pa.binary())], ["slice", "n", "sum"])
 
@@ -161,7 +199,7 @@ def fit(total: np.ndarray, n: int, queries: list[np.ndarray], idf: np.ndarray) -
 
     Queries weigh FIT_WEIGHT times as much as all passages together, so that the space holds what is searched for.
     """
-    asked = [(own, rows) for q in queries for _, own, rows in passages(q, idf)]
+    asked = [(own, rows) for _, _, own, rows in passages(queries, idf)]
     own = np.zeros(total.shape, np.float32)
     times(iter(asked), scattered(total.shape[1]), own)
     own *= np.float32(FIT_WEIGHT * max(1.0, n / max(1, len(asked))))
@@ -237,16 +275,25 @@ def searched(model, limits: tuple[float, float, float, float], carry: list[str])
     cosine, *checks = limits
     items: dict[int, Item] = {}
 
-    def one(words: np.ndarray) -> tuple:
-        matrix, idf, numbers, texts, owner = model.value
-        best, hits = (0.0, 0.0, None), 0
-        near: dict[int, tuple[list, float]] = {}
-        for p, own, rows in passages(terms_of(words), idf) if len(words) and len(numbers) else ():
-            score = rows @ matrix[own]
+    def nearby(words: list[np.ndarray]) -> dict[int, dict[int, tuple[list, float]]]:
+        """By the number of a text that has any: items with the passages near them, and their greatest cosine."""
+        matrix, idf, numbers, _, owner = model.value
+        found: dict[int, dict[int, tuple[list, float]]] = {}
+        room = np.empty((64, matrix.shape[1]), np.float32)
+        for i, p, own, rows in passages(list(map(terms_of, words)), idf) if numbers else ():
+            if len(own) > len(room):
+                room = np.empty((2 * len(own), matrix.shape[1]), np.float32)
+            score = rows @ np.take(matrix, own, axis=0, out=room[: len(own)], mode="clip")
             for k in np.flatnonzero(score.max(0) >= cosine):
+                near = found.setdefault(i, {})
                 at = np.flatnonzero(score[:, k] >= cosine) + p
                 places, top = near.get(owner[k], ([], 0.0))
                 near[owner[k]] = [*places, at], max(top, float(score[:, k].max()))
+        return found
+
+    def one(words: np.ndarray, near: dict[int, tuple[list, float]]) -> tuple:
+        _, _, numbers, texts, _ = model.value
+        best, hits = (0.0, 0.0, None), 0
         for i, (places, close) in near.items():
             item = items.get(i) or items.setdefault(i, Item(numbers[i], texts[i]))
             top = 0.0
@@ -259,7 +306,12 @@ def searched(model, limits: tuple[float, float, float, float], carry: list[str])
                 best = max(best, (top, close, -item.number), key=lambda b: (b[0], b[2] if b[2] is not None else -(1 << 62)))
         return hits > 0, None if best[2] is None else -best[2], hits, round(best[0], 6), round(best[1], 4)
 
-    return judged(lambda texts: [one(words) for words in worded(texts)], carry, TYPES, NAMES)
+    def all_of(texts: list[bytes]) -> list[tuple]:
+        words = worded(texts)
+        found = nearby(words)
+        return [one(w, found.get(i, {})) for i, w in enumerate(words)]
+
+    return judged(all_of, carry, TYPES, NAMES)
 
 
 def unit(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

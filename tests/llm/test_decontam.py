@@ -183,6 +183,42 @@ def test_space_is_fitted_on_all_documents(spark, monkeypatch):
             assert np.linalg.norm(w @ basis[term]) > 0.99
 
 
+def test_passages_of_many_texts(monkeypatch):
+    """They are those of a plain count, whatever is taken at once."""
+    rng = np.random.default_rng(3)
+    idf = rng.random(1 << decontam.TERM_BITS).astype(np.float32) + np.float32(0.1)
+    texts = [np.minimum(rng.zipf(1.3, n), (1 << decontam.TERM_BITS) - 1) for n in (0, 1, 31, 32, 33, 64, 65, 0, 700, 96, 97, 0)]
+    want = {}
+    for i, t in enumerate(texts):
+        for p in range(max(1, -(-len(t) // 32) - 1) if len(t) else 0):
+            term, count = np.unique(t[32 * p : 32 * p + 64], return_counts=True)
+            want[i, p] = dict(zip(term.tolist(), count * idf[term] / np.linalg.norm(count * idf[term])))
+    for run, cells in ((1, 1), (4, 1), (4, 3000), (16, 1 << 20)):
+        monkeypatch.setattr(decontam, "CELLS", cells)
+        got = [(i, p + j, {k: v for k, v in zip(own.tolist(), row) if v}) for i, p, own, rows in decontam.passages(texts, idf, run) for j, row in enumerate(rows)]
+        assert [(i, p) for i, p, _ in got] == list(want)
+        assert all(row == pytest.approx(want[i, p], rel=1e-5) for i, p, row in got)
+
+
+def test_short_texts_do_not_take_a_count_each(monkeypatch):
+    """400 short texts are sorted and counted together, for the document frequencies and in the search."""
+    item = b"one two three four"
+    idf, matrix = np.ones(1 << decontam.TERM_BITS, np.float32), np.zeros((1 << decontam.TERM_BITS, 1), np.float32)
+    term, w = decontam.unit(decontam.worded([item])[0], idf)
+    matrix[term, 0] = w
+    model = type("B", (), {"value": (matrix, idf, [4], [item], [0])})
+    texts = [f"a{i} b c d e" if i % 40 else f"a{i} {item.decode()}" for i in range(400)]
+    batch = pa.record_batch([pa.array(range(400)), pa.array(texts)], ["doc_id", "text"])
+    calls = []
+    for name in ("bincount", "unique"):
+        monkeypatch.setattr(np, name, lambda *a, own=getattr(np, name), **k: calls.append(1) or own(*a, **k))
+    (found,) = decontam.frequencies(iter([batch]))
+    assert np.frombuffer(found.column("df")[0].as_py(), np.int64).sum() == 2000
+    (out,) = decontam.searched(model, (decontam.COSINE, *CHECKS), ["doc_id"])(iter([batch]))
+    assert [d for d, hit in zip(out["doc_id"].to_pylist(), out["contaminated"].to_pylist()) if hit] == list(range(0, 400, 40))
+    assert len(calls) < 40
+
+
 def test_query_holds_its_columns(spark):
     got = decontam.op10_decontamination(spark, FOLDER)
     assert got.columns == ["doc_id", "contaminated", "item_id", "n_items", "lcs_share", "cosine"]
