@@ -30,10 +30,14 @@ def best_chunks(rel: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFr
     return scores.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
 
 
-def hard_negatives(scores: DataFrame, rel: DataFrame, chunks: DataFrame, top: int = 10) -> DataFrame:
-    """(item_id, doc_id, chunk_index): the first of a query's `top` best documents that is not relevant, and one passage of it in hash order."""
+def hard_documents(scores: DataFrame, rel: DataFrame, top: int = 10) -> DataFrame:
+    """(item_id, doc_id): the first of a query's `top` best documents that is not relevant."""
     best = ranked(scores, top).join(rel, ["item_id", "doc_id"], "left_anti")
-    first = best.groupBy("item_id").agg(F.min_by("doc_id", "rnk").alias("doc_id"))
+    return best.groupBy("item_id").agg(F.min_by("doc_id", "rnk").alias("doc_id"))
+
+
+def one_passage(first: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(item_id, doc_id, chunk_index): one passage in hash order for each row of first(item_id, doc_id)."""
     pick = first.join(chunks.select("doc_id", "chunk_index"), "doc_id").groupBy("item_id", "doc_id").agg(F.min_by("chunk_index", hashed("neg", "item_id", "doc_id", "chunk_index")).alias("chunk_index"))
     return pick.select("item_id", "doc_id", "chunk_index")
 
