@@ -18,7 +18,7 @@ def test_lines_are_copied_where_they_are(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         jsonl.copy_lines(lines, ids, str(tmp_path / "out"))
-        for name in ("chunk_qrels", "hard_negative"):
+        for name in ("verbatim_subset", "chunk_qrels", "hard_negative"):
             shuffled = [x for x in plan(catalogue.QUERIES[name](spark, SMALL)).splitlines() if "Exchange hash" in x and "text" in x]
             assert not shuffled, (name, shuffled)
     finally:
